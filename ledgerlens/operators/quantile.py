@@ -5,49 +5,203 @@ group in one final task, which breaks once one group holds billions of
 distinct values.  This operator selects the two order statistics around
 rank ``p * (n - 1)`` without ever gathering a whole group:
 
-1. one aggregate per group: ``n``, ``min``, ``max`` and a
-   ``percentile_approx`` bracket ``[lo, hi]`` a few rank-errors around ``p``
-   (partial aggregation, skew safe);
+1. one aggregate: ``n``, ``min``, ``max`` and a ``percentile_approx``
+   bracket ``[lo, hi]`` a few rank-errors around ``p`` (partial
+   aggregation, so skew safe);
 2. one aggregate counts values below the bracket and inside it; a bracket
    the sketch got wrong is widened to ``[min, max]``;
 3. while a bracket still holds more than ``local_limit`` values, a
-   1024-bucket histogram over it (again a partial aggregate) narrows it to
-   the one or two buckets that hold the wanted ranks;
+   1024-bucket histogram over it (a partial aggregate again) narrows it to
+   the buckets that hold the wanted ranks; a single-valued bucket settles
+   its rank at once, so heavy ties terminate;
 4. the wanted ranks are picked with ``row_number`` inside the bracket,
-   which by now holds at most ``local_limit`` values per group.
+   which now holds at most ``local_limit`` values per group.
 
-Interpolation is ``fma(1 - d, lo, d * hi)``, bit-for-bit what DuckDB's
-``quantile_cont`` returns; the fused multiply-add is evaluated by
-``java.lang.Math.fma`` on the per-group result rows only.
+Bracket bounds are literals (global) or literal map lookups (few groups),
+so the bracket predicate is pushed into the parquet scan and needs no join.
+Several global percentiles share every pass.  Interpolation is
+``fma(1 - d, lo, d * hi)``, bit-for-bit DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ACCURACY = 10_000
 LOCAL_LIMIT = 250_000
 BUCKETS = 1024
 MAX_ROUNDS = 16
-BROADCAST_GROUPS = 100_000
+MAP_GROUPS = 5_000
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], n_small: int) -> DataFrame:
-    """Join a per-group table onto rows; broadcast only under a row bound."""
-    if not keys:
-        return big.crossJoin(F.broadcast(small))  # one row
-    side = F.broadcast(small) if n_small <= BROADCAST_GROUPS else small
-    return big.join(side, list(keys))
+def lerp(a: float | None, z: float | None, d: float) -> float | None:
+    if a is None:
+        return None
+    if d == 0 or z is None:
+        return a
+    return math.fma(1.0 - d, a, d * z)
 
 
-def lerp(lo: Column, hi: Column, d: Column) -> Column:
-    """``(1 - d) * lo + d * hi`` with a fused multiply-add (DuckDB-equal)."""
+def lerp_col(a: Column, z: Column, d: Column) -> Column:
+    """Column form of ``lerp`` (``java.lang.Math.fma``), for grouped results."""
     fused = F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"),
-                            (F.lit(1.0) - d), lo, d * hi).cast("double")
-    return F.when(d == 0, lo).otherwise(fused)
+                            (F.lit(1.0) - d), a, d * z).cast("double")
+    return F.when(d == 0, a).otherwise(fused)
+
+
+class _Target:
+    """Search state for one (spec, group)."""
+
+    def __init__(self, n, p, mn, mx, br, plo, phi):
+        self.n = n
+        pos = p * (n - 1)
+        self.k = int(math.floor(pos))
+        self.k1 = min(self.k + 1, n - 1)
+        self.d = pos - self.k
+        self.mn, self.mx = mn, mx
+        self.lo = mn if plo == 0.0 else br[0]
+        self.hi = mx if phi == 1.0 else br[1]
+        self.below = 0
+        self.inside = n
+        self.a = None
+        self.z = None
+
+    def widen_if_missed(self) -> bool:
+        if self.below > self.k or self.below + self.inside <= self.k1:
+            self.lo, self.hi = self.mn, self.mx
+            return True
+        return False
+
+    def unresolved(self, limit) -> bool:
+        return (self.inside > limit and self.lo < self.hi
+                and (self.a is None or self.z is None))
+
+    def narrow(self, hist: list[tuple]) -> None:
+        """hist: sorted (bucket, count, min, max) over the bracket."""
+        r0, r1 = self.k - self.below, self.k1 - self.below
+        cum, lo_b, hi_b = 0, None, None
+        for h in hist:
+            if lo_b is None and cum + h[1] > r0:
+                lo_b = (h, cum)
+            if hi_b is None and cum + h[1] > r1:
+                hi_b = (h, cum)
+            cum += h[1]
+        (hl, before_lo), (hh, before_hi) = lo_b, hi_b
+        if hl[2] == hl[3]:
+            self.a = hl[2]
+        if hh[2] == hh[3]:
+            self.z = hh[2]
+        if self.a is not None and self.z is not None:
+            self.inside = 0
+            return
+        if self.a is not None:      # only the upper rank is open
+            first, fb, last, lb = hh, before_hi, hh, before_hi
+        elif self.z is not None:    # only the lower rank is open
+            first, fb, last, lb = hl, before_lo, hl, before_lo
+        else:
+            first, fb, last, lb = hl, before_lo, hh, before_hi
+        self.lo, self.hi = first[2], last[3]
+        self.below += fb
+        self.inside = lb + last[1] - fb
+
+    def value(self) -> float | None:
+        return lerp(self.a, self.z if self.z is not None else self.a, self.d)
+
+
+def _bracket_round(df: DataFrame, tagged: list, limit: int) -> None:
+    """Passes 2-3 for a list of (value column, filter column, target)."""
+    for _ in range(2):  # count; widen the rare missed bracket and recount
+        aggs = []
+        for i, (v, t) in enumerate(tagged):
+            aggs += [F.count_if(v < F.lit(t.lo)).alias(f"b{i}"),
+                     F.count_if(v.between(F.lit(t.lo), F.lit(t.hi))).alias(f"i{i}")]
+        row = df.agg(*aggs).first()
+        missed = False
+        for i, (_, t) in enumerate(tagged):
+            t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
+            missed |= t.widen_if_missed()
+        if not missed:
+            break
+    for _ in range(MAX_ROUNDS):
+        open_ = [(i, v, t) for i, (v, t) in enumerate(tagged) if t.unresolved(limit)]
+        if not open_:
+            break
+        for i, v, t in open_:
+            width = t.hi - t.lo
+            b = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1))
+            hist = (df.where(v.between(F.lit(t.lo), F.lit(t.hi)))
+                    .groupBy(b.alias("_b"))
+                    .agg(F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+                    .collect())  # at most 1024 rows
+            t.narrow(sorted((h["_b"], h["_c"], h["_mn"], h["_mx"]) for h in hist))
+
+
+def percentile_scalars(df: DataFrame, specs: dict[str, tuple[Column, float]],
+                       local_limit: int = LOCAL_LIMIT) -> dict[str, float | None]:
+    """Global exact percentiles of several columns of one table, sharing passes.
+
+    ``specs`` maps a name to ``(column, p)``; nulls and NaNs are ignored.
+    Returns Python floats (``None`` when a column has no values).
+    """
+    cols = {}
+    for name, (c, p) in specs.items():
+        if not 0.0 <= p <= 1.0:
+            raise ValueError("p must be in [0, 1]")
+        c = c.cast("double")
+        cols[name] = F.when(~F.isnan(c), c)
+    aggs = []
+    for i, (name, (_, p)) in enumerate(specs.items()):
+        v = cols[name]
+        plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
+                 F.percentile_approx(v, F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias(f"br{i}")]
+    row = df.agg(*aggs).first()
+    out: dict[str, float | None] = {}
+    tagged = []
+    for i, (name, (_, p)) in enumerate(specs.items()):
+        n = row[f"n{i}"]
+        if not n:
+            out[name] = None
+            continue
+        plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
+        t = _Target(n, p, row[f"mn{i}"], row[f"mx{i}"], row[f"br{i}"], plo, phi)
+        tagged.append((name, cols[name], t))
+    if not tagged:
+        return out
+    _bracket_round(df, [(v, t) for _, v, t in tagged], local_limit)
+    pick = []
+    for i, (name, v, t) in enumerate(tagged):
+        if t.a is not None and t.z is not None or t.lo == t.hi:
+            continue
+        w = Window.orderBy("_v")
+        ranks = [t.k - t.below + 1, t.k1 - t.below + 1]
+        pick.append(df.select(v.alias("_v")).where(F.col("_v").between(F.lit(t.lo), F.lit(t.hi)))
+                    .withColumn("_rn", F.row_number().over(w))
+                    .where(F.col("_rn").isin(*ranks))
+                    .select(F.lit(i).alias("_i"), "_rn", "_v"))
+    got = {}
+    if pick:
+        u = pick[0]
+        for q in pick[1:]:
+            u = u.unionByName(q)
+        for r in u.collect():
+            got[(r["_i"], r["_rn"])] = r["_v"]
+    for i, (name, v, t) in enumerate(tagged):
+        if t.lo == t.hi:
+            t.a = t.a if t.a is not None else t.lo
+            t.z = t.z if t.z is not None else t.lo
+        else:
+            if t.a is None:
+                t.a = got.get((i, t.k - t.below + 1))
+            if t.z is None:
+                t.z = got.get((i, t.k1 - t.below + 1))
+        out[name] = t.value()
+    return out
 
 
 def percentile_exact(df: DataFrame, col: str | Column, p: float,
@@ -55,144 +209,107 @@ def percentile_exact(df: DataFrame, col: str | Column, p: float,
                      local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """Exact linear-interpolated percentile of the non-null values of ``col``.
 
-    Returns ``[*by, out]``; with no ``by`` exactly one row (null when there
-    are no values).  Groups without values are absent.
+    Returns ``[*by, out]``.  Without ``by``: exactly one row (null when
+    there are no values).  With ``by``: one row per group with values;
+    null group keys are skipped, as pandas does.
     """
-    if not 0.0 <= p <= 1.0:
-        raise ValueError("p must be in [0, 1]")
-    by = list(by)
     spark = df.sparkSession
-    vcol = F.col(col) if isinstance(col, str) else col
-    vals = df.select(*by, vcol.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-
-    plo = max(0.0, p - 3.0 / ACCURACY)
-    phi = min(1.0, p + 3.0 / ACCURACY)
+    v = F.col(col) if isinstance(col, str) else col
+    if not by:
+        val = percentile_scalars(df, {"x": (v, p)}, local_limit)["x"]
+        return spark.range(1).select(F.lit(val).cast("double").alias(out))
+    by = list(by)
+    vals = (df.select(*by, v.cast("double").alias("_v"))
+            .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    for b in by:
+        vals = vals.where(F.col(b).isNotNull())
+    # One string per group key, made by Spark itself, for the literal maps.
+    vals = vals.withColumn("_key", F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by]))
+    key = F.col("_key")
+    plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
     first = (vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias("_br"))
-        .where(F.col("_n") > 0))
-    rows = first.collect()  # one row per group: the size bound for broadcasts
-    if not rows:
-        empty = spark.createDataFrame([], f"{out} double") if not by else \
-            df.select(*by).limit(0).withColumn(out, F.lit(None).cast("double"))
-        if not by:
-            return spark.range(1).select(F.lit(None).cast("double").alias(out))
-        return empty
-    n_groups = len(rows)
-    state = []
-    for r in rows:
-        n = r["_n"]
-        pos = p * (n - 1)
-        k = int(pos // 1)
-        k1 = min(k + 1, n - 1)
-        lo = r["_mn"] if plo == 0.0 else r["_br"][0]
-        hi = r["_mx"] if phi == 1.0 else r["_br"][1]
-        state.append({**{b: r[b] for b in by}, "_n": n, "_k": k, "_k1": k1,
-                      "_d": pos - k, "_mn": r["_mn"], "_mx": r["_mx"],
-                      "_lo": lo, "_hi": hi, "_a": None, "_z": None})
-    key_schema = [f for f in first.schema.fields if f.name in by]
-    from pyspark.sql import types as T
-    schema = T.StructType(key_schema + [
-        T.StructField("_n", T.LongType()), T.StructField("_k", T.LongType()),
-        T.StructField("_k1", T.LongType()), T.StructField("_d", T.DoubleType()),
-        T.StructField("_mn", T.DoubleType()), T.StructField("_mx", T.DoubleType()),
-        T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()),
-        T.StructField("_below", T.LongType()), T.StructField("_inside", T.LongType()),
-        T.StructField("_a", T.DoubleType()), T.StructField("_z", T.DoubleType())])
-
-    def as_df(st):
-        return spark.createDataFrame(
-            [tuple(s.get(f.name) for f in schema.fields) for s in st], schema)
-
-    # Pass 2: count below / inside each bracket; widen any bracket that misses.
-    for _ in range(2):
-        b = as_df(state)
-        cnt = {tuple(r[x] for x in by): r for r in _join_small(
-                   vals, b.drop("_below", "_inside", "_a", "_z"), by, n_groups)
-               .groupBy(*by).agg(
-                   F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                   F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside"))
-               .collect()}
-        ok = True
-        for s in state:
-            c = cnt[tuple(s[x] for x in by)]
-            s["_below"], s["_inside"] = c["_below"], c["_inside"]
-            if s["_below"] > s["_k"] or s["_below"] + s["_inside"] <= s["_k1"]:
-                s["_lo"], s["_hi"] = s["_mn"], s["_mx"]
-                ok = False
-        if ok:
-            break
+        F.percentile_approx("_v", F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias("_br"),
+        F.first("_key").alias("_key"))
+        .collect())
+    if len(first) > MAP_GROUPS:
+        raise ValueError(f"percentile_exact: {len(first)} groups exceed {MAP_GROUPS}; "
+                         "aggregate to fewer groups first")
+    if not first:
+        return vals.select(*by).limit(0).withColumn(out, F.lit(None).cast("double"))
+    keys = [tuple(r[b] for b in by) for r in first]
+    targets = {k: _Target(r["_n"], p, r["_mn"], r["_mx"], r["_br"], plo, phi)
+               for k, r in zip(keys, first)}
+    key_str = {k: r["_key"] for k, r in zip(keys, first)}
 
-    # Pass 3: narrow large brackets with histograms.  A bucket holding a
-    # single distinct value settles its rank at once (heavy ties).
-    def unresolved(s):
-        return (s["_inside"] > local_limit and s["_lo"] < s["_hi"]
-                and (s["_a"] is None or s["_z"] is None))
+    def key_lit(k):
+        return F.lit(key_str[k])
 
+    def lookup(attr):
+        pairs = []
+        for k, t in targets.items():
+            pairs += [key_lit(k), F.lit(getattr(t, attr))]
+        return F.element_at(F.create_map(*pairs), key)
+
+    for _ in range(2):
+        lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
+        rows = (vals.groupBy(*by).agg(
+            F.count_if(F.col("_v") < lo).alias("_below"),
+            F.count_if(F.col("_v").between(lo, hi)).alias("_inside")).collect())
+        missed = False
+        for r in rows:
+            t = targets[tuple(r[b] for b in by)]
+            t.below, t.inside = r["_below"], r["_inside"]
+            missed |= t.widen_if_missed()
+        if not missed:
+            break
     for _ in range(MAX_ROUNDS):
-        if not any(unresolved(s) for s in state):
+        open_ = {k: t for k, t in targets.items() if t.unresolved(local_limit)}
+        if not open_:
             break
-        b = as_df(state)
-        width = F.col("_hi") - F.col("_lo")
-        bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * BUCKETS),
-                                             F.lit(BUCKETS - 1))).otherwise(F.lit(0))
-        hist = (_join_small(vals, b, by, n_groups)
-                .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .groupBy(*by, bucket.alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bmn"), F.max("_v").alias("_bmx"))
-                .collect())  # at most groups x 1024 rows
+        lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
+        width = hi - lo
+        b = F.least(F.floor((F.col("_v") - lo) / width * BUCKETS), F.lit(BUCKETS - 1))
+        is_open = F.element_at(F.create_map(*sum(([key_lit(k), F.lit(k in open_)]
+                                                   for k in targets), [])), key)
+        hist = (vals.where(is_open & F.col("_v").between(lo, hi))
+                .groupBy(*by, b.alias("_b"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
+                     F.max("_v").alias("_mx")).collect())  # <= groups x 1024 rows
         per = {}
         for h in hist:
-            per.setdefault(tuple(h[x] for x in by), []).append(h)
-        for s in state:
-            if not unresolved(s):
-                continue
-            hs = sorted(per[tuple(s[x] for x in by)], key=lambda h: h["_b"])
-            r0, r1 = s["_k"] - s["_below"], s["_k1"] - s["_below"]
-            cum, lo_b, hi_b = 0, None, None
-            for h in hs:
-                if lo_b is None and cum + h["_c"] > r0:
-                    lo_b = (h, cum)
-                if hi_b is None and cum + h["_c"] > r1:
-                    hi_b = (h, cum)
-                cum += h["_c"]
-            (hl, before_lo), (hh, before_hi) = lo_b, hi_b
-            if hl["_bmn"] == hl["_bmx"]:
-                s["_a"] = hl["_bmn"]
-            if hh["_bmn"] == hh["_bmx"]:
-                s["_z"] = hh["_bmn"]
-            if s["_a"] is not None and s["_z"] is not None:
-                s["_inside"] = 0
-                continue
-            first, last = (hh, hh) if s["_a"] is not None else (hl, hh if s["_z"] is None else hl)
-            first_before = before_hi if s["_a"] is not None else before_lo
-            last_end = (before_hi if last is hh else before_lo) + last["_c"]
-            s["_lo"], s["_hi"] = first["_bmn"], last["_bmx"]
-            s["_below"] += first_before
-            s["_inside"] = last_end - first_before
-
-    # Pass 4: pick ranks inside the (now bounded) brackets.
-    b = as_df(state)
-    w = Window.partitionBy(*by).orderBy("_v") if by else Window.orderBy("_v")
-    picked = (_join_small(vals, b.drop("_a", "_z"), by, n_groups)
-              .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-              .where(F.col("_inside") <= local_limit)
-              .withColumn("_rn", F.row_number().over(w) - 1 + F.col("_below"))
-              .where(F.col("_rn").isin(F.col("_k"), F.col("_k1")))
+            per.setdefault(tuple(h[x] for x in by), []).append((h["_b"], h["_c"], h["_mn"], h["_mx"]))
+        for k, t in open_.items():
+            t.narrow(sorted(per[k]))
+    lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
+    below = lookup("below").cast("bigint")
+    kk, kk1 = lookup("k").cast("bigint"), lookup("k1").cast("bigint")
+    small = F.element_at(F.create_map(*sum(([key_lit(k), F.lit(t.inside <= local_limit and t.lo < t.hi)]
+                                              for k, t in targets.items()), [])), key)
+    w = Window.partitionBy(*by).orderBy("_v")
+    picked = (vals.where(small & F.col("_v").between(lo, hi))
+              .withColumn("_rn", F.row_number().over(w) - 1 + below)
+              .where(F.col("_rn").isin(kk, kk1))
               .groupBy(*by).agg(
-                  F.max(F.when(F.col("_rn") == F.col("_k"), F.col("_v"))).alias("_pa"),
-                  F.max(F.when(F.col("_rn") == F.col("_k1"), F.col("_v"))).alias("_pz")))
-    # A bracket of identical values (lo == hi) needs no ranking at all.
-    if by:
-        res = b.join(picked, by, "left")
-    else:
-        res = b.join(picked, how="left", on=F.lit(True))
-    same = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
-    a = F.coalesce(F.col("_a"), F.col("_pa"), same)
-    z = F.coalesce(F.col("_z"), F.col("_pz"), same)
-    return res.select(*by, lerp(a, z, F.col("_d")).alias(out))
+                  F.max(F.when(F.col("_rn") == kk, F.col("_v"))).alias("_pa"),
+                  F.max(F.when(F.col("_rn") == kk1, F.col("_v"))).alias("_pz"))
+              .collect())
+    for r in picked:
+        t = targets[tuple(r[b] for b in by)]
+        t.a = t.a if t.a is not None else r["_pa"]
+        t.z = t.z if t.z is not None else r["_pz"]
+    res = []
+    for k, t in targets.items():
+        if t.lo == t.hi:
+            t.a = t.a if t.a is not None else t.lo
+            t.z = t.z if t.z is not None else t.lo
+        res.append((*k, t.value()))
+    schema = T.StructType([f for f in df.select(*by).schema.fields]
+                          + [T.StructField(out, T.DoubleType())])
+    return spark.createDataFrame(res, schema)
 
 
 def percentile_value(df: DataFrame, col: str | Column, p: float) -> float | None:
-    """Driver-side scalar of a global exact percentile (one number)."""
-    return percentile_exact(df, col, p).first()[0]
+    """Driver-side scalar of a global exact percentile."""
+    v = F.col(col) if isinstance(col, str) else col
+    return percentile_scalars(df, {"x": (v, p)})["x"]

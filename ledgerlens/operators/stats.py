@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
-from .quantile import percentile_exact
+from .quantile import percentile_scalars
 
 
 def entity_stats(derived: DataFrame) -> DataFrame:
@@ -63,23 +63,31 @@ def compute_thresholds(derived: DataFrame, stats: DataFrame,
                        params: Params = DEFAULT) -> Thresholds:
     """A4/A5: three universe thresholds plus counts, as driver scalars.
 
-    Each percentile is exact (``percentile_exact``); the counts are one
-    global aggregate.  Nothing here depends on a view.
+    The row-level percentiles (p95 value, p90 positive added days, median
+    duration for M2) share the passes of one ``percentile_scalars`` call;
+    the entity-rate percentile runs on the (much smaller) entity table.
+    Counts are one global aggregate per table.  Nothing depends on a view.
     """
-    t_value = percentile_exact(derived, "value", params.pct_high_value).first()[0]
-    t_added = percentile_exact(derived.where(F.col("added_days") > 0), "added_days",
-                               params.pct_added_days).first()[0]
-    eligible = stats.where(F.col("entity_contracts") >= params.min_entity_contracts)
-    t_direct = percentile_exact(eligible, "entity_direct_rate",
-                                params.pct_direct_peers).first()[0]
-    ent = stats.agg(
-        F.count_if(F.col("entity_contracts") >= params.min_entity_contracts).alias("e"),
-        F.count(F.lit(1)).alias("t")).first()
-    q = quality_counts(derived).first()
-    med = percentile_exact(derived, "duration_days", 0.5).first()[0]
-    usable = model_usable(derived, med)
-    model_rows = derived.where(usable).count()
-    return Thresholds(t_value, t_added, t_direct, int(ent["e"]), int(ent["t"]),
+    pct = percentile_scalars(derived, {
+        "value": (F.col("value"), params.pct_high_value),
+        "added": (F.when(F.col("added_days") > 0, F.col("added_days")), params.pct_added_days),
+        "duration": (F.col("duration_days"), 0.5)})
+    eligible = F.col("entity_contracts") >= params.min_entity_contracts
+    t_direct = percentile_scalars(stats, {
+        "direct": (F.when(eligible, F.col("entity_direct_rate")), params.pct_direct_peers)})["direct"]
+    ent = stats.agg(F.count_if(eligible).alias("e"), F.count(F.lit(1)).alias("t")).first()
+    lv = log_value(F.col("value"))
+    lv_ok = lv.isNotNull() & ~F.isnan(lv) & (F.abs(lv) < F.lit(float("inf")))
+    q = derived.agg(
+        F.count_if(F.col("dates_inverted")).alias("n_inverted"),
+        F.count_if(F.col("duration_days").isNull()).alias("n_no_duration"),
+        F.count_if(F.col("value").isNull()).alias("n_no_value"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(lv_ok).alias("lv_ok"),
+        F.count_if(lv_ok & F.col("duration_days").isNotNull()).alias("lv_dur_ok")).first()
+    med = pct["duration"]
+    model_rows = q["lv_ok"] if med is not None else q["lv_dur_ok"]
+    return Thresholds(pct["value"], pct["added"], t_direct, int(ent["e"]), int(ent["t"]),
                       int(q["n_inverted"]), int(q["n_no_duration"]), int(q["n_no_value"]),
                       int(q["n_rows"]), med, int(model_rows))
 
