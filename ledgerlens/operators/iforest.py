@@ -104,25 +104,37 @@ def features(rows: DataFrame, median_duration: float | None) -> DataFrame:
 
 
 def sample_pool(usable: DataFrame, n: int, n_trees: int, m: int, seed: int) -> DataFrame:
-    """Stage 1: a uniform pool of about ``4 * n_trees * m`` row copies."""
+    """Stage 1: a uniform pool of about ``4 * n_trees * m`` row copies.
+
+    Copies of one feature vector are told apart by their index ``j``, and
+    each copy is kept with its own hashed Bernoulli trial.  Vectors with at
+    most one chunk of copies (nearly all) are handled where they are
+    aggregated; only heavy vectors are cut into chunks and spread across
+    tasks before their trials, so no task runs a third of all trials.
+    """
     target = 4 * n_trees * m
     q = min(1.0, target / max(n, 1))
     groups = (usable.groupBy(*FEATURES).agg(F.count(F.lit(1)).alias("_c"))
               .withColumn("_h", F.xxhash64(*FEATURES, F.lit(seed))))
-    chunks = (groups
-              .withColumn("_chunk", F.explode(F.sequence(
-                  F.lit(0), ((F.col("_c") - 1) / F.lit(_CHUNK)).cast("int"))))
-              .withColumn("_size", F.least(F.lit(_CHUNK).cast("bigint"),
-                                           F.col("_c") - F.col("_chunk") * F.lit(_CHUNK)).cast("int")))
-    if q < 1.0:
-        # Spread the chunks of heavy vectors before the per-copy trials.
-        chunks = chunks.repartition("_h", "_chunk")
-        picks = F.filter(F.sequence(F.lit(0), F.col("_size") - 1),
-                         lambda j: _unit(F.col("_h"), F.col("_chunk"), j, F.lit(seed), F.lit(1))
-                         < F.lit(q))
-    else:
-        picks = F.sequence(F.lit(0), F.col("_size") - 1)
-    return (chunks.select(*FEATURES, "_h", "_chunk", F.explode(picks).alias("_j"))
+
+    def trials(size: Column) -> Column:
+        if q >= 1.0:
+            return F.sequence(F.lit(0), size - 1)
+        return F.filter(F.sequence(F.lit(0), size - 1),
+                        lambda j: _unit(F.col("_h"), F.col("_chunk"), j, F.lit(seed), F.lit(1))
+                        < F.lit(q))
+
+    light = (groups.where(F.col("_c") <= _CHUNK)
+             .withColumn("_chunk", F.lit(0))
+             .select(*FEATURES, "_h", "_chunk", F.explode(trials(F.col("_c").cast("int"))).alias("_j")))
+    heavy = (groups.where(F.col("_c") > _CHUNK)
+             .withColumn("_chunk", F.explode(F.sequence(
+                 F.lit(0), ((F.col("_c") - 1) / F.lit(_CHUNK)).cast("int"))))
+             .withColumn("_size", F.least(F.lit(_CHUNK).cast("bigint"),
+                                          F.col("_c") - F.col("_chunk") * F.lit(_CHUNK)).cast("int"))
+             .repartition("_h", "_chunk")
+             .select(*FEATURES, "_h", "_chunk", F.explode(trials(F.col("_size"))).alias("_j")))
+    return (light.unionByName(heavy)
             .withColumn("_key", F.xxhash64("_h", "_chunk", "_j")))
 
 
@@ -188,15 +200,17 @@ def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int) ->
     max_depth = int(math.ceil(math.log2(max(m, 2))))
     pool = sample_pool(usable, n, n_trees, m, seed).cache()
     pool_size = pool.count()
-    sampled = sample_trees(pool, pool_size, n_trees, m, seed)
+    sampled = sample_trees(pool, pool_size, n_trees, m, seed).cache()
     short = (sampled.groupBy("_tree").count().where(F.col("count") >= min(m, pool_size)).count()
              < n_trees)
     if short:  # a tree missed its quota under the pre-filter: take every pool row
-        sampled = sample_trees(pool, pool_size, n_trees, m, seed, prefilter=False)
+        sampled.unpersist()
+        sampled = sample_trees(pool, pool_size, n_trees, m, seed, prefilter=False).cache()
     grow = lambda pdf: _grow_one(pdf, seed, max_depth)
     nodes = (sampled.groupBy("_tree").applyInPandas(grow, NODE_SCHEMA)
              .toPandas())  # at most n_trees * (2^(max_depth+1) - 1) rows
     pool.unpersist()
+    sampled.unpersist()
     width = int(nodes["node"].max()) + 1
     shape = (n_trees, width)
     feat = np.full(shape, -1, dtype=np.int64)
