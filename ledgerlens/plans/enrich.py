@@ -122,3 +122,12 @@ def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
     if snap is None:
         snap = build(spark, contracts_fn(), key, params)
     return snap
+
+
+def build_from_frame(contracts: DataFrame, params: Params = DEFAULT) -> Snapshot:
+    """Enrich an in-memory or ad-hoc contracts frame under a fresh key."""
+    import uuid
+
+    spark = contracts.sparkSession
+    ship_package(spark)
+    return build(spark, contracts, "adhoc-" + uuid.uuid4().hex[:12], params)

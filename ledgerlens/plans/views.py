@@ -119,8 +119,9 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
         o = rows.where(F.col(col).isNotNull()).select(
             F.lit(key).alias("key"), F.col(col).alias("value")).distinct()
         opts = o if opts is None else opts.unionByName(o)
-    lists = saved.where(F.col("key").isin(list(LIST_KEYS))).join(opts, ["key", "value"], "left_semi")
-    other = saved.where(F.col("key").isin("q", "priority"))
+    lists = (saved.where(F.col("key").isin(list(LIST_KEYS)))
+             .join(opts, ["key", "value"], "left_semi").select("view_id", "key", "value"))
+    other = saved.where(F.col("key").isin("q", "priority")).select("view_id", "key", "value")
     yr = year_range(rows)
     frm = saved.where(F.col("key") == "from").select("view_id", F.col("value").alias("_from"))
     to = saved.where(F.col("key") == "to").select("view_id", F.col("value").alias("_to"))
