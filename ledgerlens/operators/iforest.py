@@ -194,8 +194,13 @@ def _grow_one(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
         "leaf_path": arr[:, 4].astype(float)})
 
 
-def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int) -> Forest:
-    """M6: grow the forest on Spark; returns the (bounded) collected forest."""
+def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int,
+        out_path: str | None = None) -> Forest:
+    """M6: grow the forest on Spark; returns the (bounded) collected forest.
+
+    With ``out_path`` the node table is written there first (part of the
+    snapshot, so later jobs can score without refitting) and read back.
+    """
     m = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(m, 2))))
     pool = sample_pool(usable, n, n_trees, m, seed).cache()
@@ -207,10 +212,28 @@ def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int) ->
         sampled.unpersist()
         sampled = sample_trees(pool, pool_size, n_trees, m, seed, prefilter=False).cache()
     grow = lambda pdf: _grow_one(pdf, seed, max_depth)
-    nodes = (sampled.groupBy("_tree").applyInPandas(grow, NODE_SCHEMA)
-             .toPandas())  # at most n_trees * (2^(max_depth+1) - 1) rows
+    grown = sampled.groupBy("_tree").applyInPandas(grow, NODE_SCHEMA)
+    if out_path:
+        grown.withColumn("max_samples", F.lit(m)).withColumn("max_depth", F.lit(max_depth)) \
+            .write.mode("overwrite").parquet(out_path)
+        grown = usable.sparkSession.read.parquet(out_path)
+    nodes = grown.select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]).toPandas()
+    # ^ at most n_trees * (2^(max_depth+1) - 1) rows
     pool.unpersist()
     sampled.unpersist()
+    return forest_from_nodes(nodes, n_trees, m, max_depth)
+
+
+def load_forest(spark, path: str) -> Forest:
+    """Read a forest written by ``fit(out_path=...)``."""
+    t = spark.read.parquet(path)
+    meta = t.select("max_samples", "max_depth").first()
+    nodes = t.select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]).toPandas()
+    n_trees = int(nodes["_tree"].max()) + 1
+    return forest_from_nodes(nodes, n_trees, int(meta[0]), int(meta[1]))
+
+
+def forest_from_nodes(nodes: pd.DataFrame, n_trees: int, m: int, max_depth: int) -> Forest:
     width = int(nodes["node"].max()) + 1
     shape = (n_trees, width)
     feat = np.full(shape, -1, dtype=np.int64)

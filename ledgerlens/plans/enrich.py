@@ -59,6 +59,14 @@ class Snapshot:
                 .withColumn("anomaly_score", F.when(F.col("anomaly_raw").isNotNull(), score))
                 .withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") < 0, F.lit(False))))
 
+    def forest(self):
+        """The fitted forest, or ``None`` when the model was skipped (M4)."""
+        from ..sources.snapshot import exists
+        spark = self.raw_rows.sparkSession
+        if not exists(spark, f"{self.path}/forest"):
+            return None
+        return iforest.load_forest(spark, f"{self.path}/forest")
+
     def thresholds_df(self) -> DataFrame:
         return thresholds_frame(self.raw_rows.sparkSession, self.thresholds)
 
@@ -81,7 +89,7 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     if th.model_rows >= params.min_model_rows:
         usable = feat.where(F.col("model_usable")).select(*iforest.FEATURES)
         forest = iforest.fit(usable, th.model_rows, params.n_trees, params.max_samples,
-                             params.seed)
+                             params.seed, out_path=f"{path}/forest")
         score = iforest.score_column(forest, spark)
         raw = F.when(F.col("model_usable"), score(*[F.col(c) for c in iforest.FEATURES]))
     else:  # M4: too few rows, no model
