@@ -67,23 +67,55 @@ class Forest:
     max_samples: int
     max_depth: int
 
+    def _complete(self):
+        """Each tree padded to a complete binary tree of depth ``max_depth``.
+
+        Node ``c``'s children are ``2c+1`` / ``2c+2``, so descent needs no
+        child lookups; a leaf above the bottom becomes an 'always left'
+        chain (threshold +inf) ending in its path value.  Built once.
+        """
+        if getattr(self, "_layout", None) is not None:
+            return self._layout
+        n_trees = self.feature.shape[0]
+        depth = self.max_depth
+        size = 2 ** (depth + 1) - 1
+        feat = np.zeros((n_trees, size), dtype=np.int64)
+        thr = np.full((n_trees, size), np.inf)
+        leaf = np.zeros((n_trees, size))
+        for t in range(n_trees):
+            stack = [(0, 0, 0)]  # (node, complete index, depth)
+            while stack:
+                o, c, d = stack.pop()
+                if self.feature[t, o] < 0:
+                    lo = hi = c
+                    for _ in range(d, depth):
+                        lo, hi = 2 * lo + 1, 2 * hi + 2
+                    leaf[t, lo:hi + 1] = self.leaf_path[t, o]
+                    continue
+                feat[t, c] = self.feature[t, o]
+                thr[t, c] = self.threshold[t, o]
+                stack.append((self.left[t, o], 2 * c + 1, d + 1))
+                stack.append((self.right[t, o], 2 * c + 2, d + 1))
+        self._layout = (feat.ravel(), thr.ravel(), leaf.ravel(), size)
+        return self._layout
+
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
+        """Mean path length over the trees, all trees descended together."""
+        feat, thr, leaf, size = self._complete()
+        n_trees = self.feature.shape[0]
         n = x.shape[0]
+        base = (np.arange(n_trees) * size)[:, None]
+        xf = np.ascontiguousarray(x.T).ravel()  # feature-major
+        cols = np.arange(n)[None, :]
+        cur = np.zeros((n_trees, n), dtype=np.int64)
+        for _ in range(self.max_depth):
+            g = base + cur
+            cur = 2 * cur + 1 + (xf[feat[g] * n + cols] > thr[g])
+        vals = leaf[base + cur]
         total = np.zeros(n)
-        rows = np.arange(n)
-        for t in range(self.feature.shape[0]):
-            node = np.zeros(n, dtype=np.int64)
-            for _ in range(self.max_depth + 1):
-                f = self.feature[t, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                xv = x[rows, np.where(inner, f, 0)]
-                go_left = xv <= self.threshold[t, node]
-                nxt = np.where(go_left, self.left[t, node], self.right[t, node])
-                node = np.where(inner, nxt, node)
-            total += self.leaf_path[t, node]
-        return total / self.feature.shape[0]
+        for t in range(n_trees):  # fixed summation order: tree 0, 1, ...
+            total += vals[t]
+        return total / n_trees
 
     def raw_score(self, x: np.ndarray) -> np.ndarray:
         """``-2^(-E[h(x)] / c(m))``: lower is more unusual."""

@@ -161,10 +161,10 @@ def q_rule_list(spark, sf):
 
 def q_risk_levels(spark, sf):
     r = rows(spark, sf)
-    n = r.count()
+    every = Window.partitionBy(F.lit(1))  # over the four grouped rows only
     return (r.groupBy("signals", "risk_label").agg(F.count(F.lit(1)).alias("n_rows"))
             .select("signals", "risk_label", "n_rows",
-                    (F.col("n_rows") / F.lit(n) * 100).alias("share_pct"),
+                    (F.col("n_rows") / F.sum("n_rows").over(every) * 100).alias("share_pct"),
                     (F.col("signals") >= 2).alias("rule_priority")))
 
 
@@ -212,6 +212,12 @@ def q_term_tags(spark, sf):
     return readings.term_tags(docs, "doc_id", "text")
 
 
+def q_modality_terms(spark, sf):
+    """N14 over the universe's modality texts (which do name glossary terms)."""
+    mods = rows(spark, sf).where(F.col("modality").isNotNull()).select("modality").distinct()
+    return readings.term_tags(mods, "modality", "modality")
+
+
 def q_page_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     return pages.select("page_id", url_column(pages, "url").alias("url"))
@@ -275,6 +281,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "universe_direct_share": q_universe_direct,
     "readings": q_readings,
     "term_tags": q_term_tags,
+    "modality_terms": q_modality_terms,
     "page_urls": q_page_urls,
     "export_rows": q_export,
     "fingerprint": q_fingerprint,
