@@ -271,3 +271,48 @@ def anomaly_vs_rest(f: DataFrame) -> DataFrame:
     tot = Window.partitionBy(F.lit(1))
     return (counts.join(med, "is_anomaly", "left")
             .withColumn("share_pct", F.col("n_rows") / F.sum("n_rows").over(tot) * 100))
+
+
+# --------------------------------------------------------------------------
+# One pass for many facts: GROUPING SETS over the view
+# --------------------------------------------------------------------------
+SET_KEYS = ("entity", "modality", "supplier", "sign_year", "value_band")
+
+
+def fact_sets(f: DataFrame) -> DataFrame:
+    """Every per-group aggregate the readings need, from one scan and one
+    shuffle: grouping sets (entity) (modality) (supplier) (sign_year)
+    (value_band, label) and the grand total.  ``set`` names the grouping;
+    null keys of a grouping are dropped afterwards (pandas drops them).
+    The result has one row per distinct key value, so it is small.
+    """
+    sets = [["entity"], ["modality"], ["supplier"], ["sign_year"],
+            ["value_band", "value_band_label"], []]
+    g = f.groupingSets(sets, "entity", "modality", "supplier", "sign_year", "value_band",
+                       "value_band_label").agg(
+        F.grouping_id().alias("_gid"),
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_dec"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("value").alias("n_values"),
+        F.count_if(F.col("is_sme")).alias("n_sme"),
+        F.count("is_sme").alias("n_sme_known"),
+        F.sum("is_direct").alias("n_direct"),
+        F.count("is_direct").alias("n_direct_known"),
+        F.count_if(F.col("rule_priority")).alias("n_priority"),
+        F.count_if(F.col("signals") == 3).alias("n_critical"),
+        F.sum("duration_days").alias("dur_sum"),
+        F.count("duration_days").alias("dur_n"))
+    # grouping_id bits follow the column order: entity, modality, supplier,
+    # sign_year, value_band, value_band_label (1 = not grouped).
+    name = (F.when(F.col("_gid") == 0b011111, "entity").when(F.col("_gid") == 0b101111, "modality")
+            .when(F.col("_gid") == 0b110111, "supplier").when(F.col("_gid") == 0b111011, "sign_year")
+            .when(F.col("_gid") == 0b111100, "value_band").otherwise("all"))
+    return (g.withColumn("set", name)
+            .withColumn("total_value", F.coalesce(F.col("total_dec").cast("double"), F.lit(0.0)))
+            .drop("_gid"))
+
+
+def set_rows(sets: DataFrame, name: str) -> DataFrame:
+    key = {"value_band": "value_band"}.get(name, name)
+    out = sets.where(F.col("set") == name)
+    return out if name == "all" else out.where(F.col(key).isNotNull())

@@ -32,43 +32,91 @@ def _reading(name: str, status: Column, text: Column) -> Column:
 
 
 def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
-    """N1-N10 and N13 for the view ``f`` (thresholds come from the universe)."""
+    """N1-N10 and N13 for the view ``f`` (thresholds come from the universe).
+
+    All group-level numbers come from one grouping-sets pass over the view
+    (``facts.fact_sets``, cached: it has one row per distinct key); medians
+    and the distinct-id count are the only other passes.
+    """
+    from pyspark.sql import Window
+
     spark = f.sparkSession
-    k = facts.kpis(f)
-    h = facts.headline(f)
-    ents = facts.top_entities(f)
-    e1 = _one(ents.where("rank = 1"), entity="e1", total_value="e1_value")
-    e2 = _one(ents.where("rank = 2"), entity="e2", total_value="e2_value")
-    mix = facts.modality_mix(f)
-    m1 = _one(mix.where("rank = 1 AND NOT is_other"), modality="m1", n_rows="m1_rows")
-    yv = facts.yearly_value(f).where("in_reading")
-    peak = _one(yv.where("is_peak"), sign_year="peak_year", total_value="peak_value")
-    last = _one(yv.where("is_last"), sign_year="last_year", total_value="last_value",
-                change_pct="change_pct", prev_year="prev_year")
-    n_years = yv.agg(F.count(F.lit(1)).alias("n_years"))
+    sets = facts.fact_sets(f).cache()
+    dec = lambda c: F.col(c).cast("decimal(28,2)")
+    every = Window.partitionBy(F.lit(1))
+
+    allr = facts.set_rows(sets, "all").select(
+        "n_rows", "total_value", "n_values", "n_priority", "n_critical",
+        (F.col("n_direct") / F.col("n_direct_known") * 100).alias("direct_pct"),
+        (F.try_divide(F.col("n_sme").cast("double"), F.col("n_sme_known").cast("double")) * 100)
+        .alias("sme_all"),
+        F.when(F.col("n_values") > 0, F.try_divide(F.col("total_value"), F.col("n_values").cast("double")))
+        .alias("mean_value"))
+    median = facts.percentile_value(f, "value", 0.5)
+    distinct = f.agg(F.count_distinct("contract_id").alias("n_contracts"))
+
+    ent = facts.set_rows(sets, "entity").select("entity", "total_value").withColumn(
+        "_rk", F.row_number().over(Window.orderBy(F.desc("total_value"), "entity")))
+    e1 = _one(ent.where("_rk = 1"), entity="e1", total_value="e1_value")
+    e2 = _one(ent.where("_rk = 2"), entity="e2", total_value="e2_value")
+    mods = facts.set_rows(sets, "modality").select("modality", "n_rows").withColumn(
+        "_rk", F.row_number().over(Window.orderBy(F.desc("n_rows"), "modality")))
+    m1 = _one(mods.where("_rk = 1"), modality="m1", n_rows="m1_rows")
+
+    yrs = (facts.set_rows(sets, "sign_year").where(F.col("total_value") > 0)
+           .select("sign_year", "total_value"))
+    w = Window.orderBy("sign_year")
+    yrs = (yrs.withColumn("prev_total", F.lag("total_value").over(w))
+           .withColumn("_pk", F.row_number().over(Window.orderBy(F.desc("total_value"), "sign_year")))
+           .withColumn("_lk", F.row_number().over(Window.orderBy(F.desc("sign_year"))))
+           .withColumn("change_pct", F.when(F.col("prev_total") != 0,
+                                            (F.col("total_value") - F.col("prev_total"))
+                                            / F.col("prev_total") * 100)))
+    peak = _one(yrs.where("_pk = 1"), sign_year="peak_year", total_value="peak_value")
+    last = _one(yrs.where("_lk = 1"), sign_year="last_year", total_value="last_value",
+                change_pct="change_pct")
+    n_years = yrs.agg(F.count(F.lit(1)).alias("n_years"))
+
     md = facts.median_by_modality(f)
     md_top = _one(md.where("rank = 1"), modality="md_top", median_value="md_top_value")
     md_low = _one(md.where("is_lowest"), modality="md_low", median_value="md_low_value")
     md_n = md.agg(F.count(F.lit(1)).alias("md_n"))
-    sme = facts.sme_by_band(f)
-    s_hi = _one(sme.where("is_highest"), value_band_label="s_hi", sme_pct="s_hi_pct")
-    s_lo = _one(sme.where("is_lowest"), value_band_label="s_lo", sme_pct="s_lo_pct")
-    s_n = sme.agg(F.count(F.lit(1)).alias("s_n"))
-    overall = f.agg((F.try_divide(F.count_if(F.col("is_sme")).cast("double"),
-                                  F.count("is_sme").cast("double")) * 100).alias("sme_all"))
-    par = facts.supplier_pareto(f)
-    p1 = _one(par.where("rank = 1 AND NOT is_other"), supplier="p1", total_value="p1_value")
-    p_tot = par.agg(F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double")
-                    .alias("p_total"),
-                    F.sum(F.when(~F.col("is_other"), F.col("total_value").cast("decimal(28,2)")))
-                    .cast("double").alias("p_top"),
-                    F.max("n_suppliers").alias("p_n"))
+
+    bands = (facts.set_rows(sets, "value_band")
+             .select("value_band", "value_band_label",
+                     (F.try_divide(F.col("n_sme").cast("double"), F.col("n_sme_known").cast("double"))
+                      * 100).alias("p"))
+             .where(F.col("p").isNotNull()))
+    bands = (bands.withColumn("_hi", F.row_number().over(Window.orderBy(F.desc("p"), "value_band")))
+             .withColumn("_lo", F.row_number().over(Window.orderBy(F.asc("p"), "value_band"))))
+    s_hi = _one(bands.where("_hi = 1"), value_band_label="s_hi", p="s_hi_pct")
+    s_lo = _one(bands.where("_lo = 1"), value_band_label="s_lo", p="s_lo_pct")
+    s_n = bands.agg(F.count(F.lit(1)).alias("s_n"))
+
+    sup = (facts.set_rows(sets, "supplier").select("supplier", F.col("total_value").alias("t"))
+           .withColumn("_rk", F.row_number().over(Window.orderBy(F.desc("t"), "supplier"))))
+    p1 = _one(sup.where("_rk = 1"), supplier="p1", t="p1_value")
+    p_tot = sup.agg(F.sum(dec("t")).cast("double").alias("p_total"),
+                    F.sum(F.when(F.col("_rk") <= TOP_N, dec("t"))).cast("double").alias("p_top"),
+                    F.coalesce(F.sum(F.when(F.col("_rk") <= TOP_N, dec("t"))).cast("double"),
+                               F.lit(0.0)).alias("top_suppliers_value"),
+                    F.count(F.lit(1)).alias("n_suppliers"))
+    p_tot = p_tot.withColumn("p_n", F.col("n_suppliers"))
 
     x = spark.range(1)
-    for part in (k.drop("total_value", "n_rows", "n_contracts", "n_priority"), h, e1, e2, m1,
-                 peak, last, n_years, md_top, md_low, md_n, s_hi, s_lo, s_n, overall,
-                 p1, p_tot):
+    for part in (allr, distinct, e1, e2, m1, peak, last, n_years, md_top, md_low, md_n,
+                 s_hi, s_lo, s_n, p1, p_tot):
         x = _left(x, part)
+    x = (x.withColumn("median_value", F.lit(median).cast("double"))
+         .withColumn("mean_inflated", F.coalesce((F.col("median_value") > 0)
+                                                 & (F.col("mean_value") > F.col("median_value") * 2),
+                                                 F.lit(False)))
+         .withColumn("top_entity", F.col("e1")).withColumn("top_entity_value", F.col("e1_value"))
+         .withColumn("top_entity_pct", F.when((F.col("total_value") != 0) & F.col("e1").isNotNull(),
+                                              F.col("e1_value") / F.col("total_value") * 100))
+         .withColumn("top_suppliers_pct",
+                     F.when((F.col("total_value") != 0) & (F.col("n_suppliers") > TOP_N),
+                            F.col("top_suppliers_value") / F.col("total_value") * 100)))
 
     empty = F.coalesce(F.col("n_rows"), F.lit(0)) == 0
     c = F.col
@@ -189,7 +237,8 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         guard(F.when(c("n_priority") == 0, F.lit("zero")).otherwise(F.lit("normal")), rules_text,
               "rules"),
     ]
-    return x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    out = x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    return out
 
 
 def model_readings(f: DataFrame) -> DataFrame:
