@@ -127,6 +127,13 @@ def q_saved_views(spark, sf):
     return views.resolve_saved_views(saved, rows(spark, sf))
 
 
+def q_saved_view_facts(spark, sf):
+    r = rows(spark, sf)
+    saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
+    specs = views.specs_from_resolved(views.resolve_saved_views(saved, r))
+    return views.facts_by_view(r, specs)
+
+
 def q_filter_options(spark, sf):
     return views.filter_options(rows(spark, sf))
 
@@ -266,6 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_search": q_doc_search,
     "view_filtered": q_view,
     "saved_views": q_saved_views,
+    "saved_view_facts": q_saved_view_facts,
     "filter_options": q_filter_options,
     "top_entities": q_top_entities,
     "modality_mix": q_modality_mix,

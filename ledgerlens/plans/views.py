@@ -146,3 +146,53 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
 
 def band_labels() -> list[str]:
     return list(BAND_LABELS)
+
+
+def specs_from_resolved(resolved: DataFrame) -> dict:
+    """Driver-side ViewSpecs from a resolved saved-view table.
+
+    The table holds stored view parameters (a few rows per saved view), so
+    collecting it is bounded by the number of saved views, not by data.
+    """
+    per: dict = {}
+    for r in resolved.collect():
+        per.setdefault(r["view_id"], []).append((r["key"], r["value"]))
+    specs = {}
+    for vid, kv in per.items():
+        get = lambda k: [v for kk, v in kv if kk == k]
+        years = None
+        if get("from") and get("to"):
+            years = (int(get("from")[0]), int(get("to")[0]))
+        specs[vid] = ViewSpec(query=" ".join(get("q")), modalities=tuple(get("modality")),
+                              entities=tuple(get("entity")), years=years,
+                              bands=tuple(get("band")), priority_only="1" in get("priority"))
+    return specs
+
+
+def facts_by_view(rows: DataFrame, specs: dict) -> DataFrame:
+    """Headline numbers for many views from one scan.
+
+    Each row is tagged with the ids of the views whose predicate it meets
+    and aggregated per view right away (map-side partial aggregation), so
+    the shuffle carries one small row per (task, view), not the rows.
+    """
+    tags = [F.when(view_predicate(spec) if view_predicate(spec) is not None else F.lit(True),
+                   F.lit(vid)) for vid, spec in sorted(specs.items())]
+    tagged = rows.select("value", "rule_priority", "signals", "is_direct", "is_sme",
+                         F.explode(F.filter(F.array(*tags), lambda v: v.isNotNull()))
+                         .alias("view_id"))
+    spark = rows.sparkSession
+    ids = spark.createDataFrame([(v,) for v in sorted(specs)], "view_id int")
+    zero = {"n_rows": 0, "n_values": 0, "n_priority": 0, "n_critical": 0, "n_direct": 0,
+            "n_sme": 0, "total_value": 0.0}
+    agg = (tagged.groupBy("view_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
+        .alias("total_value"),
+        F.count("value").alias("n_values"),
+        F.count_if(F.col("rule_priority")).alias("n_priority"),
+        F.count_if(F.col("signals") == 3).alias("n_critical"),
+        F.sum("is_direct").cast("bigint").alias("n_direct"),
+        F.count_if(F.col("is_sme")).alias("n_sme")))
+    # every saved view appears, an empty one with zeros
+    return ids.join(F.broadcast(agg), "view_id", "left").fillna(zero)

@@ -99,3 +99,12 @@ def test_term_tags(spark):
                                  "doc_id int, text string")
     got = sorted((r.doc_id, r.term) for r in readings.term_tags(docs, "doc_id", "text").collect())
     assert got == [(1, "Contratación directa"), (1, "Mediana")]
+
+
+def test_facts_for_many_views_in_one_pass(spark):
+    r = enrich.build_from_frame(contracts(spark, four_entities())).rows
+    specs = {1: ViewSpec(entities=("HIGH",)), 2: ViewSpec(query="nothing matches this"),
+             3: ViewSpec(modalities=("Licitación pública",))}
+    got = {x.view_id: x for x in views.facts_by_view(r, specs).collect()}
+    assert got[1].n_rows == 40 and got[2].n_rows == 0 and got[2].total_value == 0.0
+    assert got[3].n_rows == 60 and got[3].n_direct == 0
