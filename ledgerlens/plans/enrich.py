@@ -74,14 +74,36 @@ class Snapshot:
 _LOADED: dict[str, Snapshot] = {}
 
 
+class _Steps:
+    """Step timing to stderr when LEDGERLENS_TIMING=1."""
+
+    def __init__(self):
+        import os
+        import time
+        self.on = os.environ.get("LEDGERLENS_TIMING") == "1"
+        self.clock = time.time
+        self.t = self.clock()
+
+    def __call__(self, name: str) -> None:
+        if self.on:
+            import sys
+            now = self.clock()
+            print(f"[ledgerlens] {name}: {now - self.t:.2f}s", file=sys.stderr)
+            self.t = now
+
+
 def build(spark: SparkSession, contracts: DataFrame, key: str,
           params: Params = DEFAULT) -> Snapshot:
     path = store.snapshot_dir(spark, key)
+    step = _Steps()
     store.write_parquet(derive(contracts), f"{path}/derived")
+    step("derive")
     d = spark.read.parquet(f"{path}/derived")
     store.write_parquet(entity_stats(d), f"{path}/entity_stats")
     stats = spark.read.parquet(f"{path}/entity_stats")
+    step("entity_stats")
     th = compute_thresholds(d, stats, params)
+    step("thresholds")
 
     rows = add_signals(with_entity_stats(d, stats), th, params)
     rows = rows.withColumn("model_usable", model_usable(rows, th.median_duration))
@@ -90,12 +112,14 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
         usable = feat.where(F.col("model_usable")).select(*iforest.FEATURES)
         forest = iforest.fit(usable, th.model_rows, params.n_trees, params.max_samples,
                              params.seed, out_path=f"{path}/forest")
+        step("forest")
         score = iforest.score_column(forest, spark)
         raw = F.when(F.col("model_usable"), score(*[F.col(c) for c in iforest.FEATURES]))
     else:  # M4: too few rows, no model
         raw = F.lit(None).cast("double")
     out = feat.withColumn("anomaly_raw", raw.cast("double")).select(*ROW_COLUMNS)
     store.write_parquet(out, f"{path}/rows", partition_by=["sign_year"])
+    step("score+rows")
 
     written = spark.read.parquet(f"{path}/rows")
     offset = None
@@ -103,6 +127,7 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
         offset = percentile_exact(written, "anomaly_raw", params.contamination).first()[0]
     th = replace(th, anomaly_offset=offset)
     store.write_parquet(thresholds_frame(spark, th).coalesce(1), f"{path}/thresholds")
+    step("offset+commit")
     return load(spark, key)
 
 
