@@ -94,7 +94,15 @@ class _Steps:
 
 def build(spark: SparkSession, contracts: DataFrame, key: str,
           params: Params = DEFAULT) -> Snapshot:
-    path = store.snapshot_dir(spark, key)
+    """Write a complete snapshot into a fresh attempt folder, then publish it.
+
+    Concurrent or retried builds of the same key never share files: each
+    writes its own attempt, and the last one to finish moves the pointer.
+    """
+    import uuid
+
+    base = store.snapshot_dir(spark, key)
+    path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
     step = _Steps()
     store.write_parquet(derive(contracts), f"{path}/derived")
     step("derive")
@@ -127,6 +135,7 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
         offset = percentile_exact(written, "anomaly_raw", params.contamination).first()[0]
     th = replace(th, anomaly_offset=offset)
     store.write_parquet(thresholds_frame(spark, th).coalesce(1), f"{path}/thresholds")
+    store.publish(spark, base, path)
     step("offset+commit")
     return load(spark, key)
 
@@ -134,8 +143,8 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
 def load(spark: SparkSession, key: str) -> Snapshot | None:
     if key in _LOADED:
         return _LOADED[key]
-    path = store.snapshot_dir(spark, key)
-    if not store.exists(spark, f"{path}/thresholds"):
+    path = store.current_attempt(spark, store.snapshot_dir(spark, key))
+    if path is None or not store.exists(spark, f"{path}/thresholds"):
         return None
     t = spark.read.schema(THRESHOLD_SCHEMA).parquet(f"{path}/thresholds").first()
     th = Thresholds(**t.asDict())

@@ -1,7 +1,10 @@
 """Versioned snapshot store in the shared work folder.
 
 A snapshot is written once per (input version, parameters) and read by
-every view.  Layout under ``<spark.checkpoint.dir>/ledgerlens/<key>/``:
+every view.  Each build writes a fresh ``attempt-<id>/`` folder under
+``<spark.checkpoint.dir>/ledgerlens/<key>/`` and publishes it by writing
+the one-row ``current/`` pointer table last, so readers never see a partial
+attempt and concurrent builds never share files.  An attempt holds:
 
 * ``derived/``      derived columns (lineage cut before the multi-pass stats)
 * ``entity_stats/`` one row per entity
@@ -73,3 +76,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def publish(spark: SparkSession, base: str, attempt: str) -> None:
+    """Point ``base/current`` at a complete attempt (written last)."""
+    (spark.createDataFrame([(attempt,)], "path string").coalesce(1)
+     .write.mode("overwrite").parquet(f"{base}/current"))
+
+
+def current_attempt(spark: SparkSession, base: str) -> str | None:
+    if not exists(spark, f"{base}/current"):
+        return None
+    try:
+        return spark.read.parquet(f"{base}/current").first()[0]
+    except Exception:  # pointer being replaced right now: treat as absent
+        return None
