@@ -43,3 +43,29 @@ def test_cheap_but_long_contracts_are_found(spark):
     med = float(np.median(vals))
     cheap = {f"C{i:05d}" for i, v in enumerate(vals) if v < med}
     assert flagged & cheap
+
+
+def test_heavy_copy_group_is_sampled_in_chunks(spark):
+    """100,000 identical rows (more than one chunk of copies) among 300,000:
+    the pool draws copies chunk by chunk with per-copy trials, the result
+    does not depend on partitioning, and identical rows score identically."""
+    from pyspark.sql import functions as F
+    from ledgerlens.operators import iforest as I
+
+    n = 300_000
+    base = spark.range(n).select(
+        F.when(F.col("id") < 100_000, F.lit(5e6)).otherwise(F.col("id") * 1000.0 + 1e6).alias("f_log_value"),
+        F.when(F.col("id") < 100_000, F.lit(100.0)).otherwise((F.col("id") % 500).cast("double")).alias("f_duration"),
+        F.lit(0.0).alias("f_added"), F.lit(1.0).alias("f_direct"))
+    pools = []
+    for parts in (1, 5):
+        pool = I.sample_pool(base.repartition(parts), n, 200, 256, 42)
+        pools.append(sorted(tuple(r) for r in pool.select("_key", "f_log_value").collect()))
+    assert pools[0] == pools[1]
+    heavy = sum(1 for k, v in pools[0] if v == 5e6)
+    q = 204_800 / n
+    assert abs(heavy - 100_000 * q) < 5 * (100_000 * q * (1 - q)) ** 0.5
+    forest = I.fit(base, n, 200, 256, 42)
+    x = np.array([[5e6, 100.0, 0.0, 1.0], [5e6, 100.0, 0.0, 1.0], [9e7, 3.0, 0.0, 1.0]])
+    s = forest.raw_score(x)
+    assert s[0] == s[1] and s[2] < s[0]
