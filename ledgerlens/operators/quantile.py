@@ -20,7 +20,10 @@ rank ``p * (n - 1)`` without ever gathering a whole group:
 Bracket bounds are literals (global) or literal map lookups (few groups),
 so the bracket predicate is pushed into the parquet scan and needs no join.
 Several global percentiles share every pass.  Interpolation is
-``fma(1 - d, lo, d * hi)``, bit-for-bit DuckDB's ``quantile_cont``.
+``fma(1 - d, lo, d * hi)`` (``math.fma`` on the per-group result scalars),
+bit-for-bit DuckDB's ``quantile_cont``.  Grouped percentiles are meant for
+few groups (at most ``MAP_GROUPS``, e.g. modalities or bands); more groups
+raise instead of planning an unbounded literal map.
 """
 
 from __future__ import annotations
@@ -47,13 +50,6 @@ def lerp(a: float | None, z: float | None, d: float) -> float | None:
     return math.fma(1.0 - d, a, d * z)
 
 
-def lerp_col(a: Column, z: Column, d: Column) -> Column:
-    """Column form of ``lerp`` (``java.lang.Math.fma``), for grouped results."""
-    fused = F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"),
-                            (F.lit(1.0) - d), a, d * z).cast("double")
-    return F.when(d == 0, a).otherwise(fused)
-
-
 class _Target:
     """Search state for one (spec, group)."""
 

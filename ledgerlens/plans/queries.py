@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import GLOSSARY_TERMS
 from ..functions.text import normalize, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
