@@ -109,67 +109,94 @@ class _Target:
         return lerp(self.a, self.z if self.z is not None else self.a, self.d)
 
 
-def _bracket_round(df: DataFrame, tagged: list, limit: int) -> None:
-    """Passes 2-3 for a list of (value column, filter column, target)."""
-    for _ in range(2):  # count; widen the rare missed bracket and recount
-        aggs = []
-        for i, (v, t) in enumerate(tagged):
-            aggs += [F.count_if(v < F.lit(t.lo)).alias(f"b{i}"),
-                     F.count_if(v.between(F.lit(t.lo), F.lit(t.hi))).alias(f"i{i}")]
-        row = df.agg(*aggs).first()
-        missed = False
-        for i, (_, t) in enumerate(tagged):
-            t.below, t.inside = row[f"b{i}"], row[f"i{i}"]
-            missed |= t.widen_if_missed()
-        if not missed:
-            break
-    for _ in range(MAX_ROUNDS):
-        open_ = [(i, v, t) for i, (v, t) in enumerate(tagged) if t.unresolved(limit)]
-        if not open_:
-            break
-        for i, v, t in open_:
-            width = t.hi - t.lo
-            b = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1))
-            hist = (df.where(v.between(F.lit(t.lo), F.lit(t.hi)))
-                    .groupBy(b.alias("_b"))
-                    .agg(F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-                    .collect())  # at most 1024 rows
-            t.narrow(sorted((h["_b"], h["_c"], h["_mn"], h["_mx"]) for h in hist))
+def _clean(c: Column) -> Column:
+    c = c.cast("double")
+    return F.when(~F.isnan(c), c)
+
+
+def _levels(p: float) -> tuple[float, float]:
+    return max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
+
+
+def first_pass_aggs(specs: dict[str, tuple[Column, float]]) -> list[Column]:
+    """Pass-1 aggregates (count, min, max, sketch bracket) for each spec.
+
+    They can be computed by ``percentile_scalars`` itself or collected for
+    free with ``DataFrame.observe`` while a table is being written.
+    """
+    aggs = []
+    for name, (c, p) in specs.items():
+        if not 0.0 <= p <= 1.0:
+            raise ValueError("p must be in [0, 1]")
+        v = _clean(c)
+        plo, phi = _levels(p)
+        aggs += [F.count(v).alias(f"_n_{name}"), F.min(v).alias(f"_mn_{name}"),
+                 F.max(v).alias(f"_mx_{name}"),
+                 F.percentile_approx(v, F.array(F.lit(plo), F.lit(phi)), ACCURACY)
+                 .alias(f"_br_{name}")]
+    return aggs
 
 
 def percentile_scalars(df: DataFrame, specs: dict[str, tuple[Column, float]],
-                       local_limit: int = LOCAL_LIMIT) -> dict[str, float | None]:
+                       local_limit: int = LOCAL_LIMIT, first: dict | None = None,
+                       extra: dict[str, Column] | None = None) -> dict[str, float | None]:
     """Global exact percentiles of several columns of one table, sharing passes.
 
     ``specs`` maps a name to ``(column, p)``; nulls and NaNs are ignored.
+    ``first`` may hold pass-1 results observed earlier (``first_pass_aggs``);
+    they are re-validated against exact counts in pass 2 (an observed metric
+    could be counted twice if a stage were re-run) and recomputed if off.
+    ``extra`` aggregates ride along in pass 2 and are returned by alias.
     Returns Python floats (``None`` when a column has no values).
     """
-    cols = {}
-    for name, (c, p) in specs.items():
-        if not 0.0 <= p <= 1.0:
-            raise ValueError("p must be in [0, 1]")
-        c = c.cast("double")
-        cols[name] = F.when(~F.isnan(c), c)
-    aggs = []
-    for i, (name, (_, p)) in enumerate(specs.items()):
-        v = cols[name]
-        plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}"),
-                 F.percentile_approx(v, F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias(f"br{i}")]
-    row = df.agg(*aggs).first()
+    cols = {name: _clean(c) for name, (c, _) in specs.items()}
+    if first is None:
+        first = df.agg(*first_pass_aggs(specs)).first().asDict()
     out: dict[str, float | None] = {}
-    tagged = []
-    for i, (name, (_, p)) in enumerate(specs.items()):
-        n = row[f"n{i}"]
+    targets = {}
+    for name, (_, p) in specs.items():
+        n = first[f"_n_{name}"]
         if not n:
-            out[name] = None
             continue
-        plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
-        t = _Target(n, p, row[f"mn{i}"], row[f"mx{i}"], row[f"br{i}"], plo, phi)
-        tagged.append((name, cols[name], t))
+        plo, phi = _levels(p)
+        targets[name] = _Target(n, p, first[f"_mn_{name}"], first[f"_mx_{name}"],
+                                first[f"_br_{name}"], plo, phi)
+
+    # Pass 2: count below / inside each bracket (+ exact n to check pass 1).
+    for attempt in range(3):
+        aggs = [c.alias(k) for k, c in (extra or {}).items()] if attempt == 0 else []
+        for name, v in cols.items():
+            aggs.append(F.count(v).alias(f"_c_{name}"))
+            t = targets.get(name)
+            if t is not None:
+                aggs += [F.count_if(v < F.lit(t.lo)).alias(f"_b_{name}"),
+                         F.count_if(v.between(F.lit(t.lo), F.lit(t.hi))).alias(f"_i_{name}")]
+        row = df.agg(*aggs).first().asDict()
+        if attempt == 0:
+            out.update({k: row[k] for k in (extra or {})})
+        stale = [name for name in cols
+                 if row[f"_c_{name}"] != (first[f"_n_{name}"] or 0)]
+        if stale:  # observed pass 1 disagrees with the exact count: redo it
+            first = df.agg(*first_pass_aggs(specs)).first().asDict()
+            targets = {}
+            for name, (_, p) in specs.items():
+                if first[f"_n_{name}"]:
+                    plo, phi = _levels(p)
+                    targets[name] = _Target(first[f"_n_{name}"], p, first[f"_mn_{name}"],
+                                            first[f"_mx_{name}"], first[f"_br_{name}"], plo, phi)
+            continue
+        missed = False
+        for name, t in targets.items():
+            t.below, t.inside = row[f"_b_{name}"], row[f"_i_{name}"]
+            missed |= t.widen_if_missed()
+        if not missed:
+            break
+    tagged = [(name, cols[name], t) for name, t in targets.items()]
+    for name in specs:
+        out.setdefault(name, None)
     if not tagged:
         return out
-    _bracket_round(df, [(v, t) for _, v, t in tagged], local_limit)
+    _narrow_all(df, [(v, t) for _, v, t in tagged], local_limit)
     pick = []
     for i, (name, v, t) in enumerate(tagged):
         if t.a is not None and t.z is not None or t.lo == t.hi:
@@ -200,6 +227,22 @@ def percentile_scalars(df: DataFrame, specs: dict[str, tuple[Column, float]],
     return out
 
 
+def _narrow_all(df: DataFrame, tagged: list, limit: int) -> None:
+    """Pass 3: histogram narrowing of brackets still above ``limit``."""
+    for _ in range(MAX_ROUNDS):
+        open_ = [(v, t) for v, t in tagged if t.unresolved(limit)]
+        if not open_:
+            break
+        for v, t in open_:
+            width = t.hi - t.lo
+            b = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1))
+            hist = (df.where(v.between(F.lit(t.lo), F.lit(t.hi)))
+                    .groupBy(b.alias("_b"))
+                    .agg(F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
+                    .collect())  # at most 1024 rows
+            t.narrow(sorted((h["_b"], h["_c"], h["_mn"], h["_mx"]) for h in hist))
+
+
 def percentile_exact(df: DataFrame, col: str | Column, p: float,
                      by: Sequence[str] = (), out: str = "pct",
                      local_limit: int = LOCAL_LIMIT) -> DataFrame:

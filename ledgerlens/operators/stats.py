@@ -59,37 +59,43 @@ def quality_counts(derived: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"))
 
 
+def threshold_specs(params: Params = DEFAULT) -> dict:
+    """Row-level percentiles of the method: p95 value, p90 positive added
+    days, and the median duration used to impute it (M2)."""
+    return {
+        "value": (F.col("value"), params.pct_high_value),
+        "added": (F.when(F.col("added_days") > 0, F.col("added_days")), params.pct_added_days),
+        "duration": (F.col("duration_days"), 0.5)}
+
+
 def compute_thresholds(derived: DataFrame, stats: DataFrame,
-                       params: Params = DEFAULT) -> Thresholds:
+                       params: Params = DEFAULT, observed: dict | None = None) -> Thresholds:
     """A4/A5: three universe thresholds plus counts, as driver scalars.
 
-    The row-level percentiles (p95 value, p90 positive added days, median
-    duration for M2) share the passes of one ``percentile_scalars`` call;
-    the entity-rate percentile runs on the (much smaller) entity table.
-    Counts are one global aggregate per table.  Nothing depends on a view.
+    The row-level percentiles share the passes of one ``percentile_scalars``
+    call, whose first pass may already have been observed while ``derived``
+    was written; the quality counts (A6) ride along in its second pass.  The
+    entity-rate percentile runs on the (much smaller) entity table.
+    Nothing depends on a view.
     """
-    pct = percentile_scalars(derived, {
-        "value": (F.col("value"), params.pct_high_value),
-        "added": (F.when(F.col("added_days") > 0, F.col("added_days")), params.pct_added_days),
-        "duration": (F.col("duration_days"), 0.5)})
-    eligible = F.col("entity_contracts") >= params.min_entity_contracts
-    t_direct = percentile_scalars(stats, {
-        "direct": (F.when(eligible, F.col("entity_direct_rate")), params.pct_direct_peers)})["direct"]
-    ent = stats.agg(F.count_if(eligible).alias("e"), F.count(F.lit(1)).alias("t")).first()
     lv = log_value(F.col("value"))
     lv_ok = lv.isNotNull() & ~F.isnan(lv) & (F.abs(lv) < F.lit(float("inf")))
-    q = derived.agg(
-        F.count_if(F.col("dates_inverted")).alias("n_inverted"),
-        F.count_if(F.col("duration_days").isNull()).alias("n_no_duration"),
-        F.count_if(F.col("value").isNull()).alias("n_no_value"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(lv_ok).alias("lv_ok"),
-        F.count_if(lv_ok & F.col("duration_days").isNotNull()).alias("lv_dur_ok")).first()
+    pct = percentile_scalars(derived, threshold_specs(params), first=observed, extra={
+        "n_inverted": F.count_if(F.col("dates_inverted")),
+        "n_no_duration": F.count_if(F.col("duration_days").isNull()),
+        "n_no_value": F.count_if(F.col("value").isNull()),
+        "n_rows": F.count(F.lit(1)),
+        "lv_ok": F.count_if(lv_ok),
+        "lv_dur_ok": F.count_if(lv_ok & F.col("duration_days").isNotNull())})
+    eligible = F.col("entity_contracts") >= params.min_entity_contracts
+    ent = percentile_scalars(stats, {
+        "direct": (F.when(eligible, F.col("entity_direct_rate")), params.pct_direct_peers)},
+        extra={"e": F.count_if(eligible), "t": F.count(F.lit(1))})
     med = pct["duration"]
-    model_rows = q["lv_ok"] if med is not None else q["lv_dur_ok"]
-    return Thresholds(pct["value"], pct["added"], t_direct, int(ent["e"]), int(ent["t"]),
-                      int(q["n_inverted"]), int(q["n_no_duration"]), int(q["n_no_value"]),
-                      int(q["n_rows"]), med, int(model_rows))
+    model_rows = pct["lv_ok"] if med is not None else pct["lv_dur_ok"]
+    return Thresholds(pct["value"], pct["added"], ent["direct"], int(ent["e"]), int(ent["t"]),
+                      int(pct["n_inverted"]), int(pct["n_no_duration"]), int(pct["n_no_value"]),
+                      int(pct["n_rows"]), med, int(model_rows))
 
 
 def log_value(value: Column) -> Column:
@@ -112,12 +118,27 @@ def thresholds_frame(spark, th: Thresholds) -> DataFrame:
     return spark.createDataFrame([tuple(th.as_row().values())], THRESHOLD_SCHEMA)
 
 
-def with_entity_stats(derived: DataFrame, stats: DataFrame) -> DataFrame:
+# Largest entity-statistics table we broadcast (estimated bytes).
+BROADCAST_STATS_BYTES = 256 * 1024 * 1024
+
+
+def stats_bytes(stats: DataFrame) -> int:
+    """Size estimate of the entity table: key bytes plus two numbers a row."""
+    r = stats.agg(F.coalesce(F.sum(F.length("entity")), F.lit(0)).alias("k"),
+                  F.count(F.lit(1)).alias("n")).first()
+    return int(r["k"]) + 40 * int(r["n"])
+
+
+def with_entity_stats(derived: DataFrame, stats: DataFrame,
+                      size_bytes: int | None = None) -> DataFrame:
     """Left lookup on entity; the null entity gets null statistics.
 
-    ``stats`` has one row per entity.  AQE measures it at run time and
-    broadcasts it when small; otherwise the sort-merge join's skewed
-    partitions (one entity with a third of all rows) are split by AQE's
-    skew-join handling, which supports the streamed side of a left join.
+    ``stats`` has one row per entity.  When its measured size is under
+    ``BROADCAST_STATS_BYTES`` it is broadcast, so the (large) row table is
+    never shuffled for the lookup.  Beyond that it is a shuffle join, and
+    AQE's skew handling splits the partitions of a hot entity (it supports
+    the streamed side of a left join).
     """
-    return derived.join(stats, "entity", "left")
+    size = stats_bytes(stats) if size_bytes is None else size_bytes
+    side = F.broadcast(stats) if size <= BROADCAST_STATS_BYTES else stats
+    return derived.join(side, "entity", "left")

@@ -18,18 +18,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..config import DEFAULT, Params
 from ..operators import iforest
 from ..operators.derive import derive
-from ..operators.quantile import percentile_exact
+from ..operators.quantile import first_pass_aggs, percentile_scalars
 from ..operators.signals import add_signals
 from ..operators.stats import (Thresholds, THRESHOLD_SCHEMA, compute_thresholds,
-                               entity_stats, model_usable, thresholds_frame,
-                               with_entity_stats)
+                               entity_stats, model_usable, threshold_specs,
+                               thresholds_frame, with_entity_stats)
 from ..session import ship_package
 from ..sources import snapshot as store
 
@@ -104,13 +104,18 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     base = store.snapshot_dir(spark, key)
     path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
     step = _Steps()
-    store.write_parquet(derive(contracts), f"{path}/derived")
+    # The first pass of the threshold percentiles is observed while the
+    # derived table is written, saving one full scan.
+    seen = Observation("thresholds-pass1")
+    derived = derive(contracts)
+    store.write_parquet(derived.observe(seen, *first_pass_aggs(threshold_specs(params))),
+                        f"{path}/derived")
     step("derive")
     d = spark.read.parquet(f"{path}/derived")
     store.write_parquet(entity_stats(d), f"{path}/entity_stats")
     stats = spark.read.parquet(f"{path}/entity_stats")
     step("entity_stats")
-    th = compute_thresholds(d, stats, params)
+    th = compute_thresholds(d, stats, params, observed=seen.get)
     step("thresholds")
 
     rows = add_signals(with_entity_stats(d, stats), th, params)
@@ -126,13 +131,17 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     else:  # M4: too few rows, no model
         raw = F.lit(None).cast("double")
     out = feat.withColumn("anomaly_raw", raw.cast("double")).select(*ROW_COLUMNS)
-    store.write_parquet(out, f"{path}/rows", partition_by=["sign_year"])
+    # Likewise the first pass of the contamination offset (M8).
+    offset_spec = {"offset": (F.col("anomaly_raw"), params.contamination)}
+    seen_raw = Observation("offset-pass1")
+    store.write_parquet(out.observe(seen_raw, *first_pass_aggs(offset_spec)), f"{path}/rows",
+                        partition_by=["sign_year"])
     step("score+rows")
 
     written = spark.read.parquet(f"{path}/rows")
     offset = None
     if th.model_rows >= params.min_model_rows:
-        offset = percentile_exact(written, "anomaly_raw", params.contamination).first()[0]
+        offset = percentile_scalars(written, offset_spec, first=seen_raw.get)["offset"]
     th = replace(th, anomaly_offset=offset)
     store.write_parquet(thresholds_frame(spark, th).coalesce(1), f"{path}/thresholds")
     store.publish(spark, base, path)

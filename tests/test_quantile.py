@@ -36,3 +36,15 @@ def test_scalars_share_passes(spark):
     assert got["a"] == pytest.approx(np.percentile(np.arange(1000.0), 95))
     ys = np.array([i % 7 for i in range(1000)], dtype=float)
     assert got["b"] == pytest.approx(np.percentile(ys[ys > 0], 50))
+
+
+def test_observed_first_pass_is_validated(spark):
+    from ledgerlens.operators.quantile import first_pass_aggs
+    df = spark.createDataFrame([(float(i),) for i in range(1, 101)], "x double")
+    specs = {"x": (F.col("x"), 0.9)}
+    first = df.agg(*first_pass_aggs(specs)).first().asDict()
+    assert percentile_scalars(df, specs, first=first)["x"] == pytest.approx(90.1)
+    doubled = dict(first, _n_x=first["_n_x"] * 2)  # as if a stage had been counted twice
+    assert percentile_scalars(df, specs, first=doubled)["x"] == pytest.approx(90.1)
+    got = percentile_scalars(df, specs, extra={"big": F.count_if(F.col("x") > 50)})
+    assert got["big"] == 50
