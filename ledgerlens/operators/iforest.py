@@ -185,7 +185,7 @@ def sample_trees(pool: DataFrame, pool_size: int, n_trees: int, m: int, seed: in
 
 
 NODE_SCHEMA = ("_tree int, node int, feature int, threshold double, left int, right int, "
-               "leaf_path double")
+               "leaf_path double, size int")
 
 
 def _grow_one(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
@@ -193,19 +193,20 @@ def _grow_one(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["_u", "_key"], kind="mergesort")
     x = pdf[list(FEATURES)].to_numpy(dtype=float)
     rng = np.random.default_rng([seed, tree])
-    nodes = []  # feature, threshold, left, right, leaf_path
+    nodes = []  # feature, threshold, left, right, leaf_path, size
 
     def build(idx: np.ndarray, depth: int) -> int:
         me = len(nodes)
         nodes.append(None)
         sub = x[idx]
+        leaf = (-1, 0.0, -1, -1, depth + float(c_factor([len(idx)])[0]), len(idx))
         if depth >= max_depth or len(idx) <= 1:
-            nodes[me] = (-1, 0.0, -1, -1, depth + float(c_factor([len(idx)])[0]))
+            nodes[me] = leaf
             return me
         lo, hi = sub.min(axis=0), sub.max(axis=0)
         candidates = np.flatnonzero(hi > lo)
         if candidates.size == 0:
-            nodes[me] = (-1, 0.0, -1, -1, depth + float(c_factor([len(idx)])[0]))
+            nodes[me] = leaf
             return me
         f = int(candidates[rng.integers(candidates.size)])
         thr = float(rng.uniform(lo[f], hi[f]))
@@ -214,7 +215,7 @@ def _grow_one(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
         go = sub[:, f] <= thr
         left = build(idx[go], depth + 1)
         right = build(idx[~go], depth + 1)
-        nodes[me] = (f, thr, left, right, 0.0)
+        nodes[me] = (f, thr, left, right, 0.0, len(idx))
         return me
 
     build(np.arange(len(x)), 0)
@@ -223,7 +224,7 @@ def _grow_one(pdf: pd.DataFrame, seed: int, max_depth: int) -> pd.DataFrame:
         "_tree": tree, "node": np.arange(len(nodes), dtype=np.int32),
         "feature": arr[:, 0].astype(np.int32), "threshold": arr[:, 1].astype(float),
         "left": arr[:, 2].astype(np.int32), "right": arr[:, 3].astype(np.int32),
-        "leaf_path": arr[:, 4].astype(float)})
+        "leaf_path": arr[:, 4].astype(float), "size": arr[:, 5].astype(np.int32)})
 
 
 def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int,
@@ -235,24 +236,26 @@ def fit(usable: DataFrame, n: int, n_trees: int, max_samples: int, seed: int,
     """
     m = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(m, 2))))
-    pool = sample_pool(usable, n, n_trees, m, seed).cache()
-    pool_size = pool.count()
-    sampled = sample_trees(pool, pool_size, n_trees, m, seed).cache()
-    short = (sampled.groupBy("_tree").count().where(F.col("count") >= min(m, pool_size)).count()
-             < n_trees)
-    if short:  # a tree missed its quota under the pre-filter: take every pool row
-        sampled.unpersist()
-        sampled = sample_trees(pool, pool_size, n_trees, m, seed, prefilter=False).cache()
-    grow = lambda pdf: _grow_one(pdf, seed, max_depth)
-    grown = sampled.groupBy("_tree").applyInPandas(grow, NODE_SCHEMA)
-    if out_path:
-        grown.withColumn("max_samples", F.lit(m)).withColumn("max_depth", F.lit(max_depth)) \
-            .write.mode("overwrite").parquet(out_path)
-        grown = usable.sparkSession.read.parquet(out_path)
-    nodes = grown.select(*[c.split()[0] for c in NODE_SCHEMA.split(", ")]).toPandas()
-    # ^ at most n_trees * (2^(max_depth+1) - 1) rows
-    pool.unpersist()
-    sampled.unpersist()
+    target = 4 * n_trees * m
+    pool_size = n if target >= n else target  # exact when every copy is kept
+    pool = sample_pool(usable, n, n_trees, m, seed)
+    grow = lambda pdf: _grow_one(pdf, seed, max_depth)
+    cols = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+
+    def grown_nodes(prefilter: bool) -> pd.DataFrame:
+        sampled = sample_trees(pool, pool_size, n_trees, m, seed, prefilter=prefilter)
+        grown = sampled.groupBy("_tree").applyInPandas(grow, NODE_SCHEMA)
+        if out_path:
+            (grown.withColumn("max_samples", F.lit(m)).withColumn("max_depth", F.lit(max_depth))
+             .write.mode("overwrite").parquet(out_path))
+            grown = usable.sparkSession.read.parquet(out_path)
+        return grown.select(*cols).toPandas()  # <= n_trees * (2^(max_depth+1) - 1) rows
+
+    nodes = grown_nodes(prefilter=True)
+    roots = nodes[nodes["node"] == 0]
+    if len(roots) < n_trees or int(roots["size"].min()) < min(m, n):
+        # a tree missed its quota under the pre-filter: take every pool row
+        nodes = grown_nodes(prefilter=False)
     return forest_from_nodes(nodes, n_trees, m, max_depth)
 
 
