@@ -163,14 +163,26 @@ def load(spark: SparkSession, key: str) -> Snapshot | None:
     return snap
 
 
+_KEYS: dict[tuple, str] = {}
+
+
 def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
-                 params: Params = DEFAULT, salt: str = "") -> Snapshot:
-    """Snapshot for the given inputs; built once, then read by every view."""
+                 params: Params = DEFAULT, salt: str = "", rebuild: bool = False) -> Snapshot:
+    """Snapshot for the given inputs; built once, then read by every view.
+
+    The key comes from the input files' listing (names, sizes, times), taken
+    once per process.  ``rebuild`` builds and publishes a fresh attempt
+    under the same key (the previous attempt stays readable until then).
+    """
     ship_package(spark)
-    listing = store.source_listing(spark, source_paths)
-    key = store.snapshot_key(listing, params.key() + salt, __version__)
-    snap = load(spark, key)
+    memo = (tuple(source_paths), params.key() + salt)
+    if memo not in _KEYS or rebuild:
+        listing = store.source_listing(spark, source_paths)
+        _KEYS[memo] = store.snapshot_key(listing, params.key() + salt, __version__)
+    key = _KEYS[memo]
+    snap = None if rebuild else load(spark, key)
     if snap is None:
+        _LOADED.pop(key, None)
         snap = build(spark, contracts_fn(), key, params)
     return snap
 

@@ -44,11 +44,12 @@ def _paths(sf_dir: str) -> list[str]:
     return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
 
 
-def snapshot(spark: SparkSession, sf_dir: str, salt: str = "") -> enrich.Snapshot:
+def snapshot(spark: SparkSession, sf_dir: str, salt: str = "",
+             rebuild: bool = False) -> enrich.Snapshot:
     apply_defaults(spark)
     ship_package(spark)
     return enrich.get_or_build(spark, lambda: contracts_from_tables(spark, sf_dir),
-                               _paths(sf_dir), salt=salt)
+                               _paths(sf_dir), salt=salt, rebuild=rebuild)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,13 +25,11 @@ from ..session import work_dir
 
 
 def source_listing(spark: SparkSession, paths: list[str]) -> list[tuple]:
-    """(path, length, modificationTime) of the input files; reads no content."""
-    out = []
-    for p in paths:
-        files = (spark.read.format("binaryFile").load(p)
-                 .select("path", "length", "modificationTime").collect())
-        out.extend((r["path"], int(r["length"]), str(r["modificationTime"])) for r in files)
-    return sorted(out)
+    """(path, length, modificationTime) of the input files, in one listing
+    job; file contents are not read (only metadata columns are selected)."""
+    files = (spark.read.format("binaryFile").load(paths)
+             .select("path", "length", "modificationTime").collect())
+    return sorted((r["path"], int(r["length"]), str(r["modificationTime"])) for r in files)
 
 
 def snapshot_key(listing: list[tuple], params_key: str, code_version: str) -> str:
