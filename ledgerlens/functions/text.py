@@ -33,12 +33,33 @@ def normalize(s: pd.Series) -> pd.Series:
     return out
 
 
+@F.pandas_udf(T.StringType())
+def _normalize_some(s: pd.Series) -> pd.Series:
+    """Like ``normalize`` but null stays null (rows the JVM handles)."""
+    out = (s.astype(object).where(s.notna(), None))
+    mask = s.notna()
+    out[mask] = (s[mask].astype(str).str.normalize("NFKD")
+                 .str.encode("ascii", errors="ignore").str.decode("ascii").str.lower())
+    return out
+
+
+def normalize_fast(text: Column) -> Column:
+    """``normalize`` with a JVM fast path: NFKD leaves ASCII unchanged, so
+    pure-ASCII text is only lower-cased in the JVM; the Python function
+    receives (and returns) nulls for those rows and real work only for the
+    rest.  Null text -> ''."""
+    t = text.cast("string")
+    ascii_only = t.rlike("^[\\x00-\\x7F]*$")
+    slow = _normalize_some(F.when(~ascii_only, t))
+    return F.coalesce(F.when(ascii_only, F.lower(t)).otherwise(slow), F.lit(""))
+
+
 def search_text(entity: Column, supplier: Column, reference: Column) -> Column:
     """Normalised ``entity | supplier | reference`` (null parts -> '')."""
     joined = F.concat_ws(" | ", F.coalesce(entity.cast("string"), F.lit("")),
                          F.coalesce(supplier.cast("string"), F.lit("")),
                          F.coalesce(reference.cast("string"), F.lit("")))
-    return normalize(joined)
+    return normalize_fast(joined)
 
 
 def query_words(query: str | None) -> list[str]:

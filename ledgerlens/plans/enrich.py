@@ -166,6 +166,22 @@ def load(spark: SparkSession, key: str) -> Snapshot | None:
 _KEYS: dict[tuple, str] = {}
 
 
+def code_version() -> str:
+    """Package version plus a hash of its source: a snapshot written by
+    other code is never reused."""
+    import hashlib
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha256(__version__.encode())
+    for base, _dirs, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(base, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:16]
+
+
 def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
                  params: Params = DEFAULT, salt: str = "", rebuild: bool = False) -> Snapshot:
     """Snapshot for the given inputs; built once, then read by every view.
@@ -178,7 +194,7 @@ def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
     memo = (tuple(source_paths), params.key() + salt)
     if memo not in _KEYS or rebuild:
         listing = store.source_listing(spark, source_paths)
-        _KEYS[memo] = store.snapshot_key(listing, params.key() + salt, __version__)
+        _KEYS[memo] = store.snapshot_key(listing, params.key() + salt, code_version())
     key = _KEYS[memo]
     snap = None if rebuild else load(spark, key)
     if snap is None:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, contains_all_words
+from ..functions.text import normalize_fast, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
 from ..operators.report import money_sum, unique_short_labels
@@ -111,7 +111,7 @@ def q_text_search(spark, sf):
 
 def q_doc_search(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
-    norm = docs.select("doc_id", "lang", normalize(F.col("text")).alias("norm"))
+    norm = docs.select("doc_id", "lang", normalize_fast(F.col("text")).alias("norm"))
     return norm.where(contains_all_words(F.col("norm"), DOC_QUERY)).select(
         "doc_id", "lang", F.length("norm").cast("bigint").alias("norm_chars"))
 
