@@ -1,14 +1,19 @@
 """Layer 1: contracts -> enriched snapshot.
 
-Job graph (each arrow a Spark job or a lazy step):
-
-    contracts --derive (one projection + Arrow NFKD UDF)--> derived/   [write]
-    derived --groupBy entity (partial agg)--> entity_stats/            [write]
-    derived, entity_stats --exact percentiles, counts--> thresholds   (scalars)
-    derived ⋈ entity_stats --signals, features--> usable rows
-        --distinct vectors, pool, per-tree sample--> applyInPandas(grow) --> forest
-    rows + forest score (Arrow UDF) --> rows/ partitioned by sign_year [write]
+Job graph (each arrow a Spark job or a lazy step), all inside a fresh
+``attempt-<id>/`` folder that is published at the end:
+
+    contracts --derive (JVM projection; NFKD in Arrow only for non-ASCII)-->
+        derived/ [write; pass 1 of the row percentiles observed meanwhile]
+    derived --groupBy entity (partial agg)--> entity_stats/             [write]
+    derived, entity_stats --exact percentiles (passes 2-4), counts--> thresholds
+    derived ⋈ entity_stats (broadcast under a measured bound) --signals,
+        features--> usable rows --distinct vectors, pool, per-tree sample-->
+        applyInPandas(grow) --> forest/                                 [write]
+    rows + forest score (Arrow UDF) --> rows/ by sign_year
+        [write; pass 1 of the 2% score percentile observed meanwhile]
     rows/ --exact 2% percentile of raw scores--> offset --> thresholds/ [write]
+    current/ --> this attempt                                  [publish, last]
 
 Thresholds and the model always come from the whole universe; views read
 the snapshot and never recompute them.
