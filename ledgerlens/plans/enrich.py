@@ -127,7 +127,10 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     rows = rows.withColumn("model_usable", model_usable(rows, th.median_duration))
     feat = iforest.features(rows, th.median_duration)
     if th.model_rows >= params.min_model_rows:
-        usable = feat.where(F.col("model_usable")).select(*iforest.FEATURES)
+        # The model needs derived columns only: read them without the
+        # entity lookup join, which Catalyst cannot drop by itself.
+        usable = (iforest.features(d, th.median_duration)
+                  .where(model_usable(d, th.median_duration)).select(*iforest.FEATURES))
         forest = iforest.fit(usable, th.model_rows, params.n_trees, params.max_samples,
                              params.seed, out_path=f"{path}/forest")
         step("forest")
