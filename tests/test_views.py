@@ -108,3 +108,32 @@ def test_facts_for_many_views_in_one_pass(spark):
     got = {x.view_id: x for x in views.facts_by_view(r, specs).collect()}
     assert got[1].n_rows == 40 and got[2].n_rows == 0 and got[2].total_value == 0.0
     assert got[3].n_rows == 60 and got[3].n_direct == 0
+
+
+def test_modality_mix_keeps_five_plus_other(spark):
+    rows = []
+    for k, n in enumerate([30, 25, 20, 15, 10, 5, 3, 2]):
+        rows += [{"entity": "E", "modality": f"M{k}", "value": 1e6} for _ in range(n)]
+    r = enrich.build_from_frame(contracts(spark, rows)).rows
+    mix = {x.modality: x for x in facts.modality_mix(r).collect()}
+    assert set(mix) == {"M0", "M1", "M2", "M3", "M4", "Other"}
+    assert mix["Other"].n_rows == 10 and mix["Other"].is_other and mix["Other"].rank == 6
+    assert mix["M0"].share_pct == pytest.approx(30 / 110 * 100)
+    assert mix["M4"].slice_label == "9,1%"
+    few = enrich.build_from_frame(contracts(spark, rows[:75])).rows  # M0..M2 only
+    assert "Other" not in {x.modality for x in facts.modality_mix(few).collect()}
+
+
+def test_rule_list_order_and_formats(spark):
+    rows = [{"entity": "HIGH", "modality": "Contratación directa", "value": v, "added": a}
+            for v, a in [(5e9, 90), (2e9, 10), (3e6, 5)] + [(1e6, 0)] * 40]
+    rows += [{"entity": "LOW", "modality": "Licitación pública", "value": 1e6} for _ in range(40)]
+    rows += [{"entity": "MID", "modality": "Contratación directa" if i < 20 else "Licitación pública",
+              "value": 1e6} for i in range(40)]
+    r = enrich.build_from_frame(contracts(spark, rows)).rows
+    lst = facts.rule_list(r).collect()
+    assert [x.rank for x in lst] == list(range(1, len(lst) + 1))
+    assert all(a.signals > b.signals or (a.signals == b.signals and (a.value or 0) >= (b.value or 0))
+               for a, b in zip(lst, lst[1:]))
+    top = lst[0]
+    assert top.signals == 3 and top.value_text == "$5,00 mil M" and top.added_text == "+90 d"
