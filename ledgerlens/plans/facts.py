@@ -260,6 +260,7 @@ def method_agreement(f: DataFrame) -> DataFrame:
                  F.count_if(~a & r).alias("rules_only"))
     rules = F.col("both") + F.col("rules_only")
     return base.select("both", "model_only", "rules_only",
+                       (F.col("both") + F.col("model_only")).alias("n_anomalies"),  # A1
                        F.when(rules > 0, F.col("both") / rules * 100).alias("overlap_pct"),
                        ((rules == 0) & (F.col("model_only") == 0)).alias("nothing_flagged"))
 
