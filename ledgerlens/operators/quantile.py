@@ -22,8 +22,10 @@ so the bracket predicate is pushed into the parquet scan and needs no join.
 Several global percentiles share every pass.  Interpolation is
 ``fma(1 - d, lo, d * hi)`` (``math.fma`` on the per-group result scalars),
 bit-for-bit DuckDB's ``quantile_cont``.  Grouped percentiles are meant for
-few groups (at most ``MAP_GROUPS``, e.g. modalities or bands); more groups
-raise instead of planning an unbounded literal map.
+few groups (up to ``MAP_GROUPS``) keep their state on the driver and use
+literal maps; with more groups the state stays in DataFrames joined to the
+values, and only the few groups whose bracket stays large take the
+literal-map path.
 """
 
 from __future__ import annotations
@@ -266,16 +268,26 @@ def percentile_exact(df: DataFrame, col: str | Column, p: float,
     vals = vals.withColumn("_key", F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by]))
     key = F.col("_key")
     plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
-    first = (vals.groupBy(*by).agg(
+    first_df = vals.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
         F.percentile_approx("_v", F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias("_br"),
         F.first("_key").alias("_key"))
-        .collect())
+    first = first_df.limit(MAP_GROUPS + 1).collect()  # bounded
+    schema = T.StructType([f for f in df.select(*by).schema.fields]
+                          + [T.StructField(out, T.DoubleType())])
     if len(first) > MAP_GROUPS:
-        raise ValueError(f"percentile_exact: {len(first)} groups exceed {MAP_GROUPS}; "
-                         "aggregate to fewer groups first")
+        return _percentile_many(vals, first_df, by, p, out, local_limit, schema)
     if not first:
-        return vals.select(*by).limit(0).withColumn(out, F.lit(None).cast("double"))
+        return spark.createDataFrame([], schema)
+    return _percentile_few(vals, first, by, p, out, local_limit, schema)
+
+
+def _percentile_few(vals: DataFrame, first: list, by: list, p: float, out: str,
+                    local_limit: int, schema) -> DataFrame:
+    """Few groups: per-group state on the driver, bounds as literal maps."""
+    spark = vals.sparkSession
+    key = F.col("_key")
+    plo, phi = _levels(p)
     keys = [tuple(r[b] for b in by) for r in first]
     targets = {k: _Target(r["_n"], p, r["_mn"], r["_mx"], r["_br"], plo, phi)
                for k, r in zip(keys, first)}
@@ -343,11 +355,71 @@ def percentile_exact(df: DataFrame, col: str | Column, p: float,
             t.a = t.a if t.a is not None else t.lo
             t.z = t.z if t.z is not None else t.lo
         res.append((*k, t.value()))
-    schema = T.StructType([f for f in df.select(*by).schema.fields]
-                          + [T.StructField(out, T.DoubleType())])
     return spark.createDataFrame(res, schema)
 
 
+def lerp_col(a: Column, z: Column, d: Column) -> Column:
+    """Column form of ``lerp`` (``java.lang.Math.fma``), for grouped results
+    that stay distributed."""
+    fused = F.call_function("java_method", F.lit("java.lang.Math"), F.lit("fma"),
+                            (F.lit(1.0) - d), a, d * z).cast("double")
+    return F.when(d == 0, a).otherwise(fused)
+
+
+def _percentile_many(vals: DataFrame, first_df: DataFrame, by: list, p: float, out: str,
+                     local_limit: int, schema) -> DataFrame:
+    """Many groups: per-group state stays in DataFrames and is joined to the
+    values (a shuffle join on the group keys; AQE splits a hot group).  Only
+    groups whose bracket still holds more than ``local_limit`` values -- at
+    most rows / (local_limit * ACCURACY / 6) of them, so few -- go through
+    the literal-map path with histogram narrowing."""
+    spark = vals.sparkSession
+    plo, phi = _levels(p)
+    pos = F.lit(p) * (F.col("_n") - 1)
+    st = (first_df
+          .withColumn("_k", F.floor(pos).cast("bigint"))
+          .withColumn("_d", pos - F.floor(pos))
+          .withColumn("_k1", F.least(F.col("_k") + 1, F.col("_n") - 1))
+          .withColumn("_lo", F.col("_mn") if plo == 0.0 else F.col("_br")[0])
+          .withColumn("_hi", F.col("_mx") if phi == 1.0 else F.col("_br")[1])
+          .drop("_br"))
+
+    def counted(state: DataFrame) -> DataFrame:
+        cnt = (vals.drop("_key").join(state.select(*by, "_lo", "_hi"), by)
+               .groupBy(*by).agg(
+                   F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+                   F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside")))
+        return state.join(cnt, by)
+
+    st = counted(st).cache()
+    missed = (F.col("_below") > F.col("_k")) | (F.col("_below") + F.col("_inside") <= F.col("_k1"))
+    if st.where(missed).limit(1).count():
+        widened = (st.withColumn("_miss", missed)
+                   .withColumn("_lo", F.when(F.col("_miss"), F.col("_mn")).otherwise(F.col("_lo")))
+                   .withColumn("_hi", F.when(F.col("_miss"), F.col("_mx")).otherwise(F.col("_hi")))
+                   .drop("_below", "_inside", "_miss"))
+        st = counted(widened.select(*by, "_key", "_n", "_mn", "_mx", "_k", "_d", "_k1",
+                                    "_lo", "_hi")).cache()
+    big = (F.col("_inside") > local_limit) & (F.col("_lo") < F.col("_hi"))
+    big_keys = [r["_key"] for r in st.where(big).select("_key").collect()]  # few
+    w = Window.partitionBy(*by).orderBy("_v")
+    small = st.where(~big)
+    picked = (vals.drop("_key").join(small.select(*by, "_lo", "_hi", "_below", "_k", "_k1", "_d"), by)
+              .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+              .withColumn("_rn", F.row_number().over(w) - 1 + F.col("_below"))
+              .where(F.col("_rn").isin(F.col("_k"), F.col("_k1")))
+              .groupBy(*by).agg(
+                  F.max(F.when(F.col("_rn") == F.col("_k"), F.col("_v"))).alias("_a"),
+                  F.max(F.when(F.col("_rn") == F.col("_k1"), F.col("_v"))).alias("_z"),
+                  F.first("_d").alias("_d")))
+    result = picked.select(*by, lerp_col(F.col("_a"), F.col("_z"), F.col("_d")).alias(out))
+    if big_keys:
+        sub = vals.where(F.col("_key").isin(big_keys))
+        rows = first_df.where(F.col("_key").isin(big_keys)).collect()
+        result = result.unionByName(_percentile_few(sub, rows, by, p, out, local_limit, schema))
+    return spark.createDataFrame([], schema).unionByName(result.select(*schema.fieldNames()))
+
+
 def percentile_value(df: DataFrame, col: str | Column, p: float) -> float | None:
     """Driver-side scalar of a global exact percentile."""
     v = F.col(col) if isinstance(col, str) else col
