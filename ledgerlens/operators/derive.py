@@ -12,8 +12,9 @@ from ..functions.text import search_text
 from ..functions.url import url_column
 
 MICROS_PER_DAY = 86_400_000_000
-# Plain decimal numbers only; rejects Spark-only forms such as '1d' or '1f'.
-_NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# Plain decimal numbers (and inf / infinity / nan, which pandas also reads);
+# rejects Spark-only forms such as '1d' or '1f'.
+_NUMERIC_TEXT = (r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$")
 
 
 def to_number(df: DataFrame, name: str) -> Column:

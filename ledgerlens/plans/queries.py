@@ -239,6 +239,13 @@ def q_fingerprint(spark, sf):
     return fingerprint(contracts_from_tables(spark, sf))
 
 
+def q_stream_scoring(spark, sf):
+    """The streaming scorer's transformation, run in batch over the whole
+    contracts table against the published snapshot (rows-only check)."""
+    from ..streaming.scorer import score_with_snapshot
+    return score_with_snapshot(contracts_from_tables(spark, sf), snapshot(spark, sf))
+
+
 def q_anomaly_scores(spark, sf):
     r = rows(spark, sf)
     return r.where(F.col("model_usable")).select(
@@ -294,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_rows": q_export,
     "fingerprint": q_fingerprint,
     "anomaly_scores": q_anomaly_scores,
+    "stream_scoring": q_stream_scoring,
     "anomaly_list": q_anomaly_list,
     "method_agreement": q_agreement,
     "anomaly_vs_rest": q_anomaly_vs_rest,

@@ -112,5 +112,7 @@ def test_url_acceptance(spark):
 
 def test_numeric_coercion_rejects_spark_only_forms(spark):
     from ledgerlens.operators.derive import to_number
-    df = spark.createDataFrame([("1d",), ("2.5",), ("x",), ("1e3",), (None,)], "value string")
-    assert [r[0] for r in df.select(to_number(df, "value")).collect()] == [None, 2.5, None, 1000.0, None]
+    df = spark.createDataFrame([("1d",), ("2.5",), ("x",), ("1e3",), (None,), (" -inf ",), ("NaN",),
+                                ("1,5",)], "value string")
+    got = [r[0] for r in df.select(to_number(df, "value")).collect()]
+    assert got == [None, 2.5, None, 1000.0, None, float("-inf"), None, None]
