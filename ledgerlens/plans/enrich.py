@@ -158,8 +158,9 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
 
 
 def load(spark: SparkSession, key: str) -> Snapshot | None:
-    if key in _LOADED:
-        return _LOADED[key]
+    cached = _LOADED.get(key)
+    if cached is not None and cached.raw_rows.sparkSession is spark:
+        return cached  # same session: reuse; a new session re-reads the tables
     path = store.current_attempt(spark, store.snapshot_dir(spark, key))
     if path is None or not store.exists(spark, f"{path}/thresholds"):
         return None
