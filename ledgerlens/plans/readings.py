@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GLOSSARY_TERMS, MIN_MEDIAN_GROUP, TOP_N
+from ..operators.quantile import percentile_scalars
 from ..functions import formats as fm
 from ..operators.stats import Thresholds
 from . import facts
@@ -52,7 +53,15 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         .alias("sme_all"),
         F.when(F.col("n_values") > 0, F.try_divide(F.col("total_value"), F.col("n_values").cast("double")))
         .alias("mean_value"))
-    median = facts.percentile_value(f, "value", 0.5)
+    # The view median and the medians of modalities with enough values share
+    # the passes of one exact-percentile run (modalities are few).
+    eligible_mods = [r["modality"] for r in facts.set_rows(sets, "modality")
+                     .where(F.col("n_values") >= MIN_MEDIAN_GROUP).select("modality").collect()]
+    specs = {"all": (F.col("value"), 0.5)}
+    specs.update({f"m{i}": (F.when(F.col("modality") == F.lit(m), F.col("value")), 0.5)
+                  for i, m in enumerate(eligible_mods)})
+    meds = percentile_scalars(f, specs)
+    median = meds["all"]
     distinct = f.agg(F.count_distinct("contract_id").alias("n_contracts"))
 
     ent = facts.set_rows(sets, "entity").select("entity", "total_value").withColumn(
@@ -77,7 +86,12 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
                 change_pct="change_pct")
     n_years = yrs.agg(F.count(F.lit(1)).alias("n_years"))
 
-    md = facts.median_by_modality(f)
+    md_rows = [(m, meds[f"m{i}"]) for i, m in enumerate(eligible_mods)]
+    md = spark.createDataFrame(md_rows, "modality string, median_value double")
+    md = (md.withColumn("rank", F.row_number().over(
+        Window.orderBy(F.desc("median_value"), "modality")))
+        .withColumn("is_lowest", F.row_number().over(
+            Window.orderBy(F.asc("median_value"), F.desc("modality"))) == 1))
     md_top = _one(md.where("rank = 1"), modality="md_top", median_value="md_top_value")
     md_low = _one(md.where("is_lowest"), modality="md_low", median_value="md_low_value")
     md_n = md.agg(F.count(F.lit(1)).alias("md_n"))
