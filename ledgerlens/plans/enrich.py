@@ -3,7 +3,7 @@
 Job graph (each arrow a Spark job or a lazy step), all inside a fresh
 ``attempt-<id>/`` folder that is published at the end:
 
-    contracts --derive (JVM projection; NFKD in Arrow only for non-ASCII)-->
+    contracts --derive (JVM projection + Arrow NFKD UDF)-->
         derived/ [write; pass 1 of the row percentiles observed meanwhile]
     derived --groupBy entity (partial agg)--> entity_stats/             [write]
     derived, entity_stats --exact percentiles (passes 2-4), counts--> thresholds
