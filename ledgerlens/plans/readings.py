@@ -252,7 +252,11 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
               "rules"),
     ]
     out = x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
-    return out
+    # Ten sentences: materialise them and release the cached grouping sets,
+    # so repeated readings in a long-lived session do not accumulate cache.
+    result = spark.createDataFrame(out.collect(), out.schema)
+    sets.unpersist()
+    return result
 
 
 def model_readings(f: DataFrame) -> DataFrame:
