@@ -137,3 +137,24 @@ def test_rule_list_order_and_formats(spark):
                for a, b in zip(lst, lst[1:]))
     top = lst[0]
     assert top.signals == 3 and top.value_text == "$5,00 mil M" and top.added_text == "+90 d"
+
+
+def test_missing_threshold_keeps_the_other_sentences(spark):
+    snap = enrich.build_from_frame(contracts(spark, four_entities()))  # no positive added days
+    assert snap.thresholds.t_added is None
+    th = {r.reading: r for r in readings.rule_readings(snap.rows, snap.thresholds).collect()}["thresholds"]
+    assert "expensive above" in th.text and "direct-award intensive above 75%" in th.text
+    assert "extension" not in th.text and th.status == "normal"
+
+
+def test_null_signing_and_start_dates_are_tolerated(spark):
+    rows = four_entities()
+    for r in rows[:20]:
+        r["signed"] = None
+        r["start"] = None
+    snap = enrich.build_from_frame(contracts(spark, rows))
+    r = snap.rows
+    assert r.where("duration_days IS NULL").count() >= 20
+    assert facts.yearly_value(r).count() >= 1
+    got = readings.rule_readings(r, snap.thresholds).collect()
+    assert len(got) == 10 and all(x.text for x in got)
