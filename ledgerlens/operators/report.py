@@ -70,3 +70,11 @@ def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str =
 def first_flag(order: list[Column]) -> Column:
     """True on the first row in ``order`` (ties -> earliest in order)."""
     return F.row_number().over(Window.orderBy(*order)) == 1
+
+
+def attach_one_row(base: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row (or empty) aggregate to every row of
+    ``base`` as a scalar subquery: evaluated once, no join in the plan.
+    An empty aggregate gives nulls."""
+    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return base.select("*", s.alias("_one")).select("*", "_one.*").drop("_one")

@@ -17,8 +17,8 @@ from ..config import (LIST_SIZE, MIN_MEDIAN_GROUP, SLICE_LABEL_MIN_PCT, TOP_MODA
                       TOP_N)
 from ..functions import formats as fm
 from ..operators.quantile import percentile_exact, percentile_value
-from ..operators.report import (cumulative, first_flag, money_sum, top_n_with_other,
-                                unique_short_labels)
+from ..operators.report import (attach_one_row, cumulative, first_flag, money_sum,
+                                top_n_with_other, unique_short_labels)
 
 
 def _ratio(a, b):
@@ -72,7 +72,7 @@ def top_entities(f: DataFrame, n: int = TOP_N, label_len: int = 38) -> DataFrame
            .withColumn("rank", F.row_number().over(
                Window.orderBy(F.desc("total_value"), "entity")).cast("bigint")))
     top = unique_short_labels(top, "entity", "rank", label_len)
-    return (top.crossJoin(F.broadcast(total))
+    return (attach_one_row(top, total)
             .select("rank", "entity", "label", "total_value",
                     (F.col("total_value") / 1e9).alias("total_bn"),
                     (_ratio(F.col("total_value"), F.col("view_total")) * 100).alias("share_pct"),
@@ -151,7 +151,7 @@ def sme_by_band(f: DataFrame) -> DataFrame:
     return (per.withColumn("non_sme_pct", 100 - F.col("sme_pct"))
             .withColumn("is_highest", first_flag([F.desc("sme_pct"), F.col("value_band")]))
             .withColumn("is_lowest", first_flag([F.asc("sme_pct"), F.col("value_band")]))
-            .crossJoin(F.broadcast(overall))
+            .transform(lambda d: attach_one_row(d, overall))
             .select(F.col("value_band").cast("bigint").alias("value_band"), "value_band_label",
                     "sme_pct", "non_sme_pct", "is_highest", "is_lowest", "overall_sme_pct"))
 
@@ -169,7 +169,7 @@ def supplier_pareto(f: DataFrame, n: int = TOP_N, label_len: int = 18) -> DataFr
     top = top.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("total_value"), "supplier")).cast("bigint"))
     top_sum = top.agg(F.sum(F.col("total_value").cast("decimal(28,2)")).alias("_top"))
-    other = (stats.crossJoin(top_sum).where(F.col("n_suppliers") > n)
+    other = (attach_one_row(stats, top_sum).where(F.col("n_suppliers") > n)
              .select(F.lit(n + 1).cast("bigint").alias("rank"), F.lit("Other").alias("supplier"),
                      (F.col("suppliers_total").cast("decimal(28,2)") - F.col("_top"))
                      .cast("double").alias("total_value")))
@@ -177,7 +177,7 @@ def supplier_pareto(f: DataFrame, n: int = TOP_N, label_len: int = 18) -> DataFr
     rows = unique_short_labels(rows, "supplier", "rank", label_len)
     shown = rows.agg(F.sum(F.col("total_value").cast("decimal(28,2)")).cast("double")
                      .alias("_shown"))
-    out = (rows.crossJoin(F.broadcast(shown)).crossJoin(F.broadcast(stats))
+    out = (attach_one_row(attach_one_row(rows, shown), stats)
            .withColumn("pct", _ratio(F.col("total_value"), F.col("_shown")) * 100))
     return out.select("rank", "supplier", "label", "total_value", "pct",
                       cumulative("pct").alias("cum_pct"), "n_suppliers",
@@ -205,7 +205,7 @@ def headline(f: DataFrame, n: int = TOP_N) -> DataFrame:
     top6 = (sup.orderBy(F.desc("_t"), "supplier").limit(n)
             .agg(F.coalesce(F.sum(F.col("_t").cast("decimal(28,2)")).cast("double"), F.lit(0.0))
                  .alias("top_suppliers_value")))
-    out = (base.crossJoin(sup_n).crossJoin(top6).join(ent, how="left", on=F.lit(True)))
+    out = attach_one_row(attach_one_row(attach_one_row(base, sup_n), top6), ent)
     has_total = F.col("total_value") != 0
     return out.select(
         "n_rows", "n_contracts", "total_value", "top_entity", "top_entity_value",

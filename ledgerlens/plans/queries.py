@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
-from ..operators.report import money_sum, unique_short_labels
+from ..operators.report import attach_one_row, money_sum, unique_short_labels
 from ..session import apply_defaults, ship_package
 from ..sources.adapter import contracts_from_tables
 from ..sources.fingerprint import fingerprint
@@ -191,7 +191,7 @@ def q_formatted(spark, sf):
     per = (r.where(F.col("entity").isNotNull()).groupBy("entity")
            .agg(F.coalesce(money_sum("value"), F.lit(0.0)).alias("total_value"),
                 F.count(F.lit(1)).alias("n_rows")))
-    return per.crossJoin(F.broadcast(total)).select(
+    return attach_one_row(per, total).select(
         "entity", "total_value",
         fm.money(F.col("total_value")).alias("money_text"),
         fm.integer(F.col("n_rows")).alias("rows_text"),

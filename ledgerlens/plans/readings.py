@@ -1,8 +1,7 @@
 """Readings (N1-N14): the facts of a view as plain-language sentences.
 
 Each reading is a row ``(reading, status, text)`` built with column
-expressions over one-row fact tables, so a batch job can produce them for
-any number of views.  ``status`` tells which variant applies (``normal``,
+expressions over one-row fact tables (attached as scalar subqueries).  ``status`` tells which variant applies (``normal``,
 ``empty``, ``none`` ...).  The wording is ours.
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import GLOSSARY_TERMS, MIN_MEDIAN_GROUP, TOP_N
 from ..operators.quantile import percentile_scalars
 from ..functions import formats as fm
+from ..operators.report import attach_one_row
 from ..operators.stats import Thresholds
 from . import facts
 
@@ -25,7 +25,8 @@ def _one(df: DataFrame, **renames) -> DataFrame:
 
 
 def _left(base: DataFrame, other: DataFrame) -> DataFrame:
-    return base.join(other, how="left", on=F.lit(True))
+    """Attach a one-row (or empty) fact table as a scalar subquery."""
+    return attach_one_row(base, other)
 
 
 def _reading(name: str, status: Column, text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import BAND_LABELS
 from ..functions.text import contains_all_words
+from ..operators.report import attach_one_row
 
 
 @dataclass(frozen=True)
@@ -126,7 +127,7 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
     frm = saved.where(F.col("key") == "from").select("view_id", F.col("value").alias("_from"))
     to = saved.where(F.col("key") == "to").select("view_id", F.col("value").alias("_to"))
     ids = saved.select("view_id").distinct()
-    y = (ids.join(frm, "view_id", "left").join(to, "view_id", "left").crossJoin(F.broadcast(yr))
+    y = (attach_one_row(ids.join(frm, "view_id", "left").join(to, "view_id", "left"), yr)
          .withColumn("_a", F.expr("try_cast(_from as bigint)"))
          .withColumn("_b", F.expr("try_cast(_to as bigint)")))
     a = F.least(F.greatest(F.coalesce("_a", "year_min"), F.col("year_min")), F.col("year_max"))
