@@ -54,17 +54,38 @@ def short_label(name: Column, n: int) -> Column:
         F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+$", ""), F.lit(ELLIPSIS)))
 
 
+def _label_list(pdf, name: str, order: str, n: int, out: str):
+    """Sequential rule on one bounded list: cut to n-1 chars + '…' when
+    longer than n; a label already used gets ' (k)' with the next free k."""
+    pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+    used: set[str] = set()
+    labels = []
+    for value in pdf[name]:
+        text = str(value)
+        short = text if len(text) <= n else text[: n - 1].rstrip() + ELLIPSIS
+        base, k = short, 1
+        while short in used:
+            k += 1
+            short = f"{base} ({k})"
+        used.add(short)
+        labels.append(short)
+    pdf[out] = labels
+    return pdf
+
+
 def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str = "label") -> DataFrame:
-    """Short labels that stay distinct: repeats get ' (k)', k from 2,
-    numbered in list order.  ``df`` is a bounded list (a top-N)."""
-    short = short_label(F.col(name), n)
-    w = Window.partitionBy("_short").orderBy(order)
-    return (df.withColumn("_short", short)
-            .withColumn("_k", F.row_number().over(w))
-            .withColumn(out, F.when(F.col("_k") == 1, F.col("_short"))
-                        .otherwise(F.concat(F.col("_short"), F.lit(" ("), F.col("_k").cast("string"),
-                                            F.lit(")"))))
-            .drop("_short", "_k"))
+    """Short labels that stay distinct, numbered in list order.
+
+    ``df`` must be a bounded list (a top-N or a handful of categories): it
+    is labelled as one group by a small pandas helper, because the rule is
+    sequential (a suffixed label may collide with a later natural one).
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
+    return (df.withColumn("_list", F.lit(0)).groupBy("_list")
+            .applyInPandas(lambda pdf: _label_list(pdf.drop(columns="_list"), name, order, n, out),
+                           schema))
 
 
 def first_flag(order: list[Column]) -> Column:

@@ -52,3 +52,10 @@ def test_normalisation_matches_python_and_damaged_text(spark):
     assert got == [normalize_text(t) for t in texts]
     assert normalize_text("BOLÍVAR") == "bolivar"
     assert query_words("  Hospital   NAVAL ") == ["hospital", "naval"]
+
+
+def test_short_labels_avoid_suffix_collisions(spark):
+    names = ["A (2)", "A", "A", "B"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(names)], "pos int, name string")
+    got = [r.label for r in unique_short_labels(df, "name", "pos", 28).orderBy("pos").collect()]
+    assert got == ["A (2)", "A", "A (3)", "B"]
