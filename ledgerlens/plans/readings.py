@@ -154,7 +154,7 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         F.when(c("top_suppliers_pct").isNotNull(),
                F.concat(F.lit("Of "), fm.integer(c("n_suppliers")), F.lit(" suppliers, the "),
                         F.lit(str(TOP_N)), F.lit(" largest take "),
-                        fm.whole_percent(c("top_suppliers_pct")),
+                        fm.percent(c("top_suppliers_value"), c("total_value")),
                         F.lit(" of the money."))),
         F.concat(fm.integer(c("n_priority")),
                  F.lit(" contracts raise two or more alert signals; they are where to look first.")))
