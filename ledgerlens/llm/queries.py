@@ -7,8 +7,10 @@ operator's full result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding
+from . import (html_text, license_scan, mixing, near_join, packing, quality, sharding, toxicity,
+               url_filter, vector_search)
 from ._common import table
 
 
@@ -23,9 +25,47 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of each document."""
+    return near_join.near_components(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of each document."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.drop("spans")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin of each piece of each document."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op7_best_fit_packing)}
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of each document and whether the rules keep it."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_sharding, op3_ngram_jaccard, op4_license_scan, op5_html_extraction,
+    op6_url_filter, op7_best_fit_packing, op8_nearest_vectors, op9_quality_rules, op10_toxicity)}
