@@ -156,7 +156,7 @@ def _reduced(slices_bits: int, most: int):
 def shared_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The map, and the frequent shingles' keys (sorted) with their document frequencies."""
     tasks = docs.rdd.getNumPartitions()  # one slice holds a fixed share of one task's input
-    bits = min(20, max(4, (4 * tasks - 1).bit_length()))
+    bits = min(20, max(7, (4 * tasks - 1).bit_length()))  # at least 7: keys of 39 bits, 32 written
     counted = docs.select("data").mapInArrow(
         _counted(bits, width), "slice int, keys binary, many binary, times binary")
     got = counted.groupBy("slice").applyInPandas(

@@ -27,10 +27,11 @@ from ._common import cut, ready
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-MIN_CHARS = 120      # least characters for the character histogram to count
+MIN_CHARS = 250      # least characters for the character histogram to count
+MAX_SENT = 5000      # profiles of languages, of 48 numbers each, sent to every task
 MIN_HIST_WORDS = 40  # least words for the word histogram to count
 MAX_CHAR_JS = 0.08
-MAX_WORD_JS = 0.13
+MAX_WORD_JS = 0.20
 
 # Common words of four languages.
 COMMON_WORDS = ("the of and to in is for that was on "
@@ -81,11 +82,11 @@ _RUNS = """
       cast(coalesce(get(at, j + 1), size(hits)) - p AS bigint) AS n)))"""
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang`` and the base statistics, with the two histograms."""
+def base_statistics(docs: DataFrame, keep: Column) -> DataFrame:
+    """``keep, lang`` and the base statistics, with the two histograms."""
     ready(docs)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "lang", text.alias("text"))
+    rows = docs.select(keep.alias("keep"), "lang", text.alias("text"))
     rows = rows.withColumn("words", F.expr(
         "filter(split(text, '[\\\\x20\\\\x09-\\\\x0D]+', -1), w -> w != '')"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -94,7 +95,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     hits = F.transform(F.filter(flat, lambda w: w.isin(*COMMON_WORDS)),
                        lambda w: F.array_position(common, w).cast("int") - 1)
     stats = rows.select(
-        "doc_id", "lang", F.size("words").cast("long").alias("n_words"),
+        "keep", "lang", F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         _count(SYMBOLS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -111,7 +112,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     counted = F.concat(F.expr(_RUNS), F.array(other))
     failed = ((F.col("n_words") < MIN_WORDS)
               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return stats.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+    return stats.select("keep", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", failed.alias("base_failed"), "chars",
                         chars.alias("char_hist"), counted.alias("word_hist"))
 
@@ -159,19 +160,37 @@ def _profiles(stats: DataFrame) -> DataFrame:
         _shares("ref_words").alias("ref_words"))
 
 
-def judge(docs: DataFrame, max_char_js: float = MAX_CHAR_JS,
-          max_word_js: float = MAX_WORD_JS) -> DataFrame:
-    """One row per document: base statistics, ``char_js``, ``word_js``, ``base_failed``, ``kept``."""
-    stats = cut(base_statistics(docs))  # the texts are read once
-    refs = _profiles(stats)
+def _judged(stats: DataFrame, refs: DataFrame, max_char_js: float, max_word_js: float) -> DataFrame:
+    """Adds ``char_js, word_js, kept``."""
     both = stats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    known = F.col("ref_lang").isNotNull() | F.col("ref_chars").isNotNull()
+    known = F.col("ref_chars").isNotNull()
     both = (both.withColumn("char_js", F.when(known, jensen_shannon(
                 _shares("char_hist"), F.col("ref_chars"))).otherwise(0.0))
             .withColumn("word_js", F.when(known, word_divergence(
                 F.col("word_hist"), F.col("ref_words"))).otherwise(0.0)))
     odd = (((F.col("chars") >= MIN_CHARS) & (F.col("char_js") > max_char_js))
            | ((F.col("n_words") >= MIN_HIST_WORDS) & (F.col("word_js") > max_word_js)))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"),
-                       "char_js", "word_js")
+    return both.withColumn("kept", ~F.col("base_failed") & ~odd)
+
+
+def judge(docs: DataFrame, max_char_js: float = MAX_CHAR_JS,
+          max_word_js: float = MAX_WORD_JS) -> DataFrame:
+    """One row per document: base statistics, ``char_js``, ``word_js``, ``base_failed``, ``kept``."""
+    stats = cut(base_statistics(docs, F.col("doc_id")))  # the texts are read once
+    return _judged(stats, _profiles(stats), max_char_js, max_word_js).select(
+        F.col("keep").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words", "base_failed", "kept", "char_js", "word_js")
+
+
+def keep_good(docs: DataFrame, max_char_js: float = MAX_CHAR_JS,
+              max_word_js: float = MAX_WORD_JS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep.
+
+    The statistics are computed a second time beside each row: that costs
+    less than to shuffle the texts.  Languages' profiles are sent to every
+    task if they are at most ``MAX_SENT``; else they are joined by shuffle.
+    """
+    refs = cut(_profiles(cut(base_statistics(docs, F.lit(0)))))
+    near = F.broadcast(refs) if refs.count() <= MAX_SENT else refs
+    rows = base_statistics(docs, F.struct(*docs.columns))
+    return _judged(rows, near, max_char_js, max_word_js).filter("kept").select("keep.*")
