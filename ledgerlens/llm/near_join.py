@@ -376,4 +376,4 @@ def one_of_each(docs: DataFrame, **kw) -> DataFrame:
                .select(F.col("doc_id").alias("_id")).distinct())
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     kept = rows.filter("_id IS NOT NULL").join(leaders, "_id", "left_semi").dropDuplicates(["_id"])
-    return kept.union(rows.filter("_id IS NULL")).select("_row.*")
+    return kept.unionByName(rows.filter("_id IS NULL")).select("_row.*")
