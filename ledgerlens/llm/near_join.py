@@ -20,7 +20,8 @@ have come from all documents; hash collisions in them only cost speed.
 Equal sets are joined by a 128-bit hash; signatures that share a document of
 hot copies hold it once.  Under each signature all documents are first
 compared with one pivot; then only pairs of documents whose components still
-differ.  No candidate is dropped.
+differ and whose parity maps (an upper bound of the overlap) allow the
+threshold.  No candidate is dropped.
 
 Sizes.  The map (``MAP_BITS`` bits) and the list of frequent shingles (at
 most ``FREQUENT``) have fixed sizes and go to every executor.  With more
@@ -51,7 +52,8 @@ PERCENT = 75         # least similarity
 MAP_BITS = 27        # 2 ** MAP_BITS bits: shingles that two documents have
 FREQUENT = 1 << 17   # most shingles that count as frequent
 LEAST_FREQUENT = 16  # documents that a frequent shingle has at least
-CHUNK = 2_000_000    # shingles counted at a time in a task
+CHUNK = 1_000_000    # shingles counted at a time in a task
+PARITY = 512         # bits of a set's parity map
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -61,7 +63,7 @@ class _Words(dict):
     """Word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:  # bounded memory in long tasks
+        if len(self) > 300_000:  # bounded memory in long tasks
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -209,7 +211,7 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, rank: np.ndarray,
         often = np.flatnonzero(shared & (rank > 0))
         often = tokens[often[np.argsort(rank[often], kind="stable")]]
         for band in bands(n, percent):
-            classes = max(1, (1 << band) // 16)
+            classes = max(1, (1 << band) // 8)
             kind = _mix(often) % np.uint64(classes)
             opens = np.zeros(len(often), bool)
             opens[np.unique(kind, return_index=True)[1]] = True
@@ -227,7 +229,14 @@ def signatures(tokens: np.ndarray, shared: np.ndarray, rank: np.ndarray,
     return np.concatenate(sigs), np.concatenate(rests)
 
 
-SETS = "doc_id long, n long, name binary, keys array<long>, sigs array<long>, rests array<int>"
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit k: whether an odd number of the shingles hash to k."""
+    odd = np.bincount((_mix(tokens ^ _P) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+SETS = ("doc_id long, n long, name binary, keys array<long>, sigs array<long>, rests array<int>, "
+        "parity array<long>")
 
 
 def _described(sent, width: int, percent: int):
@@ -238,7 +247,7 @@ def _described(sent, width: int, percent: int):
         seen, known = _Words(), set()
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
         for b in batches:
-            sizes, names, keys, sigs, rests = [], [], [], [], []
+            sizes, names, keys, sigs, rests, parities = [], [], [], [], [], []
             for data in b.column("data").to_pylist():
                 s = shingles(data, seen, width)
                 name = xxhash.xxh128_digest(s.tobytes())
@@ -256,10 +265,12 @@ def _described(sent, width: int, percent: int):
                 keys.append(None if got is None else s[shared].view(np.int64))
                 sigs.append(None if got is None else got[0].view(np.int64))
                 rests.append(None if got is None else got[1].astype(np.int32))
+                parities.append(None if got is None else parity(s))
             yield pa.record_batch(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
-                 pa.array(keys, longs), pa.array(sigs, longs), pa.array(rests, ints)],
-                ["doc_id", "n", "name", "keys", "sigs", "rests"])
+                 pa.array(keys, longs), pa.array(sigs, longs), pa.array(rests, ints),
+                 pa.array(parities, longs)],
+                ["doc_id", "n", "name", "keys", "sigs", "rests", "parity"])
     return run
 
 
@@ -271,6 +282,14 @@ def _can_link(percent: int, a: str, b: str) -> Column:
     return (100 + percent) * least >= percent * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
+def _parity_allows(percent: int, a: str, b: str) -> Column:
+    """Whether the parity maps allow the threshold: sets differ by at least their distance."""
+    words = [F.bit_count(F.col(f"parity_{a}")[i].bitwiseXOR(F.col(f"parity_{b}")[i]))
+             for i in range(PARITY // 64)]
+    both = F.col(f"n_{a}") + F.col(f"n_{b}")
+    return (100 + percent) * (both - sum(words[1:], words[0])) >= 2 * percent * both
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs ``(a, b)`` whose sets are similar enough."""
     def side(x: str) -> DataFrame:
@@ -326,36 +345,41 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     nodes = named.groupBy("name").agg(F.min("doc_id").alias("node"))
     full = (named.filter("sigs IS NOT NULL").groupBy("name").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sigs").alias("sigs"),
-        F.first("rests").alias("rests")))
+        F.first("rests").alias("rests"), F.first("parity").alias("parity")))
     sets = cut(full.join(nodes, "name").drop("name"))
     entries = sets.select("node", "n", F.explode(F.arrays_zip("sigs", "rests")).alias("e")).select(
         F.col("e.sigs").alias("sig"), F.col("node").alias("b"), F.col("n").alias("n_b"),
         F.col("e.rests").alias("rest_b"))
 
-    # Every document under a signature against the signature's pivot.
-    pivots = (entries.groupBy("sig").agg(F.min(F.struct("b", "n_b", "rest_b")).alias("p"),
-                                         F.max("b").alias("last"))
-              .filter(F.col("p.b") != F.col("last"))
-              .select("sig", F.col("p.b").alias("a"), F.col("p.n_b").alias("n_a"),
-                      F.col("p.rest_b").alias("rest_a")))
-    met = cut(entries.join(pivots, "sig"))  # under signatures of two documents or more
-    star = met.filter((F.col("a") != F.col("b")) & _can_link(percent, "a", "b")
-                      ).select("a", "b").distinct()
+    # The document that meets most others -- an original among its copies -- is compared
+    # with all others under a signature.
+    held = entries.groupBy("sig").agg(F.count("*").alias("held")).filter("held > 1")
+    met = entries.join(held, "sig")  # under signatures of two documents or more
+    fame = met.groupBy("b").agg(F.sum("held").alias("fame"))
+    met = cut(met.join(fame, "b").drop("held"))
+    pivots = met.groupBy("sig").agg(F.max(F.struct(
+        "fame", (-F.col("b")).alias("neg"), "n_b", "rest_b")).alias("p")).select(
+        "sig", (-F.col("p.neg")).alias("a"), F.col("p.n_b").alias("n_a"),
+        F.col("p.rest_b").alias("rest_a"))
+    star = met.join(pivots, "sig").filter(
+        (F.col("a") != F.col("b")) & _can_link(percent, "a", "b")).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(_verified(star, sets, percent))
     roots = cut(components(links))
 
-    # Pairs under one signature whose components still differ.
+    # Then all pairs under one signature whose components still differ.
     labelled = met.select("sig", "b", "n_b", "rest_b").join(
         roots.withColumnRenamed("node", "b"), "b", "left").withColumn(
         "root", F.coalesce("root", "b"))
     apart = labelled.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter(
         "r0 <> r1").select("sig")
-    left = cut(labelled.join(apart, "sig"))
-    right = left.select("sig", F.col("b").alias("a"), F.col("n_b").alias("n_a"),
-                        F.col("rest_b").alias("rest_a"), F.col("root").alias("root_a"))
-    crossing = (left.join(right, "sig").filter((F.col("root_a") < F.col("root"))
-                                               & _can_link(percent, "a", "b"))
-                .select("a", "b").distinct())
+    left = cut(labelled.join(apart, "sig").join(
+        sets.select(F.col("node").alias("b"), F.col("parity").alias("parity_b")), "b"))
+    right = left.select("sig", *[F.col(f"{c}_b" if c else "b").alias(f"{c}_a" if c else "a")
+                                 for c in ("", "n", "rest", "parity")], F.col("root").alias("root_a"))
+    crossing = (left.join(right, "sig").filter(
+        (F.col("root_a") < F.col("root")) & _can_link(percent, "a", "b")
+        & _parity_allows(percent, "a", "b")).select("a", "b").distinct())
     more = cut(_verified(crossing, sets, percent))
     roots = components(links.union(more))
 
