@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ready, word_count
+from ._common import ready, shuffle_width, word_count
 
 CAPACITY = 1024
 LANE_ROWS = 4096
@@ -96,5 +96,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, lane_rows: int = LANE_ROWS)
     once = items.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n"))
     each = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     lane = F.pmod(F.xxhash64(F.lit("lane"), "doc_id", "cluster", "copy"), F.lit(lanes))
-    return (each.withColumn("lane", lane.cast("long")).groupBy("lane")
+    # A stated number of partitions, else the few bytes of all lanes would go into one task.
+    tasks = min(lanes, 4 * shuffle_width(docs.sparkSession))
+    return (each.withColumn("lane", lane.cast("long")).repartition(tasks, "lane").groupBy("lane")
             .applyInPandas(_lane(capacity), SCHEMA))
