@@ -142,8 +142,9 @@ def _reduced(slices_bits: int, most: int):
         keys, times = np.concatenate(keys), np.concatenate(times)
         order = np.argsort(keys, kind="stable")
         keys, times = keys[order], times[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, df = keys[first].astype(np.uint64), np.add.reduceat(times, first)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[:len(keys)]
+        df = np.add.reduceat(times, first) if len(first) else times
+        keys = keys[first].astype(np.uint64)
         bits = np.zeros(1 << (MAP_BITS - slices_bits), bool)
         bits[keys[df >= 2] >> np.uint64(39 - MAP_BITS)] = True
         top = np.flatnonzero(df >= LEAST_FREQUENT)
