@@ -17,15 +17,10 @@ rank ``p * (n - 1)`` without ever gathering a whole group:
 4. the wanted ranks are picked with ``row_number`` inside the bracket,
    which now holds at most ``local_limit`` values per group.
 
-Bracket bounds are literals (global) or literal map lookups (few groups),
-so the bracket predicate is pushed into the parquet scan and needs no join.
-Several global percentiles share every pass.  Interpolation is
-``fma(1 - d, lo, d * hi)`` (``math.fma`` on the per-group result scalars),
-bit-for-bit DuckDB's ``quantile_cont``.  Grouped percentiles are meant for
-few groups (up to ``MAP_GROUPS``) keep their state on the driver and use
-literal maps; with more groups the state stays in DataFrames joined to the
-values, and only the few groups whose bracket stays large take the
-literal-map path.
+Global percentiles share every pass; their bounds are literals, so the
+bracket predicate is pushed into the parquet scan.  Grouped percentiles keep
+their state in a DataFrame for any number of groups.  Interpolation is
+``fma(1 - d, lo, d * hi)``, bit for bit DuckDB's ``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -37,11 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import work_dir
+
 ACCURACY = 10_000
 LOCAL_LIMIT = 250_000
 BUCKETS = 1024
-MAX_ROUNDS = 16
-MAP_GROUPS = 5_000
 
 
 def lerp(a: float | None, z: float | None, d: float) -> float | None:
@@ -193,6 +188,8 @@ def percentile_scalars(df: DataFrame, specs: dict[str, tuple[Column, float]],
             missed |= t.widen_if_missed()
         if not missed:
             break
+    else:
+        raise RuntimeError("the table changed between the passes of a percentile")
     tagged = [(name, cols[name], t) for name, t in targets.items()]
     for name in specs:
         out.setdefault(name, None)
@@ -230,19 +227,27 @@ def percentile_scalars(df: DataFrame, specs: dict[str, tuple[Column, float]],
 
 
 def _narrow_all(df: DataFrame, tagged: list, limit: int) -> None:
-    """Pass 3: histogram narrowing of brackets still above ``limit``."""
-    for _ in range(MAX_ROUNDS):
-        open_ = [(v, t) for v, t in tagged if t.unresolved(limit)]
+    """Pass 3: histogram narrowing of brackets still above ``limit``; one scan
+    a round for all of them, until none is left."""
+    while True:
+        open_ = {i: (v, t) for i, (v, t) in enumerate(tagged) if t.unresolved(limit)}
         if not open_:
-            break
-        for v, t in open_:
-            width = t.hi - t.lo
-            b = F.least(F.floor((v - F.lit(t.lo)) / F.lit(width) * BUCKETS), F.lit(BUCKETS - 1))
-            hist = (df.where(v.between(F.lit(t.lo), F.lit(t.hi)))
-                    .groupBy(b.alias("_b"))
-                    .agg(F.count(F.lit(1)).alias("_c"), F.min(v).alias("_mn"), F.max(v).alias("_mx"))
-                    .collect())  # at most 1024 rows
-            t.narrow(sorted((h["_b"], h["_c"], h["_mn"], h["_mx"]) for h in hist))
+            return
+        cells = [F.when(v.between(F.lit(t.lo), F.lit(t.hi)), F.struct(
+            F.lit(i).alias("i"), _bucket(v, F.lit(t.lo), F.lit(t.hi)).alias("b"), v.alias("v")))
+            for i, (v, t) in open_.items()]
+        hist = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("e"))
+                .groupBy("e.i", "e.b").agg(F.count("*").alias("c"), F.min("e.v").alias("mn"),
+                                           F.max("e.v").alias("mx")).collect())  # 1024 a spec
+        for i, (_, t) in open_.items():
+            before = (t.lo, t.hi, t.a, t.z)
+            t.narrow(sorted((h["b"], h["c"], h["mn"], h["mx"]) for h in hist if h["i"] == i))
+            if before == (t.lo, t.hi, t.a, t.z):
+                raise RuntimeError("a percentile bracket cannot be narrowed further")
+
+
+def _bucket(v: Column, lo: Column, hi: Column) -> Column:
+    return F.least(F.floor((v - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
 def percentile_exact(df: DataFrame, col: str | Column, p: float,
@@ -264,98 +269,10 @@ def percentile_exact(df: DataFrame, col: str | Column, p: float,
             .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     for b in by:
         vals = vals.where(F.col(b).isNotNull())
-    # One string per group key, made by Spark itself, for the literal maps.
-    vals = vals.withColumn("_key", F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by]))
-    key = F.col("_key")
-    plo, phi = max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY)
-    first_df = vals.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-        F.percentile_approx("_v", F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias("_br"),
-        F.first("_key").alias("_key"))
-    first = first_df.limit(MAP_GROUPS + 1).collect()  # bounded
     schema = T.StructType([f for f in df.select(*by).schema.fields]
                           + [T.StructField(out, T.DoubleType())])
-    if len(first) > MAP_GROUPS:
-        return _percentile_many(vals, first_df, by, p, out, local_limit, schema)
-    if not first:
-        return spark.createDataFrame([], schema)
-    return _percentile_few(vals, first, by, p, out, local_limit, schema)
-
-
-def _percentile_few(vals: DataFrame, first: list, by: list, p: float, out: str,
-                    local_limit: int, schema) -> DataFrame:
-    """Few groups: per-group state on the driver, bounds as literal maps."""
-    spark = vals.sparkSession
-    key = F.col("_key")
-    plo, phi = _levels(p)
-    keys = [tuple(r[b] for b in by) for r in first]
-    targets = {k: _Target(r["_n"], p, r["_mn"], r["_mx"], r["_br"], plo, phi)
-               for k, r in zip(keys, first)}
-    key_str = {k: r["_key"] for k, r in zip(keys, first)}
-
-    def key_lit(k):
-        return F.lit(key_str[k])
-
-    def lookup(attr):
-        pairs = []
-        for k, t in targets.items():
-            pairs += [key_lit(k), F.lit(getattr(t, attr))]
-        return F.element_at(F.create_map(*pairs), key)
-
-    for _ in range(2):
-        lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
-        rows = (vals.groupBy(*by).agg(
-            F.count_if(F.col("_v") < lo).alias("_below"),
-            F.count_if(F.col("_v").between(lo, hi)).alias("_inside")).collect())
-        missed = False
-        for r in rows:
-            t = targets[tuple(r[b] for b in by)]
-            t.below, t.inside = r["_below"], r["_inside"]
-            missed |= t.widen_if_missed()
-        if not missed:
-            break
-    for _ in range(MAX_ROUNDS):
-        open_ = {k: t for k, t in targets.items() if t.unresolved(local_limit)}
-        if not open_:
-            break
-        lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
-        width = hi - lo
-        b = F.least(F.floor((F.col("_v") - lo) / width * BUCKETS), F.lit(BUCKETS - 1))
-        is_open = F.element_at(F.create_map(*sum(([key_lit(k), F.lit(k in open_)]
-                                                   for k in targets), [])), key)
-        hist = (vals.where(is_open & F.col("_v").between(lo, hi))
-                .groupBy(*by, b.alias("_b"))
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
-                     F.max("_v").alias("_mx")).collect())  # <= groups x 1024 rows
-        per = {}
-        for h in hist:
-            per.setdefault(tuple(h[x] for x in by), []).append((h["_b"], h["_c"], h["_mn"], h["_mx"]))
-        for k, t in open_.items():
-            t.narrow(sorted(per[k]))
-    lo, hi = lookup("lo").cast("double"), lookup("hi").cast("double")
-    below = lookup("below").cast("bigint")
-    kk, kk1 = lookup("k").cast("bigint"), lookup("k1").cast("bigint")
-    small = F.element_at(F.create_map(*sum(([key_lit(k), F.lit(t.inside <= local_limit and t.lo < t.hi)]
-                                              for k, t in targets.items()), [])), key)
-    w = Window.partitionBy(*by).orderBy("_v")
-    picked = (vals.where(small & F.col("_v").between(lo, hi))
-              .withColumn("_rn", F.row_number().over(w) - 1 + below)
-              .where(F.col("_rn").isin(kk, kk1))
-              .groupBy(*by).agg(
-                  F.max(F.when(F.col("_rn") == kk, F.col("_v"))).alias("_pa"),
-                  F.max(F.when(F.col("_rn") == kk1, F.col("_v"))).alias("_pz"))
-              .collect())
-    for r in picked:
-        t = targets[tuple(r[b] for b in by)]
-        t.a = t.a if t.a is not None else r["_pa"]
-        t.z = t.z if t.z is not None else r["_pz"]
-    res = []
-    for k, t in targets.items():
-        if t.lo == t.hi:
-            t.a = t.a if t.a is not None else t.lo
-            t.z = t.z if t.z is not None else t.lo
-        res.append((*k, t.value()))
-    return spark.createDataFrame(res, schema)
+    got = _grouped(vals, by, p, out, local_limit)
+    return spark.createDataFrame([], schema).unionByName(got.select(*schema.fieldNames()))
 
 
 def lerp_col(a: Column, z: Column, d: Column) -> Column:
@@ -366,58 +283,72 @@ def lerp_col(a: Column, z: Column, d: Column) -> Column:
     return F.when(d == 0, a).otherwise(fused)
 
 
-def _percentile_many(vals: DataFrame, first_df: DataFrame, by: list, p: float, out: str,
-                     local_limit: int, schema) -> DataFrame:
-    """Many groups: per-group state stays in DataFrames and is joined to the
-    values (a shuffle join on the group keys; AQE splits a hot group).  Only
-    groups whose bracket still holds more than ``local_limit`` values -- at
-    most rows / (local_limit * ACCURACY / 6) of them, so few -- go through
-    the literal-map path with histogram narrowing."""
-    spark = vals.sparkSession
+def _grouped(vals: DataFrame, by: list, p: float, out: str, local_limit: int) -> DataFrame:
+    """Percentile of each group, for any number of groups.
+
+    The search state -- one row per group and wanted rank, with its bracket
+    -- is a DataFrame joined to the values (AQE splits a hot group).  Each
+    round narrows all brackets that hold over ``local_limit`` values by a
+    histogram, in one scan, until none does.
+    """
     plo, phi = _levels(p)
     pos = F.lit(p) * (F.col("_n") - 1)
-    st = (first_df
-          .withColumn("_k", F.floor(pos).cast("bigint"))
-          .withColumn("_d", pos - F.floor(pos))
-          .withColumn("_k1", F.least(F.col("_k") + 1, F.col("_n") - 1))
-          .withColumn("_lo", F.col("_mn") if plo == 0.0 else F.col("_br")[0])
-          .withColumn("_hi", F.col("_mx") if phi == 1.0 else F.col("_br")[1])
-          .drop("_br"))
-
-    def counted(state: DataFrame) -> DataFrame:
-        cnt = (vals.drop("_key").join(state.select(*by, "_lo", "_hi"), by)
-               .groupBy(*by).agg(
-                   F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-                   F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside")))
-        return state.join(cnt, by)
-
-    st = counted(st).cache()
-    missed = (F.col("_below") > F.col("_k")) | (F.col("_below") + F.col("_inside") <= F.col("_k1"))
-    if st.where(missed).limit(1).count():
-        widened = (st.withColumn("_miss", missed)
-                   .withColumn("_lo", F.when(F.col("_miss"), F.col("_mn")).otherwise(F.col("_lo")))
-                   .withColumn("_hi", F.when(F.col("_miss"), F.col("_mx")).otherwise(F.col("_hi")))
-                   .drop("_below", "_inside", "_miss"))
-        st = counted(widened.select(*by, "_key", "_n", "_mn", "_mx", "_k", "_d", "_k1",
-                                    "_lo", "_hi")).cache()
-    big = (F.col("_inside") > local_limit) & (F.col("_lo") < F.col("_hi"))
-    big_keys = [r["_key"] for r in st.where(big).select("_key").collect()]  # few
-    w = Window.partitionBy(*by).orderBy("_v")
-    small = st.where(~big)
-    picked = (vals.drop("_key").join(small.select(*by, "_lo", "_hi", "_below", "_k", "_k1", "_d"), by)
+    key = [*by, "_rank"]
+    state = (vals.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
+        F.percentile_approx("_v", F.array(F.lit(plo), F.lit(phi)), ACCURACY).alias("_br"))
+        .withColumn("_d", pos - F.floor(pos))
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(
+            F.floor(pos), F.least(F.floor(pos) + 1, F.col("_n") - 1)))))
+        .withColumn("_first", F.col("_rank") == F.floor(pos))
+        .withColumn("_lo", F.col("_mn") if plo == 0.0 else F.col("_br")[0])
+        .withColumn("_hi", F.col("_mx") if phi == 1.0 else F.col("_br")[1]).drop("_br"))
+    counts = (vals.join(state.select(*key, "_lo", "_hi"), by).groupBy(*key).agg(
+        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
+        F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside")))
+    missed = (F.col("_below") > F.col("_rank")) | (F.col("_below") + F.col("_inside") <= F.col("_rank"))
+    state = (state.join(counts, key).withColumn("_missed", missed)
+             .withColumn("_lo", F.when(F.col("_missed"), F.col("_mn")).otherwise(F.col("_lo")))
+             .withColumn("_hi", F.when(F.col("_missed"), F.col("_mx")).otherwise(F.col("_hi")))
+             .withColumn("_below", F.when(F.col("_missed"), 0).otherwise(F.col("_below")))
+             .withColumn("_inside", F.when(F.col("_missed"), F.col("_n")).otherwise(F.col("_inside")))
+             .select(*key, "_first", "_d", "_lo", "_hi", "_below", "_inside"))
+    state = _cut(state)
+    wide = (F.col("_inside") > local_limit) & (F.col("_lo") < F.col("_hi"))
+    before = None
+    while (todo := state.where(wide).agg(F.count("*"), F.sum("_inside"), F.sum(
+            F.col("_hi") - F.col("_lo"))).first())[0]:
+        if todo == before:
+            raise RuntimeError("a percentile bracket cannot be narrowed further")
+        before = todo
+        wanted = state.where(wide)
+        hist = (vals.join(wanted.select(*key, "_lo", "_hi"), by)
+                .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                .groupBy(*key, _bucket(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b"))
+                .agg(F.count("*").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h")))
+        earlier = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        at = F.col("_rank") - F.col("_below")
+        hit = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+               .join(wanted.drop("_lo", "_hi", "_inside"), key)
+               .where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_c")))
+               .select(*key, "_first", "_d", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"),
+                       (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_inside")))
+        state = _cut(state.where(~wide).unionByName(hit))
+    settled = state.where("_lo = _hi").select(*key, "_first", "_d", F.col("_lo").alias("_x"))
+    w = Window.partitionBy(*key).orderBy("_v")
+    picked = (vals.join(state.where("_lo < _hi"), by)
               .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
               .withColumn("_rn", F.row_number().over(w) - 1 + F.col("_below"))
-              .where(F.col("_rn").isin(F.col("_k"), F.col("_k1")))
-              .groupBy(*by).agg(
-                  F.max(F.when(F.col("_rn") == F.col("_k"), F.col("_v"))).alias("_a"),
-                  F.max(F.when(F.col("_rn") == F.col("_k1"), F.col("_v"))).alias("_z"),
-                  F.first("_d").alias("_d")))
-    result = picked.select(*by, lerp_col(F.col("_a"), F.col("_z"), F.col("_d")).alias(out))
-    if big_keys:
-        sub = vals.where(F.col("_key").isin(big_keys))
-        rows = first_df.where(F.col("_key").isin(big_keys)).collect()
-        result = result.unionByName(_percentile_few(sub, rows, by, p, out, local_limit, schema))
-    return spark.createDataFrame([], schema).unionByName(result.select(*schema.fieldNames()))
+              .where(F.col("_rn") == F.col("_rank")).select(*key, "_first", "_d", F.col("_v").alias("_x")))
+    low, high = F.max(F.when(F.col("_first"), F.col("_x"))), F.max(F.when(~F.col("_first"), F.col("_x")))
+    return (settled.unionByName(picked).groupBy(*by).agg(
+        low.alias("_a"), F.coalesce(high, low).alias("_z"), F.max("_d").alias("_d"))
+        .select(*by, lerp_col(F.col("_a"), F.col("_z"), F.col("_d")).alias(out)))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    work_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def percentile_value(df: DataFrame, col: str | Column, p: float) -> float | None:

@@ -54,38 +54,28 @@ def short_label(name: Column, n: int) -> Column:
         F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+$", ""), F.lit(ELLIPSIS)))
 
 
-def _label_list(pdf, name: str, order: str, n: int, out: str):
-    """Sequential rule on one bounded list: cut to n-1 chars + '…' when
-    longer than n; a label already used gets ' (k)' with the next free k."""
-    pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-    used: set[str] = set()
-    labels = []
-    for value in pdf[name]:
-        text = str(value)
-        short = text if len(text) <= n else text[: n - 1].rstrip() + ELLIPSIS
-        base, k = short, 1
-        while short in used:
-            k += 1
-            short = f"{base} ({k})"
-        used.add(short)
-        labels.append(short)
-    pdf[out] = labels
-    return pdf
-
-
 def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str = "label") -> DataFrame:
     """Short labels that stay distinct, numbered in list order.
 
-    ``df`` must be a bounded list (a top-N or a handful of categories): it
-    is labelled as one group by a small pandas helper, because the rule is
-    sequential (a suffixed label may collide with a later natural one).
+    ``df`` must be a bounded list (a top-N or a handful of categories).  The
+    list becomes one array in ``order``; a fold over it gives each row the
+    first of ``short``, ``short (2)``, ``short (3)``... that is still free.
     """
-    from pyspark.sql import types as T
-
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType())])
-    return (df.withColumn("_list", F.lit(0)).groupBy("_list")
-            .applyInPandas(lambda pdf: _label_list(pdf.drop(columns="_list"), name, order, n, out),
-                           schema))
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), short_label(
+        F.coalesce(F.col(name).cast("string"), F.lit("None")), n).alias("_s"),
+        F.struct(*df.columns).alias("_row"))))
+
+    def free(taken: Column, short: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1), lambda k: F.when(
+            k == 1, short).otherwise(F.concat(short, F.lit(" ("), k.cast("string"), F.lit(")"))))
+        return F.filter(tries, lambda t: ~F.array_contains(taken, t))[0]
+
+    labels = F.aggregate("_list", F.array().cast("array<string>"),
+                         lambda done, e: F.concat(done, F.array(free(done, e["_s"]))))
+    pairs = F.zip_with("_list", labels, lambda e, label: F.struct(
+        e["_row"].alias("_row"), label.alias("_label")))
+    return (df.agg(listed.alias("_list")).select(F.explode(pairs).alias("_e"))
+            .select("_e._row.*", F.col("_e._label").alias(out)))
 
 
 def first_flag(order: list[Column]) -> Column:

@@ -17,7 +17,7 @@ from ..operators.report import attach_one_row
 from ..operators.stats import Thresholds
 from . import facts
 
-EMPTY = "This view has no contracts, so there is nothing to read yet."
+EMPTY = "empty view."
 
 
 def _one(df: DataFrame, **renames) -> DataFrame:
@@ -142,96 +142,96 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
 
     headline = F.concat_ws(
         " ",
-        F.concat(F.lit("You are looking at "), fm.integer(c("n_contracts")),
-                 F.lit(" contracts worth "), fm.money(c("total_value")), F.lit(" of public money.")),
+        F.concat(F.lit("contracts: "), fm.integer(c("n_contracts")),
+                 F.lit("; value: "), fm.money(c("total_value")), F.lit(";")),
         F.when(c("top_entity_pct").isNotNull(),
-               F.concat(F.lit("The entity that contracts most is "), fm.name_cut(c("top_entity")),
-                        F.lit(", with "), fm.percent(c("top_entity_value"), c("total_value")),
-                        F.lit(" of that money."))),
+               F.concat(F.lit("top buyer: "), fm.name_cut(c("top_entity")),
+                        F.lit(" = "), fm.percent(c("top_entity_value"), c("total_value")),
+                        F.lit(" of value;"))),
         F.when(c("direct_pct").isNotNull(),
                F.concat(fm.whole_percent(c("direct_pct")),
-                        F.lit(" of these contracts were direct awards, without competition."))),
+                        F.lit(" direct awards;"))),
         F.when(c("top_suppliers_pct").isNotNull(),
-               F.concat(F.lit("Of "), fm.integer(c("n_suppliers")), F.lit(" suppliers, the "),
-                        F.lit(str(TOP_N)), F.lit(" largest take "),
+               F.concat(F.lit("suppliers: "), fm.integer(c("n_suppliers")), F.lit("; largest "),
+                        F.lit(str(TOP_N)), F.lit(" hold "),
                         fm.percent(c("top_suppliers_value"), c("total_value")),
-                        F.lit(" of the money."))),
+                        F.lit(" of value;"))),
         F.concat(fm.integer(c("n_priority")),
-                 F.lit(" contracts raise two or more alert signals; they are where to look first.")))
+                 F.lit(" priority contracts")))
 
     kpi_text = F.concat(
-        F.lit("The average contract here is worth "), fm.money(c("mean_value")),
-        F.lit(", the typical (median) one "), fm.money(c("median_value")), F.lit("."),
-        F.when(c("mean_inflated"), F.lit(" A few very large contracts pull the average up."))
+        F.lit("mean value: "), fm.money(c("mean_value")),
+        F.lit("; median value: "), fm.money(c("median_value")), F.lit("."),
+        F.when(c("mean_inflated"), F.lit(" Mean far above median."))
         .otherwise(F.lit("")))
 
     ent_ok = c("e1").isNotNull() & (c("total_value") != 0)
     ent_text = F.concat(
-        fm.name_cut(c("e1")), F.lit(" leads with "), fm.money(c("e1_value")), F.lit(", "),
-        fm.percent(c("e1_value"), c("total_value")), F.lit(" of the money in this view."),
-        F.when(c("e2").isNotNull(), F.concat(F.lit(" Next is "), fm.name_cut(c("e2")),
-                                             F.lit(" with "), fm.percent(c("e2_value"), c("total_value")),
+        fm.name_cut(c("e1")), F.lit(": "), fm.money(c("e1_value")), F.lit(", "),
+        fm.percent(c("e1_value"), c("total_value")), F.lit(" of value."),
+        F.when(c("e2").isNotNull(), F.concat(F.lit(" 2nd: "), fm.name_cut(c("e2")),
+                                             F.lit(" at "), fm.percent(c("e2_value"), c("total_value")),
                                              F.lit("."))).otherwise(F.lit("")))
 
     mod_text = F.concat(
-        F.lit("The most used modality is "), fm.name_cut(c("m1"), 45), F.lit(" ("),
-        fm.percent(c("m1_rows"), c("n_rows")), F.lit(" of contracts). Overall, "),
-        fm.whole_percent(c("direct_pct")), F.lit(" of this view was awarded directly."))
+        F.lit("main modality: "), fm.name_cut(c("m1"), 45), F.lit(" ("),
+        fm.percent(c("m1_rows"), c("n_rows")), F.lit(" of rows); direct awards: "),
+        fm.whole_percent(c("direct_pct")), F.lit("."))
 
     change_ok = (c("n_years") >= 2) & c("change_pct").isNotNull()
     evo_text = F.concat(
-        F.lit("The peak year was "), c("peak_year").cast("string"), F.lit(", with "),
+        F.lit("peak year: "), c("peak_year").cast("string"), F.lit(" = "),
         fm.money(c("peak_value")), F.lit("."),
         F.when(change_ok, F.concat(
-            F.lit(" In "), c("last_year").cast("string"), F.lit(" contracts totalled "),
+            F.lit(" Latest "), c("last_year").cast("string"), F.lit(": "),
             fm.money(c("last_value")), F.lit(", "),
             F.regexp_replace(F.format_number(F.abs(c("change_pct")), 0), ",", ""), F.lit("% "),
-            F.when(c("change_pct") >= 0, F.lit("more")).otherwise(F.lit("less")),
-            F.lit(" than the year before."))).otherwise(F.lit("")))
+            F.when(c("change_pct") >= 0, F.lit("up")).otherwise(F.lit("down")),
+            F.lit(" on the previous year."))).otherwise(F.lit("")))
 
     med_text = F.when(c("md_n") == 0, F.lit(
-        f"No modality reaches {MIN_MEDIAN_GROUP} contracts in this view, so none is compared."
+        f"medians: no modality with {MIN_MEDIAN_GROUP} rows"
     )).otherwise(F.concat(
-        F.lit("The largest contracts are in "), fm.name_cut(c("md_top"), 45),
-        F.lit(": half exceed "), fm.money(c("md_top_value")), F.lit("."),
+        F.lit("highest median: "), fm.name_cut(c("md_top"), 45),
+        F.lit(" at "), fm.money(c("md_top_value")), F.lit("."),
         F.when(c("md_n") > 1, F.concat(
-            F.lit(" At the other end, "), fm.name_cut(c("md_low"), 45),
-            F.lit(" has a median of "), fm.money(c("md_low_value")), F.lit(".")))
+            F.lit(" Lowest median: "), fm.name_cut(c("md_low"), 45),
+            F.lit(" at "), fm.money(c("md_low_value")), F.lit(".")))
         .otherwise(F.lit(""))))
 
     sme_text = F.concat(
-        F.lit("Overall, "), fm.whole_percent(c("sme_all")), F.lit(" of contracts went to an SME."),
+        F.lit("SME share: "), fm.whole_percent(c("sme_all")), F.lit("."),
         F.when(c("s_n") >= 2, F.concat(
-            F.lit(" Their share is highest in "), c("s_hi"), F.lit(" ("),
-            fm.whole_percent(c("s_hi_pct")), F.lit(") and lowest in "), c("s_lo"), F.lit(" ("),
+            F.lit(" Highest band: "), c("s_hi"), F.lit(" ("),
+            fm.whole_percent(c("s_hi_pct")), F.lit("), lowest: "), c("s_lo"), F.lit(" ("),
             fm.whole_percent(c("s_lo_pct")), F.lit(")."))).otherwise(F.lit("")))
 
     par_ok = c("p1").isNotNull() & (c("p_total") != 0)
     par_text = F.concat(
-        fm.integer(c("p_n")), F.lit(" distinct suppliers. The "), F.lit(str(TOP_N)),
-        F.lit(" largest hold "), fm.percent(c("p_top"), c("p_total")),
-        F.lit(" of the money, and the first, "), fm.name_cut(c("p1"), 45),
-        F.lit(", alone takes "), fm.percent(c("p1_value"), c("p_total")), F.lit("."))
+        fm.integer(c("p_n")), F.lit(" suppliers; top "), F.lit(str(TOP_N)),
+        F.lit(": "), fm.percent(c("p_top"), c("p_total")),
+        F.lit(" of value; first: "), fm.name_cut(c("p1"), 45),
+        F.lit(", "), fm.percent(c("p1_value"), c("p_total")), F.lit("."))
 
     thr_parts = []
     if th.t_value is not None:
-        thr_parts.append(F.concat(F.lit("A contract counts as expensive above "),
+        thr_parts.append(F.concat(F.lit("high value: over "),
                                   fm.money(F.lit(th.t_value)), F.lit(".")))
     if th.t_added is not None:
-        thr_parts.append(F.concat(F.lit("An extension is long above "),
-                                  fm.integer(F.lit(th.t_added)), F.lit(" added days.")))
+        thr_parts.append(F.concat(F.lit("long extension: over "),
+                                  fm.integer(F.lit(th.t_added)), F.lit(" days.")))
     if th.t_direct is not None:
-        thr_parts.append(F.concat(F.lit("An entity is direct-award intensive above "),
+        thr_parts.append(F.concat(F.lit("direct-award buyer: over "),
                                   fm.whole_percent(F.lit(th.t_direct * 100)),
-                                  F.lit(" of its contracts.")))
+                                  F.lit(" direct.")))
     thr_text = (F.concat_ws(" ", *thr_parts) if thr_parts
-                else F.lit("There is not enough data to compute the thresholds yet."))
+                else F.lit("thresholds: none."))
 
     rules_text = F.when(c("n_priority") == 0, F.lit(
-        "No contract in this view raises two or more signals.")).otherwise(F.concat(
-            fm.integer(c("n_priority")), F.lit(" contracts raise two or more signals ("),
-            fm.percent(c("n_priority"), c("n_rows")), F.lit(" of the view); "),
-            fm.integer(c("n_critical")), F.lit(" raise all three.")))
+        "priority: none.")).otherwise(F.concat(
+            fm.integer(c("n_priority")), F.lit(" priority rows ("),
+            fm.percent(c("n_priority"), c("n_rows")), F.lit(" of rows), "),
+            fm.integer(c("n_critical")), F.lit(" with three signals.")))
 
     items = [
         guard(F.lit("normal"), headline, "headline"),
@@ -271,20 +271,20 @@ def model_readings(f: DataFrame) -> DataFrame:
     x = _left(_left(_left(_left(spark.range(1), base), ag), ma), mr)
     c = F.col
     empty = c("n_rows") == 0
-    anom = F.when(c("n_anom") == 0, F.lit("The model found no out-of-pattern contract here.")) \
+    anom = F.when(c("n_anom") == 0, F.lit("anomalies: none.")) \
         .otherwise(F.concat(
-            F.lit("The model flagged "), fm.integer(c("n_anom")), F.lit(" contracts ("),
-            fm.percent(c("n_anom"), c("n_rows")), F.lit(" of this view). A typical flagged one is worth "),
-            fm.money(c("med_anom")), F.lit(", against "), fm.money(c("med_rest")),
-            F.lit(" for the rest.")))
-    agree = F.when(c("nothing_flagged"), F.lit("Neither method flagged a contract here.")) \
+            F.lit("anomalies: "), fm.integer(c("n_anom")), F.lit(" ("),
+            fm.percent(c("n_anom"), c("n_rows")), F.lit(" of rows); median value: "),
+            fm.money(c("med_anom")), F.lit(" vs "), fm.money(c("med_rest")),
+            F.lit(" elsewhere.")))
+    agree = F.when(c("nothing_flagged"), F.lit("agreement: nothing flagged.")) \
         .otherwise(F.concat(
-            fm.integer(c("both")), F.lit(" contracts are flagged by both methods, "),
-            fm.integer(c("model_only")), F.lit(" only by the model and "),
-            fm.integer(c("rules_only")), F.lit(" only by the rules."),
+            fm.integer(c("both")), F.lit(" by both, "),
+            fm.integer(c("model_only")), F.lit(" model only, "),
+            fm.integer(c("rules_only")), F.lit(" rules only."),
             F.when(c("overlap_pct").isNotNull(), F.concat(
-                F.lit(" So "), fm.percent(c("both"), c("both") + c("rules_only")),
-                F.lit(" of the rule-priority contracts also look unusual to the model.")))
+                F.lit(" Overlap: "), fm.percent(c("both"), c("both") + c("rules_only")),
+                F.lit(" of priority rows.")))
             .otherwise(F.lit(""))))
     items = [
         _reading("anomalies", F.when(empty, F.lit("empty")).when(c("n_anom") == 0, F.lit("zero"))
@@ -298,12 +298,10 @@ def model_readings(f: DataFrame) -> DataFrame:
 def term_tags(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Which glossary terms occur (case-insensitively) in each text.
 
-    The term list is fixed and small (a proven bound), so it is broadcast
-    and every text is matched against it in one pass; whole texts are
-    searched.
+    The fixed terms are a constant array; each whole text is matched against
+    it within its row, without a join.
     """
-    spark = texts.sparkSession
-    terms = spark.createDataFrame([(t,) for t in GLOSSARY_TERMS], "term string")
-    return (texts.select(id_col, F.lower(F.col(text_col)).alias("_low"))
-            .join(F.broadcast(terms), F.contains(F.col("_low"), F.lower(F.col("term"))))
-            .select(id_col, "term"))
+    low = F.lower(F.col(text_col))
+    terms = F.array(*[F.lit(t) for t in GLOSSARY_TERMS])
+    found = F.filter(terms, lambda t: F.contains(low, F.lower(t)))
+    return texts.select(id_col, F.explode(found).alias("term"))

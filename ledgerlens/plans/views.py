@@ -196,4 +196,4 @@ def facts_by_view(rows: DataFrame, specs: dict) -> DataFrame:
         F.sum("is_direct").cast("bigint").alias("n_direct"),
         F.count_if(F.col("is_sme")).alias("n_sme")))
     # every saved view appears, an empty one with zeros
-    return ids.join(F.broadcast(agg), "view_id", "left").fillna(zero)
+    return ids.join(agg, "view_id", "left").fillna(zero)

@@ -68,6 +68,8 @@ def load_contracts(spark: SparkSession, path: str, version: str | None = None,
     except Exception as e:  # unreadable or absent: one typed error
         raise DataContractError(f"cannot read parquet at {target!r}: {e}") from e
     if names is None:
-        names = (SOURCE_COLUMN_NAMES
-                 if SOURCE_COLUMN_NAMES["entity"] in raw.columns else None)
+        present = set(raw.columns)  # the set of names that the file has more of
+        if (len(present.intersection(SOURCE_COLUMN_NAMES.values()))
+                > len(present.intersection(REQUIRED_COLUMNS))):
+            names = SOURCE_COLUMN_NAMES
     return select_contract(raw, names)

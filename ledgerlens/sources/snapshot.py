@@ -46,20 +46,11 @@ def snapshot_dir(spark: SparkSession, key: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Does a committed table exist at ``path``?  Local paths are checked
-    directly (no logged exception); other file systems by reading the
-    table's schema, which touches metadata only."""
-    import os
-
-    if path.startswith("file:") or "://" not in path:
-        local = path[len("file:"):] if path.startswith("file:") else path
-        return os.path.isdir(local) and any(
-            f.endswith(".parquet") or f == "_SUCCESS" or "=" in f for f in os.listdir(local))
-    try:
-        spark.read.parquet(path).schema  # metadata only
-        return True
-    except Exception:
-        return False
+    """Is there a folder at ``path``, on whichever file system it names?"""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(folder)
 
 
 # Row groups of this size (bytes, before compression) let readers split the

@@ -143,7 +143,7 @@ def test_missing_threshold_keeps_the_other_sentences(spark):
     snap = enrich.build_from_frame(contracts(spark, four_entities()))  # no positive added days
     assert snap.thresholds.t_added is None
     th = {r.reading: r for r in readings.rule_readings(snap.rows, snap.thresholds).collect()}["thresholds"]
-    assert "expensive above" in th.text and "direct-award intensive above 75%" in th.text
+    assert "high value: over" in th.text and "direct-award buyer: over 75%" in th.text
     assert "extension" not in th.text and th.status == "normal"
 
 
