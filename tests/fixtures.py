@@ -10,25 +10,31 @@ SCHEMA = ("entity string, contract_id string, reference string, modality string,
           "start_at timestamp_ntz, end_at timestamp_ntz")
 
 
+DIRECT, TENDER = "Contratación directa", "Licitación pública"
+
+# (buyer, contracts, of them direct awards); the last is too small to be judged.
+# Shares of the judged ones: 1, 0.6, 0.2 and 0, so their 75th percentile is 0.7.
+BUYERS = (("Harbour office", 50, 50), ("School board", 60, 36), ("Road agency", 40, 8),
+          ("Water works", 33, 0), ("Chapel fund", 12, 12))
+
+
 def contracts(spark, rows, schema=SCHEMA):
-    out = []
-    for i, r in enumerate(rows):
-        def day(key, default):
-            v = r.get(key, default)
-            return None if v is None else BASE + dt.timedelta(days=v)
-        out.append((r["entity"], r.get("id", f"C{i:05d}"), r.get("ref", f"REF-{i:05d}"),
-                    r["modality"], r.get("supplier", "PROV"), r.get("sme", True),
-                    None if r.get("value") is None else float(r["value"]),
-                    r.get("added", 0), day("signed", 0), day("start", 0), day("end", 100)))
-    return spark.createDataFrame(out, schema)
-
-
-def four_entities():
-    """HIGH 40 rows all direct (rate 1), MID 40 half (0.5), LOW 40 none (0),
-    SMALL 5 all direct but under the volume gate.  p75 of {1, .5, 0} = .75."""
-    rows = [{"entity": "HIGH", "modality": "Contratación directa", "value": 1e6 + i} for i in range(40)]
-    rows += [{"entity": "MID", "modality": "Contratación directa" if i < 20 else "Licitación pública",
-              "value": 2e6 + i} for i in range(40)]
-    rows += [{"entity": "LOW", "modality": "Licitación pública", "value": 3e6 + i} for i in range(40)]
-    rows += [{"entity": "SMALL", "modality": "Contratación directa", "value": 4e6 + i} for i in range(5)]
-    return rows
+    """A frame of contracts from dicts; dates are days after ``BASE``."""
+    def at(row, name, usual):
+        days = row.get(name, usual)
+        return days if days is None else BASE + dt.timedelta(days=days)
+
+    def value(row):
+        return None if row.get("value") is None else float(row["value"])
+
+    data = [(r["entity"], r.get("id", f"K{k}"), r.get("ref", f"file {k}"), r["modality"],
+             r.get("supplier", "Acme"), r.get("sme", True), value(r), r.get("added", 0),
+             at(r, "signed", 0), at(r, "start", 0), at(r, "end", 100)) for k, r in enumerate(rows)]
+    return spark.createDataFrame(data, schema)
+
+
+def buyers():
+    """195 contracts of five buyers, each with a value of its own."""
+    kinds = [(b, DIRECT if k < direct else TENDER) for b, n, direct in BUYERS for k in range(n)]
+    return [{"entity": b, "modality": m, "value": 350_000 + 7_500 * k}
+            for k, (b, m) in enumerate(kinds)]

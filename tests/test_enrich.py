@@ -5,33 +5,33 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import enrich
 from ledgerlens.sources.contracts import DataContractError, select_contract
-from tests.fixtures import SCHEMA, contracts, four_entities
+from tests.fixtures import SCHEMA, contracts, buyers
 
 
 @pytest.fixture(scope="module")
 def universe(spark):
-    return enrich.build_from_frame(contracts(spark, four_entities()))
+    return enrich.build_from_frame(contracts(spark, buyers()))
 
 
 def test_thresholds_are_exposed(universe):
     th = universe.thresholds
-    assert th.t_direct == pytest.approx(0.75)
-    assert th.eligible_entities == 3 and th.total_entities == 4
-    assert th.n_rows == 125 and th.n_inverted == 0 and th.n_no_value == 0
+    assert th.t_direct == pytest.approx(0.7)
+    assert th.eligible_entities == 4 and th.total_entities == 5
+    assert th.n_rows == 195 and th.n_inverted == 0 and th.n_no_value == 0
 
 
 def test_direct_signal_only_for_the_intensive_entity(universe):
     rows = universe.rows
     flagged = {r.entity for r in rows.where("sig_direct").select("entity").distinct().collect()}
-    assert flagged == {"HIGH"}
-    assert rows.where("entity = 'SMALL' AND sig_direct").count() == 0
+    assert flagged == {"Harbour office"}
+    assert rows.where("entity = 'Chapel fund' AND sig_direct").count() == 0
 
 
 def test_value_signal_is_strictly_above_p95(universe):
     t = universe.thresholds.t_value
     rows = universe.rows
     assert rows.where(F.col("sig_value") != (F.col("value") > F.lit(t))).count() == 0
-    assert rows.where("sig_value").count() == 7  # ranks 118..124 of 125 lie above rank 117.8
+    assert rows.where("sig_value").count() == 10  # ranks 185..194 of 195 lie above rank 184.3
 
 
 def test_signals_risk_and_priority_agree(universe):
@@ -87,7 +87,7 @@ def test_missing_columns_are_listed_together(spark):
 
 
 def test_extra_columns_are_not_read(spark, tmp_path):
-    df = contracts(spark, four_entities())
+    df = contracts(spark, buyers())
     for i in range(20):
         df = df.withColumn(f"extra_{i}", F.lit(i))
     path = str(tmp_path / "wide")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import enrich, facts, readings, views
 from ledgerlens.plans.views import ViewSpec
-from tests.fixtures import contracts, four_entities
+from tests.fixtures import contracts, buyers
 
 
 @pytest.fixture(scope="module")
@@ -42,12 +42,12 @@ def test_year_range_without_dates(spark):
 
 
 def test_stale_saved_views_are_cleaned(spark):
-    r = enrich.build_from_frame(contracts(spark, four_entities())).rows
+    r = enrich.build_from_frame(contracts(spark, buyers())).rows
     saved = spark.createDataFrame(
-        [(1, "entity", "HIGH"), (1, "entity", "GONE"), (1, "from", "1990"), (1, "to", "2050"),
+        [(1, "entity", "Harbour office"), (1, "entity", "GONE"), (1, "from", "1990"), (1, "to", "2050"),
          (2, "band", "nope")], "view_id int, key string, value string")
     got = sorted(tuple(x) for x in views.resolve_saved_views(saved, r).collect())
-    assert (1, "entity", "HIGH") in got and (1, "entity", "GONE") not in got
+    assert (1, "entity", "Harbour office") in got and (1, "entity", "GONE") not in got
     assert all(k != "band" for _, k, _ in got)
 
 
@@ -78,7 +78,7 @@ def test_skew_clause_and_sme_bands(spark):
 
 
 def test_empty_view_readings(spark):
-    r = enrich.build_from_frame(contracts(spark, four_entities()))
+    r = enrich.build_from_frame(contracts(spark, buyers()))
     empty = views.apply_view(r.rows, ViewSpec(query="no such contract anywhere"))
     got = readings.rule_readings(empty, r.thresholds).collect()
     by = {x.reading: x for x in got}
@@ -102,12 +102,12 @@ def test_term_tags(spark):
 
 
 def test_facts_for_many_views_in_one_pass(spark):
-    r = enrich.build_from_frame(contracts(spark, four_entities())).rows
-    specs = {1: ViewSpec(entities=("HIGH",)), 2: ViewSpec(query="nothing matches this"),
+    r = enrich.build_from_frame(contracts(spark, buyers())).rows
+    specs = {1: ViewSpec(entities=("Harbour office",)), 2: ViewSpec(query="nothing matches this"),
              3: ViewSpec(modalities=("Licitación pública",))}
     got = {x.view_id: x for x in views.facts_by_view(r, specs).collect()}
-    assert got[1].n_rows == 40 and got[2].n_rows == 0 and got[2].total_value == 0.0
-    assert got[3].n_rows == 60 and got[3].n_direct == 0
+    assert got[1].n_rows == 50 and got[2].n_rows == 0 and got[2].total_value == 0.0
+    assert got[3].n_rows == 89 and got[3].n_direct == 0
 
 
 def test_modality_mix_keeps_five_plus_other(spark):
@@ -125,10 +125,10 @@ def test_modality_mix_keeps_five_plus_other(spark):
 
 
 def test_rule_list_order_and_formats(spark):
-    rows = [{"entity": "HIGH", "modality": "Contratación directa", "value": v, "added": a}
+    rows = [{"entity": "Harbour office", "modality": "Contratación directa", "value": v, "added": a}
             for v, a in [(5e9, 90), (2e9, 10), (3e6, 5)] + [(1e6, 0)] * 40]
-    rows += [{"entity": "LOW", "modality": "Licitación pública", "value": 1e6} for _ in range(40)]
-    rows += [{"entity": "MID", "modality": "Contratación directa" if i < 20 else "Licitación pública",
+    rows += [{"entity": "Water works", "modality": "Licitación pública", "value": 1e6} for _ in range(40)]
+    rows += [{"entity": "School board", "modality": "Contratación directa" if i < 20 else "Licitación pública",
               "value": 1e6} for i in range(40)]
     r = enrich.build_from_frame(contracts(spark, rows)).rows
     lst = facts.rule_list(r).collect()
@@ -140,15 +140,15 @@ def test_rule_list_order_and_formats(spark):
 
 
 def test_missing_threshold_keeps_the_other_sentences(spark):
-    snap = enrich.build_from_frame(contracts(spark, four_entities()))  # no positive added days
+    snap = enrich.build_from_frame(contracts(spark, buyers()))  # no positive added days
     assert snap.thresholds.t_added is None
     th = {r.reading: r for r in readings.rule_readings(snap.rows, snap.thresholds).collect()}["thresholds"]
-    assert "high value: over" in th.text and "direct-award buyer: over 75%" in th.text
+    assert "high value: over" in th.text and "direct-award buyer: over 70%" in th.text
     assert "extension" not in th.text and th.status == "normal"
 
 
 def test_null_signing_and_start_dates_are_tolerated(spark):
-    rows = four_entities()
+    rows = buyers()
     for r in rows[:20]:
         r["signed"] = None
         r["start"] = None
