@@ -46,6 +46,11 @@ ROW_COLUMNS = (
     "signals", "risk_label", "rule_priority", "model_usable", "anomaly_raw")
 
 
+def _below(raw, offset):
+    """Whether a raw score is flagged: a plain comparison, so the scan can prune by it."""
+    return F.lit(False) if offset is None else raw.isNotNull() & (raw < F.lit(offset))
+
+
 @dataclass
 class Snapshot:
     key: str
@@ -62,7 +67,7 @@ class Snapshot:
             else F.lit(None).cast("double")
         return (self.raw_rows
                 .withColumn("anomaly_score", F.when(F.col("anomaly_raw").isNotNull(), score))
-                .withColumn("is_anomaly", F.coalesce(F.col("anomaly_score") < 0, F.lit(False))))
+                .withColumn("is_anomaly", _below(F.col("anomaly_raw"), off)))
 
     def forest(self):
         """The fitted forest, or ``None`` when the model was skipped (M4)."""
@@ -142,7 +147,10 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     # Likewise the first pass of the contamination offset (M8).
     offset_spec = {"offset": (F.col("anomaly_raw"), params.contamination)}
     seen_raw = Observation("offset-pass1")
-    store.write_parquet(out.observe(seen_raw, *first_pass_aggs(offset_spec)), f"{path}/rows",
+    # Rows of a year are brought together in partitions of even size (hot
+    # years are split), else every task would write a file for every year.
+    observed = out.observe(seen_raw, *first_pass_aggs(offset_spec))
+    store.write_parquet(observed.hint("rebalance", F.col("sign_year")), f"{path}/rows",
                         partition_by=["sign_year"])
     step("score+rows")
 

@@ -28,9 +28,16 @@ def _ratio(a, b):
 # --------------------------------------------------------------------------
 # KPI row
 # --------------------------------------------------------------------------
+def _flag_count(f: DataFrame) -> list:
+    """The number of anomalous rows, where the view has the model's flag."""
+    return [F.count_if(F.col("is_anomaly")).alias("n_anomalies")] if "is_anomaly" in f.columns else []
+
+
 def kpis(f: DataFrame) -> DataFrame:
-    """One row: counts, money, means, median, SME share, rule counts."""
+    """One row: counts, money, means, median, SME share, rule counts, anomalies."""
+    flagged = _flag_count(f)
     base = f.agg(
+        *flagged,
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("contract_id").alias("n_contracts"),
         F.coalesce(money_sum("value"), F.lit(0.0)).alias("total_value"),
@@ -52,7 +59,9 @@ def kpis(f: DataFrame) -> DataFrame:
         "n_priority", "n_critical",
         (_ratio(F.col("n_priority"), F.col("n_rows")) * 100).alias("priority_pct"),
         F.coalesce((F.lit(median) > 0) & (mean > F.lit(median) * 2), F.lit(False))
-        .alias("mean_inflated"))
+        .alias("mean_inflated"),
+        *(["n_anomalies", (_ratio(F.col("n_anomalies"), F.col("n_rows")) * 100).alias("anomaly_pct")]
+          if flagged else []))
 
 
 def duplicates(f: DataFrame) -> DataFrame:
@@ -189,12 +198,13 @@ def supplier_pareto(f: DataFrame, n: int = TOP_N, label_len: int = 18) -> DataFr
 # --------------------------------------------------------------------------
 def headline(f: DataFrame, n: int = TOP_N) -> DataFrame:
     """One row with the view's headline numbers and which clauses apply."""
+    flagged = _flag_count(f)
     base = f.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("contract_id").alias("n_contracts"),
         F.coalesce(money_sum("value"), F.lit(0.0)).alias("total_value"),
         (F.avg("is_direct") * 100).alias("direct_pct"),
-        F.count_if(F.col("rule_priority")).alias("n_priority"))
+        F.count_if(F.col("rule_priority")).alias("n_priority"), *flagged)
     ent = (f.where(F.col("entity").isNotNull()).groupBy("entity")
            .agg(F.coalesce(money_sum("value"), F.lit(0.0)).alias("_t"))
            .orderBy(F.desc("_t"), "entity").limit(1)
@@ -215,7 +225,7 @@ def headline(f: DataFrame, n: int = TOP_N) -> DataFrame:
         F.when(has_total & (F.col("n_suppliers") > n),
                _ratio(F.col("top_suppliers_value"), F.col("total_value")) * 100)
         .alias("top_suppliers_pct"),
-        "n_priority", (F.col("n_rows") == 0).alias("is_empty"))
+        "n_priority", (F.col("n_rows") == 0).alias("is_empty"), *(["n_anomalies"] if flagged else []))
 
 
 def universe_direct_share(rows: DataFrame) -> DataFrame:
@@ -302,7 +312,7 @@ def fact_sets(f: DataFrame) -> DataFrame:
         F.count_if(F.col("rule_priority")).alias("n_priority"),
         F.count_if(F.col("signals") == 3).alias("n_critical"),
         F.sum("duration_days").alias("dur_sum"),
-        F.count("duration_days").alias("dur_n"))
+        F.count("duration_days").alias("dur_n"), *_flag_count(f))
     # grouping_id bits follow the column order: entity, modality, supplier,
     # sign_year, value_band, value_band_label (1 = not grouped).
     name = (F.when(F.col("_gid") == 0b011111, "entity").when(F.col("_gid") == 0b101111, "modality")

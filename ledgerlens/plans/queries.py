@@ -20,6 +20,7 @@ from ..functions import formats as fm
 from ..operators.report import attach_one_row, money_sum, unique_short_labels
 from ..session import apply_defaults, ship_package
 from ..sources.adapter import contracts_from_tables
+from ..sources.contracts import select_contract
 from ..sources.fingerprint import fingerprint
 from . import enrich, facts, readings, views
 from .views import ViewSpec
@@ -31,6 +32,9 @@ SEARCH_QUERY = "CUSTOMER#0000001 supplier#00000004"
 DOC_QUERY = "Élle ouè"
 SAMPLE_VIEW = ViewSpec(modalities=("Contratación directa", "Licitación pública"),
                        years=(1994, 1996), bands=("90–500 M", "500 M–1 B"))
+SMALL_VIEW = ViewSpec(entities=("Customer#000000007",))
+EMPTY_VIEW = ViewSpec(query="no such contract")
+FLAG_BAND = 3  # stands in for the model's flag where a query is held against SQL
 SAVED_VIEWS = [  # (view_id, key, value): stored parameters, some stale on purpose
     (1, "modality", "Contratación directa"), (1, "modality", "Subasta inversa"),
     (1, "from", "1990"), (1, "to", "1995"), (1, "q", "customer#00000"),
@@ -56,6 +60,18 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(spark, sf_dir).rows
 
 
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows without the model's columns: what SQL can follow."""
+    return rows(spark, sf_dir).drop("is_anomaly", "anomaly_score")
+
+
+def flagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows with a flag and score that SQL can follow in the model's place."""
+    return (rule_rows(spark, sf_dir)
+            .withColumn("is_anomaly", F.coalesce(F.col("value_band") == FLAG_BAND, F.lit(False)))
+            .withColumn("anomaly_score", -F.col("value")))
+
+
 RULE_COLUMNS = (
     "entity", "contract_id", "reference", "modality", "supplier", "is_sme", "value",
     "added_days", "signed_at", "start_at", "end_at", "duration_days", "dates_inverted",
@@ -101,9 +117,21 @@ def q_entity_rate(spark, sf):
 
 
 def q_kpis(spark, sf):
+    return facts.kpis(rule_rows(spark, sf))
+
+
+def q_kpis_view(spark, sf):
+    return facts.kpis(views.apply_view(rule_rows(spark, sf), SAMPLE_VIEW))
+
+
+def q_kpis_model(spark, sf):
     return facts.kpis(rows(spark, sf))
 
 
+def q_kpis_flagged(spark, sf):
+    return facts.kpis(flagged_rows(spark, sf))
+
+
 def q_text_search(spark, sf):
     return views.text_search(rows(spark, sf), SEARCH_QUERY).select(
         "contract_id", "reference", "entity", "supplier", "value", "search_text")
@@ -130,7 +158,7 @@ def q_saved_views(spark, sf):
 def q_saved_view_facts(spark, sf):
     r = rows(spark, sf)
     saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
-    specs = views.specs_from_resolved(views.resolve_saved_views(saved, r))
+    specs = views.specs_from_resolved(views.resolve_saved_views(saved, r), saved)
     return views.facts_by_view(r, specs)
 
 
@@ -202,16 +230,44 @@ def q_formatted(spark, sf):
 
 
 def q_headline(spark, sf):
+    return facts.headline(rule_rows(spark, sf))
+
+
+def q_headline_view(spark, sf):
+    return facts.headline(views.apply_view(rule_rows(spark, sf), SAMPLE_VIEW))
+
+
+def q_headline_model(spark, sf):
     return facts.headline(rows(spark, sf))
 
 
+def q_headline_flagged(spark, sf):
+    return facts.headline(flagged_rows(spark, sf))
+
+
 def q_universe_direct(spark, sf):
     return facts.universe_direct_share(rows(spark, sf))
 
 
 def q_readings(spark, sf):
-    snap = snapshot(spark, sf)
-    return readings.rule_readings(snap.rows, snap.thresholds)
+    return readings.rule_readings(rule_rows(spark, sf), snapshot(spark, sf).thresholds)
+
+
+def _readings_of(spec: ViewSpec):
+    def run(spark, sf):
+        view = views.apply_view(rule_rows(spark, sf), spec)
+        return readings.rule_readings(view, snapshot(spark, sf).thresholds)
+    return run
+
+
+def q_readings_model(spark, sf):
+    return readings.rule_readings(rows(spark, sf), snapshot(spark, sf).thresholds)
+
+
+def q_readings_flagged(spark, sf):
+    f = flagged_rows(spark, sf)
+    return readings.rule_readings(f, snapshot(spark, sf).thresholds).unionByName(
+        readings.model_readings(f))
 
 
 def q_term_tags(spark, sf):
@@ -235,6 +291,16 @@ def q_export(spark, sf):
     return export_frame(rows(spark, sf))
 
 
+def q_export_flagged(spark, sf):
+    from ..sources.export import export_frame
+    return export_frame(flagged_rows(spark, sf))
+
+
+def q_contract_scan(spark, sf):
+    """The contract check over the whole table, its optional column absent."""
+    return select_contract(contracts_from_tables(spark, sf).drop("process_url"))
+
+
 def q_fingerprint(spark, sf):
     return fingerprint(contracts_from_tables(spark, sf))
 
@@ -265,6 +331,18 @@ def q_anomaly_vs_rest(spark, sf):
     return facts.anomaly_vs_rest(rows(spark, sf))
 
 
+def q_flagged_list(spark, sf):
+    return facts.anomaly_list(flagged_rows(spark, sf))
+
+
+def q_flagged_agreement(spark, sf):
+    return facts.method_agreement(flagged_rows(spark, sf))
+
+
+def q_flagged_vs_rest(spark, sf):
+    return facts.anomaly_vs_rest(flagged_rows(spark, sf))
+
+
 def q_model_readings(spark, sf):
     return readings.model_readings(rows(spark, sf))
 
@@ -306,4 +384,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "method_agreement": q_agreement,
     "anomaly_vs_rest": q_anomaly_vs_rest,
     "model_readings": q_model_readings,
+    "kpis_view": q_kpis_view,
+    "kpis_model": q_kpis_model,
+    "kpis_flagged": q_kpis_flagged,
+    "headline_view": q_headline_view,
+    "headline_model": q_headline_model,
+    "headline_flagged": q_headline_flagged,
+    "readings_view": _readings_of(SAMPLE_VIEW),
+    "readings_small": _readings_of(SMALL_VIEW),
+    "readings_empty": _readings_of(EMPTY_VIEW),
+    "readings_model": q_readings_model,
+    "readings_flagged": q_readings_flagged,
+    "export_flagged": q_export_flagged,
+    "flagged_list": q_flagged_list,
+    "flagged_agreement": q_flagged_agreement,
+    "flagged_vs_rest": q_flagged_vs_rest,
+    "contract_scan": q_contract_scan,
 }

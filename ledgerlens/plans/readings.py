@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GLOSSARY_TERMS, MIN_MEDIAN_GROUP, TOP_N
-from ..operators.quantile import percentile_scalars
+from ..operators.quantile import percentile_exact, percentile_value
 from ..functions import formats as fm
 from ..operators.report import attach_one_row
 from ..operators.stats import Thresholds
@@ -36,92 +36,97 @@ def _reading(name: str, status: Column, text: Column) -> Column:
 def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
     """N1-N10 and N13 for the view ``f`` (thresholds come from the universe).
 
+    The headline names the anomalous rows where ``f`` has the model's flag.
+
     All group-level numbers come from one grouping-sets pass over the view
     (``facts.fact_sets``, cached: it has one row per distinct key); medians
     and the distinct-id count are the only other passes.
     """
-    from pyspark.sql import Window
-
     spark = f.sparkSession
     sets = facts.fact_sets(f).cache()
-    dec = lambda c: F.col(c).cast("decimal(28,2)")
-    every = Window.partitionBy(F.lit(1))
-
-    allr = facts.set_rows(sets, "all").select(
-        "n_rows", "total_value", "n_values", "n_priority", "n_critical",
-        (F.col("n_direct") / F.col("n_direct_known") * 100).alias("direct_pct"),
-        (F.try_divide(F.col("n_sme").cast("double"), F.col("n_sme_known").cast("double")) * 100)
-        .alias("sme_all"),
-        F.when(F.col("n_values") > 0, F.try_divide(F.col("total_value"), F.col("n_values").cast("double")))
-        .alias("mean_value"))
-    # The view median and the medians of modalities with enough values share
-    # the passes of one exact-percentile run (modalities are few).
-    eligible_mods = [r["modality"] for r in facts.set_rows(sets, "modality")
-                     .where(F.col("n_values") >= MIN_MEDIAN_GROUP).select("modality").collect()]
-    specs = {"all": (F.col("value"), 0.5)}
-    specs.update({f"m{i}": (F.when(F.col("modality") == F.lit(m), F.col("value")), 0.5)
-                  for i, m in enumerate(eligible_mods)})
-    meds = percentile_scalars(f, specs)
-    median = meds["all"]
+    has_flag = "n_anomalies" in sets.columns
+    c = F.col
+    dec = lambda col: c(col).cast("decimal(28,2)")
+    median = percentile_value(f, "value", 0.5)
     distinct = f.agg(F.count_distinct("contract_id").alias("n_contracts"))
 
-    ent = facts.set_rows(sets, "entity").select("entity", "total_value").withColumn(
-        "_rk", F.row_number().over(Window.orderBy(F.desc("total_value"), "entity")))
-    e1 = _one(ent.where("_rk = 1"), entity="e1", total_value="e1_value")
-    e2 = _one(ent.where("_rk = 2"), entity="e2", total_value="e2_value")
-    mods = facts.set_rows(sets, "modality").select("modality", "n_rows").withColumn(
-        "_rk", F.row_number().over(Window.orderBy(F.desc("n_rows"), "modality")))
-    m1 = _one(mods.where("_rk = 1"), modality="m1", n_rows="m1_rows")
-
-    yrs = (facts.set_rows(sets, "sign_year").where(F.col("total_value") > 0)
-           .select("sign_year", "total_value"))
-    w = Window.orderBy("sign_year")
-    yrs = (yrs.withColumn("prev_total", F.lag("total_value").over(w))
-           .withColumn("_pk", F.row_number().over(Window.orderBy(F.desc("total_value"), "sign_year")))
-           .withColumn("_lk", F.row_number().over(Window.orderBy(F.desc("sign_year"))))
-           .withColumn("change_pct", F.when(F.col("prev_total") != 0,
-                                            (F.col("total_value") - F.col("prev_total"))
-                                            / F.col("prev_total") * 100)))
-    peak = _one(yrs.where("_pk = 1"), sign_year="peak_year", total_value="peak_value")
-    last = _one(yrs.where("_lk = 1"), sign_year="last_year", total_value="last_value",
-                change_pct="change_pct")
-    n_years = yrs.agg(F.count(F.lit(1)).alias("n_years"))
-
-    md_rows = [(m, meds[f"m{i}"]) for i, m in enumerate(eligible_mods)]
-    md = spark.createDataFrame(md_rows, "modality string, median_value double")
-    md = (md.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("median_value"), "modality")))
-        .withColumn("is_lowest", F.row_number().over(
-            Window.orderBy(F.asc("median_value"), F.desc("modality"))) == 1))
-    md_top = _one(md.where("rank = 1"), modality="md_top", median_value="md_top_value")
-    md_low = _one(md.where("is_lowest"), modality="md_low", median_value="md_low_value")
-    md_n = md.agg(F.count(F.lit(1)).alias("md_n"))
-
-    bands = (facts.set_rows(sets, "value_band")
-             .select("value_band", "value_band_label",
-                     (F.try_divide(F.col("n_sme").cast("double"), F.col("n_sme_known").cast("double"))
-                      * 100).alias("p"))
-             .where(F.col("p").isNotNull()))
-    bands = (bands.withColumn("_hi", F.row_number().over(Window.orderBy(F.desc("p"), "value_band")))
-             .withColumn("_lo", F.row_number().over(Window.orderBy(F.asc("p"), "value_band"))))
-    s_hi = _one(bands.where("_hi = 1"), value_band_label="s_hi", p="s_hi_pct")
-    s_lo = _one(bands.where("_lo = 1"), value_band_label="s_lo", p="s_lo_pct")
-    s_n = bands.agg(F.count(F.lit(1)).alias("s_n"))
-
-    sup = (facts.set_rows(sets, "supplier").select("supplier", F.col("total_value").alias("t"))
-           .withColumn("_rk", F.row_number().over(Window.orderBy(F.desc("t"), "supplier"))))
-    p1 = _one(sup.where("_rk = 1"), supplier="p1", t="p1_value")
-    p_tot = sup.agg(F.sum(dec("t")).cast("double").alias("p_total"),
-                    F.sum(F.when(F.col("_rk") <= TOP_N, dec("t"))).cast("double").alias("p_top"),
-                    F.coalesce(F.sum(F.when(F.col("_rk") <= TOP_N, dec("t"))).cast("double"),
-                               F.lit(0.0)).alias("top_suppliers_value"),
-                    F.count(F.lit(1)).alias("n_suppliers"))
-    p_tot = p_tot.withColumn("p_n", F.col("n_suppliers"))
-
-    x = spark.range(1)
-    for part in (allr, distinct, e1, e2, m1, peak, last, n_years, md_top, md_low, md_n,
-                 s_hi, s_lo, s_n, p1, p_tot):
+    def of(name: str, *more: Column) -> Column:
+        """Whether a row of ``sets`` is a group of that set (its key known)."""
+        known = c("set") == name
+        for cond in (*([] if name == "all" else [c(name).isNotNull()]), *more):
+            known = known & cond
+        return known
+
+    def least(rows: Column, *fields: Column) -> Column:
+        """Of these rows the least by the first fields, in that order."""
+        return F.min(F.when(rows, F.struct(*[x.alias(f"f{k}") for k, x in enumerate(fields)])))
+
+    # Every single number and every first place, from one aggregate over the sets.
+    share = F.try_divide(c("n_sme").cast("double"), c("n_sme_known").cast("double")) * 100
+    total, band = c("total_value"), c("value_band")
+    has_share = of("value_band", share.isNotNull())
+    paid = of("sign_year", total > 0)
+    names = ("n_rows", "total_value", "n_values", "n_priority", "n_critical",
+             *(["n_anomalies"] if has_flag else []))
+    x = sets.agg(
+        F.max(F.when(of("all"), F.struct(
+            *names, (c("n_direct") / c("n_direct_known") * 100).alias("direct_pct"),
+            share.alias("sme_all"),
+            F.when(c("n_values") > 0, F.try_divide(total, c("n_values").cast("double")))
+            .alias("mean_value")))).alias("_all"),
+        least(of("modality"), -c("n_rows"), c("modality"), c("n_rows")).alias("_m"),
+        least(paid, -total, c("sign_year"), total).alias("_peak"),
+        # calendar years: a short list
+        F.sort_array(F.collect_list(F.when(paid, F.struct("sign_year", "total_value")))).alias("_y"),
+        least(has_share, -share, band, c("value_band_label"), share).alias("_hi"),
+        least(has_share, share, band, c("value_band_label")).alias("_lo"),
+        F.count_if(has_share).alias("s_n"),
+        F.sum(F.when(of("supplier"), dec("total_value"))).cast("double").alias("p_total"),
+        F.count_if(of("supplier")).alias("n_suppliers"))
+    last, prev = F.try_element_at("_y", F.lit(-1)), F.when(
+        F.size("_y") > 1, F.try_element_at("_y", F.lit(-2)))
+    before = prev["total_value"]
+    x = x.select(
+        "_all.*", "s_n", "p_total", "n_suppliers", c("n_suppliers").alias("p_n"),
+        c("_m.f1").alias("m1"), c("_m.f2").alias("m1_rows"),
+        c("_peak.f1").alias("peak_year"), c("_peak.f2").alias("peak_value"),
+        last["sign_year"].alias("last_year"), last["total_value"].alias("last_value"),
+        F.size("_y").alias("n_years"),
+        F.when(before != 0, (last["total_value"] - before) / before * 100).alias("change_pct"),
+        c("_hi.f2").alias("s_hi"), c("_hi.f3").alias("s_hi_pct"),
+        c("_lo.f2").alias("s_lo"), c("_lo.f0").alias("s_lo_pct"))
+
+    def top(name: str, n: int) -> DataFrame:
+        """The ``n`` groups of a set with most value, as one row with their array ``t``."""
+        order = [F.desc("total_value"), c(name)]
+        rows = facts.set_rows(sets, name).select(name, "total_value").orderBy(*order).limit(n)
+        return rows.agg(
+            F.sort_array(F.collect_list(F.struct((-total).alias("neg"), c(name).alias("name"),
+                                                 total.alias("value")))).alias("t"),
+            F.sum(dec("total_value")).cast("double").alias("sum"))
+
+    e1, e2 = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    ents = top("entity", 2).select(e1["name"].alias("e1"), e1["value"].alias("e1_value"),
+                                   e2["name"].alias("e2"), e2["value"].alias("e2_value"))
+    sups = top("supplier", TOP_N).select(
+        e1["name"].alias("p1"), e1["value"].alias("p1_value"), c("sum").alias("p_top"),
+        F.coalesce("sum", F.lit(0.0)).alias("top_suppliers_value"))
+    # Medians of all modalities at once, however many there are.
+    enough = facts.set_rows(sets, "modality").where(c("n_values") >= MIN_MEDIAN_GROUP)
+    med = c("median_value")
+    meds = percentile_exact(f.where(c("modality").isNotNull()), "value", 0.5, by=["modality"],
+                            out="median_value").join(enough.select("modality"), "modality").agg(
+        F.count(F.lit(1)).alias("md_n"),
+        F.min(F.struct((-med).alias("neg"), "modality", med.alias("value"))).alias("t"),
+        F.max(F.struct((-med).alias("neg"), "modality", med.alias("value"))).alias("l")).select(
+        "md_n", c("t.modality").alias("md_top"), c("t.value").alias("md_top_value"),
+        c("l.modality").alias("md_low"), c("l.value").alias("md_low_value"))
+    for part in (distinct, ents, sups, meds):
         x = _left(x, part)
+    # One row of single numbers: the sentences are made from its values, so
+    # their long expressions don't drag the aggregates' plans along.
+    x = spark.createDataFrame(x.collect(), x.schema)
+    sets.unpersist()
     x = (x.withColumn("median_value", F.lit(median).cast("double"))
          .withColumn("mean_inflated", F.coalesce((F.col("median_value") > 0)
                                                  & (F.col("mean_value") > F.col("median_value") * 2),
@@ -134,7 +139,6 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
                             F.col("top_suppliers_value") / F.col("total_value") * 100)))
 
     empty = F.coalesce(F.col("n_rows"), F.lit(0)) == 0
-    c = F.col
 
     def guard(status: Column, text: Column, name: str) -> Column:
         return _reading(name, F.when(empty, F.lit("empty")).otherwise(status),
@@ -156,8 +160,9 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
                         F.lit(str(TOP_N)), F.lit(" hold "),
                         fm.percent(c("top_suppliers_value"), c("total_value")),
                         F.lit(" of value;"))),
-        F.concat(fm.integer(c("n_priority")),
-                 F.lit(" priority contracts")))
+        F.concat(fm.integer(c("n_priority")), F.lit(" priority contracts"),
+                 *([F.lit("; "), fm.integer(c("n_anomalies")), F.lit(" anomalies")]
+                   if has_flag else [])))
 
     kpi_text = F.concat(
         F.lit("mean value: "), fm.money(c("mean_value")),
@@ -252,16 +257,11 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         guard(F.when(c("n_priority") == 0, F.lit("zero")).otherwise(F.lit("normal")), rules_text,
               "rules"),
     ]
-    out = x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
-    # Ten sentences: materialise them and release the cached grouping sets,
-    # so repeated readings in a long-lived session do not accumulate cache.
-    result = spark.createDataFrame(out.collect(), out.schema)
-    sets.unpersist()
-    return result
+    return x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
 def model_readings(f: DataFrame) -> DataFrame:
-    """N11-N12 (and the model clause of N1): depend on the forest."""
+    """What the flag ``is_anomaly`` of the view says, beside the rules."""
     spark = f.sparkSession
     ag = facts.method_agreement(f)
     base = f.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_anomaly").alias("n_anom"))

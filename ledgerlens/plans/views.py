@@ -11,10 +11,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BAND_LABELS
 from ..functions.text import contains_all_words
 from ..operators.report import attach_one_row
 
@@ -82,21 +81,24 @@ def year_range(rows: DataFrame) -> DataFrame:
 
 
 def filter_options(rows: DataFrame) -> DataFrame:
-    """F9 as one long table: (kind, value, rank)."""
-    mods = modality_options(rows).select(
-        F.lit("modality").alias("kind"), F.col("modality").alias("value"),
-        F.row_number().over(Window.orderBy("modality")).cast("bigint").alias("rank"))
-    ents = (rows.where(F.col("entity").isNotNull()).groupBy("entity")
-            .agg(F.count(F.lit(1)).alias("n_rows"))
-            .select(F.lit("entity").alias("kind"), F.col("entity").alias("value"),
-                    F.row_number().over(Window.orderBy(F.desc("n_rows"), "entity"))
-                    .cast("bigint").alias("rank")))
-    yr = year_range(rows)
-    years = yr.select(F.lit("year_min").alias("kind"), F.col("year_min").cast("string").alias("value"),
-                      F.lit(1).cast("bigint").alias("rank")).unionByName(
-        yr.select(F.lit("year_max").alias("kind"), F.col("year_max").cast("string").alias("value"),
-                  F.lit(1).cast("bigint").alias("rank")))
-    return mods.unionByName(ents).unionByName(years)
+    """F9 as one long table: (kind, value, n_rows), in no order.
+
+    ``n_rows`` is what entities are shown by; a list is sorted where it is
+    shown (``entity_options``), so no task ranks all entities.  The years'
+    ``n_rows`` counts the rows with a signing year.
+    """
+    def options(col: str) -> DataFrame:
+        return (rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
+                .agg(F.count(F.lit(1)).alias("n_rows"))
+                .select(F.lit(col).alias("kind"), "value", "n_rows"))
+
+    years = rows.agg(*[F.coalesce(f("sign_year"), F.lit(0)).cast("string").alias(name)
+                       for name, f in (("year_min", F.min), ("year_max", F.max))],
+                     F.count("sign_year").alias("n_rows"))
+    ends = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"), "n_rows")
+                     for c in ("year_min", "year_max")])
+    return (options("modality").unionByName(options("entity"))
+            .unionByName(years.select(F.inline(ends))))
 
 
 # --------------------------------------------------------------------------
@@ -112,8 +114,9 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
     ``q``, ``modality``, ``entity``, ``band``, ``from``, ``to``, ``priority``.
     Options no longer in the data are dropped (left-semi join on the
     distinct options); years are clamped to the data's range, and a
-    reversed or unparseable range falls back to the full range.  Output:
-    one row per (view_id, key, value) that survives, years included.
+    reversed or unparseable range falls back to the full range.  Of a year
+    key stored twice for a view the greatest text counts.  Output: one row
+    per (view_id, key, value) that survives, years included.
     """
     opts = None
     for key, col in LIST_KEYS.items():
@@ -124,10 +127,9 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
              .join(opts, ["key", "value"], "left_semi").select("view_id", "key", "value"))
     other = saved.where(F.col("key").isin("q", "priority")).select("view_id", "key", "value")
     yr = year_range(rows)
-    frm = saved.where(F.col("key") == "from").select("view_id", F.col("value").alias("_from"))
-    to = saved.where(F.col("key") == "to").select("view_id", F.col("value").alias("_to"))
-    ids = saved.select("view_id").distinct()
-    y = (attach_one_row(ids.join(frm, "view_id", "left").join(to, "view_id", "left"), yr)
+    ends = saved.groupBy("view_id").agg(
+        *[F.max(F.when(F.col("key") == k, F.col("value"))).alias(f"_{k}") for k in ("from", "to")])
+    y = (attach_one_row(ends, yr)
          .withColumn("_a", F.expr("try_cast(_from as bigint)"))
          .withColumn("_b", F.expr("try_cast(_to as bigint)")))
     a = F.least(F.greatest(F.coalesce("_a", "year_min"), F.col("year_min")), F.col("year_max"))
@@ -145,17 +147,16 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
     return lists.unionByName(other).unionByName(years)
 
 
-def band_labels() -> list[str]:
-    return list(BAND_LABELS)
-
-
-def specs_from_resolved(resolved: DataFrame) -> dict:
+def specs_from_resolved(resolved: DataFrame, saved: DataFrame | None = None) -> dict:
     """Driver-side ViewSpecs from a resolved saved-view table.
 
-    The table holds stored view parameters (a few rows per saved view), so
+    With ``saved``, every stored view gets a spec, also one of which nothing
+    is left: it shows all rows.  The table holds stored view parameters (a few rows per saved view), so
     collecting it is bounded by the number of saved views, not by data.
     """
     per: dict = {}
+    if saved is not None:
+        per = {r["view_id"]: [] for r in saved.select("view_id").distinct().collect()}
     for r in resolved.collect():
         per.setdefault(r["view_id"], []).append((r["key"], r["value"]))
     specs = {}
