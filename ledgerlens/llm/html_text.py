@@ -38,6 +38,8 @@ ASIDE_NAMES = frozenset(
     "sponsor sponsored newsletter subscribe breadcrumb breadcrumbs menu nav navbar navigation "
     "footer header masthead login signup search widget toolbar pagination pager copyright "
     "disclaimer skip complementary contentinfo form alert".split())
+#: Names that an <article> bears which holds a reader's comment, not the page's article.
+COMMENT_NAMES = frozenset("comment comment-item comment-body reply reply-item".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({UNSEEN})(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|"
@@ -53,6 +55,12 @@ def _marked(tag: str) -> bool:
     return any(p in ASIDE_NAMES for v in _NAMED.findall(tag) for p in _PIECES.findall(v.lower()))
 
 
+def _commented(tag: str) -> bool:
+    """Whether a tag's class, id or role is, as a whole name, that of a reader's comment."""
+    return any(n in COMMENT_NAMES
+               for v in _NAMED.findall(tag) for n in v.strip("\"'").lower().split())
+
+
 def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
     """Blocks of a page: text, words, link density, in a main container, in a marked part."""
     blocks, parts, stack = [], [], []
@@ -100,7 +108,7 @@ def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
                     if e[0] == name:
                         break
         elif name != "p" and name not in VOID:
-            is_main = name in MAIN_TAGS and not aside
+            is_main = name in MAIN_TAGS and not aside and not _commented(tag)
             off = name in ASIDE_TAGS or (name == "header" and not main) or (
                 name not in ("body", "html") and not is_main and _marked(tag))
             stack.append((name, int(off), int(is_main)))

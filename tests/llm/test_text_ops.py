@@ -82,6 +82,14 @@ def brute_url(url):
     return host, path, best and best[1] + best[2], best and best[0]
 
 
+def test_html_comment_articles_are_not_the_article():
+    tree = H.grow(H.labelled_blocks())
+    body, said = "word " * 40, "opinion " * 40
+    page = (f"<main><article class='post comments-open'><p>{body}</p></article>"
+            f"<article class='comment depth-1'><p>{said}</p></article></main>")
+    assert H.main_text(page, tree) == body.strip()
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM", "https://x.example.com/en/1?a=/es/", "a://net/es/",
             "b://www.example.com/en/q", "c://examplenet/fr/", "https://z.net/fr/#x", "x://y://z.com/",
