@@ -1,9 +1,9 @@
 """Quality rules: divergence of a document's histograms from its language.
 
 Two histograms of every whole text -- of character classes, and of the
-common words of the four languages below -- are compared with those of all
-documents of the same ``lang`` that pass the base rules, by Jensen-Shannon
-divergence in bits.  A text too short for a histogram to mean anything is
+common words of the four languages below -- are compared with the median
+shares of all documents of the same ``lang`` that pass the base rules, by
+Jensen-Shannon divergence in bits.  A text too short for a histogram to mean anything is
 not judged by it (the minimum-length guards).  The base rules reject texts
 of under 10 words and texts whose repeated 5-word windows cover over a
 fifth of their words.
@@ -19,6 +19,8 @@ table gives an empty result.  Columns other than those named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_CHARS = 250      # least characters for the character histogram to count
+ACCURACY = 10_000    # of the medians: they lie within 1 / ACCURACY of the middle rank
 MAX_SENT = 5000      # profiles of languages, of 48 numbers each, sent to every task
 MIN_HIST_WORDS = 40  # least words for the word histogram to count
-MAX_CHAR_JS = 0.08
+MAX_CHAR_JS = 0.03   # from the labelled rows: README, "Quality limits"
 MAX_WORD_JS = 0.20
 
 # Common words of four languages.
@@ -146,27 +149,33 @@ def word_divergence(hist: Column, ref: Column) -> Column:
 
 
 def _profiles(stats: DataFrame) -> DataFrame:
-    """Histograms of each language: sums over its documents that pass the base rules."""
-    good = stats.filter(~F.col("base_failed")).withColumn("_lang", F.struct("lang"))
-    chars = good.groupBy("_lang").agg(
-        F.array(*[F.sum(F.col("char_hist")[k]) for k in range(6)]).alias("ref_chars"))
-    counts = (good.select("_lang", F.explode("word_hist").alias("e"))
-              .groupBy("_lang", "e.k").agg(F.sum("e.n").alias("n")))
-    words = counts.groupBy("_lang").agg(F.array(*[
-        F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0))
-        for k in range(len(COMMON_WORDS) + 1)]).alias("ref_words"))
-    return chars.join(words, "_lang").select(
-        F.col("_lang.lang").alias("ref_lang"), _shares("ref_chars").alias("ref_chars"),
-        _shares("ref_words").alias("ref_words"))
+    """Histograms of each language: median shares of its documents that pass the base rules.
+
+    Every document counts once, however long, so junk of less than half of a
+    language's documents moves its reference little.  Medians are mergeable
+    sketches.  A histogram whose medians are all 0 is null and judges nobody.
+    """
+    good = stats.filter(~F.col("base_failed")).select(
+        F.struct("lang").alias("_lang"), _shares("char_hist").alias("c"),
+        F.map_from_entries("word_hist").alias("w"), "n_words")
+
+    def medians(share: Callable[[int], Column], size: int) -> Column:
+        return F.array(*[F.percentile_approx(share(k), 0.5, ACCURACY) for k in range(size)])
+
+    refs = good.groupBy("_lang").agg(
+        medians(lambda k: F.col("c")[k], 6).alias("ref_chars"),
+        medians(lambda k: F.coalesce(F.col("w")[k], F.lit(0)) / F.col("n_words"),
+                len(COMMON_WORDS) + 1).alias("ref_words"))
+    return refs.select(F.col("_lang.lang").alias("ref_lang"), *[
+        F.when(F.exists(c, lambda x: x > 0), _shares(c)).alias(c) for c in ("ref_chars", "ref_words")])
 
 
 def _judged(stats: DataFrame, refs: DataFrame, max_char_js: float, max_word_js: float) -> DataFrame:
     """Adds ``char_js, word_js, kept``."""
     both = stats.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    known = F.col("ref_chars").isNotNull()
-    both = (both.withColumn("char_js", F.when(known, jensen_shannon(
+    both = (both.withColumn("char_js", F.when(F.col("ref_chars").isNotNull(), jensen_shannon(
                 _shares("char_hist"), F.col("ref_chars"))).otherwise(0.0))
-            .withColumn("word_js", F.when(known, word_divergence(
+            .withColumn("word_js", F.when(F.col("ref_words").isNotNull(), word_divergence(
                 F.col("word_hist"), F.col("ref_words"))).otherwise(0.0)))
     odd = (((F.col("chars") >= MIN_CHARS) & (F.col("char_js") > max_char_js))
            | ((F.col("n_words") >= MIN_HIST_WORDS) & (F.col("word_js") > max_word_js)))

@@ -136,6 +136,23 @@ def test_quality_keeps_clean_and_drops_symbols(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.5 * len(bad)
 
 
+def test_quality_drops_most_low_quality_documents_that_pass_the_base_rules(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in QUERIES["op9_quality_rules"](spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    good, bad = ([rows[r.doc_id].kept for r in labels if r.quality == q and not rows[r.doc_id].base_failed]
+                 for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
+def test_quality_reference_is_not_moved_by_long_junk(spark):
+    prose_rows = [(i, " ".join(f"word{(i * 7 + k * k) % 97}x the" for k in range(60)), "en") for i in range(40)]
+    junk = [(100 + i, " ".join(f"| {i}{k} |" for k in range(3000)), "en") for i in range(10)]
+    df = spark.createDataFrame(prose_rows + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(df).collect() if r.kept}
+    assert kept == set(range(40))
+
+
 def test_toxicity_learns_and_holds_out(spark, docs, no_docs):
     bad, seen = ["grumph", "vexlorn", "zaskit"], []
     for i in range(900):
