@@ -15,6 +15,7 @@ than those named are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,7 +30,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u "
                    "var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = "script|style|noscript|template|svg|math|iframe|object|textarea|select|button|title|head"
+RAW = "script|style|textarea|title|iframe"  # hold no tags
+HIDDEN = frozenset("head noscript template svg math object select button".split())
+FOREIGN = frozenset(("svg", "math"))
+OPTIONS = frozenset(("option", "optgroup"))
+IN_HEAD = frozenset("base link meta title script style noscript template".split())
+#: Tags that end an <svg> or <math> left open, as in browsers.
+BREAK_OUT = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr "
+                      "li main menu nav ol p pre section table ul".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 ASIDE_NAMES = frozenset(
@@ -42,10 +50,13 @@ ASIDE_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comment-item comment-body reply reply-item".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({UNSEEN})(?=[\s/>])[^<>]*>.*?(?:</\1\s*>|\Z)|"
+    r"<!--.*?(?:-->|\Z)|"
     r"</?[a-z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[a-z][^<>]*(?:>|\Z)|<[!?][^<>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
 _NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.IGNORECASE)
+_RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^<>]*(?:>|\Z)", re.IGNORECASE) for n in RAW.split("|")}
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
+_HREF = re.compile(r"[\s\"'/]href\s*=", re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _PIECES = re.compile(r"[a-z]+")
 
@@ -62,18 +73,38 @@ def _commented(tag: str) -> bool:
 
 
 def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
-    """Blocks of a page: text, words, link density, in a main container, in a marked part."""
-    blocks, parts, stack = [], [], []
-    linked = link = aside = main = 0
+    """Blocks of a page: text, words, link density, in a main container, in a marked part.
 
-    def end() -> None:
-        nonlocal linked
+    What a hidden element holds is dropped at its own end tag.  One that is
+    closed by the end of an enclosing element, or of the page, only drops its
+    text up to the next tag of a block.
+    """
+    blocks, parts, stack, opened, endless = [], [], [], Counter(), set()
+    linked = link = across = link_depth = aside = main = foreign = 0
+
+    def end(name: str = "") -> None:
+        nonlocal linked, link
         words = unescape("".join(parts)).split()
         if words:
             blocks.append((" ".join(words), len(words), min(1.0, linked / len(words)),
                            int(main > 0), int(aside > 0)))
         parts.clear()
         linked = 0
+        link = link and across
+        if stack and stack[-1][3] is not None and stack[-1][4] is None and name not in OPTIONS:
+            stack[-1][4] = len(blocks)
+
+    def pop(own: bool) -> str:
+        """Closes the innermost element, by its own end tag or not."""
+        nonlocal aside, main, foreign, link
+        name, off, is_main, first, own_end = stack.pop()
+        opened[name] -= 1
+        aside, main, foreign = aside - off, main - is_main, foreign - (name in FOREIGN)
+        if first is not None:
+            del blocks[first:None if own else own_end]
+        if len(stack) < link_depth:
+            link = 0
+        return name
 
     def seen(piece: str) -> None:
         nonlocal linked
@@ -83,38 +114,64 @@ def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
                 linked += len(piece.split())
 
     at, html = 0, html or ""
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         seen(html[at:m.start()])
         at = m.end()
         tag = m.group()
         named = _NAME.match(tag)
-        if not named or m.group(1):
-            if m.group(1):
-                end()
+        if not named:
             continue
         name = named.group(1).lower()
+        if stack and stack[-1][0] == "head" and tag[1] != "/" and name not in IN_HEAD:
+            end()
+            pop(False)
+        if name in _RAW_END and tag[1] != "/":
+            end()
+            last = None if name in endless else _RAW_END[name].search(html, at)
+            if last:
+                at = last.end()
+            elif name in ("script", "style"):  # the rest of the page, as in browsers
+                at = len(html)
+            else:
+                endless.add(name)
+                if name == "title":  # up to the next tag
+                    after = html.find("<", at)
+                    at = after if after >= 0 else len(html)
+            continue
         if name in INLINE:
             if name == "a":
-                link = 0 if tag[1] == "/" else 1
+                link = int(tag[1] != "/" and _HREF.search(tag) is not None)
+                if link:  # over several blocks only if its end tag comes before another link
+                    after = _ANCHOR.search(html, at)
+                    across, link_depth = int(after is not None and after.group(1) == "/"), len(stack)
             elif name == "br":
                 parts.append(" ")
             continue
-        end()
+        end(name)
         if tag[1] == "/":
-            if any(e[0] == name for e in stack):
-                while True:
-                    e = stack.pop()
-                    aside, main = aside - e[1], main - e[2]
-                    if e[0] == name:
-                        break
-        elif name != "p" and name not in VOID:
+            if opened[name]:
+                while pop(stack[-1][0] == name) != name:
+                    pass
+            continue
+        if name == "body":
+            while opened["head"]:
+                pop(False)
+        if foreign and name in BREAK_OUT:
+            while foreign:
+                pop(False)
+        if tag.endswith("/>") and (foreign or name in FOREIGN):
+            continue
+        if name != "p" and name not in VOID and name not in OPTIONS:
             is_main = name in MAIN_TAGS and not aside and not _commented(tag)
             off = name in ASIDE_TAGS or (name == "header" and not main) or (
                 name not in ("body", "html") and not is_main and _marked(tag))
-            stack.append((name, int(off), int(is_main)))
-            aside, main = aside + off, main + is_main
+            stack.append([name, int(off), int(is_main), len(blocks) if name in HIDDEN else None, None])
+            opened[name] += 1
+            aside, main, foreign = aside + off, main + is_main, foreign + (name in FOREIGN)
     seen(html[at:])
     end()
+    while stack:
+        pop(False)
     return blocks
 
 

@@ -90,6 +90,29 @@ def test_html_comment_articles_are_not_the_article():
     assert H.main_text(page, tree) == body.strip()
 
 
+def test_html_optional_and_missing_end_tags():
+    tree = H.grow(H.labelled_blocks())
+    body, more = ("word " * 40).strip(), ("other " * 40).strip()
+    both = f"{body} {more}"
+    art = f"<article><p>{body}</p>%s<p>{more}</p></article>"
+    pages = [f"<html><head><title>t</title><meta charset=x><body>{art % ''}", f"<head><title>t</title>{art % ''}",
+             f"<head><title>t{art % ''}", f"<head><noscript><img src=x><body>{art % ''}"]
+    pages += [art % x for x in (
+        "<svg class=i/>", "<math/>", "<svg><path d=x><g>", "<svg><path d=x/><text>no</text></svg>",
+        "<div><button>no</div>", "<button>no", "<select><option>no", "<div><object>no</div>", "<iframe src=x>",
+        "<textarea>", "<button><div>no</div></button>", "<noscript><p>no</p></noscript>",
+        "<script>'<p>no</p>'</script>", "<template><article>no</article></template>")]
+    pages += [art % x + "<footer><p>foot</p><button>x</button></footer>" for x in ("<svg/>", "<div><select></div>")]
+    pages += [f"<article><a name=top><p>{body}</p><p><a href=x></p><p>{more}</p></article>",
+              f"<article><p><a href=x>{body}</a></p>".replace(f"<a href=x>{body}</a>", f"{body}")
+              + f"<p><a id=y>{more}</p></article>"]
+    for page in pages:
+        assert H.main_text(page, tree) == both, page
+    card = f"<a href=x><h3>{body}</h3><p>{more}</p></a>"
+    assert [b[2] for b in H.text_blocks(card)] == [1.0, 1.0]
+    assert [b[2] for b in H.text_blocks(f"<p><a href=x>{body}<p>{more}</p><p><a href=y>z</a></p>")] == [1.0, 0.0, 1.0]
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM", "https://x.example.com/en/1?a=/es/", "a://net/es/",
             "b://www.example.com/en/q", "c://examplenet/fr/", "https://z.net/fr/#x", "x://y://z.com/",
