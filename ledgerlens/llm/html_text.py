@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -38,7 +38,7 @@ IN_HEAD = frozenset("base link meta title script style noscript template".split(
 #: Tags that end an <svg> or <math> left open, as in browsers.
 BREAK_OUT = frozenset("article aside blockquote body center dd div dl dt footer h1 h2 h3 h4 h5 h6 header hr "
                       "li main menu nav ol p pre section table ul".split())
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner sidebar comment comments reply replies disqus "
@@ -46,6 +46,13 @@ ASIDE_NAMES = frozenset(
     "sponsor sponsored newsletter subscribe breadcrumb breadcrumbs menu nav navbar navigation "
     "footer header masthead login signup search widget toolbar pagination pager copyright "
     "disclaimer skip complementary contentinfo form alert".split())
+#: Words that a name of a marked part may hold besides: share-box, main-nav, related-posts.
+PLAIN_NAMES = frozenset(
+    "box bar block list wrapper wrap container area section link links button buttons icon icons item items "
+    "inner outer site page main top bottom left right primary secondary post posts entry article "
+    "articles body text title widget widgets holder".split())
+#: Names of a part with readers' comments.
+SAID_NAMES = frozenset("comment comments reply replies disqus".split())
 #: Names that an <article> bears which holds a reader's comment, not the page's article.
 COMMENT_NAMES = frozenset("comment comment-item comment-body reply reply-item".split())
 
@@ -58,12 +65,21 @@ _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^<>]*(?:>|\Z)", re.IGNORECASE) for
 _ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _HREF = re.compile(r"[\s\"'/]href\s*=", re.IGNORECASE)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
-_PIECES = re.compile(r"[a-z]+")
+_LETTERS = re.compile(r"[a-z]{2,}")
 
 
-def _marked(tag: str) -> bool:
-    """Whether a tag's class, id or role names a part that is not the article."""
-    return any(p in ASIDE_NAMES for v in _NAMED.findall(tag) for p in _PIECES.findall(v.lower()))
+def _marked(tag: str, names: frozenset[str] = ASIDE_NAMES) -> bool:
+    """Whether a whole class, id or role names a part that is not the article.
+
+    ``has-sidebar`` or ``search-results`` do not: all words of the name must
+    be of ``names`` or plain, and one of ``names``.
+    """
+    for v in _NAMED.findall(tag):
+        for name in v.strip("\"'").lower().split():
+            words = set(_LETTERS.findall(name))
+            if words & names and words <= names | ASIDE_NAMES | PLAIN_NAMES:
+                return True
+    return False
 
 
 def _commented(tag: str) -> bool:
@@ -78,28 +94,34 @@ def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
     What a hidden element holds is dropped at its own end tag.  One that is
     closed by the end of an enclosing element, or of the page, only drops its
     text up to the next tag of a block.
+
+    A <main> is a main container wherever it stands.  If no main container
+    outside marked parts holds text, a <form> or a part marked by its name may
+    be a wrapper around the page: it is, if its articles -- or, of a form
+    without any, its blocks -- hold more words than all blocks outside marked
+    parts.  Menus, footers, <aside> and comments are never wrappers.
     """
     blocks, parts, stack, opened, endless = [], [], [], Counter(), set()
-    linked = link = across = link_depth = aside = main = foreign = 0
+    linked = link = across = link_depth = foreign = 0
+    level = [0] * 5  # open: sure asides, named asides, forms, main containers, articles in a wrapper
 
     def end(name: str = "") -> None:
         nonlocal linked, link
         words = unescape("".join(parts)).split()
         if words:
-            blocks.append((" ".join(words), len(words), min(1.0, linked / len(words)),
-                           int(main > 0), int(aside > 0)))
+            blocks.append((" ".join(words), len(words), min(1.0, linked / len(words)), *level))
         parts.clear()
         linked = 0
         link = link and across
-        if stack and stack[-1][3] is not None and stack[-1][4] is None and name not in OPTIONS:
-            stack[-1][4] = len(blocks)
+        if stack and stack[-1][2] is not None and stack[-1][3] is None and name not in OPTIONS:
+            stack[-1][3] = len(blocks)
 
     def pop(own: bool) -> str:
         """Closes the innermost element, by its own end tag or not."""
-        nonlocal aside, main, foreign, link
-        name, off, is_main, first, own_end = stack.pop()
+        nonlocal level, foreign, link
+        name, before, first, own_end = stack.pop()
         opened[name] -= 1
-        aside, main, foreign = aside - off, main - is_main, foreign - (name in FOREIGN)
+        level, foreign = before, foreign - (name in FOREIGN)
         if first is not None:
             del blocks[first:None if own else own_end]
         if len(stack) < link_depth:
@@ -162,17 +184,49 @@ def text_blocks(html: str | None) -> list[tuple[str, int, float, int, int]]:
         if tag.endswith("/>") and (foreign or name in FOREIGN):
             continue
         if name != "p" and name not in VOID and name not in OPTIONS:
-            is_main = name in MAIN_TAGS and not aside and not _commented(tag)
-            off = name in ASIDE_TAGS or (name == "header" and not main) or (
-                name not in ("body", "html") and not is_main and _marked(tag))
-            stack.append([name, int(off), int(is_main), len(blocks) if name in HIDDEN else None, None])
+            before, level = level, list(level)
+            said = _commented(tag)
+            if name == "main" and not said:
+                level = [0, 0, 0, 1, 0]
+            elif name == "article" and not said and not level[0]:
+                if level[1] or level[2]:
+                    level[4] = sum(level[1:3])  # marks outside it
+                else:
+                    level[3] += 1
+            elif name in ASIDE_TAGS or (name == "header" and not level[3] and not level[4]):
+                level[0] += 1
+            elif name not in ("body", "html") and (said or _marked(tag)):
+                level[0 if said or _marked(tag, SAID_NAMES) else 1] += 1
+            elif name == "form":
+                level[2] += 1
+            stack.append([name, before, len(blocks) if name in HIDDEN else None, None])
             opened[name] += 1
-            aside, main, foreign = aside + off, main + is_main, foreign + (name in FOREIGN)
+            foreign += name in FOREIGN
     seen(html[at:])
     end()
     while stack:
         pop(False)
-    return blocks
+    return _placed(blocks)
+
+
+def _placed(blocks: list[tuple]) -> list[tuple[str, int, float, int, int]]:
+    """Blocks with their place: in a main container, in a marked part that is no wrapper."""
+    def words(chosen: Callable[[tuple], bool]) -> int:
+        return sum(b[1] for b in blocks if b[2] < 0.5 and not b[3] and chosen(b))
+
+    def of(main: Callable[[tuple], bool], aside: Callable[[tuple], bool]) -> list[tuple]:
+        return [(*b[:3], int(main(b)), int(aside(b))) for b in blocks]
+
+    def marked(b: tuple) -> bool:
+        return any(b[3:6])
+
+    if not any(b[6] and not marked(b) for b in blocks):
+        outside = words(lambda b: not marked(b))
+        if words(lambda b: b[7] == b[4] + b[5] > 0) > outside:
+            return of(lambda b: b[7], lambda b: b[3] or b[7] != b[4] + b[5])
+        if words(lambda b: not b[4] and b[5]) > outside:
+            return of(lambda b: 0, lambda b: b[3] or b[4])
+    return of(lambda b: b[6], marked)
 
 
 def describe(blocks: list[tuple]) -> list[tuple[float, ...]]:

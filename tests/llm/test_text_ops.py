@@ -113,6 +113,28 @@ def test_html_optional_and_missing_end_tags():
     assert [b[2] for b in H.text_blocks(f"<p><a href=x>{body}<p>{more}</p><p><a href=y>z</a></p>")] == [1.0, 0.0, 1.0]
 
 
+def test_html_marked_wrappers_keep_the_article():
+    tree = H.grow(H.labelled_blocks())
+    body, side = ("word " * 40).strip(), "side " * 30
+    rest = f"<nav><a href=x>Home</a></nav>%s<aside><article><p>{side}</p></article></aside><footer>foot</footer>"
+    art = f"<article><p>{body}</p><div class=share-box>{side}</div><div class='ad-300'>{side}</div></article>"
+    for main in (art, art.replace("article", "main")):
+        pages = [f"<form id=f>{rest % main}</form>", f"<div class=widget>{rest % main}</div>",
+                 f"<form><div class='alert'>{rest % main}</div></form>"]
+        pages += [f"<div class='{c}'>{rest % main}</div>" for c in (
+            "site has-sidebar", "no-comments", "search-results", "elementor-widget", "content-sidebar-wrap")]
+        pages += [f"<div class=related>{main}</div><p>few words</p>"]
+        for page in pages:
+            assert H.main_text(f"<body>{page}</body>", tree) == body, page
+    assert H.main_text(f"<body><form><div><p>{body}</p></div></form><footer>foot</footer>", tree) == body
+    plain = f"<body><div><p>{body}</p></div>"  # no container: parts of others do not become one
+    assert H.main_text(f"{plain}<div class=related><article><p>{side}</p></article></div>", tree) == body
+    assert H.main_text(f"{plain}<div id=comments><article><p>{side * 9}</p></article></div>", tree) == body
+    assert H.main_text(f"{plain}<form><p>{side}</p></form>", tree) == body
+    both = f"<article><p>{body}</p></article><div class=related><article><p>{side * 9}</p></article></div>"
+    assert H.main_text(both, tree) == body
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM", "https://x.example.com/en/1?a=/es/", "a://net/es/",
             "b://www.example.com/en/q", "c://examplenet/fr/", "https://z.net/fr/#x", "x://y://z.com/",
