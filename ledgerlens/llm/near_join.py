@@ -249,11 +249,12 @@ def _described(sent, width: int, percent: int):
         longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
         for b in batches:
             sizes, names, keys, sigs, rests, parities = [], [], [], [], [], []
-            for data in b.column("data").to_pylist():
+            for doc, data in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist()):
                 s = shingles(data, seen, width)
                 name = xxhash.xxh128_digest(s.tobytes())
                 got = None
-                if len(s) and name not in known:  # a copy needs no signatures of its own
+                # a copy needs no signatures of its own; rows without doc_id take no part
+                if len(s) and doc is not None and name not in known:
                     known.add(name)
                     shared = in_map(table, s)
                     rank = np.zeros(len(s), np.int64)

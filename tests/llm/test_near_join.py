@@ -66,6 +66,14 @@ def test_hard_rows(docs, no_docs):
         N.near_components(docs, percent=50)
 
 
+def test_a_null_row_before_its_copies_hides_no_link(spark):
+    near = prose(70, 90) + " tail"
+    rows = [(None, prose(70, 90)), (1, prose(70, 90)), (2, near), (3, prose(71, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in N.near_components(df).collect()}
+    assert got == {None: None, 1: 1, 2: 1, 3: 3}
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(4)
     rank_of = defaultdict(int)
