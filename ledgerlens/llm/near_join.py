@@ -29,8 +29,9 @@ data the map fills and more signatures are written; the result is the same.
 
 Null and empty texts, and texts without words, have empty sets and form
 components of their own.  A null doc_id links with nothing and has a null
-component.  Rows with equal doc_id are one document to the components; each
-gets a row.  An empty table gives an empty result.  Columns other than those
+component.  Components are of sets, whatever their keys: rows with equal
+doc_id and different texts are different documents.  A component is named
+by its smallest doc_id.  An empty table gives an empty result.  Columns other than those
 named are ignored.
 """
 
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ready
+from ._common import cut, ready, shuffle_width, word_count
 
 WORDS = 5            # of a shingle
 PERCENT = 75         # least similarity
@@ -236,11 +237,11 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
-SETS = ("doc_id long, n long, name binary, keys array<long>, sigs array<long>, rests array<int>, "
+SETS = ("doc_id long, tag binary, n long, name binary, keys array<long>, sigs array<long>, rests array<int>, "
         "parity array<long>")
 
 
-def _described(sent, width: int, percent: int):
+def _described(sent, width: int, percent: int, nulls: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, often, df = sent.value
         order = np.empty(len(often), np.int64)
@@ -253,8 +254,8 @@ def _described(sent, width: int, percent: int):
                 s = shingles(data, seen, width)
                 name = xxhash.xxh128_digest(s.tobytes())
                 got = None
-                # a copy needs no signatures of its own; rows without doc_id take no part
-                if len(s) and doc is not None and name not in known:
+                # a copy needs no signatures of its own; nor do rows without doc_id, unless they take part
+                if len(s) and (nulls or doc is not None) and name not in known:
                     known.add(name)
                     shared = in_map(table, s)
                     rank = np.zeros(len(s), np.int64)
@@ -269,10 +270,10 @@ def _described(sent, width: int, percent: int):
                 rests.append(None if got is None else got[1].astype(np.int32))
                 parities.append(None if got is None else parity(s))
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+                [b.column("doc_id"), b.column("tag"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
                  pa.array(keys, longs), pa.array(sigs, longs), pa.array(rests, ints),
                  pa.array(parities, longs)],
-                ["doc_id", "n", "name", "keys", "sigs", "rests", "parity"])
+                ["doc_id", "tag", "n", "name", "keys", "sigs", "rests", "parity"])
     return run
 
 
@@ -333,22 +334,31 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each document."""
+def _components(docs: DataFrame, tag: Column, nulls: bool, width: int = WORDS,
+                percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, tag, n, name`` of each row, ``name, node, least`` of each set, ``node, root`` of linked ones.
+
+    Nodes are numbers of the sets in the order of their smallest doc_id, then
+    name.  ``nulls``: whether rows with a null doc_id take part (at the end).
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     spark = ready(docs)
-    texts = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("data"))
+    texts = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"),
+                        F.encode("text", "UTF-8").alias("data"))
     sent = spark.sparkContext.broadcast(shared_shingles(texts, width))  # of fixed size
-    described = cut(texts.mapInArrow(_described(sent, width, percent), SETS))
+    described = cut(texts.mapInArrow(_described(sent, width, percent, nulls), SETS))
     sent.unpersist()
 
-    named = described.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = named.groupBy("name").agg(F.min("doc_id").alias("node"))
+    named = described.filter("n > 0" if nulls else "n > 0 AND doc_id IS NOT NULL")
+    order = [F.col("least").asc_nulls_last(), F.col("name")]
+    nodes = cut(named.groupBy("name").agg(F.min("doc_id").alias("least"))
+                .repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+                .withColumn("node", F.monotonically_increasing_id()))  # pinned by the cut
     full = (named.filter("sigs IS NOT NULL").groupBy("name").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sigs").alias("sigs"),
         F.first("rests").alias("rests"), F.first("parity").alias("parity")))
-    sets = cut(full.join(nodes, "name").drop("name"))
+    sets = cut(full.join(nodes.select("name", "node"), "name").drop("name"))
     entries = sets.select("node", "n", F.explode(F.arrays_zip("sigs", "rests")).alias("e")).select(
         F.col("e.sigs").alias("sig"), F.col("node").alias("b"), F.col("n").alias("n_b"),
         F.col("e.rests").alias("rest_b"))
@@ -383,10 +393,15 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         (F.col("root_a") < F.col("root")) & _can_link(percent, "a", "b")
         & _parity_allows(percent, "a", "b")).select("a", "b").distinct())
     more = cut(_verified(crossing, sets, percent))
-    roots = components(links.union(more))
+    return described, nodes, components(links.union(more))
 
-    named_roots = nodes.join(roots, "node", "left").select(
-        "name", F.coalesce("root", "node").alias("component_id"))
+
+def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each document."""
+    described, nodes, roots = _components(docs, F.lit(None).cast("binary"), False, width, percent)
+    linked = roots.join(nodes.select(F.col("node").alias("root"), F.col("least").alias("label")), "root")
+    named_roots = nodes.join(linked, "node", "left").select(
+        "name", F.coalesce("label", "least").alias("component_id"))
     return (described.select("doc_id", "n", "name").join(named_roots, "name", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id"))
@@ -394,12 +409,25 @@ def near_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
 
 
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component its smallest doc_id.
+    """The rows of ``docs`` without near copies: of each component the row of smallest doc_id.
 
-    Of several rows with that doc_id one stays; rows with a null doc_id stay.
+    Only rows that are linked or equal to one that stays are removed: rows
+    that share a doc_id but no text stay, and a row with a null doc_id stays
+    unless another row is its copy.  Of rows without words those that repeat
+    both doc_id and text are removed, and none with a null doc_id.
     """
-    leaders = (near_components(docs, **kw).filter("doc_id = component_id")
-               .select(F.col("doc_id").alias("_id")).distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = rows.filter("_id IS NOT NULL").join(leaders, "_id", "left_semi").dropDuplicates(["_id"])
-    return kept.unionByName(rows.filter("_id IS NULL")).select("_row.*")
+    tag = F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b""))  # null apart from empty
+    described, nodes, roots = _components(docs, tag, True, **kw)
+    first = nodes.join(roots.filter("root <> node"), "node", "left_anti").select("name")
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"),
+                   F.col("tag").alias("_tag"))
+    key = ["_none", "_id", "_tag"]
+    leaders = (described.filter("n > 0").join(first, "name", "left_semi").groupBy("name")
+               .agg(F.min(row).alias("r")).select("r.*")
+               .unionByName(described.filter("n = 0 AND doc_id IS NOT NULL").select(row.alias("r"))
+                            .select("r.*")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").isNull().alias("_none"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), tag.alias("_tag"),
+                       (word_count(F.col("text")) == 0).alias("_empty"))
+    kept = rows.join(leaders, key, "left_semi").dropDuplicates(key)
+    return kept.unionByName(rows.filter("_none AND _empty")).select("_row.*")

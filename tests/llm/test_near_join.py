@@ -74,6 +74,22 @@ def test_a_null_row_before_its_copies_hides_no_link(spark):
     assert got == {None: None, 1: 1, 2: 1, 3: 3}
 
 
+def test_rows_that_share_a_key_are_removed_only_as_copies(spark):
+    a, b, c, d = (prose(k, 60) for k in (80, 81, 82, 83))
+    rows = [(3, a), (5, a), (5, b), (7, b + " tail"), (9, c), (9, d), (9, d), (9, d + " tail"), (11, ""), (11, None),
+            (11, ""), (None, c), (None, prose(84, 60)), (None, prose(84, 60) + " tail"), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(3, a), (5, b), (9, c), (11, ""), (11, None), (None, ""), (None, None)]
+    for parts in (1, 7):
+        got = [(r.doc_id, r.text) for r in N.one_of_each(df.repartition(parts)).collect()]
+        left = [r for r in got if r not in want]  # of equal keys any one text of a component
+        assert all(got.count(r) == 1 for r in want) and len(got) == len(want) + 2
+        assert sorted(str(x) for x, _ in left) == ["9", "None"]
+        assert left[0][1] != left[1][1] and {t.removesuffix(" tail") for _, t in left} == {d, prose(84, 60)}
+    labels = {(r.doc_id, r.component_id) for r in N.near_components(df).collect()}
+    assert {(5, 3), (5, 5), (7, 5), (9, 9), (None, None)} <= labels
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(4)
     rank_of = defaultdict(int)
