@@ -32,7 +32,7 @@ from ._common import cut, ready
 
 TREES = 32
 BITS = 32
-CANDIDATES = 4000    # least entries that the trees' ranges hold, in each block
+CANDIDATES = 4000    # least different vectors that the trees' ranges hold, in each block
 BLOCK_ROWS = 8192
 QUERY_ROWS = 2048
 SAMPLE = 4096
@@ -69,7 +69,11 @@ def hash_strings(x: np.ndarray, normal: np.ndarray, middle: np.ndarray) -> np.nd
 
 
 def candidates(x: np.ndarray, q: np.ndarray, planes: tuple, least: int) -> list[np.ndarray]:
-    """Rows of ``x`` that the forest proposes for each row of ``q`` (both lifted)."""
+    """Rows of ``x`` that the forest proposes for each row of ``q`` (both lifted).
+
+    ``x`` holds no vector twice.  The ascent stops at the greatest depth at
+    which the ranges hold ``least`` different rows, or at the root.
+    """
     normals, middles = planes
     trees, bits = middles.shape
     low = np.empty((trees, bits + 1, len(q)), np.int64)
@@ -86,28 +90,44 @@ def candidates(x: np.ndarray, q: np.ndarray, planes: tuple, least: int) -> list[
             prefix = mine >> tail
             low[t, depth] = np.searchsorted(codes, prefix << tail)
             high[t, depth] = np.searchsorted(codes, (prefix + np.uint64(1)) << tail)
-    held = (high - low).sum(0)  # falls with depth
-    depth = np.maximum((held >= least).sum(0) - 1, 0)  # where the ascent stops
+    held = (high - low).sum(0)  # falls with depth; at least the different rows
+    depth = np.maximum((held >= least).sum(0) - 1, 0)  # no ascent stops below
     out = []
     for i, d in enumerate(depth):
         mark = np.zeros(len(x), bool)
-        for t in range(trees):
-            mark[orders[t][low[t, d, i]:high[t, d, i]]] = True
+        while True:
+            for t in range(trees):
+                mark[orders[t][low[t, d, i]:high[t, d, i]]] = True
+            if not d or np.count_nonzero(mark) >= least:
+                break
+            d -= 1
         out.append(np.flatnonzero(mark))
     return out
 
 
 def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
                  planes: tuple, longest: float, k: int, least: int) -> pd.DataFrame:
-    """The best ``k`` proposed rows of one block for each query."""
+    """The best ``k`` proposed rows of one block for each query.
+
+    Different vectors are indexed and scored; their smallest ids, ``k + 1`` as
+    the query's own may be among them, are attached to the best.
+    """
     found = []
     lifted_q = np.column_stack([q, np.zeros(len(q))])
-    for i, at in enumerate(candidates(lift(x, longest), lifted_q, planes, least)):
-        at = at[ids[at] != query_ids[i]]
-        near = x[at] @ q[i]
-        if len(at) > k:  # everything that rounding could bring among the best k
-            edge = np.partition(near, -k)[-k]
+    x = x + 0.0  # -0.0 equals 0.0
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
+    by = np.lexsort((ids, group))
+    start = np.searchsorted(group[by], np.arange(len(first) + 1))
+    kinds = x[first]
+    for i, at in enumerate(candidates(lift(kinds, longest), lifted_q, planes, least)):
+        near = kinds[at] @ q[i]
+        if len(at) > k + 1:  # everything that rounding could bring among the best k, besides its own
+            edge = np.partition(near, -k - 1)[-k - 1]
             at = at[near >= edge - 1e-9 * max(1.0, longest * longest)]
+        at = np.concatenate([np.empty(0, np.int64), *[
+            by[start[g]:min(start[g] + k + 1, start[g + 1])] for g in at]])
+        at = at[ids[at] != query_ids[i]]
         exact = (x[at] * q[i]).sum(1)  # equal vectors get equal scores
         best = np.lexsort((ids[at], -exact))[:k]
         found.append((np.full(len(best), query_ids[i]), ids[at][best], exact[best]))

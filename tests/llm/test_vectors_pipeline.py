@@ -45,6 +45,28 @@ def test_blocks_ties_and_unusable_vectors(spark):
     assert V.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_copies_do_not_stop_the_ascent():
+    rng = np.random.default_rng(3)
+    for hot in (0, 2500):
+        x = rng.standard_normal((5000, 32))
+        x[rng.permutation(5000)[:hot]] = x[0]
+        q = x[0] + 0.5 * rng.standard_normal((20, 32))  # share the hot vector's prefixes
+        longest = float(np.sqrt((x * x).sum(1).max()))
+        planes = V.hyperplanes(V.lift(x[:2048], longest), V.TREES, V.BITS)
+        ids, names = np.arange(5000), np.arange(9000, 9020)
+        got = V.block_search(ids, x, names, q, planes, longest, 20, 1500)
+        kinds = np.unique(x, axis=0)
+        sizes = [len(a) for a in V.candidates(V.lift(kinds, longest), V.lift(q, longest), planes, 1500)]
+        assert min(sizes) >= 1500
+        for i, name in enumerate(names):
+            mine = got[got.query_id == name]
+            assert len(mine) == 20 and mine.vec_id.is_unique
+    y = np.array([[1.0, 0.0]] * 30 + [[0.5, 0.5]] * 5 + [[0.0, 1.0]])
+    planes = V.hyperplanes(V.lift(y, 1.0), V.TREES, V.BITS)
+    got = V.block_search(np.arange(36)[::-1], y, np.array([35]), y[:1], planes, 1.0, 32, 3)
+    assert got.vec_id.tolist() == [*range(6, 35), 1, 2, 3]
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
