@@ -94,14 +94,19 @@ def mixture(docs: DataFrame, **kw) -> DataFrame:
     plan = mix_plan(docs, **kw)
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), *_source_key(),
            F.col("size").alias("_size")]
-    owed = plan.select(*key, "copies").groupBy("_id", "_none", "_src", "_size").agg(
-        *[F.count(F.when(F.col("copies") == c, 1)).alias(f"_c{c}") for c in (1, 2)])
+    counts = plan.filter("copies > 0").groupBy(*key, "copies").agg(F.count("*").alias("_n"))
+    owed = counts.groupBy("_id", "_none", "_src", "_size").agg(
+        F.sort_array(F.collect_list(F.struct("copies", "_n")), asc=False).alias("_owed"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source",
                        word_count(F.col("text")).alias("size")).select("_row", *key)
     nth = F.row_number().over(Window.partitionBy("_id", "_none", "_src", "_size").orderBy(F.lit(0)))
-    copies = (F.when(F.col("_nth") <= F.col("_c2"), 2)
-              .when(F.col("_nth") <= F.col("_c2") + F.col("_c1"), 1).otherwise(0))
-    return (rows.join(owed.filter("_c1 + _c2 > 0"), ["_id", "_none", "_src", "_size"])
+    # The most copies first: those of the n-th row, or 0 behind all that are owed.
+    copies = F.aggregate(
+        "_owed", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("c")),
+        lambda a, e: F.struct((a["seen"] + e["_n"]).alias("seen"), F.when(
+            (F.col("_nth") > a["seen"]) & (F.col("_nth") <= a["seen"] + e["_n"]), e["copies"])
+            .otherwise(a["c"]).alias("c")), lambda a: a["c"])
+    return (rows.join(owed, ["_id", "_none", "_src", "_size"])
             .withColumn("_nth", nth).withColumn("_copies", copies).filter("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select("_row.*"))

@@ -91,3 +91,13 @@ def test_packing_keeps_every_word_and_all_conflicts(docs, no_docs):
         assert sum(r.n_words for r in v) <= 100
         assert len({r.source for r in v}) == len(v) == len({text_of[r.doc_id] for r in v})
     assert packing.pack(no_docs).count() == 0
+
+
+def test_mixture_gives_any_number_of_copies(spark):
+    from ledgerlens.llm import mixing as M
+    rows = [(i, f"w{i} " * (3 + i), "a") for i in range(6)] + [(i, "x y z", "b") for i in range(40)] + [(3, "w " * 6, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kw = {"weights": (9, 1), "share": 2.0, "max_repeat": 5}
+    plan = M.mix_plan(df, **kw).collect()
+    assert max(r.copies for r in plan) >= 3
+    assert M.mixture(df, **kw).count() == sum(r.copies for r in plan)
