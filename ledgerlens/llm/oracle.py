@@ -42,4 +42,95 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLE = {"op1_mixing": MIXING}
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+seen AS (
+  SELECT doc_id, part, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS copy,
+         len(words) AS n_words, len(list_distinct(words)) AS n_distinct, length(text) AS n_chars,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+         regexp_matches(text, '[#$%&*|]') AS symbol
+  FROM texts),
+known AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good,
+         coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+         [n_words < 200, 100 * n_distinct < 50 * n_words, 100 * n_capitals > 2 * n_chars, symbol, copy] AS fails
+  FROM seen LEFT JOIN known USING (doc_id)),
+orders AS (
+  SELECT [a, b, c, d, e] AS o
+  FROM range(1, 6) t1(a), range(1, 6) t2(b), range(1, 6) t3(c), range(1, 6) t4(d), range(1, 6) t5(e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5),
+grouped AS (
+  SELECT part, fails, good, toxic, count(*) AS n FROM marked GROUP BY ALL),
+placed AS (
+  SELECT part, o, step, o[step] AS f, fails, good, toxic, n,
+         coalesce(list_bool_or(list_transform(o[1:step - 1], lambda k: fails[k])), FALSE) AS gone,
+         fails[o[step]] AS failing,
+         list_bool_or(fails) AND len(list_filter(fails, lambda x: x)) = 1 AS single
+  FROM grouped, orders, range(1, 6) t(step)),
+steps AS (
+  SELECT part, o, step, f,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failing), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND failing), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (failing AND single), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (NOT gone AND failing AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (NOT gone AND failing AND toxic), 0)::BIGINT AS toxic_lost
+  FROM placed GROUP BY part, o, step, f)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order,
+       step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM steps
+"""
+
+FILL_MIDDLE = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+  FROM documents),
+drawn AS (
+  SELECT doc_id, text, units, len(units) AS n,
+         ('0x' || h[1:8])::UBIGINT % (len(units) + 1) AS x, ('0x' || h[9:16])::UBIGINT % (len(units) + 1) AS y,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR ('0x' || h[17:24])::UBIGINT % 100 >= 100
+              THEN 'plain' WHEN ('0x' || h[25:32])::UBIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut),
+parts AS (
+  SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:least(x, y)], ''), '') AS p,
+         coalesce(array_to_string(units[least(x, y) + 1:greatest(x, y)], ''), '') AS m,
+         coalesce(array_to_string(units[greatest(x, y) + 1:n], ''), '') AS s
+  FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+LINE_DEDUP = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT row, doc_id, text, line, spot,
+         translate(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT row, doc_id, text, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM texts)),
+common AS (
+  SELECT key FROM (SELECT DISTINCT key, doc_id, text FROM lines WHERE key <> '')
+  GROUP BY key HAVING count(*) >= 10),
+kept AS (
+  SELECT row, doc_id, line, spot, key IN (SELECT key FROM common) AS gone FROM lines)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY row, doc_id
+"""
+
+ORACLE = {"op1_mixing": MIXING, "op11_filter_audit": FILTER_AUDIT, "op12_fill_middle": FILL_MIDDLE,
+          "op13_line_dedup": LINE_DEDUP}

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (html_text, license_scan, mixing, near_join, packing, quality, sharding, toxicity,
-               url_filter, vector_search)
+from . import (fill_middle, filter_audit, html_text, license_scan, line_dedup, mixing, near_join,
+               packing, quality, sharding, toxicity, url_filter, vector_search)
 from ._common import table
 
 
@@ -66,6 +66,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in every order."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's fill-in-middle form and of the text rebuilt from it."""
+    return fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document without the lines that ten documents or more share."""
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_sharding, op3_ngram_jaccard, op4_license_scan, op5_html_extraction,
-    op6_url_filter, op7_best_fit_packing, op8_nearest_vectors, op9_quality_rules, op10_toxicity)}
+    op6_url_filter, op7_best_fit_packing, op8_nearest_vectors, op9_quality_rules, op10_toxicity,
+    op11_filter_audit, op12_fill_middle, op13_line_dedup)}
