@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import work_dir
+from ..session import cut
 
 ACCURACY = 10_000
 LOCAL_LIMIT = 250_000
@@ -313,7 +313,7 @@ def _grouped(vals: DataFrame, by: list, p: float, out: str, local_limit: int) ->
              .withColumn("_below", F.when(F.col("_missed"), 0).otherwise(F.col("_below")))
              .withColumn("_inside", F.when(F.col("_missed"), F.col("_n")).otherwise(F.col("_inside")))
              .select(*key, "_first", "_d", "_lo", "_hi", "_below", "_inside"))
-    state = _cut(state)
+    state = cut(state)
     wide = (F.col("_inside") > local_limit) & (F.col("_lo") < F.col("_hi"))
     before = None
     while (todo := state.where(wide).agg(F.count("*"), F.sum("_inside"), F.sum(
@@ -333,7 +333,7 @@ def _grouped(vals: DataFrame, by: list, p: float, out: str, local_limit: int) ->
                .where((F.col("_before") <= at) & (at < F.col("_before") + F.col("_c")))
                .select(*key, "_first", "_d", F.col("_l").alias("_lo"), F.col("_h").alias("_hi"),
                        (F.col("_below") + F.col("_before")).alias("_below"), F.col("_c").alias("_inside")))
-        state = _cut(state.where(~wide).unionByName(hit))
+        state = cut(state.where(~wide).unionByName(hit))
     settled = state.where("_lo = _hi").select(*key, "_first", "_d", F.col("_lo").alias("_x"))
     w = Window.partitionBy(*key).orderBy("_v")
     picked = (vals.join(state.where("_lo < _hi"), by)
@@ -346,11 +346,6 @@ def _grouped(vals: DataFrame, by: list, p: float, out: str, local_limit: int) ->
         .select(*by, lerp_col(F.col("_a"), F.col("_z"), F.col("_d")).alias(out)))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    work_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def percentile_value(df: DataFrame, col: str | Column, p: float) -> float | None:
     """Driver-side scalar of a global exact percentile."""
     v = F.col(col) if isinstance(col, str) else col

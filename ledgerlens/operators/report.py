@@ -8,6 +8,8 @@ so an un-partitioned window here runs over a bounded number of rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,26 @@ def money_sum(c: Column | str) -> Column:
     return F.sum(c.cast("decimal(18,2)")).cast("double")
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str] = (),
+               rank: str | None = None) -> DataFrame:
+    """The first ``n`` rows in ``order``, of all or of each ``by``; ``rank`` names a rank column.
+
+    Without ``by`` every task sends its first ``n`` rows.  With it, Spark cuts
+    each task's rows to ``n`` a group before the shuffle (WindowGroupLimit),
+    so a group of any size brings ``n`` rows a task.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        out = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    else:
+        out = df.orderBy(*order).limit(n)
+        if rank:
+            out = out.withColumn("_rn", F.row_number().over(Window.orderBy(*order)))
+    if rank:
+        out = out.withColumn(rank, F.col("_rn").cast("bigint"))
+    return out.drop("_rn")
+
+
 def top_n_with_other(grouped: DataFrame, key: str, measure: str, n: int,
                      order: list[Column], other_label: str = OTHER) -> DataFrame:
     """Rank groups by ``order``; keep the first ``n`` and, only when more
@@ -42,9 +64,10 @@ def top_n_with_other(grouped: DataFrame, key: str, measure: str, n: int,
     return top.unionByName(rest)
 
 
-def cumulative(col: str, order: str = "rank") -> Column:
-    """Running sum in rank order (bounded list)."""
-    return F.sum(col).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+def cumulative(col: str, order: str = "rank", by: Sequence[str] = ()) -> Column:
+    """Running sum in rank order (of a bounded list, or one for each ``by``)."""
+    w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+    return F.sum(col).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def short_label(name: Column, n: int) -> Column:
@@ -54,12 +77,14 @@ def short_label(name: Column, n: int) -> Column:
         F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+$", ""), F.lit(ELLIPSIS)))
 
 
-def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str = "label") -> DataFrame:
+def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str = "label",
+                        by: Sequence[str] = ()) -> DataFrame:
     """Short labels that stay distinct, numbered in list order.
 
-    ``df`` must be a bounded list (a top-N or a handful of categories).  The
-    list becomes one array in ``order``; a fold over it gives each row the
-    first of ``short``, ``short (2)``, ``short (3)``... that is still free.
+    ``df`` must be a bounded list (a top-N or a handful of categories), or one
+    for each ``by``.  A list becomes one array in ``order``; a fold over it
+    gives each row the first of ``short``, ``short (2)``, ``short (3)``... that
+    is still free.
     """
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), short_label(
         F.coalesce(F.col(name).cast("string"), F.lit("None")), n).alias("_s"),
@@ -74,7 +99,7 @@ def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str =
                          lambda done, e: F.concat(done, F.array(free(done, e["_s"]))))
     pairs = F.zip_with("_list", labels, lambda e, label: F.struct(
         e["_row"].alias("_row"), label.alias("_label")))
-    return (df.agg(listed.alias("_list")).select(F.explode(pairs).alias("_e"))
+    return (df.groupBy(*by).agg(listed.alias("_list")).select(F.explode(pairs).alias("_e"))
             .select("_e._row.*", F.col("_e._label").alias(out)))
 
 

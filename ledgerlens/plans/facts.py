@@ -10,6 +10,8 @@ order rows arrive in.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -290,16 +292,16 @@ def anomaly_vs_rest(f: DataFrame) -> DataFrame:
 SET_KEYS = ("entity", "modality", "supplier", "sign_year", "value_band")
 
 
-def fact_sets(f: DataFrame) -> DataFrame:
+def fact_sets(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every per-group aggregate the readings need, from one scan and one
     shuffle: grouping sets (entity) (modality) (supplier) (sign_year)
-    (value_band, label) and the grand total.  ``set`` names the grouping;
-    null keys of a grouping are dropped afterwards (pandas drops them).
-    The result has one row per distinct key value, so it is small.
+    (value_band, label) and the total, each within ``by``.  ``set`` names the
+    grouping; null keys of a grouping are dropped afterwards (pandas drops
+    them).  The result has one row per distinct key value.
     """
-    sets = [["entity"], ["modality"], ["supplier"], ["sign_year"],
-            ["value_band", "value_band_label"], []]
-    g = f.groupingSets(sets, "entity", "modality", "supplier", "sign_year", "value_band",
+    sets = [[*by, *keys] for keys in (["entity"], ["modality"], ["supplier"], ["sign_year"],
+                                      ["value_band", "value_band_label"], [])]
+    g = f.groupingSets(sets, *by, "entity", "modality", "supplier", "sign_year", "value_band",
                        "value_band_label").agg(
         F.grouping_id().alias("_gid"),
         F.sum(F.col("value").cast("decimal(18,2)")).alias("total_dec"),
@@ -314,7 +316,8 @@ def fact_sets(f: DataFrame) -> DataFrame:
         F.sum("duration_days").alias("dur_sum"),
         F.count("duration_days").alias("dur_n"), *_flag_count(f))
     # grouping_id bits follow the column order: entity, modality, supplier,
-    # sign_year, value_band, value_band_label (1 = not grouped).
+    # sign_year, value_band, value_band_label (1 = not grouped); those of
+    # ``by`` come before and are 0.
     name = (F.when(F.col("_gid") == 0b011111, "entity").when(F.col("_gid") == 0b101111, "modality")
             .when(F.col("_gid") == 0b110111, "supplier").when(F.col("_gid") == 0b111011, "sign_year")
             .when(F.col("_gid") == 0b111100, "value_band").otherwise("all"))

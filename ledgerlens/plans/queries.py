@@ -18,11 +18,11 @@ from ..functions.text import normalize, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
 from ..operators.report import attach_one_row, money_sum, unique_short_labels
-from ..session import apply_defaults, ship_package
+from ..session import apply_defaults, cut, ship_package
 from ..sources.adapter import contracts_from_tables
 from ..sources.contracts import select_contract
 from ..sources.fingerprint import fingerprint
-from . import enrich, facts, readings, views
+from . import enrich, facts, readings, slices, views
 from .views import ViewSpec
 
 SOURCE_TABLES = ("lineitem", "orders", "customer", "supplier")
@@ -41,6 +41,9 @@ SAVED_VIEWS = [  # (view_id, key, value): stored parameters, some stale on purpo
     (2, "entity", "Customer#000000007"), (2, "entity", "Nobody"), (2, "band", "> 1 B"),
     (2, "from", "1997"), (2, "to", "1993"), (2, "priority", "1"),
     (3, "band", "huge"), (3, "from", "abc"), (3, "to", "2050"),
+    (4, "q", "no such contract"), (4, "modality", "Licitación pública"),
+    (5, "from", "1996"), (5, "q", "SUPPLIER#00000000"), (5, "band", "< 90 M"), (5, "band", "90–500 M"),
+    (6, "priority", "1"),
 ]
 
 
@@ -158,8 +161,11 @@ def q_saved_views(spark, sf):
 def q_saved_view_facts(spark, sf):
     r = rows(spark, sf)
     saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
-    specs = views.specs_from_resolved(views.resolve_saved_views(saved, r), saved)
-    return views.facts_by_view(r, specs)
+    return views.facts_by_view(r, _saved_view_table(saved, r))
+
+
+def _saved_view_table(saved, r):
+    return cut(views.view_table(views.resolve_saved_views(saved, r), saved))
 
 
 def q_filter_options(spark, sf):
@@ -270,6 +276,41 @@ def q_readings_flagged(spark, sf):
         readings.model_readings(f))
 
 
+def q_readings_by_year(spark, sf):
+    """Every reading of each signing year, the flag's included."""
+    f = flagged_rows(spark, sf)
+    th = snapshot(spark, sf).thresholds
+    return slices.readings_by(f, ["sign_year"], th).unionByName(
+        slices.model_readings_by(f, ["sign_year"])).withColumn("sign_year", F.col("sign_year").cast("bigint"))
+
+
+def q_readings_by_entity(spark, sf):
+    return slices.readings_by(rule_rows(spark, sf), ["entity"], snapshot(spark, sf).thresholds)
+
+
+def q_readings_by_view(spark, sf):
+    """Every reading of each saved view, also of one that shows nothing."""
+    r = rule_rows(spark, sf)
+    saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
+    table = _saved_view_table(saved, r)
+    return slices.readings_by(views.view_members(r, table), ["view_id"], snapshot(spark, sf).thresholds,
+                              wanted=table)
+
+
+def q_headline_by_year(spark, sf):
+    return slices.headline_by(rows(spark, sf), ["sign_year"]).withColumn(
+        "sign_year", F.col("sign_year").cast("bigint"))
+
+
+def q_top_suppliers_by_entity(spark, sf):
+    return slices.top_by(rows(spark, sf), ["entity"], "supplier")
+
+
+def q_top_entities_by_year(spark, sf):
+    return slices.top_by(rows(spark, sf), ["sign_year"], "entity", label_len=38, other=False).withColumn(
+        "sign_year", F.col("sign_year").cast("bigint"))
+
+
 def q_term_tags(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     return readings.term_tags(docs, "doc_id", "text")
@@ -373,6 +414,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "headline_facts": q_headline,
     "universe_direct_share": q_universe_direct,
     "readings": q_readings,
+    "readings_by_year": q_readings_by_year,
+    "readings_by_entity": q_readings_by_entity,
+    "readings_by_view": q_readings_by_view,
+    "headline_by_year": q_headline_by_year,
+    "top_suppliers_by_entity": q_top_suppliers_by_entity,
+    "top_entities_by_year": q_top_entities_by_year,
     "term_tags": q_term_tags,
     "modality_terms": q_modality_terms,
     "page_urls": q_page_urls,

@@ -7,14 +7,17 @@ expressions over one-row fact tables (attached as scalar subqueries).  ``status`
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GLOSSARY_TERMS, MIN_MEDIAN_GROUP, TOP_N
 from ..operators.quantile import percentile_exact, percentile_value
 from ..functions import formats as fm
-from ..operators.report import attach_one_row
+from ..operators.report import attach_one_row, first_rows
 from ..operators.stats import Thresholds
+from ..session import cut
 from . import facts
 
 EMPTY = "empty view."
@@ -33,22 +36,12 @@ def _reading(name: str, status: Column, text: Column) -> Column:
     return F.struct(F.lit(name).alias("reading"), status.alias("status"), text.alias("text"))
 
 
-def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
-    """N1-N10 and N13 for the view ``f`` (thresholds come from the universe).
-
-    The headline names the anomalous rows where ``f`` has the model's flag.
-
-    All group-level numbers come from one grouping-sets pass over the view
-    (``facts.fact_sets``, cached: it has one row per distinct key); medians
-    and the distinct-id count are the only other passes.
-    """
-    spark = f.sparkSession
-    sets = facts.fact_sets(f).cache()
-    has_flag = "n_anomalies" in sets.columns
+def set_numbers(sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every single number and every first place of the readings, from one
+    aggregate over the grouping sets: one row, or one for each ``by``."""
     c = F.col
     dec = lambda col: c(col).cast("decimal(28,2)")
-    median = percentile_value(f, "value", 0.5)
-    distinct = f.agg(F.count_distinct("contract_id").alias("n_contracts"))
+    has_flag = "n_anomalies" in sets.columns
 
     def of(name: str, *more: Column) -> Column:
         """Whether a row of ``sets`` is a group of that set (its key known)."""
@@ -61,14 +54,13 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         """Of these rows the least by the first fields, in that order."""
         return F.min(F.when(rows, F.struct(*[x.alias(f"f{k}") for k, x in enumerate(fields)])))
 
-    # Every single number and every first place, from one aggregate over the sets.
     share = F.try_divide(c("n_sme").cast("double"), c("n_sme_known").cast("double")) * 100
     total, band = c("total_value"), c("value_band")
     has_share = of("value_band", share.isNotNull())
     paid = of("sign_year", total > 0)
     names = ("n_rows", "total_value", "n_values", "n_priority", "n_critical",
              *(["n_anomalies"] if has_flag else []))
-    x = sets.agg(
+    x = sets.groupBy(*by).agg(
         F.max(F.when(of("all"), F.struct(
             *names, (c("n_direct") / c("n_direct_known") * 100).alias("direct_pct"),
             share.alias("sme_all"),
@@ -86,8 +78,8 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
     last, prev = F.try_element_at("_y", F.lit(-1)), F.when(
         F.size("_y") > 1, F.try_element_at("_y", F.lit(-2)))
     before = prev["total_value"]
-    x = x.select(
-        "_all.*", "s_n", "p_total", "n_suppliers", c("n_suppliers").alias("p_n"),
+    return x.select(
+        *by, "_all.*", "s_n", "p_total", "n_suppliers", c("n_suppliers").alias("p_n"),
         c("_m.f1").alias("m1"), c("_m.f2").alias("m1_rows"),
         c("_peak.f1").alias("peak_year"), c("_peak.f2").alias("peak_value"),
         last["sign_year"].alias("last_year"), last["total_value"].alias("last_value"),
@@ -96,48 +88,82 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         c("_hi.f2").alias("s_hi"), c("_hi.f3").alias("s_hi_pct"),
         c("_lo.f2").alias("s_lo"), c("_lo.f0").alias("s_lo_pct"))
 
+
+def with_shares(x: DataFrame) -> DataFrame:
+    """Adds what the sentences derive from a row of numbers."""
+    return (x.withColumn("mean_inflated", F.coalesce((F.col("median_value") > 0)
+                                                 & (F.col("mean_value") > F.col("median_value") * 2),
+                                                 F.lit(False)))
+         .withColumn("top_entity", F.col("e1")).withColumn("top_entity_value", F.col("e1_value"))
+         .withColumn("top_entity_pct", F.when((F.col("total_value") != 0) & F.col("e1").isNotNull(),
+                                              F.col("e1_value") / F.col("total_value") * 100))
+         .withColumn("top_suppliers_pct",
+                     F.when((F.col("total_value") != 0) & (F.col("n_suppliers") > TOP_N),
+                            F.col("top_suppliers_value") / F.col("total_value") * 100)))
+
+
+def name_parts(f: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> list[DataFrame]:
+    """The numbers that need more than ``set_numbers``: distinct contracts, the
+    leading buyers and suppliers, and the modalities of highest and lowest
+    median; one row each, or one for each ``by``."""
+    c = F.col
+    dec = lambda col: c(col).cast("decimal(28,2)")
+    distinct = f.groupBy(*by).agg(F.count_distinct("contract_id").alias("n_contracts"))
+
     def top(name: str, n: int) -> DataFrame:
-        """The ``n`` groups of a set with most value, as one row with their array ``t``."""
-        order = [F.desc("total_value"), c(name)]
-        rows = facts.set_rows(sets, name).select(name, "total_value").orderBy(*order).limit(n)
-        return rows.agg(
-            F.sort_array(F.collect_list(F.struct((-total).alias("neg"), c(name).alias("name"),
-                                                 total.alias("value")))).alias("t"),
+        """The ``n`` groups of a set with most value as an array ``t``."""
+        groups = facts.set_rows(sets, name).select(*by, name, "total_value")
+        rows = first_rows(groups, [F.desc("total_value"), c(name)], n, by)
+        return rows.groupBy(*by).agg(
+            F.sort_array(F.collect_list(F.struct((-c("total_value")).alias("neg"), c(name).alias("name"),
+                                                 c("total_value").alias("value")))).alias("t"),
             F.sum(dec("total_value")).cast("double").alias("sum"))
 
     e1, e2 = F.get("t", F.lit(0)), F.get("t", F.lit(1))
-    ents = top("entity", 2).select(e1["name"].alias("e1"), e1["value"].alias("e1_value"),
+    ents = top("entity", 2).select(*by, e1["name"].alias("e1"), e1["value"].alias("e1_value"),
                                    e2["name"].alias("e2"), e2["value"].alias("e2_value"))
     sups = top("supplier", TOP_N).select(
-        e1["name"].alias("p1"), e1["value"].alias("p1_value"), c("sum").alias("p_top"),
+        *by, e1["name"].alias("p1"), e1["value"].alias("p1_value"), c("sum").alias("p_top"),
         F.coalesce("sum", F.lit(0.0)).alias("top_suppliers_value"))
     # Medians of all modalities at once, however many there are.
     enough = facts.set_rows(sets, "modality").where(c("n_values") >= MIN_MEDIAN_GROUP)
     med = c("median_value")
-    meds = percentile_exact(f.where(c("modality").isNotNull()), "value", 0.5, by=["modality"],
-                            out="median_value").join(enough.select("modality"), "modality").agg(
-        F.count(F.lit(1)).alias("md_n"),
-        F.min(F.struct((-med).alias("neg"), "modality", med.alias("value"))).alias("t"),
-        F.max(F.struct((-med).alias("neg"), "modality", med.alias("value"))).alias("l")).select(
-        "md_n", c("t.modality").alias("md_top"), c("t.value").alias("md_top_value"),
+    named = F.struct((-med).alias("neg"), "modality", med.alias("value"))
+    meds = percentile_exact(f.where(c("modality").isNotNull()), "value", 0.5, by=[*by, "modality"],
+                            out="median_value").join(
+        enough.select(*by, "modality"), [*by, "modality"]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("md_n"), F.min(named).alias("t"), F.max(named).alias("l")).select(
+        *by, "md_n", c("t.modality").alias("md_top"), c("t.value").alias("md_top_value"),
         c("l.modality").alias("md_low"), c("l.value").alias("md_low_value"))
-    for part in (distinct, ents, sups, meds):
+    return [distinct, ents, sups, meds]
+
+
+def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
+    """N1-N10 and N13 for the view ``f`` (thresholds come from the universe).
+
+    The headline names the anomalous rows where ``f`` has the model's flag.
+
+    All group-level numbers come from one grouping-sets pass over the view
+    (``facts.fact_sets``, written once: it has one row per distinct key);
+    medians and the distinct-id count are the only other passes.
+    """
+    spark = f.sparkSession
+    sets = cut(facts.fact_sets(f))
+    median = percentile_value(f, "value", 0.5)
+    x = set_numbers(sets)
+    for part in name_parts(f, sets):
         x = _left(x, part)
     # One row of single numbers: the sentences are made from its values, so
     # their long expressions don't drag the aggregates' plans along.
     x = spark.createDataFrame(x.collect(), x.schema)
-    sets.unpersist()
-    x = (x.withColumn("median_value", F.lit(median).cast("double"))
-         .withColumn("mean_inflated", F.coalesce((F.col("median_value") > 0)
-                                                 & (F.col("mean_value") > F.col("median_value") * 2),
-                                                 F.lit(False)))
-         .withColumn("top_entity", F.col("e1")).withColumn("top_entity_value", F.col("e1_value"))
-         .withColumn("top_entity_pct", F.when((F.col("total_value") != 0) & F.col("e1").isNotNull(),
-                                              F.col("e1_value") / F.col("total_value") * 100))
-         .withColumn("top_suppliers_pct",
-                     F.when((F.col("total_value") != 0) & (F.col("n_suppliers") > TOP_N),
-                            F.col("top_suppliers_value") / F.col("total_value") * 100)))
+    x = x.withColumn("median_value", F.lit(median).cast("double"))
+    return sentences(with_shares(x), th)
+
 
+def sentences(x: DataFrame, th: Thresholds, by: Sequence[str] = ()) -> DataFrame:
+    """N1-N10 and N13 of each row of numbers (``set_numbers``, ``with_shares`` and the tops)."""
+    c = F.col
+    has_flag = "n_anomalies" in x.columns
     empty = F.coalesce(F.col("n_rows"), F.lit(0)) == 0
 
     def guard(status: Column, text: Column, name: str) -> Column:
@@ -257,7 +283,7 @@ def rule_readings(f: DataFrame, th: Thresholds) -> DataFrame:
         guard(F.when(c("n_priority") == 0, F.lit("zero")).otherwise(F.lit("normal")), rules_text,
               "rules"),
     ]
-    return x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    return x.select(*by, F.explode(F.array(*items)).alias("r")).select(*by, "r.*")
 
 
 def model_readings(f: DataFrame) -> DataFrame:
@@ -268,7 +294,11 @@ def model_readings(f: DataFrame) -> DataFrame:
     vs = facts.anomaly_vs_rest(f)
     ma = _one(vs.where("is_anomaly"), median_value="med_anom")
     mr = _one(vs.where("NOT is_anomaly"), median_value="med_rest")
-    x = _left(_left(_left(_left(spark.range(1), base), ag), ma), mr)
+    return flag_sentences(_left(_left(_left(_left(spark.range(1), base), ag), ma), mr))
+
+
+def flag_sentences(x: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """N11-N12 of each row of numbers about the flag."""
     c = F.col
     empty = c("n_rows") == 0
     anom = F.when(c("n_anom") == 0, F.lit("anomalies: none.")) \
@@ -292,7 +322,7 @@ def model_readings(f: DataFrame) -> DataFrame:
         _reading("agreement", F.when(empty, F.lit("empty")).when(c("nothing_flagged"), F.lit("none"))
                  .otherwise(F.lit("normal")), F.when(empty, F.lit(EMPTY)).otherwise(agree)),
     ]
-    return x.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    return x.select(*by, F.explode(F.array(*items)).alias("r")).select(*by, "r.*")
 
 
 def term_tags(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -11,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_all_words
+from ..functions.text import contains_all_words, normalize
 from ..operators.report import attach_one_row
 
 
@@ -147,54 +147,148 @@ def resolve_saved_views(saved: DataFrame, rows: DataFrame) -> DataFrame:
     return lists.unionByName(other).unionByName(years)
 
 
-def specs_from_resolved(resolved: DataFrame, saved: DataFrame | None = None) -> dict:
-    """Driver-side ViewSpecs from a resolved saved-view table.
+#: What a row is matched by, besides the words found in its search text.
+CELL = ("entity", "modality", "value_band_label", "sign_year", "rule_priority")
 
-    With ``saved``, every stored view gets a spec, also one of which nothing
-    is left: it shows all rows.  The table holds stored view parameters (a few rows per saved view), so
-    collecting it is bounded by the number of saved views, not by data.
+
+def saved_rows(spark: SparkSession, specs: dict[int, ViewSpec]) -> DataFrame:
+    """Views as stored parameters: ``(view_id, key, value)``."""
+    stored = [(v, "spec", "") for v in specs]  # a view without choices is one as well
+    for v, s in specs.items():
+        lists = (("modality", s.modalities), ("entity", s.entities), ("band", s.bands))
+        stored += [(v, key, x) for key, chosen in lists for x in chosen]
+        stored += [(v, "from", str(s.years[0])), (v, "to", str(s.years[1]))] if s.years else []
+        stored += [(v, "q", s.query)] * bool(s.query) + [(v, "priority", "1")] * s.priority_only
+    return spark.createDataFrame(stored, "view_id int, key string, value string")
+
+
+def view_table(resolved: DataFrame, saved: DataFrame) -> DataFrame:
+    """One row of predicates per saved view, in a table of any size.
+
+    ``view_id, entities, modalities, bands, year_from, year_to, priority,
+    words``; an empty list or a null year chooses all.  A view of which
+    nothing is left is kept and shows all rows.
+    """
+    key, value = F.col("key"), F.col("value")
+
+    def chosen(name: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(key == name, value)))
+
+    def year(name: str) -> Column:
+        return F.max(F.when(key == name, F.expr("try_cast(value as int)")))
+
+    words = F.split(normalize(value), r"[\s\x1c-\x1f]+")  # white space of Python's split
+    per = resolved.withColumn("_words", F.when(key == "q", words)).groupBy("view_id").agg(
+        chosen("entity").alias("entities"), chosen("modality").alias("modalities"),
+        chosen("band").alias("bands"), year("from").alias("year_from"), year("to").alias("year_to"),
+        F.bool_or((key == "priority") & (value == "1")).alias("priority"),
+        F.array_remove(F.array_distinct(F.flatten(F.collect_list("_words"))), "").alias("words"))
+    none = F.array().cast("array<string>")
+    return saved.select("view_id").distinct().join(per, "view_id", "left").select(
+        "view_id", *[F.coalesce(c, none).alias(c) for c in ("entities", "modalities", "bands")],
+        F.when(F.col("year_to").isNotNull(), F.col("year_from")).alias("year_from"),
+        F.when(F.col("year_from").isNotNull(), F.col("year_to")).alias("year_to"),
+        F.coalesce("priority", F.lit(False)).alias("priority"),
+        F.coalesce("words", none).alias("words"))
+
+
+def _with_cell(rows: DataFrame, views: DataFrame) -> DataFrame:
+    """Adds ``_cell``: what the views can tell of a row, with the views' words that it holds.
+
+    The words of all views, a bounded list of parameters, reach the rows as
+    one scalar.
+    """
+    words = views.select(F.explode("words").alias("w")).agg(
+        F.array_sort(F.collect_set("w")).alias("_words"))
+    held = F.filter("_words", lambda w: F.contains(F.col("search_text"), w))
+    return (attach_one_row(rows, words)
+            .withColumn("_cell", F.struct(*CELL, F.coalesce(held, F.array().cast("array<string>")).alias("words")))
+            .drop("_words"))
+
+
+def _options(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("option")))
+
+
+def _anchors(views: DataFrame) -> DataFrame:
+    """Each view once for each option of its narrowest clause; views without clauses drop out."""
+    years = F.concat(F.transform(F.sequence("year_from", "year_to"), lambda y: y.cast("string")),
+                     F.array(F.lit("")))  # a row without year is in every range
+    longest = F.array_sort("words", lambda a, b: F.length(b) - F.length(a))
+    some = lambda c: F.size(c) > 0
+    options = (F.when(some("entities"), _options("entity", F.col("entities")))
+               .when(some("words"), _options("word", F.slice(longest, 1, 1)))
+               .when(some("modalities"), _options("modality", F.col("modalities")))
+               .when(some("bands"), _options("band", F.col("bands")))
+               .when(F.col("year_from").isNotNull(), _options("year", years))
+               .when(F.col("priority"), _options("priority", F.array(F.lit("true")))))
+    return views.select("*", F.inline(options))
+
+
+def _is_free() -> Column:
+    """Whether a view has no clause."""
+    return ((F.size("entities") + F.size("modalities") + F.size("bands") + F.size("words") == 0)
+            & F.col("year_from").isNull() & ~F.col("priority"))
+
+
+def matching_views(cells: DataFrame, views: DataFrame) -> DataFrame:
+    """``cells`` joined to the views that choose them, as data.
+
+    A view's predicates are rows: the options of its narrowest clause meet
+    the cells by an equal join, and the other clauses are checked on the pair
+    that comes out.  Views without clauses are not in the result.
     """
-    per: dict = {}
-    if saved is not None:
-        per = {r["view_id"]: [] for r in saved.select("view_id").distinct().collect()}
-    for r in resolved.collect():
-        per.setdefault(r["view_id"], []).append((r["key"], r["value"]))
-    specs = {}
-    for vid, kv in per.items():
-        get = lambda k: [v for kk, v in kv if kk == k]
-        years = None
-        if get("from") and get("to"):
-            years = (int(get("from")[0]), int(get("to")[0]))
-        specs[vid] = ViewSpec(query=" ".join(get("q")), modalities=tuple(get("modality")),
-                              entities=tuple(get("entity")), years=years,
-                              bands=tuple(get("band")), priority_only="1" in get("priority"))
-    return specs
-
-
-def facts_by_view(rows: DataFrame, specs: dict) -> DataFrame:
-    """Headline numbers for many views from one scan.
-
-    Each row is tagged with the ids of the views whose predicate it meets
-    and aggregated per view right away (map-side partial aggregation), so
-    the shuffle carries one small row per (task, view), not the rows.
+    c = lambda name: F.col(f"_cell.{name}")
+    own = F.array(*[F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("option")) for kind, value in (
+        ("entity", c("entity")), ("modality", c("modality")), ("band", c("value_band_label")),
+        ("year", F.coalesce(c("sign_year").cast("string"), F.lit(""))),
+        ("priority", F.when(c("rule_priority"), "true")))])
+    keyed = cells.select("*", F.inline(F.concat(own, _options("word", c("words"))))).where("option IS NOT NULL")
+
+    def fits(chosen: str, value: Column) -> Column:
+        return (F.size(chosen) == 0) | F.coalesce(F.array_contains(F.col(chosen), value), F.lit(False))
+
+    year = c("sign_year")
+    return (keyed.join(_anchors(views), ["kind", "option"]).where(
+        fits("entities", c("entity")) & fits("modalities", c("modality"))
+        & fits("bands", c("value_band_label")) & (~F.col("priority") | c("rule_priority"))
+        & (F.col("year_from").isNull() | year.isNull() | year.between(F.col("year_from"), F.col("year_to")))
+        & (F.size(F.array_except(F.col("words"), c("words"))) == 0))
+        .select(*cells.columns, "view_id"))
+
+
+def view_members(rows: DataFrame, views: DataFrame) -> DataFrame:
+    """The rows of every view, tagged with ``view_id``: once for each view that shows them."""
+    marked = _with_cell(rows, views)
+    pairs = matching_views(marked.select("_cell").distinct(), views).groupBy("_cell").agg(
+        F.collect_list("view_id").alias("_ids"))  # at most the views there are
+    free = views.where(_is_free()).agg(F.collect_list("view_id").alias("_free"))
+    ids = F.concat(F.coalesce("_ids", F.array().cast("array<int>")), F.col("_free"))
+    return (attach_one_row(marked.join(pairs, "_cell", "left"), free)
+            .withColumn("view_id", F.explode(ids)).drop("_cell", "_ids", "_free"))
+
+
+def facts_by_view(rows: DataFrame, views: DataFrame) -> DataFrame:
+    """Headline numbers of all ``views`` (a ``view_table``) from one scan.
+
+    Rows that no view can tell apart are added up first (map-side), so only
+    cells meet the views; what a view shows is the sum of its cells.  Views
+    without clauses share the sum of all.
     """
-    tags = [F.when(view_predicate(spec) if view_predicate(spec) is not None else F.lit(True),
-                   F.lit(vid)) for vid, spec in sorted(specs.items())]
-    tagged = rows.select("value", "rule_priority", "signals", "is_direct", "is_sme",
-                         F.explode(F.filter(F.array(*tags), lambda v: v.isNotNull()))
-                         .alias("view_id"))
-    spark = rows.sparkSession
-    ids = spark.createDataFrame([(v,) for v in sorted(specs)], "view_id int")
-    zero = {"n_rows": 0, "n_values": 0, "n_priority": 0, "n_critical": 0, "n_direct": 0,
-            "n_sme": 0, "total_value": 0.0}
-    agg = (tagged.groupBy("view_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.lit(0.0))
-        .alias("total_value"),
-        F.count("value").alias("n_values"),
-        F.count_if(F.col("rule_priority")).alias("n_priority"),
-        F.count_if(F.col("signals") == 3).alias("n_critical"),
-        F.sum("is_direct").cast("bigint").alias("n_direct"),
-        F.count_if(F.col("is_sme")).alias("n_sme")))
-    # every saved view appears, an empty one with zeros
-    return ids.join(agg, "view_id", "left").fillna(zero)
+    money = F.col("value").cast("decimal(18,2)")
+    facts = {"n_rows": F.count(F.lit(1)), "_total": F.sum(money).cast("decimal(28,2)"),
+             "n_values": F.count("value"), "n_priority": F.count_if(F.col("rule_priority")),
+             "n_critical": F.count_if(F.col("signals") == 3), "n_direct": F.sum("is_direct").cast("bigint"),
+             "n_sme": F.count_if(F.col("is_sme"))}
+    cells = _with_cell(rows, views).groupBy("_cell").agg(*[x.alias(name) for name, x in facts.items()])
+
+    def added(name: str) -> Column:
+        return F.sum(name).cast(cells.schema[name].dataType).alias(name)
+
+    per = matching_views(cells, views).groupBy("view_id").agg(*[added(name) for name in facts])
+    every = attach_one_row(views.where(_is_free()).select("view_id"), cells.agg(*[added(n) for n in facts]))
+    shown = views.select("view_id").join(per.unionByName(every), "view_id", "left")
+    zero = {name: 0 for name in facts if name != "_total"}
+    return shown.fillna(zero).select(
+        "view_id", "n_rows", F.coalesce(F.col("_total").cast("double"), F.lit(0.0)).alias("total_value"),
+        "n_values", "n_priority", "n_critical", "n_direct", "n_sme")

@@ -105,7 +105,8 @@ def test_facts_for_many_views_in_one_pass(spark):
     r = enrich.build_from_frame(contracts(spark, buyers())).rows
     specs = {1: ViewSpec(entities=("Harbour office",)), 2: ViewSpec(query="nothing matches this"),
              3: ViewSpec(modalities=("Licitación pública",))}
-    got = {x.view_id: x for x in views.facts_by_view(r, specs).collect()}
+    saved = views.saved_rows(spark, specs)
+    got = {x.view_id: x for x in views.facts_by_view(r, views.view_table(saved, saved)).collect()}
     assert got[1].n_rows == 50 and got[2].n_rows == 0 and got[2].total_value == 0.0
     assert got[3].n_rows == 89 and got[3].n_direct == 0
 
