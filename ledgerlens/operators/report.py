@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import ELLIPSIS
+from .ordering import with_position
 
 OTHER = "Other"
 
@@ -52,15 +54,15 @@ def top_n_with_other(grouped: DataFrame, key: str, measure: str, n: int,
 
     Returns ``[rank, key, measure, is_other]``; the other row has rank n+1.
     """
-    ranked = grouped.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    top = ranked.where(F.col("rank") <= n).select(
+    top = first_rows(grouped, order, n, rank="rank").select(
         "rank", F.col(key), F.col(measure), F.lit(False).alias("is_other"))
-    rest = (ranked.where(F.col("rank") > n)
-            .agg(F.count(F.lit(1)).alias("_k"), F.sum(measure).alias(measure))
-            .where(F.col("_k") > 0)
-            .select(F.lit(n + 1).cast("bigint").alias("rank"),
-                    F.lit(other_label).alias(key), F.col(measure).cast(grouped.schema[measure].dataType)
-                    .alias(measure), F.lit(True).alias("is_other")))
+    kind = grouped.schema[measure].dataType
+    listed = top.agg(F.sum(measure).alias("_top"))
+    every = grouped.agg(F.count(F.lit(1)).alias("_k"), F.sum(measure).alias("_all"))
+    rest = (attach_one_row(every, listed).where(F.col("_k") > n)
+            .select(F.lit(n + 1).cast("bigint").alias("rank"), F.lit(other_label).alias(key),
+                    (F.col("_all") - F.col("_top")).cast(kind).alias(measure),
+                    F.lit(True).alias("is_other")))
     return top.unionByName(rest)
 
 
@@ -103,6 +105,46 @@ def unique_short_labels(df: DataFrame, name: str, order: str, n: int, out: str =
             .select("_e._row.*", F.col("_e._label").alias(out)))
 
 
+_NUMBERED = r"^(.*) \(\d+\)$"
+
+
+def _label_family(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sequential rule over one family, in rank order."""
+    rows = rows.sort_values("_rank", kind="stable")
+    taken, nth, labels = set(), {}, []
+    for short in rows["_short"]:
+        k = nth.get(short, 1)
+        while (label := short if k == 1 else f"{short} ({k})") in taken:
+            k += 1
+        nth[short] = k
+        taken.add(label)
+        labels.append(label)
+    return rows[["_key", "_rank"]].assign(_label=labels)
+
+
+def short_labels(df: DataFrame, name: str, rank: str, n: int, out: str = "label") -> DataFrame:
+    """W3 for a list of any length; ``rank`` is its order, without repeats.
+
+    A label's number is its position among the names that are cut alike, by
+    ``with_position``.  Only where a name itself ends like a number, as in
+    ``abc (2)``, could that collide; names that differ in such endings form a
+    family, and families with such a name go through the sequential rule.
+    """
+    rows = df.withColumn("_short", short_label(F.coalesce(F.col(name).cast("string"), F.lit("None")), n))
+    family = F.col("_short")
+    for _ in range(n // 4 + 1):  # 'a (2) (3)' has two endings; an ending has 4 characters at least
+        family = F.regexp_replace(family, _NUMBERED, "$1")
+    rows = rows.withColumn("_key", family).withColumn("_rank", F.col(rank).cast("long"))
+    odd = rows.where(F.col("_short").rlike(_NUMBERED)).select("_key").distinct()
+    plain = with_position(rows.join(odd, "_key", "left_anti"), ["_short"], [F.col("_rank")], out="_k")
+    plain = plain.withColumn(out, F.when(F.col("_k") == 1, F.col("_short")).otherwise(
+        F.concat("_short", F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))))
+    told = rows.join(odd, "_key", "left_semi").select("_key", "_rank", "_short").groupBy("_key").applyInPandas(
+        _label_family, "_key string, _rank long, _label string")
+    odds = rows.join(told, ["_key", "_rank"]).withColumn(out, F.col("_label"))
+    return plain.select(*df.columns, out).unionByName(odds.select(*df.columns, out))
+
+
 def first_flag(order: list[Column]) -> Column:
     """True on the first row in ``order`` (ties -> earliest in order)."""
     return F.row_number().over(Window.orderBy(*order)) == 1

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..config import (LIST_SIZE, MIN_MEDIAN_GROUP, SLICE_LABEL_MIN_PCT, TOP_MODALITIES,
                       TOP_N)
 from ..functions import formats as fm
+from ..operators.ordering import with_position
 from ..operators.quantile import percentile_exact, percentile_value
-from ..operators.report import (attach_one_row, cumulative, first_flag, money_sum,
+from ..operators.report import (attach_one_row, cumulative, first_flag, money_sum, short_labels,
                                 top_n_with_other, unique_short_labels)
 
 
@@ -140,13 +141,15 @@ def median_by_modality(f: DataFrame, n: int = TOP_N, min_n: int = MIN_MEDIAN_GRO
     counts = g.groupBy("modality").agg(F.count("value").alias("n_values"))
     med = percentile_exact(g, "value", 0.5, by=["modality"], out="median_value")
     ok = counts.join(med, "modality", "left").where(F.col("n_values") >= min_n)
-    ranked = (ok.withColumn("rank", F.row_number().over(
-        Window.orderBy(F.desc("median_value"), "modality")).cast("bigint"))
-        .withColumn("is_lowest", first_flag([F.asc("median_value"), F.desc("modality")])))
-    top = unique_short_labels(ranked, "modality", "rank", label_len)
+    ranked = with_position(ok, [], [F.desc("median_value"), F.col("modality")], out="rank")
+    # The last of the least: ties go to the greater name.
+    least = ok.agg(F.min("median_value").alias("_least"))
+    low = attach_one_row(ok, least).where("median_value = _least").agg(F.max("modality").alias("_low"))
+    top = attach_one_row(short_labels(ranked, "modality", "rank", label_len), low)
     return top.select("rank", "modality", "label", "n_values", "median_value",
                       (F.col("median_value") / 1e6).alias("median_m"),
-                      (F.col("rank") <= n).alias("in_chart"), "is_lowest")
+                      (F.col("rank") <= n).alias("in_chart"),
+                      (F.col("modality") == F.col("_low")).alias("is_lowest"))
 
 
 # --------------------------------------------------------------------------

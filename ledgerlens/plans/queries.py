@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
-from ..operators.report import attach_one_row, money_sum, unique_short_labels
+from ..operators.ordering import with_position
+from ..operators.report import attach_one_row, money_sum, short_labels, unique_short_labels
 from ..session import apply_defaults, cut, ship_package
 from ..sources.adapter import contracts_from_tables
 from ..sources.contracts import select_contract
@@ -219,6 +220,15 @@ def q_short_labels(spark, sf):
     return unique_short_labels(top, "entity", "rank", 12).select("rank", "entity", "label")
 
 
+def q_entity_labels(spark, sf):
+    """Distinct short labels of all entities, in order of value."""
+    r = rows(spark, sf)
+    per = (r.where(F.col("entity").isNotNull()).groupBy("entity")
+           .agg(F.coalesce(money_sum("value"), F.lit(0.0)).alias("total_value")))
+    ranked = with_position(per, [], [F.desc("total_value"), F.col("entity")], out="rank")
+    return short_labels(ranked, "entity", "rank", 12).select("rank", "entity", "label")
+
+
 def q_formatted(spark, sf):
     r = rows(spark, sf)
     total = r.agg(F.coalesce(money_sum("value"), F.lit(0.0)).alias("view_total"))
@@ -410,6 +420,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rule_list": q_rule_list,
     "risk_levels": q_risk_levels,
     "short_labels": q_short_labels,
+    "entity_labels": q_entity_labels,
     "formatted_amounts": q_formatted,
     "headline_facts": q_headline,
     "universe_direct_share": q_universe_direct,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_all_words, normalize
+from ..operators.ordering import with_position
 from ..operators.report import attach_one_row
 
 
@@ -81,11 +82,11 @@ def year_range(rows: DataFrame) -> DataFrame:
 
 
 def filter_options(rows: DataFrame) -> DataFrame:
-    """F9 as one long table: (kind, value, n_rows), in no order.
+    """F9 as one long table: (kind, value, n_rows, rank).
 
-    ``n_rows`` is what entities are shown by; a list is sorted where it is
-    shown (``entity_options``), so no task ranks all entities.  The years'
-    ``n_rows`` counts the rows with a signing year.
+    Modalities are ranked by name, entities by row count (name breaks ties),
+    by ``with_position``, so no task ranks all entities.  The years' ``n_rows``
+    counts the rows with a signing year.
     """
     def options(col: str) -> DataFrame:
         return (rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value"))
@@ -97,8 +98,10 @@ def filter_options(rows: DataFrame) -> DataFrame:
                      F.count("sign_year").alias("n_rows"))
     ends = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value"), "n_rows")
                      for c in ("year_min", "year_max")])
-    return (options("modality").unionByName(options("entity"))
-            .unionByName(years.select(F.inline(ends))))
+    every = (options("modality").unionByName(options("entity"))
+             .unionByName(years.select(F.inline(ends))))
+    by_count = F.when(F.col("kind") == "entity", -F.col("n_rows")).otherwise(F.lit(0))
+    return with_position(every, ["kind"], [by_count, F.col("value")], out="rank")
 
 
 # --------------------------------------------------------------------------
