@@ -13,6 +13,7 @@ Job graph (each arrow a Spark job or a lazy step), all inside a fresh
     rows + forest score (Arrow UDF) --> rows/ by sign_year
         [write; pass 1 of the 2% score percentile observed meanwhile]
     rows/ --exact 2% percentile of raw scores--> offset --> thresholds/ [write]
+    rows/ --trigrams of search_text per file--> grams/                  [write]
     current/ --> this attempt                                  [publish, last]
 
 Thresholds and the model always come from the whole universe; views read
@@ -21,6 +22,7 @@ the snapshot and never recompute them.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -36,7 +38,9 @@ from ..operators.stats import (Thresholds, THRESHOLD_SCHEMA, compute_thresholds,
                                entity_stats, model_usable, threshold_specs,
                                thresholds_frame, with_entity_stats)
 from ..session import ship_package
+from ..sources import manifest, search_index
 from ..sources import snapshot as store
+from .views import ViewSpec, apply_view
 
 ROW_COLUMNS = (
     "entity", "contract_id", "reference", "modality", "supplier", "is_sme", "value",
@@ -69,6 +73,16 @@ class Snapshot:
                 .withColumn("anomaly_score", F.when(F.col("anomaly_raw").isNotNull(), score))
                 .withColumn("is_anomaly", _below(F.col("anomaly_raw"), off)))
 
+    def search(self, query: str | None) -> Snapshot:
+        """The snapshot without the files that can't hold all words of a query."""
+        spark = self.raw_rows.sparkSession
+        return replace(self, raw_rows=search_index.narrowed(
+            spark, self.raw_rows, f"{self.path}/rows", f"{self.path}/grams", query))
+
+    def view(self, spec: ViewSpec) -> DataFrame:
+        """the rows of a view; its words are looked up in the index."""
+        return apply_view(self.search(spec.query).rows, spec)
+
     def forest(self):
         """The fitted forest, or ``None`` when the model was skipped (M4)."""
         from ..sources.snapshot import exists
@@ -102,8 +116,8 @@ class _Steps:
             self.t = now
 
 
-def build(spark: SparkSession, contracts: DataFrame, key: str,
-          params: Params = DEFAULT) -> Snapshot:
+def build(spark: SparkSession, contracts: DataFrame, key: str, params: Params = DEFAULT,
+          input_bytes: int = 0) -> Snapshot:
     """Write a complete snapshot into a fresh attempt folder, then publish it.
 
     Concurrent or retried builds of the same key never share files: each
@@ -114,12 +128,13 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     base = store.snapshot_dir(spark, key)
     path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
     step = _Steps()
+    row_group = store.row_group_bytes(spark, input_bytes)
     # The first pass of the threshold percentiles is observed while the
     # derived table is written, saving one full scan.
     seen = Observation("thresholds-pass1")
     derived = derive(contracts)
     store.write_parquet(derived.observe(seen, *first_pass_aggs(threshold_specs(params))),
-                        f"{path}/derived")
+                        f"{path}/derived", row_group=row_group)
     step("derive")
     d = spark.read.parquet(f"{path}/derived")
     store.write_parquet(entity_stats(d), f"{path}/entity_stats")
@@ -151,7 +166,7 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
     # years are split), else every task would write a file for every year.
     observed = out.observe(seen_raw, *first_pass_aggs(offset_spec))
     store.write_parquet(observed.hint("rebalance", F.col("sign_year")), f"{path}/rows",
-                        partition_by=["sign_year"])
+                        partition_by=["sign_year"], row_group=row_group)
     step("score+rows")
 
     written = spark.read.parquet(f"{path}/rows")
@@ -160,8 +175,12 @@ def build(spark: SparkSession, contracts: DataFrame, key: str,
         offset = percentile_scalars(written, offset_spec, first=seen_raw.get)["offset"]
     th = replace(th, anomaly_offset=offset)
     store.write_parquet(thresholds_frame(spark, th).coalesce(1), f"{path}/thresholds")
+    step("offset")
+    search_index.write_index(spark, f"{path}/rows", "search_text", f"{path}/grams")
+    step("index")
     store.publish(spark, base, path)
-    step("offset+commit")
+    store.remove(spark, f"{path}/derived")  # nothing reads it any more
+    step("commit")
     return load(spark, key)
 
 
@@ -181,24 +200,27 @@ def load(spark: SparkSession, key: str) -> Snapshot | None:
 
 
 #: Raised by hand when a change alters what a snapshot holds.
-METHOD_VERSION = "2"
+METHOD_VERSION = "3"
 
 
 def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
-                 params: Params = DEFAULT, salt: str = "", rebuild: bool = False) -> Snapshot:
+                 params: Params = DEFAULT, salt: str = "", rebuild: bool = False,
+                 columns: Mapping[str, Sequence[str]] | None = None) -> Snapshot:
     """Snapshot for the given inputs; built once, then read by every view.
 
-    The key comes from the input files' listing (names, sizes, times), taken
-    on every call, so refreshed inputs are noticed.  ``rebuild`` builds and publishes a fresh attempt
-    under the same key (the previous attempt stays readable until then).
+    The key is the dataset version, so inputs of other content are noticed
+    and files that were only written again are not.  ``columns`` names what
+    is read of each table.  ``rebuild`` builds and publishes a fresh attempt
+    under the same key (the previous attempt stays readable).
     """
     ship_package(spark)
-    listing = store.source_listing(spark, source_paths)
-    key = store.snapshot_key(listing, params.key() + salt, METHOD_VERSION)
+    version = manifest.version_of(spark, source_paths, columns)
+    key = store.snapshot_key(version, params.key() + salt, METHOD_VERSION)
     snap = None if rebuild else load(spark, key)
     if snap is None:
         _LOADED.pop(key, None)
-        snap = build(spark, contracts_fn(), key, params)
+        size = manifest.listing(spark, source_paths).agg(F.sum("bytes")).first()[0]
+        snap = build(spark, contracts_fn(), key, params, size or 0)
     return snap
 
 

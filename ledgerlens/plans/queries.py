@@ -14,20 +14,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, contains_all_words
 from ..functions.url import url_column
 from ..functions import formats as fm
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row, money_sum, short_labels, unique_short_labels
 from ..session import apply_defaults, cut, ship_package
-from ..sources.adapter import contracts_from_tables
+from ..sources import manifest
+from ..sources.adapter import READ_COLUMNS, contracts_from_tables
 from ..sources.contracts import select_contract
 from ..sources.fingerprint import fingerprint
+from ..sources.text_store import search_texts
 from . import enrich, facts, readings, slices, views
 from .views import ViewSpec
 
-SOURCE_TABLES = ("lineitem", "orders", "customer", "supplier")
-
 # Parameters of the sample views used by the registered queries.
 SEARCH_QUERY = "CUSTOMER#0000001 supplier#00000004"
 DOC_QUERY = "Élle ouè"
@@ -49,7 +48,7 @@ SAVED_VIEWS = [  # (view_id, key, value): stored parameters, some stale on purpo
 
 
 def _paths(sf_dir: str) -> list[str]:
-    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
+    return [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in READ_COLUMNS]
 
 
 def snapshot(spark: SparkSession, sf_dir: str, salt: str = "",
@@ -57,7 +56,7 @@ def snapshot(spark: SparkSession, sf_dir: str, salt: str = "",
     apply_defaults(spark)
     ship_package(spark)
     return enrich.get_or_build(spark, lambda: contracts_from_tables(spark, sf_dir),
-                               _paths(sf_dir), salt=salt, rebuild=rebuild)
+                               _paths(sf_dir), salt=salt, rebuild=rebuild, columns=READ_COLUMNS)
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,15 +136,15 @@ def q_kpis_flagged(spark, sf):
 
 
 def q_text_search(spark, sf):
-    return views.text_search(rows(spark, sf), SEARCH_QUERY).select(
+    """Through the snapshot's trigram postings."""
+    return snapshot(spark, sf).view(ViewSpec(query=SEARCH_QUERY)).select(
         "contract_id", "reference", "entity", "supplier", "value", "search_text")
 
 
 def q_doc_search(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
-    norm = docs.select("doc_id", "lang", normalize(F.col("text")).alias("norm"))
-    return norm.where(contains_all_words(F.col("norm"), DOC_QUERY)).select(
-        "doc_id", "lang", F.length("norm").cast("bigint").alias("norm_chars"))
+    """Through the stored normalised texts and their postings."""
+    found = search_texts(spark, f"{sf}/documents.parquet", "text", ("doc_id", "lang"), DOC_QUERY)
+    return found.select("doc_id", "lang", F.length("norm").cast("bigint").alias("norm_chars"))
 
 
 def q_view(spark, sf):
@@ -356,6 +355,16 @@ def q_fingerprint(spark, sf):
     return fingerprint(contracts_from_tables(spark, sf))
 
 
+def q_dataset_version(spark, sf):
+    """Origin, files, bytes, rows and fingerprint of what the figures are computed from."""
+    return manifest.dataset_version(manifest.refresh(spark, _paths(sf), READ_COLUMNS))
+
+
+def q_dataset_rows(spark, sf):
+    """The part of the dataset version that SQL can follow."""
+    return q_dataset_version(spark, sf).select("origin", "n_rows")
+
+
 def q_stream_scoring(spark, sf):
     """The streaming scorer's transformation, run in batch over the whole
     contracts table against the published snapshot (rows-only check)."""
@@ -436,6 +445,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_urls": q_page_urls,
     "export_rows": q_export,
     "fingerprint": q_fingerprint,
+    "dataset_version": q_dataset_version,
+    "dataset_rows": q_dataset_rows,
     "anomaly_scores": q_anomaly_scores,
     "stream_scoring": q_stream_scoring,
     "anomaly_list": q_anomaly_list,

@@ -26,8 +26,18 @@ MODALITY_BY_PRIORITY = {
 MODALITY_OTHER = "Contratación directa"
 
 
+#: The tables and columns that contracts are made of.
+READ_COLUMNS = {
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
+    "customer": ("c_custkey", "c_name"),
+    "supplier": ("s_suppkey", "s_name", "s_acctbal"),
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").select(*READ_COLUMNS[name])
 
 
 def _modality(priority: Column) -> Column:
@@ -38,13 +48,7 @@ def _modality(priority: Column) -> Column:
 
 
 def contracts_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
-    od = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    cu = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    su = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    li, od, cu, su = (_table(spark, sf_dir, name) for name in READ_COLUMNS)
 
     j = (li.join(od, li.l_orderkey == od.o_orderkey)
            .join(cu, F.col("o_custkey") == cu.c_custkey)

@@ -1,14 +1,17 @@
 """Versioned snapshot store in the shared work folder.
 
-A snapshot is written once per (input version, parameters) and read by
+A snapshot is written once per (dataset version, parameters) and read by
 every view.  Each build writes a fresh ``attempt-<id>/`` folder under
-``<spark.checkpoint.dir>/ledgerlens/<key>/`` and publishes it by writing
-the one-row ``current/`` pointer table last, so readers never see a partial
-attempt and concurrent builds never share files.  An attempt holds:
+``<spark.checkpoint.dir>/ledgerlens/<key>/`` and publishes it by adding a
+row to the ``current/`` pointer table last, so readers never see a partial
+attempt nor a gap, and concurrent builds never share files.  An attempt
+holds:
 
-* ``derived/``      derived columns (lineage cut before the multi-pass stats)
+* ``derived/``      derived columns (lineage cut before the multi-pass stats);
+  removed when the build is complete
 * ``entity_stats/`` one row per entity
 * ``rows/``         enriched rows, partitioned by ``sign_year``
+* ``grams/``        trigram postings of the rows' search text
 * ``thresholds/``   one row; written last, so its presence marks completion
 
 All writes are Spark jobs (task retries and lost executors are handled by
@@ -18,27 +21,17 @@ the output commit protocol); nothing is kept on a machine-local disk.
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_dir
 
 
-def source_listing(spark: SparkSession, paths: list[str]) -> list[tuple]:
-    """(path, length, modificationTime) of the input files, in one listing
-    job; file contents are not read (only metadata columns are selected)."""
-    files = (spark.read.format("binaryFile").load(paths)
-             .select("path", "length", "modificationTime").collect())
-    return sorted((r["path"], int(r["length"]), str(r["modificationTime"])) for r in files)
-
-
-def snapshot_key(listing: list[tuple], params_key: str, code_version: str) -> str:
-    h = hashlib.sha256()
-    for item in listing:
-        h.update(repr(item).encode())
-    h.update(params_key.encode())
-    h.update(code_version.encode())
-    return h.hexdigest()[:16]
+def snapshot_key(version: str, params_key: str, code_version: str) -> str:
+    """Folder name of what is computed from a dataset version with some parameters."""
+    return hashlib.sha256("|".join((version, params_key, code_version)).encode()).hexdigest()[:16]
 
 
 def snapshot_dir(spark: SparkSession, key: str) -> str:
@@ -53,29 +46,58 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
-# Row groups of this size (bytes, before compression) let readers split the
-# snapshot finely: a scan task is assigned whole row groups, so big row
-# groups in few files would leave most tasks of a Python stage idle.
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this package wrote."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+# Bounds of the row groups (bytes, before compression).  A scan task is
+# assigned whole row groups, so big ones in few files would leave most tasks
+# of a Python stage idle; in a large snapshot small ones only cost footers.
 ROW_GROUP_BYTES = 8 * 1024 * 1024
+MAX_ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    w = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
+def row_group_bytes(spark: SparkSession, input_bytes: int) -> int:
+    """Row groups of which every core gets several."""
+    share = input_bytes // (8 * max(1, spark.sparkContext.defaultParallelism))
+    return min(MAX_ROW_GROUP_BYTES, max(ROW_GROUP_BYTES, share))
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                  row_group: int = ROW_GROUP_BYTES) -> None:
+    w = df.write.mode("overwrite").option("parquet.block.size", row_group)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
+_POINTERS = "path string, at double"
+KEEP_ATTEMPTS = 2  # the newest, and the one that readers may still be using
+
+
 def publish(spark: SparkSession, base: str, attempt: str) -> None:
-    """Point ``base/current`` at a complete attempt (written last)."""
-    (spark.createDataFrame([(attempt,)], "path string").coalesce(1)
-     .write.mode("overwrite").parquet(f"{base}/current"))
+    """Adds a pointer to a complete attempt; readers follow the newest.
 
+    Pointers are only ever added, so there is no moment without one.  Attempts
+    that are no longer among the newest are removed.
+    """
+    (spark.createDataFrame([(attempt, time.time())], _POINTERS).coalesce(1)
+     .write.mode("append").parquet(f"{base}/current"))
+    for old in _attempts(spark, base)[KEEP_ATTEMPTS:]:
+        if exists(spark, old):
+            remove(spark, old)
 
-def current_attempt(spark: SparkSession, base: str) -> str | None:
+
+def _attempts(spark: SparkSession, base: str) -> list[str]:
+    """Published attempts, newest first (one row for each build of this key)."""
     if not exists(spark, f"{base}/current"):
-        return None
-    try:
-        return spark.read.parquet(f"{base}/current").first()[0]
-    except Exception:  # pointer being replaced right now: treat as absent
-        return None
+        return []
+    found = spark.read.schema(_POINTERS).parquet(f"{base}/current").groupBy("path").agg(F.max("at").alias("at"))
+    return [r["path"] for r in found.orderBy(F.desc("at"), F.desc("path")).collect()]
+
+
+def current_attempt(spark: SparkSession, base: str) -> str | None:
+    """The newest published attempt, if there is one."""
+    return next(iter(_attempts(spark, base)), None)
