@@ -9,6 +9,7 @@ and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,8 @@ from ..functions.url import url_column
 from ..functions import formats as fm
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row, money_sum, short_labels, unique_short_labels
-from ..session import apply_defaults, cut, ship_package
+from ..operators.stats import thresholds_frame
+from ..session import apply_defaults, cut, ship_package, work_dir
 from ..sources import manifest
 from ..sources.adapter import READ_COLUMNS, contracts_from_tables
 from ..sources.contracts import select_contract
@@ -34,6 +36,7 @@ SAMPLE_VIEW = ViewSpec(modalities=("Contratación directa", "Licitación públic
                        years=(1994, 1996), bands=("90–500 M", "500 M–1 B"))
 SMALL_VIEW = ViewSpec(entities=("Customer#000000007",))
 EMPTY_VIEW = ViewSpec(query="no such contract")
+APPEND_YEAR = 1997  # contracts signed from then on are a second batch
 FLAG_BAND = 3  # stands in for the model's flag where a query is held against SQL
 SAVED_VIEWS = [  # (view_id, key, value): stored parameters, some stale on purpose
     (1, "modality", "Contratación directa"), (1, "modality", "Subasta inversa"),
@@ -103,6 +106,20 @@ def q_thresholds(spark, sf):
                      "median_duration")
 
 
+def q_thresholds_after_append(spark, sf):
+    """The thresholds when the contracts of the last years come as a batch of their own."""
+    from ..operators.derive import derive
+    from ..operators.threshold_state import ThresholdStore
+    every = derive(contracts_from_tables(spark, sf)).drop("search_text")
+    states = ThresholdStore(spark, f"{work_dir(spark)}/ledgerlens/states/{uuid.uuid4().hex}")
+    late = F.coalesce(F.col("sign_year") >= APPEND_YEAR, F.lit(False))
+    states.add("before", every.where(~late))
+    states.add("append", every.where(late))
+    th = thresholds_frame(spark, states.thresholds(["before", "append"]))
+    return th.select("t_value", "t_added", "t_direct", "eligible_entities", "total_entities",
+                     "median_duration", "n_inverted", "n_no_duration", "n_no_value", "model_rows", "n_rows")
+
+
 def q_quality(spark, sf):
     th = snapshot(spark, sf).thresholds_df()
     return th.select("n_no_duration", "n_inverted", "n_no_value", "model_rows", "n_rows")
@@ -410,6 +427,7 @@ def q_model_readings(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enriched_contracts": q_enriched,
     "thresholds": q_thresholds,
+    "thresholds_after_append": q_thresholds_after_append,
     "quality": q_quality,
     "duplicates": q_duplicates,
     "entity_direct_rate": q_entity_rate,
