@@ -38,6 +38,7 @@ FEATURES = ("f_log_value", "f_duration", "f_added", "f_direct")
 _EULER = 0.5772156649015329
 _CHUNK = 65_536
 _MASK53 = (1 << 53) - 1
+_ROWS = 4096  # rows scored together
 
 
 def c_factor(n):
@@ -100,21 +101,24 @@ class Forest:
         return self._layout
 
     def path_lengths(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length over the trees, all trees descended together."""
+        """Mean path length over the trees, one tree after the other.
+
+        A tree's 511 nodes and the state of ``_ROWS`` rows stay in the cache;
+        the trees' lengths are added in order, so the mean does not depend on
+        how rows come in batches.
+        """
         feat, thr, leaf, size = self._complete()
-        n_trees = self.feature.shape[0]
-        n = x.shape[0]
-        base = (np.arange(n_trees) * size)[:, None]
-        xf = np.ascontiguousarray(x.T).ravel()  # feature-major
-        cols = np.arange(n)[None, :]
-        cur = np.zeros((n_trees, n), dtype=np.int64)
-        for _ in range(self.max_depth):
-            g = base + cur
-            cur = 2 * cur + 1 + (xf[feat[g] * n + cols] > thr[g])
-        vals = leaf[base + cur]
-        total = np.zeros(n)
-        for t in range(n_trees):  # fixed summation order: tree 0, 1, ...
-            total += vals[t]
+        n_trees, total = self.feature.shape[0], np.zeros(len(x))
+        for start in range(0, len(x), _ROWS):
+            part = x[start:start + _ROWS]
+            n = len(part)
+            flat, cols = np.ascontiguousarray(part.T).ravel(), np.arange(n)  # feature-major
+            for t in range(n_trees):
+                nodes = slice(t * size, (t + 1) * size)
+                f, h, cur = feat[nodes] * n, thr[nodes], np.zeros(n, dtype=np.int64)
+                for _ in range(self.max_depth):
+                    cur = 2 * cur + 1 + (flat[f[cur] + cols] > h[cur])
+                total[start:start + n] += leaf[nodes][cur]
         return total / n_trees
 
     def raw_score(self, x: np.ndarray) -> np.ndarray:

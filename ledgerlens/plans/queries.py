@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.url import url_column
 from ..functions import formats as fm
+from ..config import CONTAMINATION
+from ..operators import iforest
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row, money_sum, short_labels, unique_short_labels
 from ..operators.stats import thresholds_frame
@@ -396,6 +398,35 @@ def q_anomaly_scores(spark, sf):
         "anomaly_score", "is_anomaly")
 
 
+def q_model_features(spark, sf):
+    """M1-M3: the four features of every usable row, the logarithm to nine places."""
+    snap = snapshot(spark, sf)
+    feat = iforest.features(snap.raw_rows, snap.thresholds.median_duration).where("model_usable")
+    return feat.select("contract_id", F.round("f_log_value", 9).alias("f_log_value"), "f_duration",
+                       "f_added", "f_direct")
+
+
+def q_model_invariants(spark, sf):
+    """M4, M7, M8: what must hold of the scores, whichever forest was grown.
+
+    The cut is the 2 % percentile of the scores, so at most ``k + 1`` rows lie
+    below it and at least as many at or below it, ``k`` being the rank's floor.
+    """
+    r = rows(spark, sf)
+    score, flag = F.col("anomaly_score"), F.col("is_anomaly")
+    n = F.col("n_scored")
+    k = F.floor(F.lit(CONTAMINATION) * (n - 1)) + 1
+    return r.agg(
+        F.count("*").alias("n_rows"), F.count_if("model_usable").alias("n_usable"),
+        F.count(score).alias("n_scored"),
+        F.count_if(score.isNotNull() != F.col("model_usable")).alias("n_wrongly_scored"),
+        F.count_if(flag != F.coalesce(score < 0, F.lit(False))).alias("n_wrongly_flagged"),
+        F.count_if(~F.col("anomaly_raw").between(-1, 0)).alias("n_out_of_range"),
+        F.count_if(score < 0).alias("_below"), F.count_if(score <= 0).alias("_at")).select(
+        "n_rows", "n_usable", "n_scored", "n_wrongly_scored", "n_wrongly_flagged", "n_out_of_range",
+        ((F.col("_below") <= k) & (F.col("_at") >= k)).alias("cut_holds"))
+
+
 def q_anomaly_list(spark, sf):
     return facts.anomaly_list(rows(spark, sf))
 
@@ -467,6 +498,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_rows": q_dataset_rows,
     "anomaly_scores": q_anomaly_scores,
     "stream_scoring": q_stream_scoring,
+    "model_features": q_model_features,
+    "model_invariants": q_model_invariants,
     "anomaly_list": q_anomaly_list,
     "method_agreement": q_agreement,
     "anomaly_vs_rest": q_anomaly_vs_rest,

@@ -69,3 +69,49 @@ def test_heavy_copy_group_is_sampled_in_chunks(spark):
     x = np.array([[5e6, 100.0, 0.0, 1.0], [5e6, 100.0, 0.0, 1.0], [9e7, 3.0, 0.0, 1.0]])
     s = forest.raw_score(x)
     assert s[0] == s[1] and s[2] < s[0]
+
+
+def test_scores_equal_a_recursive_walk_over_the_node_table(spark):
+    """The published forest as a table: DuckDB walks every row down every tree."""
+    import duckdb
+    from ledgerlens.operators import iforest as I
+
+    rows = [{"entity": "E", "modality": "Contratación directa" if i % 3 else "L", "value": float(v),
+             "end": 100 + (i * 37) % 900, "added": i % 7 * 30}
+            for i, v in enumerate(np.geomspace(1e6, 1e10, 120))]
+    snap = enrich.build_from_frame(contracts(spark, rows))
+    feat = I.features(snap.rows, snap.thresholds.median_duration).where("model_usable").select(
+        "contract_id", *I.FEATURES, "anomaly_raw")
+    con = duckdb.connect()
+    con.register("points", feat.toPandas())
+    con.register("nodes", spark.read.parquet(f"{snap.path}/forest").toPandas())
+    got = con.execute("""
+      WITH RECURSIVE walk AS (
+        SELECT contract_id, [f_log_value, f_duration, f_added, f_direct] AS x, anomaly_raw, _tree, 0 AS node
+        FROM points, (SELECT DISTINCT _tree FROM nodes)
+        UNION ALL
+        SELECT w.contract_id, w.x, w.anomaly_raw, w._tree,
+               CASE WHEN w.x[n.feature + 1] > n.threshold THEN n."right" ELSE n."left" END
+        FROM walk w JOIN nodes n USING (_tree, node) WHERE n.feature >= 0),
+      ends AS (SELECT w.contract_id, w.anomaly_raw, n.leaf_path, n.max_samples
+               FROM walk w JOIN nodes n USING (_tree, node) WHERE n.feature < 0)
+      SELECT contract_id, any_value(anomaly_raw) AS ours, avg(leaf_path) AS mean_path,
+             count(*) AS trees, any_value(max_samples) AS m FROM ends GROUP BY contract_id""").df()
+    assert len(got) == 120 and (got["trees"] == 200).all()
+    want = -np.power(2.0, -got["mean_path"] / I.c_factor([int(got["m"].iloc[0])])[0])
+    assert np.abs(want - got["ours"]).max() < 1e-12
+
+
+def test_scores_do_not_depend_on_batches():
+    from ledgerlens.operators import iforest as I
+    rng = np.random.default_rng(3)
+    import pandas as pd
+    nodes = []
+    for t in range(20):
+        sample = pd.DataFrame({f: rng.normal(size=64) for f in I.FEATURES})
+        nodes.append(I._grow_one(sample.assign(_tree=t, _u=0, _key=range(64)), 1, 6))
+    forest = I.forest_from_nodes(pd.concat(nodes), 20, 64, 6)
+    x = rng.normal(size=(10_000, 4))
+    whole = forest.raw_score(x)
+    parts = np.concatenate([forest.raw_score(x[k:k + 7]) for k in range(0, 700, 7)])
+    assert (whole[:700] == parts).all() and len(forest.raw_score(x[:0])) == 0
