@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package, work_dir
+from ..operators.ordering import with_position
+from ..session import cut, ship_package, work_dir
+
+__all__ = ["WORD", "cut", "ready", "shuffle_width", "table", "with_position", "word_count"]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,12 +27,6 @@ def ready(df: DataFrame) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from the shared checkpoint folder (survives lost executors)."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a whole text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -39,28 +34,3 @@ def word_count(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def with_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                  out: str = "pos") -> DataFrame:
-    """Adds the 1-based position of each row within its group, in ``order``.
-
-    A window over the group would put a hot group into one task.  Here rows
-    are range-partitioned by group and order, numbered inside each partition,
-    and shifted by the row counts of the group's earlier partitions; a group
-    of any size spreads over many tasks.  ``group`` columns must not be null.
-    Rows equal in ``order`` get neighbouring positions in any order.
-    """
-    spark = df.sparkSession
-    keys = [F.col(c) for c in group]
-    dealt = cut(df.repartitionByRange(shuffle_width(spark), *keys, *order)
-                .withColumn("_part", F.spark_partition_id()))  # pins the ranges
-    by = ["_part", *group]
-    counts = dealt.groupBy(*by).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shift = counts.select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    local = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return (dealt.withColumn("_local", local).join(shift, by)
-            .withColumn(out, (F.col("_shift") + F.col("_local")).cast("long"))
-            .drop("_part", "_shift", "_local"))

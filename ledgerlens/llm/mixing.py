@@ -89,24 +89,29 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def mixture(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the plan says.
 
-    Rows that agree in doc_id, source and size share out their copies.
+    Rows that agree in doc_id, source and size share out their copies, the
+    most copies first, in the order of a digest of their text and then of
+    their other columns, so reruns agree.  Such rows are numbered by ranges
+    (``with_position``): however many there are, they spread over tasks.
     """
     plan = mix_plan(docs, **kw)
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), *_source_key(),
            F.col("size").alias("_size")]
-    counts = plan.filter("copies > 0").groupBy(*key, "copies").agg(F.count("*").alias("_n"))
-    owed = counts.groupBy("_id", "_none", "_src", "_size").agg(
-        F.sort_array(F.collect_list(F.struct("copies", "_n")), asc=False).alias("_owed"))
+    same = ["_id", "_none", "_src", "_size"]
+    counts = cut(plan.groupBy(*key, "copies").agg(F.count("*").alias("_n")))
+    upto = Window.partitionBy(*same).orderBy(F.desc("copies"))  # one row for each number of copies
+    owed = (counts.withColumn("_upto", F.sum("_n").over(upto)).groupBy(*same).agg(
+        F.sum("_n").alias("_m"), F.sort_array(F.collect_list(F.struct("_upto", "copies"))).alias("_owed"))
+        .where(F.exists("_owed", lambda e: e["copies"] > 0)))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source",
                        word_count(F.col("text")).alias("size")).select("_row", *key)
-    nth = F.row_number().over(Window.partitionBy("_id", "_none", "_src", "_size").orderBy(F.lit(0)))
-    # The most copies first: those of the n-th row, or 0 behind all that are owed.
-    copies = F.aggregate(
-        "_owed", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).alias("c")),
-        lambda a, e: F.struct((a["seen"] + e["_n"]).alias("seen"), F.when(
-            (F.col("_nth") > a["seen"]) & (F.col("_nth") <= a["seen"] + e["_n"]), e["copies"])
-            .otherwise(a["c"]).alias("c")), lambda a: a["c"])
-    return (rows.join(owed, ["_id", "_none", "_src", "_size"])
-            .withColumn("_nth", nth).withColumn("_copies", copies).filter("_copies > 0")
+    # Most keys have one row, whose copies are known; the rows of the others are numbered.
+    copied = rows.join(owed.where("_m = 1"), same).select("_row", F.col("_owed")[0]["copies"].alias("_copies"))
+    if owed.where("_m > 1").limit(1).count():
+        text, rest = F.md5(F.coalesce("_row.text", F.lit(""))), F.xxhash64(F.to_json("_row"))
+        nth = with_position(rows.join(owed.where("_m > 1"), same), same, [text, rest], out="_nth")
+        mine = F.filter("_owed", lambda e: F.col("_nth") <= e["_upto"])  # the first of them
+        copied = copied.unionByName(nth.select("_row", F.get(mine, F.lit(0))["copies"].alias("_copies")))
+    return (copied.filter("_copies > 0")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select("_row.*"))

@@ -1,7 +1,11 @@
+import random
+import re
 from collections import defaultdict
 
 import duckdb
 import zlib
+from pyspark.sql import functions as F
+
 from ledgerlens.llm import mixing, packing, sharding
 from ledgerlens.llm.oracle import ORACLE
 from ledgerlens.llm.queries import QUERIES
@@ -101,3 +105,103 @@ def test_mixture_gives_any_number_of_copies(spark):
     plan = M.mix_plan(df, **kw).collect()
     assert max(r.copies for r in plan) >= 3
     assert M.mixture(df, **kw).count() == sum(r.copies for r in plan)
+
+
+def test_mixture_is_the_same_in_every_partitioning(spark, docs, no_docs):
+    """Rows of one doc_id, size and source with texts of their own; a third of all rows."""
+    words = "one two three four five six seven eight nine ten".split()
+    rows = [(77, f"{a} {b} {a}", "en", "a") for a in words for b in words[:4]]
+    rows += [(77, "same same same", "en", "a")] * 5 + [(k, f"{words[k % 10]} x y", "en", "a") for k in range(90)]
+    many = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"),
+                            allowMissingColumns=True)
+    mixes = {str(sorted(map(repr, mixing.mixture(many.repartition(n)).collect()))) for n in (1, 4, 9)}
+    assert len(mixes) == 1
+    plan = defaultdict(int)
+    for r in mixing.mix_plan(many).collect():
+        plan[r.doc_id] += r.copies
+    got = defaultdict(int)
+    for r in mixing.mixture(many).select("doc_id").collect():
+        got[r.doc_id] += 1
+    assert {k: v for k, v in plan.items() if v} == dict(got)
+    assert mixing.mixture(no_docs).count() == 0
+
+
+def test_hot_ids_spread_over_ranges(spark):
+    """A third of the rows has one doc_id: no range of the mix or the shards holds three times the median."""
+    hot = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"),
+                                   F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    import ledgerlens.operators.ordering as ordering
+    sizes, real = [], ordering.cut
+
+    def seen(df):
+        out = real(df)
+        sizes.append(sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+    ordering.cut = seen
+    try:
+        assert mixing.mix_plan(hot).count() == 9000
+        assert sharding.shard_slots(hot).count() == 9000
+    finally:
+        ordering.cut = real
+    for s in sizes:
+        if sum(s) == 9000:
+            assert s[-1] <= 3 * s[len(s) // 2]
+    assert sum(sum(s) == 9000 for s in sizes) == 2
+
+
+def test_shards_and_packing_against_plain_python(spark):
+    """op2: every record sits in the shard of its highest score; op7: bins hold what their rows say."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    score = docs.select("doc_id", F.array(*[
+        sharding._score(F.col("doc_id").cast("string"), F.lit(s), F.lit(1.0)) for s in range(25)]).alias("s"))
+    best = {r.doc_id: (max(range(24), key=lambda k: r.s[k]), max(range(25), key=lambda k: r.s[k]))
+            for r in score.collect()}
+    got = QUERIES["op2_sharding"](spark, SF).collect()
+    slots = defaultdict(list)
+    for r in got:
+        assert (r.shard, r.grown_shard) == best[r.doc_id]
+        assert r.size == len(texts[r.doc_id].encode()) + 8
+        assert r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and len(got) == len(texts)
+
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    bins, pieces = defaultdict(list), defaultdict(list)
+    for r in QUERIES["op7_best_fit_packing"](spark, SF).collect():
+        pieces[r.doc_id].append((r.part, r.start_word, r.n_words, r["size"]))
+        if r.bin_id is not None:
+            bins[r.bin_id].append(r)
+    for doc_id, found in pieces.items():
+        n = len([w for w in re.split(r"[\x20\x09-\x0D]+", texts[doc_id]) if w])
+        found.sort()
+        assert [p[0] for p in found] == list(range(len(found))) and sum(p[2] for p in found) == n
+        assert all(p[1] == 1024 * p[0] and p[3] == n for p in found)
+    for rows in bins.values():
+        assert sum(r.n_words for r in rows) <= packing.CAPACITY
+        assert len({source[r.doc_id] for r in rows}) == len({texts[r.doc_id] for r in rows}) == len(rows)
+
+
+def best_fit_by_hand(items, capacity):
+    """Each item into the bin of least room that holds it without a conflict, lowest number first."""
+    bins, placed = [], []
+    for size, source, cluster in items:
+        fits = [(room, k) for k, (room, s, c) in enumerate(bins)
+                if room >= size and room and source not in s and cluster not in c]
+        if fits:
+            k = min(fits)[1]
+        else:
+            k = len(bins)
+            bins.append([capacity, set(), set()])
+        bins[k][0] -= size
+        bins[k][1].add(source)
+        bins[k][2].add(cluster)
+        placed.append(k)
+    return placed
+
+
+def test_best_fit_equals_a_search_over_all_bins():
+    rnd = random.Random(4)
+    for _ in range(60):
+        items = [(rnd.randint(1, 40), rnd.randint(0, 6), rnd.randint(0, 30)) for _ in range(rnd.randint(0, 80))]
+        assert packing.best_fit(*map(list, zip(*items)), 40) == best_fit_by_hand(items, 40) if items else True
