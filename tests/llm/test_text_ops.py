@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -220,3 +221,34 @@ def test_toxicity_learns_and_holds_out(spark, docs, no_docs):
     assert len(hard) == 13 and all(r.score < 1e-6 and r.predicted == 0 for r in hard)
     assert toxicity.drop_toxic(docs, none).columns == docs.columns
     assert toxicity.toxicity(no_docs, none).count() == 0
+
+
+def test_url_model_on_names_that_it_has_not_seen(spark):
+    table = url_filter.labelled_urls(spark).cache()
+    assert table.count() < 2500 and table.select("name").distinct().count() == table.count()
+    weights, intercept = url_filter.fit(table.where("NOT held_out"))
+    scored = url_filter.with_coordinates(table.where("held_out")).withColumn(
+        "score", url_filter.block_score(weights, intercept)).collect()
+    bad = [r.score >= url_filter.THRESHOLD for r in scored if r.label]
+    clean = [r.score >= url_filter.THRESHOLD for r in scored if not r.label]
+    assert len(bad) > 100 and sum(bad) >= 0.85 * len(bad)
+    assert len(clean) > 300 and sum(clean) <= 0.01 * len(clean)
+    for r in scored[:50]:  # the sum over the url's distinct n-grams, by hand
+        total = intercept + sum(weights[g] for g in r.grams)
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9 and len(set(r.grams)) == len(r.grams)
+
+
+def test_url_model_leaves_the_pages_clean_hosts_alone(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = {n for w in (url_filter.BAD_WORDS, url_filter.GOOD_WORDS) for n in w}
+    judged = QUERIES["op6_url_filter"](spark, "/root/testdata/sf0.1").where("rule IS NULL").collect()
+    name = {r.host: re.sub(r"^(www|blog|m)\.", "", r.host).split(".")[0] for r in judged}
+    assert not set(name.values()) & hosts  # none of the judged names is in the table
+    blocked = {name[r.host] for r in judged if r.verdict == "block"}
+    assert blocked == {"adult-x"} and pages.count() > len(judged) > 1000
+
+
+def test_urls_that_repeat_get_one_verdict(spark):
+    rows = [(k, "http://get-malware.example.org/x") for k in range(20)] + [(99, "http://a.io/" + "x" * 5000)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.verdict for r in got if r.page_id < 20} == {"block"} and len(got) == 21
