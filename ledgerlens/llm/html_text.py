@@ -1,10 +1,12 @@
 """Main text of web pages by flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks.  Each block is described by its
-word count and link density, those of its two neighbours, and whether it
-lies in a main container or in a part marked as menu, footer, advert and the
-like.  A decision tree, grown here on a small labelled table of such
-descriptions, tells the blocks of the article from the rest.
+word count and link density, those of its two neighbours, whether it lies in
+a main container or in a part marked as menu, footer, advert and the like,
+and by the longest unmarked block of the page, which tells short pages.  A
+decision tree, grown here on a small labelled table of such descriptions,
+tells the blocks of the article from the rest.  In a main container a block
+that is one link belongs to the article, unless it stands among short links.
 
 Null or empty html gives an empty text.  Unclosed, cut-off and unknown tags
 are tolerated; whole pages are read, however long.  Repeated rows are
@@ -41,7 +43,8 @@ BREAK_OUT = frozenset("article aside blockquote body center dd div dl dt footer
 ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 MAIN_TAGS = frozenset(("article", "main"))
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sidebar comment comments reply replies disqus "
+    "ad ads advert adverts advertisement advertisements advertising advertorial adbox adslot adunit "
+    "adspace adwrap adframe adbanner adsense adsbygoogle adchoices banner sidebar comment comments reply replies disqus "
     "cookie cookies notice consent gdpr popup modal share sharing social related recommended promo "
     "sponsor sponsored newsletter subscribe breadcrumb breadcrumbs menu nav navbar navigation "
     "footer header masthead login signup search widget toolbar pagination pager copyright "
@@ -50,14 +53,15 @@ ASIDE_NAMES = frozenset(
 PLAIN_NAMES = frozenset(
     "box bar block list wrapper wrap container area section link links button buttons icon icons item items "
     "inner outer site page main top bottom left right primary secondary post posts entry article "
-    "articles body text title widget widgets holder".split())
+    "articles body text title widget widgets holder user users reader readers visitor visitors guest "
+    "guests customer facebook fb thread threads feed latest recent new count all top your slot unit space zone".split())
 #: Names of a part with readers' comments.
 SAID_NAMES = frozenset("comment comments reply replies disqus".split())
 #: Names that an <article> bears which holds a reader's comment, not the page's article.
 COMMENT_NAMES = frozenset("comment comment-item comment-body reply reply-item".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|"
     r"</?[a-z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>|</?[a-z][^<>]*(?:>|\Z)|<[!?][^<>]*(?:>|\Z)",
     re.IGNORECASE | re.DOTALL)
 _NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.IGNORECASE)
@@ -232,38 +236,67 @@ def _placed(blocks: list[tuple]) -> list[tuple[str, int, float, int, int]]:
 def describe(blocks: list[tuple]) -> list[tuple[float, ...]]:
     """Features of each block: own, previous and next words and link density, and its place."""
     some_main = float(any(b[3] for b in blocks))
+    longest = max((b[1] for b in blocks if b[2] < 0.5 and not b[4]), default=0)
     edge = ("", 0, 0.0, 0, 0)
-    return [(b[1], b[2], p[1], p[2], n[1], n[2], float(b[3]), float(b[4]), some_main)
+    return [(b[1], b[2], p[1], p[2], n[1], n[2], float(b[3]), float(b[4]), some_main, longest)
             for p, b, n in zip([edge, *blocks], blocks, [*blocks[1:], edge])]
 
 
 def labelled_blocks() -> list[tuple[tuple[float, ...], int]]:
     """The small labelled table: features of blocks, and 1 for those of an article."""
     rows = []
+
+    def add(label: int, *features: float, longest: int = 60) -> None:
+        rows.append(((*features, longest), label))
+
     sizes = ((1, 0), (3, 2), (8, 30), (25, 4), (60, 80), (200, 1))
     for words, near in sizes:
         for prev, nxt in ((near, 40), (40, near), (near, near)):
-            rows += [((words, 0.0, prev, 0.0, nxt, 0.0, 1, 0, 1), 1),     # in the article
-                     ((words, 0.2, prev, 1.0, nxt, 0.0, 1, 0, 1), 1),
-                     ((words, 0.0, prev, 1.0, nxt, 1.0, 1, 0, 1), 1),
-                     ((words, 0.1, prev, 0.0, nxt, 1.0, 1, 0, 1), 1),
-                     ((words, 1.0, prev, 1.0, nxt, 1.0, 1, 0, 1), 0),     # lists of links
-                     ((words, 1.0, prev, 0.0, nxt, 0.0, 1, 0, 1), 0),
-                     ((words, 0.0, prev, 0.0, nxt, 0.0, 0, 0, 1), 0),     # beside the article
-                     ((words, 0.0, prev, 0.0, nxt, 1.0, 0, 0, 1), 0),
-                     ((words, 0.0, prev, 0.0, nxt, 0.0, 1, 1, 1), 0),     # marked parts
-                     ((words, 0.3, prev, 0.0, nxt, 0.5, 1, 1, 1), 0),
-                     ((words, 0.3, prev, 1.0, nxt, 1.0, 0, 1, 1), 0),
-                     ((words, 0.0, prev, 0.0, nxt, 0.0, 0, 1, 0), 0),
-                     ((words, 1.0, prev, 1.0, nxt, 1.0, 0, 0, 0), 0)]
-    for words in (20, 35, 60, 150, 400):                                  # pages without container
-        rows += [((words, d, p, 0.0, n, 0.0, 0, 0, 0), 1)
-                 for d in (0.0, 0.2) for p, n in ((30, 30), (0, 30), (30, 0), (4, 4))]
-        rows += [((words, 0.1, 3, 1.0, 30, 0.0, 0, 0, 0), 1), ((words, 0.1, 30, 0.0, 3, 1.0, 0, 0, 0), 1)]
+            for longest in (3, 60, 400):
+                add(1, words, 0.0, prev, 0.0, nxt, 0.0, 1, 0, 1, longest=longest)  # in the article
+                add(1, words, 0.2, prev, 1.0, nxt, 0.0, 1, 0, 1, longest=longest)
+                add(1, words, 0.0, prev, 1.0, nxt, 1.0, 1, 0, 1, longest=longest)
+                add(1, words, 0.1, prev, 0.0, nxt, 1.0, 1, 0, 1, longest=longest)
+                add(1, words, 1.0, prev, 0.0, nxt, 0.0, 1, 0, 1, longest=longest)  # one link
+                add(1, words, 1.0, prev, 0.0, nxt, 1.0, 1, 0, 1, longest=longest)
+                add(1, words, 1.0, prev, 1.0, nxt, 0.0, 1, 0, 1, longest=longest)
+                add(0, words, 0.0, prev, 0.0, nxt, 0.0, 0, 0, 1, longest=longest)  # beside the article
+                add(0, words, 0.0, prev, 0.0, nxt, 1.0, 0, 0, 1, longest=longest)
+                add(0, words, 0.0, prev, 0.0, nxt, 0.0, 1, 1, 1, longest=longest)  # marked parts
+                add(0, words, 0.3, prev, 0.0, nxt, 0.5, 1, 1, 1, longest=longest)
+                for d, main in ((0.0, 1), (0.0, 0), (1.0, 1), (1.0, 0)):
+                    add(0, words, d, prev, 1.0 - d, nxt, 0.0, main, 1, 1, longest=longest)
+                    add(0, words, 1.0, prev, d, nxt, 1.0 - d, main, 1, 1, longest=longest)
+                add(0, words, 0.3, prev, 1.0, nxt, 1.0, 0, 1, 1, longest=longest)
+                add(0, words, 0.0, prev, 0.0, nxt, 0.0, 0, 1, 0, longest=longest)
+                add(0, words, 1.0, prev, 1.0, nxt, 1.0, 0, 0, 0, longest=longest)
+    for near in (1, 2, 3, 5, 9, 30):  # links among links: long ones are text, short ones a list of links
+        for words in (5, 8, 25):
+            add(1, words, 1.0, near, 1.0, near, 1.0, 1, 0, 1)
+        for words in (1, 2, 3):
+            add(0, words, 1.0, near, 1.0, near, 1.0, 1, 0, 1)
+    for words in (20, 35, 60, 150, 400):  # pages without container
+        for d in (0.0, 0.2):
+            for p, n in ((30, 30), (0, 30), (30, 0), (4, 4)):
+                add(1, words, d, p, 0.0, n, 0.0, 0, 0, 0, longest=max(words, p, n))
+        add(1, words, 0.1, 3, 1.0, 30, 0.0, 0, 0, 0, longest=max(words, 30))
+        add(1, words, 0.1, 30, 0.0, 3, 1.0, 0, 0, 0, longest=max(words, 30))
     for words in (1, 3, 6, 9):
-        rows += [((words, 0.0, 40, 0.0, 40, 0.0, 0, 0, 0), 1), ((words, 0.0, 25, 0.0, 60, 0.1, 0, 0, 0), 1),
-                 ((words, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), 0), ((words, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0), 0),
-                 ((words, 0.0, 0, 0.0, 2, 0.5, 0, 0, 0), 0)]
+        add(1, words, 0.0, 40, 0.0, 40, 0.0, 0, 0, 0)
+        add(1, words, 0.0, 25, 0.0, 60, 0.1, 0, 0, 0)
+        for p, d in ((0, 0.0), (3, 0.0), (2, 1.0), (6, 1.0)):  # a heading
+            add(1, words, 0.0, p, d, 40, 0.0, 0, 0, 0)
+            add(1, words, 0.0, p, d, 25, 0.1, 0, 0, 0, longest=120)
+        add(0, words, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0)
+        add(0, words, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0)
+        add(0, words, 0.0, 0, 0.0, 2, 0.5, 0, 0, 0)
+        for p in (0, 1, 2, 4, 9):  # short pages
+            for n in (0, 1, 2, 4, 9):
+                add(1, words, 0.0, p, 0.0, n, 0.0, 0, 0, 0, longest=max(words, p, n))
+                add(1, words, 0.0, p, 1.0, n, 0.0, 0, 0, 0, longest=max(words, n))
+                for near in (0.0, 1.0):
+                    add(0, words, 1.0, p, near, n, 1.0, 0, 0, 0, longest=0 if near else max(p, 1))
+                    add(0, words, 1.0, p, near, n, 0.0, 0, 0, 0, longest=max(n, 1))
     return rows
 
 

@@ -252,3 +252,58 @@ def test_urls_that_repeat_get_one_verdict(spark):
     rows = [(k, "http://get-malware.example.org/x") for k in range(20)] + [(99, "http://a.io/" + "x" * 5000)]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert {r.verdict for r in got if r.page_id < 20} == {"block"} and len(got) == 21
+
+
+BODY, MORE, SIDE = ("word " * 40).strip(), ("other " * 40).strip(), "aside text here"
+
+
+@pytest.mark.parametrize("name", [
+    "user-comments", "reader-comments", "comments", "recent-comments", "fb-comments", "comments-thread",
+    "advertising", "adbox", "adBox", "ad-slot", "adslot top", "adsbygoogle", "ads", "top-banner", "user-menu"])
+def test_html_marked_parts_with_other_words(name):
+    tree = H.grow(H.labelled_blocks())
+    for at in ("class", "id"):
+        part = f"<div {at}='{name}'><p>{SIDE}</p><p>{SIDE * 20}</p></div>"
+        assert H.main_text(f"<article><p>{BODY}</p>{part}<p>{MORE}</p></article>", tree) == f"{BODY} {MORE}"
+        assert H.main_text(f"<body><p>{BODY}</p>{part}<p>{MORE}</p></body>", tree) == f"{BODY} {MORE}"
+
+
+@pytest.mark.parametrize("name", ["has-comments", "no-ads", "commentary", "adventure", "address", "reader"])
+def test_html_names_that_mark_nothing(name):
+    tree = H.grow(H.labelled_blocks())
+    assert H.main_text(f"<article><div class='{name}'><p>{BODY}</p></div></article>", tree) == BODY
+
+
+def test_html_links_and_short_texts_of_an_article_stay():
+    tree = H.grow(H.labelled_blocks())
+    art = f"<article><h2>Short</h2><p>{BODY}</p>%s<p>{MORE}</p></article>"
+    for piece, text in (("<p><a href=x>One linked paragraph</a></p>", "One linked paragraph"),
+                        ("<p><a href=x>See</a></p>", "See"),
+                        ("<ul><li><a href=y>A linked item</a></li><li>plain item</li></ul>", "A linked item plain item"),
+                        ("<p>ok</p><p>no</p>", "ok no"),
+                        ("<ul><li><a href=1>The history of the town</a><li><a href=2>How the bridge was built</a>"
+                         "<li><a href=3>Letters to the county council</a></ul>",
+                         "The history of the town How the bridge was built Letters to the county council")):
+        assert H.main_text(art % piece, tree) == f"Short {BODY} {text} {MORE}"
+    menu = "<ul>" + "".join(f"<li><a href={k}>Page {k}</a>" for k in range(6)) + "</ul>"
+    assert "Page 3" not in H.main_text(art % menu, tree)
+
+
+def test_html_short_pages_and_headings_without_container():
+    tree = H.grow(H.labelled_blocks())
+    nav = "<nav><a href=a>Home</a> <a href=b>News</a></nav>"
+    for page, text in (("<p>Short page text.</p>", "Short page text."), ("Just text", "Just text"),
+                       ("<h1>Title</h1><p>Short page text.</p>", "Title Short page text."),
+                       (f"{nav}<h1>Title</h1><p>Few words.</p><footer>Foot</footer>", "Title Few words."),
+                       (f"<h1>A heading</h1><p>{BODY}</p>", f"A heading {BODY}"),
+                       (f"{nav}<h1>A heading</h1><p>{BODY}</p><h2>Next</h2><p>{MORE}</p>",
+                        f"A heading {BODY} Next {MORE}"),
+                       (f"{nav}<footer>Foot</footer>", ""), ("<p><a href=x>Home</a></p><p><a href=y>News</a></p>", "")):
+        assert H.main_text(f"<html><body>{page}</body></html>", tree) == text, page
+
+
+def test_html_cdata_is_markup():
+    tree = H.grow(H.labelled_blocks())
+    for junk in ("<![CDATA[x > y]]>", "<![CDATA[<p>no</p> > z]]>"):
+        assert H.main_text(f"<article><p>{BODY}</p>{junk}<p>{MORE}</p></article>", tree) == f"{BODY} {MORE}"
+    assert H.main_text(f"<article><p>{BODY}</p><![CDATA[cut off > here", tree) == BODY
