@@ -22,6 +22,7 @@ the snapshot and never recompute them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -32,6 +33,7 @@ from .. import __version__
 from ..config import DEFAULT, Params
 from ..operators import iforest
 from ..operators.derive import derive
+from ..operators.distinct_sets import dense_numbers
 from ..operators.quantile import first_pass_aggs, percentile_scalars
 from ..operators.signals import add_signals
 from ..operators.stats import (Thresholds, THRESHOLD_SCHEMA, compute_thresholds,
@@ -83,6 +85,17 @@ class Snapshot:
         """the rows of a view; its words are looked up in the index."""
         return apply_view(self.search(spec.query).rows, spec)
 
+    def contract_numbers(self) -> DataFrame:
+        """The universe's contracts, numbered; written beside the snapshot when first asked for."""
+        spark = self.raw_rows.sparkSession
+        base = f"{self.path}/contract_numbers"
+        path = store.current_attempt(spark, base)
+        if path is None:
+            path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
+            store.write_parquet(dense_numbers(self.raw_rows, "contract_id"), path)
+            store.publish(spark, base, path)
+        return spark.read.schema("contract_id string, number long").parquet(path)
+
     def forest(self):
         """The fitted forest, or ``None`` when the model was skipped (M4)."""
         from ..sources.snapshot import exists
@@ -123,8 +136,6 @@ def build(spark: SparkSession, contracts: DataFrame, key: str, params: Params =
     Concurrent or retried builds of the same key never share files: each
     writes its own attempt, and the last one to finish moves the pointer.
     """
-    import uuid
-
     base = store.snapshot_dir(spark, key)
     path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
     step = _Steps()
@@ -226,8 +237,6 @@ def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
 
 def build_from_frame(contracts: DataFrame, params: Params = DEFAULT) -> Snapshot:
     """Enrich an in-memory or ad-hoc contracts frame under a fresh key."""
-    import uuid
-
     spark = contracts.sparkSession
     ship_package(spark)
     return build(spark, contracts, "adhoc-" + uuid.uuid4().hex[:12], params)

@@ -19,6 +19,7 @@ from ..functions.url import url_column
 from ..functions import formats as fm
 from ..config import CONTAMINATION
 from ..operators import iforest
+from ..operators.distinct_sets import bitmaps, number_rows, sizes, united
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row, money_sum, short_labels, unique_short_labels
 from ..operators.stats import thresholds_frame
@@ -187,6 +188,25 @@ def _saved_view_table(saved, r):
     return cut(views.view_table(views.resolve_saved_views(saved, r), saved))
 
 
+def q_contracts_by_view(spark, sf):
+    """Distinct and repeated contracts of each saved view, from bitmaps."""
+    r = rows(spark, sf)
+    saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
+    return views.contracts_by_view(r, _saved_view_table(saved, r), snapshot(spark, sf).contract_numbers())
+
+
+def q_contracts_since(spark, sf):
+    """Distinct contracts signed in a year, and in it or any earlier one: yearly bitmaps united."""
+    snap = snapshot(spark, sf)
+    signed = snap.raw_rows.where("sign_year IS NOT NULL").select("sign_year", "contract_id")
+    yearly = cut(bitmaps(number_rows(signed, snap.contract_numbers(), "contract_id"), ["sign_year"]))
+    years = yearly.select("sign_year").distinct()  # calendar years: a short list
+    upto = yearly.join(years.select(F.col("sign_year").alias("upto")), F.col("sign_year") <= F.col("upto"))
+    return sizes(yearly, ["sign_year"], "n_contracts").join(
+        sizes(united(upto, ["upto"]), ["upto"], "n_so_far").withColumnRenamed("upto", "sign_year"), "sign_year").select(
+        F.col("sign_year").cast("bigint").alias("sign_year"), "n_contracts", "n_so_far")
+
+
 def q_filter_options(spark, sf):
     return views.filter_options(rows(spark, sf))
 
@@ -468,6 +488,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "view_filtered": q_view,
     "saved_views": q_saved_views,
     "saved_view_facts": q_saved_view_facts,
+    "contracts_by_view": q_contracts_by_view,
+    "contracts_since": q_contracts_since,
     "filter_options": q_filter_options,
     "top_entities": q_top_entities,
     "modality_mix": q_modality_mix,

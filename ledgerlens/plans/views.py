@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_all_words, normalize
+from ..operators.distinct_sets import bitmaps, number_rows, repeated, sizes
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row
 
@@ -295,3 +296,21 @@ def facts_by_view(rows: DataFrame, views: DataFrame) -> DataFrame:
     return shown.fillna(zero).select(
         "view_id", "n_rows", F.coalesce(F.col("_total").cast("double"), F.lit(0.0)).alias("total_value"),
         "n_values", "n_priority", "n_critical", "n_direct", "n_sme")
+
+
+def contracts_by_view(rows: DataFrame, views: DataFrame, numbers: DataFrame) -> DataFrame:
+    """A1, A2 of every view: ``view_id, n_rows, n_contracts, n_repeated``.
+
+    ``numbers`` are the universe's contracts (``distinct_sets.dense_numbers``).
+    Views without clauses share the set of all.
+    """
+    needed = rows.select("contract_id", "search_text", *CELL)
+    shown = view_members(needed, views).select("view_id", "contract_id")
+    base = shown.groupBy("view_id").agg(F.count("*").alias("n_rows"))
+    numbered = number_rows(shown, numbers, "contract_id")
+    parts = (base, sizes(bitmaps(numbered, ["view_id"]), ["view_id"], "n_contracts"),
+             repeated(numbered, ["view_id"]))
+    out = views.select("view_id")
+    for part in parts:
+        out = out.join(part, "view_id", "left")
+    return out.fillna(0)
