@@ -2,7 +2,15 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet
 to the shared folder and read again as the next stage's ``docs``.  All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever further columns these
+have; names of helper columns do not clash with them.
+
+Null and empty texts go at the quality rules, null sources are a source of
+their own, null doc_ids stay documents.  Rows that repeat a text, under one
+doc_id or several, are one document after the near copies are removed.  Very
+long texts are read whole and packed in pieces; a piece names its text by
+``text_md5``, so pieces of equal or null doc_ids can be told apart.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,8 +20,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import mixing, near_join, packing, quality, toxicity
-from ledgerlens.llm._common import table
+from ledgerlens.llm._common import clear_scratch, table
 from ledgerlens.session import work_dir
+from ledgerlens.sources.snapshot import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        clear_scratch(spark)
+        if k:  # its only reader is done
+            remove(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs

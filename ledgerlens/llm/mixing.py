@@ -9,8 +9,8 @@ the target by less than the source's largest document.
 
 Null or empty texts have size 0 and take 0 words; null sources form one
 source, last in order; a source without words has target 0.  Repeated rows
-are separate documents.  An empty table gives an empty result.  Columns
-other than those named are ignored.
+are separate documents.  Texts of any length are counted whole.  An empty
+table gives an empty result.  Columns other than those named are ignored.
 """
 
 from __future__ import annotations

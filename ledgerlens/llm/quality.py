@@ -11,7 +11,7 @@ fifth of their words.
 Everything here is DataFrame functions; the statistics of a document are
 computed within its row, and only they are shuffled, never the text.
 
-Null texts have no words and fail the base rules.  A null ``lang`` is a
+Texts of any length are read whole.  Null texts have no words and fail the base rules.  A null ``lang`` is a
 language of its own.  Where no document of a language passes the base rules,
 nobody is judged against it.  Repeated rows are judged one by one.  An empty
 table gives an empty result.  Columns other than those named are ignored.
@@ -24,14 +24,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ready
+from ._common import cut, ready, scratch
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_CHARS = 250      # least characters for the character histogram to count
 ACCURACY = 10_000    # of the medians: they lie within 1 / ACCURACY of the middle rank
-MAX_SENT = 5000      # profiles of languages, of 48 numbers each, sent to every task
 MIN_HIST_WORDS = 40  # least words for the word histogram to count
 MAX_CHAR_JS = 0.03   # from the labelled rows: README, "Quality limits"
 MAX_WORD_JS = 0.20
@@ -195,11 +194,16 @@ def keep_good(docs: DataFrame, max_char_js: float = MAX_CHAR_JS,
               max_word_js: float = MAX_WORD_JS) -> DataFrame:
     """The rows of ``docs`` that the rules keep.
 
-    The statistics are computed a second time beside each row: that costs
-    less than to shuffle the texts.  Languages' profiles are sent to every
-    task if they are at most ``MAX_SENT``; else they are joined by shuffle.
+    The rows are written once with their statistics; the profiles read only
+    these, and are read back as a table whose size Spark knows, so that few
+    languages are broadcast and many joined by shuffle.
     """
-    refs = cut(_profiles(cut(base_statistics(docs, F.lit(0)))))
-    near = F.broadcast(refs) if refs.count() <= MAX_SENT else refs
-    rows = base_statistics(docs, F.struct(*docs.columns))
+    spark = ready(docs)
+    rows_path, refs_path = scratch(spark), scratch(spark)
+    stats = base_statistics(docs, F.struct(*docs.columns))
+    stats.write.parquet(rows_path)
+    rows = spark.read.schema(stats.schema).parquet(rows_path)
+    refs = _profiles(rows)
+    refs.coalesce(1).write.parquet(refs_path)
+    near = spark.read.schema(refs.schema).parquet(refs_path)
     return _judged(rows, near, max_char_js, max_word_js).filter("kept").select("keep.*")

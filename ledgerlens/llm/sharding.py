@@ -5,7 +5,8 @@ record belongs to the shard of its highest score.  A new shard can only win
 records for itself, so growing by one shard moves just those.
 
 Null keys are one key of their own; null texts count no bytes; rows with
-equal keys go to the same shard and get slots of their own.  An empty table
+equal keys go to the same shard and get slots of their own.  Texts of any
+length are read whole.  An empty table
 gives an empty result.  Columns other than those named are ignored.
 """
 

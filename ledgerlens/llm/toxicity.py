@@ -12,7 +12,9 @@ held out: their labels are never read.  A doc_id labelled twice counts as
 toxic if one label says so.
 
 Null and empty texts have no features and get the model's base score; a null
-doc_id is never used in learning and is not held out.  Without any labelled
+doc_id is never used in learning and is not held out.  Repeated rows count
+once in learning and are scored one by one; texts of any length are read
+whole.  Without any labelled
 row every score is 0.  An empty table gives an empty result.  Columns other
 than those named are ignored.
 """
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN,
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = (chosen.select("order", "toxic", "text")
             .mapInArrow(_features, "order long, toxic int, at binary")
-            .orderBy("order", "at").limit(max_train).collect())
+            .distinct().orderBy("order", "at").limit(max_train).collect())
     return ftrl([(np.frombuffer(r["at"], np.int32), r["toxic"]) for r in rows], epochs)
 
 

@@ -200,6 +200,34 @@ def best_fit_by_hand(items, capacity):
     return placed
 
 
+def test_packing_deals_hot_rows_in_chunks_and_many_of_a_source(spark):
+    hot = spark.range(5000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("doc_id"),
+                                   F.lit("s").alias("source"), F.when(F.col("id") < 2500, "a b").otherwise(
+                                       F.concat(F.lit("c d "), F.col("id").cast("string"))).alias("text"))
+    got = packing.pack(hot, capacity=64, lane_rows=700).collect()
+    assert len(got) == 5000 and sum(r.doc_id == 7 for r in got) == 2500
+    assert len({r.bin_id for r in got}) == 5000  # one document of the only source in a bin
+    many = packing.pack(hot, capacity=64, lane_rows=700, per_source=1000)
+    bins = defaultdict(list)
+    for r in many.collect():
+        bins[r.bin_id].append(r)
+    assert all(sum(r.n_words for r in b) <= 64 and len({r.text_md5 for r in b}) == len(b) for b in bins.values())
+    cold = sorted(sum(r.n_words for r in b) for b in bins.values() if not any(r.doc_id == 7 for r in b))
+    assert len(bins) >= 2500 and max(len(b) for b in bins.values()) > 15 and (not cold or cold[-1] <= 64)
+
+
+def test_best_fit_with_two_of_a_source():
+    rnd = random.Random(6)
+    for _ in range(40):
+        n = rnd.randint(1, 60)
+        sizes, sources = [rnd.randint(1, 9) for _ in range(n)], [rnd.randint(0, 2) for _ in range(n)]
+        placed = packing.best_fit(sizes, sources, list(range(n)), 40, per_source=2)
+        for b in set(placed):
+            mine = [k for k in range(n) if placed[k] == b]
+            assert sum(sizes[k] for k in mine) <= 40
+            assert max(sum(sources[k] == s for k in mine) for s in range(3)) <= 2
+
+
 def test_best_fit_equals_a_search_over_all_bins():
     rnd = random.Random(4)
     for _ in range(60):

@@ -81,3 +81,44 @@ def test_pipeline_stages(spark):
     words = sum(len((r.text or "").encode().split()) for r in docs.collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.agg(F.sum("n_words")).first()[0] == words and sizes[2] < sizes[1] <= sizes[0] < 200
+
+
+def hard_tables(folder, docs, labels, spark):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_pipeline_runs_on_hard_tables(spark, docs, no_docs, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing column names, no rows."""
+    words = [f"word{k}" for k in range(300)]
+
+    def text(seed, n):
+        return " ".join(words[(seed * 31 + k * k + 7 * k * (seed % 5 + 1)) % 300] for k in range(n))
+    long = " ".join(f"word{k}" for k in range(3000))
+    rows = [(200 + k, text(k, 60 + k), "en", f"s{k % 3}" if k % 4 else None) for k in range(40)]
+    rows += [(None, text(77, 90), "en", "a"), (None, text(78, 90), None, None), (300, text(79, 80), "en", "a"),
+             (300, text(80, 80), "en", "a"), (301, long, "en", "b"), (302, long, "en", "b")]
+    every = docs.unionByName(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    sf = hard_tables(tmp_path / "a", every, [(1, 1, 0), (2, None, 1), (None, 1, 1), (2, 0, 0)], spark)
+    got = corpus_pipeline.run(spark, sf).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.text_md5), []).append(r)
+    assert {r.doc_id for r in got} >= {None, 300, 301} and 302 not in {r.doc_id for r in got}
+    texts = {__import__("hashlib").md5((r.text or "").encode()).hexdigest(): r.text or "" for r in every.collect()}
+    for (_, name), pieces in by.items():  # every piece is traced to a text, and copies are whole
+        n = len(texts[name].encode().split())
+        assert sum(p.n_words for p in pieces) % n == 0 and {p["size"] for p in pieces} == {n}
+    assert len({name for d, name in by if d == 300}) == 2 and len({name for d, name in by if d is None}) == 2
+    again = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+    assert corpus_pipeline.run(spark, hard_tables(tmp_path / "b", no_docs, [], spark)).count() == 0
+
+
+def test_stages_on_empty_tables(spark, no_docs, tmp_path):
+    sf = hard_tables(tmp_path / "c", no_docs, [], spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, sf)
+        assert out.count() == 0 and (name == "best-fit packing" or out.columns == no_docs.columns)
