@@ -19,9 +19,7 @@ table gives an empty result.  Columns other than those named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import cut, ready, scratch
@@ -30,7 +28,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MIN_CHARS = 250      # least characters for the character histogram to count
-ACCURACY = 10_000    # of the medians: they lie within 1 / ACCURACY of the middle rank
+STEPS = 10_000       # of a share: medians are exact to half a step
 MIN_HIST_WORDS = 40  # least words for the word histogram to count
 MAX_CHAR_JS = 0.03   # from the labelled rows: README, "Quality limits"
 MAX_WORD_JS = 0.20
@@ -151,20 +149,27 @@ def _profiles(stats: DataFrame) -> DataFrame:
     """Histograms of each language: median shares of its documents that pass the base rules.
 
     Every document counts once, however long, so junk of less than half of a
-    language's documents moves its reference little.  Medians are mergeable
-    sketches.  A histogram whose medians are all 0 is null and judges nobody.
+    language's documents moves its reference little.  A histogram whose
+    medians are all 0 is null and judges nobody.
     """
     good = stats.filter(~F.col("base_failed")).select(
         F.struct("lang").alias("_lang"), _shares("char_hist").alias("c"),
         F.map_from_entries("word_hist").alias("w"), "n_words")
-
-    def medians(share: Callable[[int], Column], size: int) -> Column:
-        return F.array(*[F.percentile_approx(share(k), 0.5, ACCURACY) for k in range(size)])
-
-    refs = good.groupBy("_lang").agg(
-        medians(lambda k: F.col("c")[k], 6).alias("ref_chars"),
-        medians(lambda k: F.coalesce(F.col("w")[k], F.lit(0)) / F.col("n_words"),
-                len(COMMON_WORDS) + 1).alias("ref_words"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(len(COMMON_WORDS))), lambda k: F.coalesce(
+        F.col("w")[k], F.lit(0)) / F.col("n_words"))
+    # How many documents of a language have which share, in steps of 1 / STEPS: exact
+    # sums, whatever the order in which tasks end.
+    per = good.select("_lang", F.posexplode(F.concat("c", words)).alias("k", "share")).groupBy(
+        "_lang", "k", F.round(F.col("share") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n"))
+    kind = Window.partitionBy("_lang", "k")  # at most STEPS + 1 rows
+    upto = F.sum("n").over(kind.orderBy("step"))
+    half = per.withColumn("upto", upto).withColumn("every", F.sum("n").over(kind)).filter(
+        2 * F.col("upto") >= F.col("every"))
+    medians = half.groupBy("_lang", "k").agg((F.min("step") / F.lit(float(STEPS))).alias("m"))
+    refs = medians.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("m"))
+    both = F.transform("m", lambda e: e["m"])
+    refs = refs.select("_lang", F.slice(both, 1, 6).alias("ref_chars"),
+                       F.slice(both, 7, len(COMMON_WORDS) + 1).alias("ref_words"))
     return refs.select(F.col("_lang.lang").alias("ref_lang"), *[
         F.when(F.exists(c, lambda x: x > 0), _shares(c)).alias(c) for c in ("ref_chars", "ref_words")])
 
