@@ -118,27 +118,12 @@ def thresholds_frame(spark, th: Thresholds) -> DataFrame:
     return spark.createDataFrame([tuple(th.as_row().values())], THRESHOLD_SCHEMA)
 
 
-# Largest entity-statistics table we broadcast (estimated bytes).
-BROADCAST_STATS_BYTES = 256 * 1024 * 1024
-
-
-def stats_bytes(stats: DataFrame) -> int:
-    """Size estimate of the entity table: key bytes plus two numbers a row."""
-    r = stats.agg(F.coalesce(F.sum(F.length("entity")), F.lit(0)).alias("k"),
-                  F.count(F.lit(1)).alias("n")).first()
-    return int(r["k"]) + 40 * int(r["n"])
-
-
-def with_entity_stats(derived: DataFrame, stats: DataFrame,
-                      size_bytes: int | None = None) -> DataFrame:
+def with_entity_stats(derived: DataFrame, stats: DataFrame) -> DataFrame:
     """Left lookup on entity; the null entity gets null statistics.
 
-    ``stats`` has one row per entity.  When its measured size is under
-    ``BROADCAST_STATS_BYTES`` it is broadcast, so the (large) row table is
-    never shuffled for the lookup.  Beyond that it is a shuffle join, and
-    AQE's skew handling splits the partitions of a hot entity (it supports
-    the streamed side of a left join).
+    ``stats`` is a stored table of one row per entity, so Spark knows its size:
+    below its broadcast threshold the rows are not shuffled for the lookup;
+    beyond it adaptive execution splits the partitions of a hot entity (it
+    supports the streamed side of a left join).
     """
-    size = stats_bytes(stats) if size_bytes is None else size_bytes
-    side = F.broadcast(stats) if size <= BROADCAST_STATS_BYTES else stats
-    return derived.join(side, "entity", "left")
+    return derived.join(stats, "entity", "left")

@@ -42,6 +42,8 @@ from ..operators.stats import (Thresholds, THRESHOLD_SCHEMA, compute_thresholds,
 from ..session import ship_package
 from ..sources import manifest, search_index
 from ..sources import snapshot as store
+from ..sources.contracts import (OPTIONAL_URL_COLUMN, REQUIRED_COLUMNS, SOURCE_COLUMN_NAMES,
+                                 load_contracts)
 from .views import ViewSpec, apply_view
 
 ROW_COLUMNS = (
@@ -85,6 +87,21 @@ class Snapshot:
         """the rows of a view; its words are looked up in the index."""
         return apply_view(self.search(spec.query).rows, spec)
 
+    def dataset(self) -> DataFrame | None:
+        """Origin, files, bytes, rows and fingerprint of what the snapshot was built
+        from, and its version; None for a snapshot of a frame."""
+        spark = self.raw_rows.sparkSession
+        if not store.exists(spark, f"{self.path}/dataset"):
+            return None
+        return spark.read.parquet(f"{self.path}/dataset")
+
+    def identified(self, figures: DataFrame) -> DataFrame:
+        """Figures with the ``dataset_version`` that they were computed from."""
+        known = self.dataset()
+        version = F.lit(None).cast("string") if known is None else (
+            known.agg(F.max("version").alias("v")).scalar())
+        return figures.withColumn("dataset_version", version)
+
     def contract_numbers(self) -> DataFrame:
         """The universe's contracts, numbered; written beside the snapshot when first asked for."""
         spark = self.raw_rows.sparkSession
@@ -130,7 +147,7 @@ class _Steps:
 
 
 def build(spark: SparkSession, contracts: DataFrame, key: str, params: Params = DEFAULT,
-          input_bytes: int = 0) -> Snapshot:
+          dataset: DataFrame | None = None) -> Snapshot:
     """Write a complete snapshot into a fresh attempt folder, then publish it.
 
     Concurrent or retried builds of the same key never share files: each
@@ -139,7 +156,11 @@ def build(spark: SparkSession, contracts: DataFrame, key: str, params: Params =
     base = store.snapshot_dir(spark, key)
     path = f"{base}/attempt-{uuid.uuid4().hex[:12]}"
     step = _Steps()
-    row_group = store.row_group_bytes(spark, input_bytes)
+    size = 0
+    if dataset is not None:
+        store.write_parquet(dataset.coalesce(1), f"{path}/dataset")
+        size = spark.read.parquet(f"{path}/dataset").agg(F.sum("bytes")).first()[0] or 0
+    row_group = store.row_group_bytes(spark, size)
     # The first pass of the threshold percentiles is observed while the
     # derived table is written, saving one full scan.
     seen = Observation("thresholds-pass1")
@@ -230,11 +251,26 @@ def get_or_build(spark: SparkSession, contracts_fn, source_paths: list[str],
     snap = None if rebuild else load(spark, key)
     if snap is None:
         _LOADED.pop(key, None)
-        size = manifest.listing(spark, source_paths).agg(F.sum("bytes")).first()[0]
-        snap = build(spark, contracts_fn(), key, params, size or 0)
+        dataset = manifest.dataset_version(manifest.refresh(spark, source_paths, columns))
+        snap = build(spark, contracts_fn(), key, params, dataset)
     return snap
 
 
+def snapshot_of(spark: SparkSession, path: str, version: str | None = None,
+                params: Params = DEFAULT) -> Snapshot:
+    """Snapshot of a stored contracts table, or of its pinned ``version``.
+
+    The snapshot knows the origin, bytes and fingerprint of the files that it
+    was built from, by the columns that are read of them; a pin whose files
+    have not changed is not built twice.
+    """
+    folder = f"{path.rstrip('/')}/{version}" if version else path
+    contracts = load_contracts(spark, path, version)
+    names = {*SOURCE_COLUMN_NAMES.values(), *REQUIRED_COLUMNS, OPTIONAL_URL_COLUMN}
+    read = tuple(c for c in spark.read.parquet(folder).columns if c in names)
+    return get_or_build(spark, lambda: contracts, [folder], params, columns={manifest.origin_of(folder): read})
+
+
 def build_from_frame(contracts: DataFrame, params: Params = DEFAULT) -> Snapshot:
     """Enrich an in-memory or ad-hoc contracts frame under a fresh key."""
     spark = contracts.sparkSession

@@ -35,6 +35,7 @@ from .views import ViewSpec
 # Parameters of the sample views used by the registered queries.
 SEARCH_QUERY = "CUSTOMER#0000001 supplier#00000004"
 DOC_QUERY = "Élle ouè"
+DOC_TERMS = ("Apache License", "MIT License", "General Public License", "e-mail", "@", "Version 2", "http")
 SAMPLE_VIEW = ViewSpec(modalities=("Contratación directa", "Licitación pública"),
                        years=(1994, 1996), bands=("90–500 M", "500 M–1 B"))
 SMALL_VIEW = ViewSpec(entities=("Customer#000000007",))
@@ -143,6 +144,11 @@ def q_kpis(spark, sf):
     return facts.kpis(rule_rows(spark, sf))
 
 
+def q_kpis_identified(spark, sf):
+    """The KPI row with the dataset version behind it."""
+    return snapshot(spark, sf).identified(facts.kpis(rule_rows(spark, sf)))
+
+
 def q_kpis_view(spark, sf):
     return facts.kpis(views.apply_view(rule_rows(spark, sf), SAMPLE_VIEW))
 
@@ -364,6 +370,12 @@ def q_term_tags(spark, sf):
     return readings.term_tags(docs, "doc_id", "text")
 
 
+def q_document_terms(spark, sf):
+    """N14 with a glossary of the documents' own: terms that do occur in them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    return readings.term_tags(docs, "doc_id", "text", DOC_TERMS)
+
+
 def q_modality_terms(spark, sf):
     """N14 over the universe's modality texts (which do name glossary terms)."""
     mods = rows(spark, sf).where(F.col("modality").isNotNull()).select("modality").distinct()
@@ -512,6 +524,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_suppliers_by_entity": q_top_suppliers_by_entity,
     "top_entities_by_year": q_top_entities_by_year,
     "term_tags": q_term_tags,
+    "document_terms": q_document_terms,
     "modality_terms": q_modality_terms,
     "page_urls": q_page_urls,
     "export_rows": q_export,
@@ -527,6 +540,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anomaly_vs_rest": q_anomaly_vs_rest,
     "model_readings": q_model_readings,
     "kpis_view": q_kpis_view,
+    "kpis_identified": q_kpis_identified,
     "kpis_model": q_kpis_model,
     "kpis_flagged": q_kpis_flagged,
     "headline_view": q_headline_view,

@@ -325,13 +325,14 @@ def flag_sentences(x: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return x.select(*by, F.explode(F.array(*items)).alias("r")).select(*by, "r.*")
 
 
-def term_tags(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Which glossary terms occur (case-insensitively) in each text.
+def term_tags(texts: DataFrame, id_col: str, text_col: str,
+              terms: Sequence[str] = GLOSSARY_TERMS) -> DataFrame:
+    """Which terms occur (case-insensitively) in each text.
 
-    The fixed terms are a constant array; each whole text is matched against
-    it within its row, without a join.
+    The terms are a constant array; each whole text is lower-cased once and
+    matched against it within its row, without a join.
     """
-    low = F.lower(F.col(text_col))
-    terms = F.array(*[F.lit(t) for t in GLOSSARY_TERMS])
-    found = F.filter(terms, lambda t: F.contains(low, F.lower(t)))
-    return texts.select(id_col, F.explode(found).alias("term"))
+    listed = F.array(*[F.lit(t) for t in terms])
+    found = F.transform(F.array(F.lower(F.col(text_col))), lambda low: F.filter(
+        listed, lambda t: F.contains(low, F.lower(t))))
+    return texts.select(id_col, F.explode(found[0]).alias("term"))

@@ -131,3 +131,21 @@ def test_text_store_follows_the_table(spark, tmp_path):
     spark.createDataFrame([(9, "fr", "SEULE")], "doc_id long, lang string, text string").write.mode(
         "append").parquet(path)
     assert found("seule") == [1, 9] and len(found("")) == 7
+
+
+def test_pinned_versions_name_their_dataset(spark, tmp_path):
+    from ledgerlens.plans import facts
+    from ledgerlens.sources.contracts import SOURCE_COLUMN_NAMES
+    df = contracts(spark, buyers())
+    src = df.select(*[F.col(c).alias(SOURCE_COLUMN_NAMES[c]) for c in df.columns])
+    base = str(tmp_path / "contracts")
+    src.coalesce(1).write.parquet(f"{base}/2026-11")
+    src.limit(100).coalesce(1).write.parquet(f"{base}/2026-12")
+    old, new = (enrich.snapshot_of(spark, base, v) for v in ("2026-11", "2026-12"))
+    a, b = old.dataset().first(), new.dataset().first()
+    assert (a.origin, a.n_rows, b.origin, b.n_rows) == ("2026-11", 195, "2026-12", 100)
+    assert a.bytes == sum(os.path.getsize(f) for f in files(f"{base}/2026-11")) and a.version != b.version
+    assert old.identified(facts.kpis(old.rows)).first().dataset_version == a.version
+    again = enrich.snapshot_of(spark, base, "2026-11")
+    assert again.path == old.path and again.rows.count() == 195  # the pin is not built twice
+    assert enrich.build_from_frame(df).dataset() is None
