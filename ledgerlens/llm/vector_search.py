@@ -1,28 +1,35 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every vector gets one long hash string per tree; a bit says on which side of
-a hyperplane it lies, and the hyperplanes of a tree stand halfway between
-two sampled vectors.  A tree is the sorted array of its strings.  A query
-descends in every tree to the longest prefix it shares, then all trees
-ascend together, one bit shorter at a time, until their prefix ranges hold
-enough candidates; those are scored exactly.  Nearness is the inner product:
-vectors are lifted by one coordinate that brings all to one length, so that
-the nearest by angle are the nearest by inner product.
+a hyperplane it lies.  The hyperplanes stand halfway between two sampled
+vectors, and every tree takes its own bits from one pool of them.  A tree is
+the sorted array of its strings.  A query descends in every tree to the
+longest prefix it shares, then all trees ascend together, one bit shorter at
+a time, until their prefix ranges hold enough different candidates; those
+are scored exactly.  Nearness is the inner product: vectors are lifted by
+one coordinate that brings all to one length, so that the nearest by angle
+are the nearest by inner product.
 
 The index is dealt by a hash of vec_id into blocks of about ``block_rows``
 vectors, each with a forest of its own; the queries, in blocks too, visit
-every block, and the best of all blocks are merged.  Hyperplanes come from
-at most ``SAMPLE`` vectors of smallest hash; every vector is indexed.
+every block, and the best of all blocks are merged.  Enough is ``SHARE`` of
+a block's different vectors, ``LEAST`` at least: vectors without structure
+need a fixed share for a fixed recall, whatever the index (README).
+Hyperplanes come from at most ``SAMPLE`` vectors of smallest hash; every
+vector is indexed.
 
 Vectors that are null, empty, all zero, or hold a null or non-finite
 component take no part, neither do those of another than the commonest
 length (the longer at a tie).  Of rows with one vec_id the smallest vector
-counts; null vec_ids take no part.  An empty table gives an empty result.
+counts; null vec_ids take no part.  Equal scores go to the smaller vec_id.  An empty table gives an empty result.
 Columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,11 +37,13 @@ from pyspark.sql import functions as F
 
 from ._common import cut, ready
 
-TREES = 32
-BITS = 32
-CANDIDATES = 4000    # least different vectors that the trees' ranges hold, in each block
-BLOCK_ROWS = 8192
-QUERY_ROWS = 2048
+TREES = 256
+BITS = 16
+PLANES = 1024  # hyperplanes that the trees' bits are taken from
+SHARE = 0.3    # of a block's different vectors that the trees' ranges hold at least
+LEAST = 800    # and different vectors at least
+BLOCK_ROWS = 16384
+QUERY_ROWS = 4096
 SAMPLE = 4096
 NEAREST = 20
 
@@ -51,62 +60,81 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([x, rest])
 
 
-def hyperplanes(sample: np.ndarray, trees: int, bits: int, seed: int = 11) -> tuple:
-    """Normals (trees, dimensions, bits) and offsets (trees, bits) from pairs of the sample."""
+@dataclass(frozen=True)
+class Planes:
+    normal: np.ndarray  # (dimensions, planes)
+    middle: np.ndarray  # (planes,)
+    pick: np.ndarray    # (trees, bits): the planes of each tree's bits
+
+
+def hyperplanes(sample: np.ndarray, trees: int = TREES, bits: int = BITS, planes: int = PLANES,
+                seed: int = 11) -> Planes:
+    """Planes halfway between two vectors of the sample, and each tree's choice of them."""
     rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, len(sample), (2, trees * bits))
+    a, b = rng.integers(0, len(sample), (2, planes))
     normal = sample[a] - sample[b]
     same = ~normal.any(1)  # a vector paired with itself or a copy
     normal[same] = rng.standard_normal((int(same.sum()), sample.shape[1]))
     middle = np.where(same, 0.0, (normal * (sample[a] + sample[b])).sum(1) / 2)
-    return (normal.reshape(trees, bits, -1).transpose(0, 2, 1).copy(),
-            middle.reshape(trees, bits))
+    pick = np.stack([rng.permutation(planes)[:bits] for _ in range(trees)])
+    return Planes(np.ascontiguousarray(normal.T), middle, pick)
+
+
+def hash_strings(x: np.ndarray, planes: Planes) -> np.ndarray:
+    """(trees, rows): the strings as numbers, their first bit highest."""
+    side = np.ascontiguousarray((x @ planes.normal > planes.middle).T)
+    out = np.empty((len(planes.pick), len(x)), np.int64)
+    for t, pick in enumerate(planes.pick):
+        code = np.zeros(len(x), np.int64)
+        for part in np.packbits(side[pick], axis=0):  # eight bits at a time, the last filled up
+            code = code << 8 | part
+        out[t] = code >> (-len(pick) % 8)
+    return out
 
 
-def hash_strings(x: np.ndarray, normal: np.ndarray, middle: np.ndarray) -> np.ndarray:
-    bits = (x @ normal > middle).astype(np.uint64)
-    return bits @ (np.uint64(1) << np.arange(normal.shape[1], dtype=np.uint64)[::-1])
+def _mark(mark: np.ndarray, rows: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    """Marks, for each of ``rows``, what stands in its range of the sorted array."""
+    n = high - low
+    total = int(n.sum())
+    if total:
+        at = np.arange(total) + np.repeat(low - np.cumsum(n) + n, n)
+        mark[np.repeat(rows, n), order[at]] = True
 
 
-def candidates(x: np.ndarray, q: np.ndarray, planes: tuple, least: int) -> list[np.ndarray]:
-    """Rows of ``x`` that the forest proposes for each row of ``q`` (both lifted).
+def candidates(x: np.ndarray, q: np.ndarray, planes: Planes, least: int) -> np.ndarray:
+    """(queries, rows): whether the forest proposes a row of ``x`` for a row of ``q`` (both lifted).
 
-    ``x`` holds no vector twice.  The ascent stops at the greatest depth at
-    which the ranges hold ``least`` different rows, or at the root.
+    ``x`` holds no vector twice.  All trees ascend together; a query stops at
+    the greatest depth at which its ranges hold ``least`` different rows, or
+    at the root.
     """
-    normals, middles = planes
-    trees, bits = middles.shape
-    low = np.empty((trees, bits + 1, len(q)), np.int64)
-    high = np.empty_like(low)
-    orders = []
-    for t in range(trees):
-        codes = hash_strings(x, normals[t], middles[t])
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
-        orders.append(order)
-        mine = hash_strings(q, normals[t], middles[t])
-        for depth in range(bits + 1):
-            tail = np.uint64(bits - depth)
-            prefix = mine >> tail
-            low[t, depth] = np.searchsorted(codes, prefix << tail)
-            high[t, depth] = np.searchsorted(codes, (prefix + np.uint64(1)) << tail)
-    held = (high - low).sum(0)  # falls with depth; at least the different rows
-    depth = np.maximum((held >= least).sum(0) - 1, 0)  # no ascent stops below
-    out = []
-    for i, d in enumerate(depth):
-        mark = np.zeros(len(x), bool)
-        while True:
-            for t in range(trees):
-                mark[orders[t][low[t, d, i]:high[t, d, i]]] = True
-            if not d or np.count_nonzero(mark) >= least:
-                break
-            d -= 1
-        out.append(np.flatnonzero(mark))
-    return out
+    codes, mine = hash_strings(x, planes), hash_strings(q, planes)
+    trees, bits = planes.pick.shape
+    orders = np.argsort(codes, axis=1, kind="stable")
+    low = np.zeros((trees, len(q)), np.int64)
+    high = np.zeros_like(low)
+    mark = np.zeros((len(q), len(x)), bool)
+    active = np.arange(len(q))
+    for depth in range(bits, -1, -1):
+        for t in range(trees):
+            held = np.bincount(codes[t] >> (bits - depth), minlength=1 << depth)
+            start = np.concatenate([[0], np.cumsum(held)])
+            prefix = mine[t, active] >> (bits - depth)
+            lo, hi = start[prefix], start[prefix + 1]
+            if depth == bits:
+                _mark(mark, active, orders[t], lo, hi)
+            else:  # what the shorter prefix adds on either side
+                _mark(mark, active, orders[t], lo, low[t, active])
+                _mark(mark, active, orders[t], high[t, active], hi)
+            low[t, active], high[t, active] = lo, hi
+        active = active[np.count_nonzero(mark[active], axis=1) < least]
+        if not len(active):
+            break
+    return mark
 
 
 def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
-                 planes: tuple, longest: float, k: int, least: int) -> pd.DataFrame:
+                 planes: Planes, longest: float, k: int, share: float, least: int) -> pd.DataFrame:
     """The best ``k`` proposed rows of one block for each query.
 
     Different vectors are indexed and scored; their smallest ids, ``k + 1`` as
@@ -120,7 +148,9 @@ def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     by = np.lexsort((ids, group))
     start = np.searchsorted(group[by], np.arange(len(first) + 1))
     kinds = x[first]
-    for i, at in enumerate(candidates(lift(kinds, longest), lifted_q, planes, least)):
+    enough = max(least, math.ceil(share * len(kinds)))
+    for i, proposed in enumerate(candidates(lift(kinds, longest), lifted_q, planes, enough)):
+        at = np.flatnonzero(proposed)
         near = kinds[at] @ q[i]
         if len(at) > k + 1:  # everything that rounding could bring among the best k, besides its own
             edge = np.partition(near, -k - 1)[-k - 1]
@@ -136,7 +166,7 @@ def block_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int = TREES,
-           bits: int = BITS, least: int = CANDIDATES, block_rows: int = BLOCK_ROWS,
+           bits: int = BITS, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS,
            query_rows: int = QUERY_ROWS, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query row."""
     spark = ready(vectors)
@@ -157,14 +187,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
     chosen = rows.orderBy(F.xxhash64(F.lit("planes"), "vec_id"), "vec_id").limit(sample).collect()
     planes = hyperplanes(lift(np.array([r["v"] for r in chosen]), longest), trees, bits)
     blocks, q_blocks = -(-n // block_rows), -(-n_queries // query_rows)
-    sent = spark.sparkContext.broadcast(planes)  # trees * bits hyperplanes
+    sent = spark.sparkContext.broadcast(planes)  # PLANES hyperplanes
 
     def one(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if index.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return block_search(index["vec_id"].to_numpy(), np.stack(index["v"].to_numpy()),
                             queries["vec_id"].to_numpy(), np.stack(queries["v"].to_numpy()),
-                            sent.value, longest, k, least)
+                            sent.value, longest, k, share, least)
 
     def dealt(salt: str, parts: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")

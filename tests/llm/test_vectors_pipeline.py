@@ -33,7 +33,7 @@ def test_blocks_ties_and_unusable_vectors(spark):
              (104, [inf, 1.0, 1.0], 1), (105, [None, 1.0, 1.0], 1), (106, [1.0], 1), (None, [1.0, 1.0, 1.0], 1),
              (20, [2.0 + 20 % 3, 2.0, 0.0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    got = V.search(df, F.col("vec_id") % 20 == 0, k=5, least=10**6, block_rows=20, query_rows=2).collect()
+    got = V.search(df, F.col("vec_id") % 20 == 0, k=5, least=10**6, block_rows=20, query_rows=2, share=0.0).collect()
     x = {}
     for i, v, _ in rows[:89] + rows[-1:]:
         x[i] = min(x.get(i, v), v)
@@ -52,21 +52,66 @@ def test_copies_do_not_stop_the_ascent():
         x[rng.permutation(5000)[:hot]] = x[0]
         q = x[0] + 0.5 * rng.standard_normal((20, 32))  # share the hot vector's prefixes
         longest = float(np.sqrt((x * x).sum(1).max()))
-        planes = V.hyperplanes(V.lift(x[:2048], longest), V.TREES, V.BITS)
+        planes = V.hyperplanes(V.lift(x[:2048], longest))
         ids, names = np.arange(5000), np.arange(9000, 9020)
-        got = V.block_search(ids, x, names, q, planes, longest, 20, 1500)
+        got = V.block_search(ids, x, names, q, planes, longest, 20, 0.0, 1500)
         kinds = np.unique(x, axis=0)
-        sizes = [len(a) for a in V.candidates(V.lift(kinds, longest), V.lift(q, longest), planes, 1500)]
-        assert min(sizes) >= 1500
+        mark = V.candidates(V.lift(kinds, longest), V.lift(q, longest), planes, 1500)
+        assert mark.sum(1).min() >= 1500
         for i, name in enumerate(names):
             mine = got[got.query_id == name]
             assert len(mine) == 20 and mine.vec_id.is_unique
     y = np.array([[1.0, 0.0]] * 30 + [[0.5, 0.5]] * 5 + [[0.0, 1.0]])
-    planes = V.hyperplanes(V.lift(y, 1.0), V.TREES, V.BITS)
-    got = V.block_search(np.arange(36)[::-1], y, np.array([35]), y[:1], planes, 1.0, 32, 3)
+    planes = V.hyperplanes(V.lift(y, 1.0))
+    got = V.block_search(np.arange(36)[::-1], y, np.array([35]), y[:1], planes, 1.0, 32, 1.0, 3)
     assert got.vec_id.tolist() == [*range(6, 35), 1, 2, 3]
 
 
+def test_candidates_are_the_rows_of_shared_prefixes():
+    """The synchronous ascent against prefixes compared one by one."""
+    rng = np.random.default_rng(7)
+    x, q = rng.standard_normal((300, 8)), rng.standard_normal((12, 8))
+    planes = V.hyperplanes(x, trees=6, bits=11, planes=40)
+    strings = [["".join("1" if v @ planes.normal[:, p] > planes.middle[p] else "0" for p in pick)
+                for v in x] for pick in planes.pick]
+    mine = [["".join("1" if v @ planes.normal[:, p] > planes.middle[p] else "0" for p in pick)
+             for v in q] for pick in planes.pick]
+    assert [[format(c, "011b") for c in row] for row in V.hash_strings(x, planes)] == strings
+    for least in (1, 20, 100, 300):
+        mark = V.candidates(x, q, planes, least)
+        for i in range(len(q)):
+            for depth in range(11, -1, -1):
+                want = {r for t in range(6) for r in range(300) if strings[t][r][:depth] == mine[t][i][:depth]}
+                if len(want) >= least:
+                    break
+            assert set(np.flatnonzero(mark[i])) == want
+    assert V.candidates(x[:0], q, planes, 5).shape == (12, 0)
+
+
+def test_recall_while_most_rows_are_not_scored(spark):
+    """Two blocks of given vectors, with and without many copies of one of them."""
+    from pyspark.sql import Row
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    hot = [Row(vec_id=100_001 + k, embedding=rows[3].embedding) for k in range(1000)]
+    for every in (rows, rows + hot):
+        df = spark.createDataFrame(every, "vec_id long, embedding array<double>")
+        ids, x = np.array([r.vec_id for r in every]), np.array([r.embedding for r in every], float)
+        got = {}
+        for r in V.search(df, F.col("vec_id") % 20 == 0, least=100, share=0.45, block_rows=1000,
+                          query_rows=30).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        queries, hits = ids[ids % 20 == 0], 0
+        for q in queries:
+            near = x @ x[ids == q][0]
+            hits += len(got[q] & set([ids[i] for i in np.lexsort((ids, -near)) if ids[i] != q][:20]))
+        assert len(got) == len(queries) and hits >= 0.9 * 20 * len(queries)
+    longest = 1.0
+    planes = V.hyperplanes(V.lift(x[:1500], longest))
+    kinds = np.unique(x, axis=0)
+    share = V.candidates(V.lift(kinds, longest), V.lift(x[:40], longest), planes, 800).mean()
+    assert 0.4 <= share < 0.6
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
