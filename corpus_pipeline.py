@@ -16,6 +16,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +51,20 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("quality rules", keep_good),
-          ("n-gram Jaccard join", one_of_each), ("mixing", mix), ("best-fit packing", pack)]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _after_writing(stage: Stage) -> Stage:
+    """The stage; its ``docs`` are a written table, so what the stage before worked with goes first."""
+    def apply(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_scratch(spark)
+        return stage(spark, docs, sf_dir)
+    return apply
+
+
+STAGES = [(name, _after_writing(stage)) for name, stage in (
+    ("toxicity", drop_toxic), ("quality rules", keep_good), ("n-gram Jaccard join", one_of_each),
+    ("mixing", mix), ("best-fit packing", pack))]
 
 #: A learned filter, a divergence of corpus profiles and a greedy packing are
 #: not expressible in SQL; tests hold the stages against plain Python.
