@@ -4,9 +4,9 @@ Every vector gets one long hash string per tree; a bit says on which side of
 a hyperplane it lies.  The hyperplanes stand halfway between two sampled
 vectors, and every tree takes its own bits from one pool of them.  A tree is
 the sorted array of its strings.  A query descends in every tree to the
-longest prefix it shares, then all trees ascend together, one bit shorter at
-a time, until their prefix ranges hold enough different candidates; those
-are scored exactly.  Nearness is the inner product: vectors are lifted by
+longest prefix it shares, then all trees ascend together, a turn of trees at a
+time by one bit, until their prefix ranges hold enough different candidates;
+those are scored exactly.  Nearness is the inner product: vectors are lifted by
 one coordinate that brings all to one length, so that the nearest by angle
 are the nearest by inner product.
 
@@ -15,8 +15,8 @@ vectors, each with a forest of its own; the queries, in blocks too, visit
 every block, and the best of all blocks are merged.  Enough is ``SHARE`` of
 a block's different vectors, ``LEAST`` at least: vectors without structure
 need a fixed share for a fixed recall, whatever the index (README).
-Hyperplanes come from at most ``SAMPLE`` vectors of smallest hash; every
-vector is indexed.
+Hyperplanes come from at most ``SAMPLE`` different vectors of smallest hash;
+every vector is indexed.
 
 Vectors that are null, empty, all zero, or hold a null or non-finite
 component take no part, neither do those of another than the commonest
@@ -27,6 +27,7 @@ Columns other than those named are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -37,11 +38,12 @@ from pyspark.sql import functions as F
 
 from ._common import cut, ready
 
-TREES = 256
+TREES = 512
 BITS = 16
 PLANES = 1024  # hyperplanes that the trees' bits are taken from
 SHARE = 0.3    # of a block's different vectors that the trees' ranges hold at least
 LEAST = 800    # and different vectors at least
+TURNS = 8      # in which the trees ascend by one bit; after each, queries with enough stop
 BLOCK_ROWS = 16384
 QUERY_ROWS = 4096
 SAMPLE = 4096
@@ -83,13 +85,13 @@ def hyperplanes(sample: np.ndarray, trees: int = TREES, bits: int = BITS, planes
 def hash_strings(x: np.ndarray, planes: Planes) -> np.ndarray:
     """(trees, rows): the strings as numbers, their first bit highest."""
     side = np.ascontiguousarray((x @ planes.normal > planes.middle).T)
-    out = np.empty((len(planes.pick), len(x)), np.int64)
+    out = np.empty((len(planes.pick), len(x)), np.int32)
     for t, pick in enumerate(planes.pick):
         code = np.zeros(len(x), np.int64)
         for part in np.packbits(side[pick], axis=0):  # eight bits at a time, the last filled up
             code = code << 8 | part
         out[t] = code >> (-len(pick) % 8)
-    return out
+    return out  # of at most 31 bits
 
 
 def _mark(mark: np.ndarray, rows: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -101,22 +103,23 @@ def _mark(mark: np.ndarray, rows: np.ndarray, order: np.ndarray, low: np.ndarray
         mark[np.repeat(rows, n), order[at]] = True
 
 
-def candidates(x: np.ndarray, q: np.ndarray, planes: Planes, least: int) -> np.ndarray:
+def candidates(x: np.ndarray, q: np.ndarray, planes: Planes, least: int,
+               turns: int = TURNS) -> np.ndarray:
     """(queries, rows): whether the forest proposes a row of ``x`` for a row of ``q`` (both lifted).
 
-    ``x`` holds no vector twice.  All trees ascend together; a query stops at
-    the greatest depth at which its ranges hold ``least`` different rows, or
-    at the root.
+    ``x`` holds no vector twice.  The trees ascend by one bit in ``turns``; a
+    query stops after the first turn with which its ranges hold ``least``
+    different rows, or at the root.
     """
     codes, mine = hash_strings(x, planes), hash_strings(q, planes)
     trees, bits = planes.pick.shape
-    orders = np.argsort(codes, axis=1, kind="stable")
-    low = np.zeros((trees, len(q)), np.int64)
+    orders = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+    low = np.zeros((trees, len(q)), np.int32)
     high = np.zeros_like(low)
     mark = np.zeros((len(q), len(x)), bool)
     active = np.arange(len(q))
-    for depth in range(bits, -1, -1):
-        for t in range(trees):
+    for depth, turn in itertools.product(range(bits, -1, -1), range(turns)):
+        for t in range(turn, trees, turns):
             held = np.bincount(codes[t] >> (bits - depth), minlength=1 << depth)
             start = np.concatenate([[0], np.cumsum(held)])
             prefix = mine[t, active] >> (bits - depth)
@@ -124,8 +127,8 @@ def candidates(x: np.ndarray, q: np.ndarray, planes: Planes, least: int) -> np.n
             if depth == bits:
                 _mark(mark, active, orders[t], lo, hi)
             else:  # what the shorter prefix adds on either side
-                _mark(mark, active, orders[t], lo, low[t, active])
-                _mark(mark, active, orders[t], high[t, active], hi)
+                _mark(mark, active, orders[t], lo, low[t, active].astype(np.int64))
+                _mark(mark, active, orders[t], high[t, active].astype(np.int64), hi)
             low[t, active], high[t, active] = lo, hi
         active = active[np.count_nonzero(mark[active], axis=1) < least]
         if not len(active):
@@ -184,7 +187,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEAREST, trees: int =
         F.count("*"), F.count(F.when(is_query, 1)), F.sqrt(F.max(squares))).first()
     if not n_queries:
         return empty
-    chosen = rows.orderBy(F.xxhash64(F.lit("planes"), "vec_id"), "vec_id").limit(sample).collect()
+    # Different vectors of smallest hash: copies of a hot vector would spoil the planes.
+    mark = F.xxhash64(F.lit("planes"), "v")
+    some = min(1.0, 16 * sample / n)
+    chosen = (rows.where(F.pmod(mark, F.lit(1 << 20)) < some * (1 << 20)).select("v", mark.alias("h"))
+              .distinct().orderBy("h", "v").limit(sample).collect())
+    chosen = chosen or rows.limit(1).collect()
     planes = hyperplanes(lift(np.array([r["v"] for r in chosen]), longest), trees, bits)
     blocks, q_blocks = -(-n // block_rows), -(-n_queries // query_rows)
     sent = spark.sparkContext.broadcast(planes)  # PLANES hyperplanes
