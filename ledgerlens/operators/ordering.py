@@ -22,8 +22,9 @@ def with_position(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     """Adds the 1-based position of each row within its group, in ``order``.
 
     ``group`` columns must not be null.  Rows equal in ``order`` get
-    neighbouring positions in any order.  The ranges are written once, which
-    pins them: a lost executor reads the same ranges again.
+    neighbouring positions in any order, so ``order`` should hold every column
+    in which rows that matter differ.  The ranges are written once, which pins
+    them: after a lost executor the same ranges are read again.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group]

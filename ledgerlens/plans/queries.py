@@ -346,9 +346,7 @@ def q_readings_by_view(spark, sf):
     """Every reading of each saved view, also of one that shows nothing."""
     r = rule_rows(spark, sf)
     saved = spark.createDataFrame(SAVED_VIEWS, "view_id int, key string, value string")
-    table = _saved_view_table(saved, r)
-    return slices.readings_by(views.view_members(r, table), ["view_id"], snapshot(spark, sf).thresholds,
-                              wanted=table)
+    return slices.readings_by_view(r, _saved_view_table(saved, r), snapshot(spark, sf).thresholds)
 
 
 def q_headline_by_year(spark, sf):

@@ -27,6 +27,7 @@ from ..operators.stats import Thresholds
 from ..session import cut
 from . import facts
 from .readings import flag_sentences, name_parts, sentences, set_numbers, with_shares
+from .views import view_members
 
 
 def in_slices(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -75,6 +76,23 @@ def readings_by(rows: DataFrame, by: Sequence[str], th: Thresholds,
     return _named(sentences(cut(_numbers(rows, by, wanted)), th, keys), by)
 
 
+#: What the numbers of the readings are made of.
+READING_COLUMNS = ("contract_id", "entity", "modality", "supplier", "sign_year", "value_band",
+                   "value_band_label", "value", "is_sme", "is_direct", "rule_priority", "signals",
+                   "duration_days")
+
+
+def readings_by_view(rows: DataFrame, views: DataFrame, th: Thresholds) -> DataFrame:
+    """N1-N10 and N13 of every saved view of a ``view_table``, also of one that shows nothing.
+
+    The views' rows are tagged once and written with the columns that the
+    numbers need, as several passes read them.
+    """
+    flags = [c for c in ("is_anomaly",) if c in rows.columns]
+    tagged = view_members(rows.select(*READING_COLUMNS, "search_text", *flags), views)
+    return readings_by(cut(tagged.drop("search_text")), ["view_id"], th, wanted=views)
+
+
 def model_readings_by(rows: DataFrame, by: Sequence[str],
                       wanted: DataFrame | None = None) -> DataFrame:
     """N11-N12 of every slice of rows that carry the flag ``is_anomaly``."""

@@ -18,6 +18,7 @@ from ..functions.text import contains_all_words, normalize
 from ..operators.distinct_sets import bitmaps, number_rows, repeated, sizes
 from ..operators.ordering import with_position
 from ..operators.report import attach_one_row
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -305,7 +306,7 @@ def contracts_by_view(rows: DataFrame, views: DataFrame, numbers: DataFrame) ->
     Views without clauses share the set of all.
     """
     needed = rows.select("contract_id", "search_text", *CELL)
-    shown = view_members(needed, views).select("view_id", "contract_id")
+    shown = cut(view_members(needed, views).select("view_id", "contract_id"))
     base = shown.groupBy("view_id").agg(F.count("*").alias("n_rows"))
     numbered = number_rows(shown, numbers, "contract_id")
     parts = (base, sizes(bitmaps(numbered, ["view_id"]), ["view_id"], "n_contracts"),
