@@ -132,5 +132,30 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM kept GROUP BY row, doc_id
 """
 
-ORACLE = {"op1_mixing": MIXING, "op11_filter_audit": FILTER_AUDIT, "op12_fill_middle": FILL_MIDDLE,
+SHARDING = r"""
+WITH crc AS (  -- the table of CRC-32, and each text's bytes through it
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+docs AS (
+  SELECT doc_id, CASE WHEN doc_id IS NULL THEN 'n' ELSE 'k' || doc_id END AS key,
+         octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                        lambda h: ('0x' || h)::BIGINT),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+  FROM documents, crc),
+scored AS (
+  SELECT *, list_transform(range(25), lambda s: -1 / ln(
+    ((('0x' || substr(md5('shard:' || s || ':' || key), 1, 13))::UBIGINT)::DOUBLE + 0.5) / 4503599627370496)) AS score
+  FROM docs),
+placed AS (
+  SELECT doc_id, key, size, crc, list_position(score[1:24], list_max(score[1:24])) - 1 AS shard,
+         list_position(score, list_max(score)) - 1 AS grown
+  FROM scored)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5('slot:' || key), doc_id NULLS FIRST, crc, size) - 1 AS slot,
+       grown::INTEGER AS grown_shard
+FROM placed
+"""
+
+ORACLE = {"op1_mixing": MIXING, "op2_sharding": SHARDING, "op11_filter_audit": FILTER_AUDIT, "op12_fill_middle": FILL_MIDDLE,
           "op13_line_dedup": LINE_DEDUP}

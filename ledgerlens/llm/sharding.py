@@ -23,10 +23,15 @@ SHARDS = 24
 OVERHEAD = 8  # bytes a record takes besides its text
 
 
+def _named(key: str) -> Column:
+    """The key as text; a null key is like no other."""
+    return F.when(F.col(key).isNull(), "n").otherwise(F.concat(F.lit("k"), F.col(key).cast("string")))
+
+
 def _score(key: Column, shard: Column, weight: Column) -> Column:
     """Positive score; larger wins.  u has 52 bits and is never 0 or 1."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit("shard"), key, shard), 12)
-    u = (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
+    digest = F.md5(F.concat(F.lit("shard:"), shard.cast("string"), F.lit(":"), key))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -weight / F.log(u)
 
 
@@ -44,9 +49,8 @@ def assign_shards(df: DataFrame, key: str, shards: int = SHARDS,
     ``weights``: the shards' capacities, equal by default.
     """
     weights = list(weights or [1.0] * shards)
-    named = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     last = _score(F.col("_key"), F.lit(len(weights)), F.lit(1.0))
-    return (df.withColumn("_key", named).withColumn("_best", _best(F.col("_key"), weights))
+    return (df.withColumn("_key", _named(key)).withColumn("_best", _best(F.col("_key"), weights))
             .withColumn("shard", (-F.col("_best.neg")).cast("int"))
             .withColumn("grown_shard", F.when(last > F.col("_best.score"), F.lit(len(weights)))
                         .otherwise(F.col("shard")).cast("int"))
@@ -63,7 +67,7 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS,
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     rows = docs.select("doc_id", (F.octet_length(data) + OVERHEAD).cast("long").alias("size"),
                        F.crc32(data).cast("long").alias("text_crc32"))
-    order = [F.xxhash64(F.lit("slot"), F.col("doc_id")), F.col("doc_id").asc_nulls_first(),
+    order = [F.md5(F.concat(F.lit("slot:"), _named("doc_id"))), F.col("doc_id").asc_nulls_first(),
              F.col("text_crc32"), F.col("size")]
     placed = with_position(assign_shards(rows, "doc_id", shards, weights), ["shard"], order)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
@@ -73,7 +77,7 @@ def shard_slots(docs: DataFrame, shards: int = SHARDS,
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 4,
                  weights: Sequence[float] | None = None) -> None:
     """Writes every record into the folder ``shard=N`` of its shard, in ``files`` files each."""
-    piece = F.pmod(F.xxhash64(F.lit("file"), F.col("doc_id")), F.lit(files))
+    piece = F.pmod(F.xxhash64(F.lit("file"), _named("doc_id")), F.lit(files))
     placed = assign_shards(docs, "doc_id", shards, weights).drop("grown_shard")
     (placed.repartition(shards * files, "shard", piece)
      .write.mode("overwrite").partitionBy("shard").parquet(path))

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pytest
 import zlib
 from pyspark.sql import functions as F
 
@@ -40,11 +41,12 @@ def test_mixture_emits_planned_copies(docs):
     assert all(got[d] == c for d, c in plan)
 
 
-def test_mixing_query_equals_sql(spark):
-    df = QUERIES["op1_mixing"](spark, SF).toPandas()
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_sharding"])
+def test_query_equals_sql(spark, name):
+    df = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    want = con.execute(ORACLE["op1_mixing"]).df()
+    want = con.execute(ORACLE[name]).df()
     cols = list(want.columns)
     a, b = (x.sort_values(cols).reset_index(drop=True)[cols] for x in (df, want))
     assert (a.to_numpy() == b.to_numpy()).all() and len(a) == 200
@@ -154,7 +156,7 @@ def test_shards_and_packing_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     score = docs.select("doc_id", F.array(*[
-        sharding._score(F.col("doc_id").cast("string"), F.lit(s), F.lit(1.0)) for s in range(25)]).alias("s"))
+        sharding._score(sharding._named("doc_id"), F.lit(s), F.lit(1.0)) for s in range(25)]).alias("s"))
     best = {r.doc_id: (max(range(24), key=lambda k: r.s[k]), max(range(25), key=lambda k: r.s[k]))
             for r in score.collect()}
     got = QUERIES["op2_sharding"](spark, SF).collect()
