@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from . import quality
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -157,5 +161,95 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, sh
 FROM placed
 """
 
-ORACLE = {"op1_mixing": MIXING, "op2_sharding": SHARDING, "op11_filter_audit": FILTER_AUDIT, "op12_fill_middle": FILL_MIDDLE,
+NEAR_JOIN = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM texts),
+entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM edges
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+QUALITY = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+lines AS (
+  SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+windows AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, v) AS times
+  FROM (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS v
+        FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5))),
+repeated AS (
+  SELECT row, count(DISTINCT i + k) AS n FROM windows, range(5) t(k) WHERE times > 1 GROUP BY row),
+counted AS (
+  SELECT x.row, doc_id, lang, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words, length(text) AS chars, len(regexp_extract_all(text, '\p{Lu}')) AS upper,
+         len(regexp_extract_all(text, '[0-9]')) AS digits,
+         len(regexp_extract_all(text, '[.,;:!?''"()\[\]-]')) AS points,
+         list_transform(w, lambda y: lower(rtrim(y, '.,;:!?'))) AS flat
+  FROM lines x LEFT JOIN repeated r ON x.row = r.row),
+hists AS (
+  SELECT *, n_words < MIN_WORDS OR 100 * n_repeat_words > MAX_REPEAT * n_words AS base_failed,
+         [greatest(word_chars - n_symbols - upper - digits - points, 0), upper, digits, points, n_symbols,
+          greatest(chars - word_chars, 0)] AS c,
+         list_transform([COMMON], lambda x: len(list_filter(flat, lambda y: y = x))) AS common
+  FROM counted),
+shares AS (
+  SELECT *, list_transform(c, lambda x: CASE WHEN list_sum(c) > 0 THEN x / list_sum(c)::DOUBLE ELSE 0 END) AS cp,
+         list_transform(list_append(common, n_words - coalesce(list_sum(common), 0)::BIGINT),
+                        lambda x: CASE WHEN n_words > 0 THEN x / n_words::DOUBLE ELSE 0 END) AS wp
+  FROM hists),
+steps AS (
+  SELECT lang, k, round(share * STEPS)::INTEGER AS step, count(*) AS n
+  FROM (SELECT lang, unnest(list_concat(cp, wp)) AS share, generate_subscripts(list_concat(cp, wp), 1) AS k
+        FROM shares WHERE NOT base_failed) GROUP BY ALL),
+medians AS (
+  SELECT lang, k, min(step) / STEPS.0 AS m
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, k ORDER BY step) AS upto, sum(n) OVER (PARTITION BY lang, k) AS every FROM steps)
+  WHERE 2 * upto >= every GROUP BY lang, k),
+refs AS (
+  SELECT lang, list(m::DOUBLE ORDER BY k) FILTER (k <= 6) AS rc, list(m::DOUBLE ORDER BY k) FILTER (k > 6) AS rw FROM medians GROUP BY lang),
+normal AS (
+  SELECT lang, CASE WHEN list_sum(rc) > 0 THEN list_transform(rc, lambda x: x / list_sum(rc)) END AS rc,
+         CASE WHEN list_sum(rw) > 0 THEN list_transform(rw, lambda x: x / list_sum(rw)) END AS rw FROM refs),
+terms AS (
+  SELECT s.*, r.rc, r.rw,
+    list_sum(list_transform(range(1, 7), lambda i: CASE WHEN cp[i] > 0 THEN cp[i] * log2(2 * cp[i] / (cp[i] + rc[i])) ELSE 0 END
+      + CASE WHEN rc[i] > 0 THEN rc[i] * log2(2 * rc[i] / (cp[i] + rc[i])) ELSE 0 END)) / 2 AS cj,
+    list_sum(list_transform(range(1, len(wp) + 1), lambda i: CASE WHEN wp[i] > 0 THEN wp[i] * log2(2 * wp[i] / (wp[i] + rw[i])) ELSE 0 END
+      + CASE WHEN rw[i] > 0 THEN rw[i] * log2(2 * rw[i] / (wp[i] + rw[i])) ELSE 0 END)) / 2 AS wj
+  FROM shares s LEFT JOIN normal r ON s.lang IS NOT DISTINCT FROM r.lang),
+judged AS (
+  SELECT *, CASE WHEN rc IS NULL THEN 0 ELSE cj END AS char_js, CASE WHEN rw IS NULL OR n_words = 0 THEN 0 ELSE wj END AS word_js FROM terms)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT (chars >= MIN_CHARS AND char_js > MAX_CHAR_JS OR n_words >= MIN_HIST_WORDS AND word_js > MAX_WORD_JS) AS kept,
+       round(char_js, 6) AS char_js, round(word_js, 6) AS word_js
+FROM judged
+"""
+for _name, _value in (("MIN_WORDS", quality.MIN_WORDS), ("MAX_REPEAT", quality.MAX_REPEAT_PERCENT), ("STEPS", quality.STEPS),
+                      ("MIN_CHARS", quality.MIN_CHARS), ("MAX_CHAR_JS", quality.MAX_CHAR_JS),
+                      ("MIN_HIST_WORDS", quality.MIN_HIST_WORDS), ("MAX_WORD_JS", quality.MAX_WORD_JS),
+                      ("COMMON", ", ".join(f"'{w}'" for w in quality.COMMON_WORDS))):
+    QUALITY = re.sub(rf"\b{_name}\b", str(_value), QUALITY)
+
+ORACLE = {"op1_mixing": MIXING, "op9_quality_rules": QUALITY, "op2_sharding": SHARDING, "op3_ngram_jaccard": NEAR_JOIN, "op11_filter_audit": FILTER_AUDIT, "op12_fill_middle": FILL_MIDDLE,
           "op13_line_dedup": LINE_DEDUP}

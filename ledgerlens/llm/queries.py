@@ -58,7 +58,8 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of each document and whether the rules keep it."""
-    return quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_js", "word_js")})
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

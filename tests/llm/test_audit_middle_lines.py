@@ -24,7 +24,8 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_fill_middle", "op13_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op9_quality_rules", "op11_filter_audit",
+                                  "op12_fill_middle", "op13_line_dedup"])
 def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
