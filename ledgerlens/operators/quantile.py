@@ -303,6 +303,9 @@ def _grouped(vals: DataFrame, by: list, p: float, out: str, local_limit: int) ->
         .withColumn("_first", F.col("_rank") == F.floor(pos))
         .withColumn("_lo", F.col("_mn") if plo == 0.0 else F.col("_br")[0])
         .withColumn("_hi", F.col("_mx") if phi == 1.0 else F.col("_br")[1]).drop("_br"))
+    # Written, so that the values meet a table of its own size: a small one is
+    # broadcast, and beside a large one a hot group's partition can be split.
+    state = cut(state)
     counts = (vals.join(state.select(*key, "_lo", "_hi"), by).groupBy(*key).agg(
         F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
         F.count_if(F.col("_v").between(F.col("_lo"), F.col("_hi"))).alias("_inside")))
