@@ -59,3 +59,31 @@ def test_narrowing_gives_the_same_as_one_pick(spark):
     want = {r.g: r.pct for r in Q.percentile_exact(df, "x", 0.9, by=["g"]).collect()}
     got = {r.g: r.pct for r in Q.percentile_exact(df, "x", 0.9, by=["g"], local_limit=50).collect()}
     assert got == want and want[99] == 2.0
+
+
+def test_values_of_a_large_group_are_not_shuffled(spark):
+    """A group over the limit is searched where it lies: only its bracket is sorted."""
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 2 == 0).alias("g"), F.hash("id").cast("double").alias("x"))
+    df = df.unionByName(spark.range(300).select(F.lit(None).cast("boolean").alias("g"), F.lit(1.0).alias("x")))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as beside large tables
+    try:
+        got = percentile_exact(df, "x", 0.5, by=["g"], local_limit=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    want = {r.g: r.m for r in df.where("g IS NOT NULL").groupBy("g").agg(F.percentile("x", 0.5).alias("m")).collect()}
+    assert {r.g: r.pct for r in got.collect()} == want
+
+
+def test_groups_below_and_above_the_limit(spark):
+    rows = [("big", float(i)) for i in range(500)] + [("one", 7.0), ("two", 1.0), ("two", 2.0), ("nan", float("nan"))]
+    rows += [(f"s{k}", float(v)) for k in range(30) for v in range(k + 1)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for limit in (3, 40, 10_000):
+        got = {r.g: r.pct for r in percentile_exact(df, "x", 0.25, by=["g"], local_limit=limit).collect()}
+        want = {r.g: r.m for r in df.where("NOT isnan(x)").groupBy("g").agg(
+            F.percentile("x", 0.25).alias("m")).collect()}
+        assert got == pytest.approx(want), limit
