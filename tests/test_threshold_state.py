@@ -62,3 +62,25 @@ def test_a_batch_can_be_replaced_or_left_out(spark):
     assert states.has("a") and not states.has("z")
     with pytest.raises(KeyError):
         states.thresholds(["a", "z"])
+
+
+def test_batches_of_the_query_read_a_stored_table(spark, monkeypatch):
+    """The joins behind the contracts run once, not for every state and pass."""
+    from ledgerlens.plans import queries
+    rows = contract_rows(120, 5)
+    ids = spark.createDataFrame([(f"K{k}",) for k in range(len(rows))], "contract_id string")
+    frame = contracts(spark, rows).join(ids, "contract_id")
+    plans, add = [], ThresholdStore.add
+
+    def watched(self, batch, derived):
+        plans.append(derived._jdf.queryExecution().optimizedPlan().toString())
+        add(self, batch, derived)
+
+    monkeypatch.setattr(ThresholdStore, "add", watched)
+    monkeypatch.setattr(queries, "contracts_from_tables", lambda spark, sf: frame)
+    got = queries.q_thresholds_after_append(spark, "unused").first()
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+    d = derive(frame)
+    want = compute_thresholds(d, entity_stats(d))
+    assert (got.t_value, got.t_added, got.t_direct, got.n_rows) == (
+        want.t_value, want.t_added, want.t_direct, want.n_rows)
