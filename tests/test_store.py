@@ -149,3 +149,30 @@ def test_pinned_versions_name_their_dataset(spark, tmp_path):
     again = enrich.snapshot_of(spark, base, "2026-11")
     assert again.path == old.path and again.rows.count() == 195  # the pin is not built twice
     assert enrich.build_from_frame(df).dataset() is None
+
+
+def test_ascii_texts_are_normalised_and_indexed_by_the_batch(monkeypatch):
+    import pyarrow as pa
+    from ledgerlens.functions import text
+    from ledgerlens.sources import search_index
+
+    texts = [None, "", "ab", "abc", "xAbc1", "éa fi b", "bc", "c\x00d|", "abcd"]
+    files = ["f", "f", "f", "f", "g", "g", "g", "h", "h"]
+    want = {}
+    for t, f in zip(texts, files):
+        for g in search_index.grams(t or ""):
+            want.setdefault(f, set()).add(g)
+    lowered = [text.plain(t) for t in texts]
+    slow = []  # texts that are looked at one by one
+
+    def watched(kernel):
+        return lambda t: slow.append(t) or kernel(t)
+
+    monkeypatch.setattr(search_index, "grams", watched(search_index.grams))
+    monkeypatch.setattr(text, "plain", watched(text.plain))
+    rows = pa.record_batch([pa.array(files), pa.array(texts)], ["file", "text"])
+    got = [(f, g) for b in search_index._postings(iter([rows.slice(0, 2), rows.slice(2, 6), rows.slice(8)]))
+           for f, g in zip(b.column("file").to_pylist(), b.column("gram").to_pylist())]
+    assert len(got) == len(set(got)) and {(f, g) for f in want for g in want[f]} == set(got)
+    assert text.normalize.func(pa.array(texts)).to_pylist() == lowered
+    assert set(slow) == {"éa fi b"}
