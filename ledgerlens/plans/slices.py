@@ -24,7 +24,7 @@ from ..functions import formats as fm
 from ..operators.quantile import percentile_exact
 from ..operators.report import OTHER, cumulative, first_rows, money_sum, unique_short_labels
 from ..operators.stats import Thresholds
-from ..session import cut
+from ..session import cut, stored
 from . import facts
 from .readings import flag_sentences, name_parts, sentences, set_numbers, with_shares
 from .views import view_members
@@ -90,7 +90,7 @@ def readings_by_view(rows: DataFrame, views: DataFrame, th: Thresholds) -> DataF
     """
     flags = [c for c in ("is_anomaly",) if c in rows.columns]
     tagged = view_members(rows.select(*READING_COLUMNS, "search_text", *flags), views)
-    return readings_by(cut(tagged.drop("search_text")), ["view_id"], th, wanted=views)
+    return readings_by(stored(tagged.drop("search_text")), ["view_id"], th, wanted=views)
 
 
 def model_readings_by(rows: DataFrame, by: Sequence[str],

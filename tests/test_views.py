@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans import enrich, facts, readings, views
 from ledgerlens.plans.views import ViewSpec
-from tests.fixtures import contracts, buyers
+from tests.fixtures import DIRECT, buyers, contracts
 
 
 @pytest.fixture(scope="module")
@@ -159,3 +159,24 @@ def test_null_signing_and_start_dates_are_tolerated(spark):
     assert facts.yearly_value(r).count() >= 1
     got = readings.rule_readings(r, snap.thresholds).collect()
     assert len(got) == 10 and all(x.text for x in got)
+
+
+def test_rows_meet_saved_views_without_a_shuffle(spark):
+    specs = {1: ViewSpec(query="acme", years=(2023, 2023)), 2: ViewSpec(), 3: ViewSpec(entities=("A", "B")),
+             4: ViewSpec(modalities=(DIRECT,), priority_only=True), 5: ViewSpec(query="nobody"), 6: ViewSpec()}
+    data = [{"entity": e, "modality": m, "value": v, "supplier": s, "signed": d}
+            for e in ("A", "B", None) for m in (DIRECT, None) for v in (1e6, None) for s in ("Acme", "Other")
+            for d in (0, 400, None)]
+    rows = enrich.build_from_frame(contracts(spark, data)).rows.select("contract_id", "search_text", *views.CELL)
+    saved = views.saved_rows(spark, specs)
+    table = views.view_table(saved, saved).localCheckpoint()
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as beside large tables
+    try:
+        got = views.view_members(rows, table)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert "SortMergeJoin" not in plan
+    want = sorted((v, r.contract_id) for v, s in specs.items() for r in views.apply_view(rows, s).collect())
+    assert sorted((r.view_id, r.contract_id) for r in got.collect()) == want
