@@ -30,6 +30,7 @@ from ._common import cut, ready, shuffle_width, word_count
 
 CAPACITY = 1024
 LANE_ROWS = 4096
+LANES_A_TASK = 4
 COPIES = 1000  # of a repeated row that a task deals at a time
 
 SCHEMA = ("doc_id long, source string, size long, part int, start_word long, n_words long, "
@@ -119,7 +120,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, lane_rows: int = LANE_ROWS,
     once = cut(items.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n")))
     lanes = max(1, -(-(once.agg(F.sum("n")).first()[0] or 0) // lane_rows))
     lane = F.pmod(F.xxhash64(F.lit("lane"), "doc_id", "cluster", "copy"), F.lit(lanes))
-    # A stated number of partitions, else the few bytes of all lanes would go into one task.
-    tasks = min(lanes, 4 * shuffle_width(docs.sparkSession))
+    # A stated number of partitions, else the few bytes of all lanes would go into one task; a task
+    # has several lanes, as one takes a fraction of a second and every file costs the executor a process.
+    tasks = min(-(-lanes // LANES_A_TASK), 4 * shuffle_width(docs.sparkSession))
     return (_dealt(once).withColumn("lane", lane.cast("long")).repartition(tasks, "lane").groupBy("lane")
             .applyInPandas(_lane(capacity, per_source), SCHEMA))

@@ -235,3 +235,12 @@ def test_best_fit_equals_a_search_over_all_bins():
     for _ in range(60):
         items = [(rnd.randint(1, 40), rnd.randint(0, 6), rnd.randint(0, 30)) for _ in range(rnd.randint(0, 80))]
         assert packing.best_fit(*map(list, zip(*items)), 40) == best_fit_by_hand(items, 40) if items else True
+
+
+def test_packing_tasks_have_several_lanes(spark):
+    """A lane takes a fraction of a second; a task and a file for each cost more than the packing."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"),
+                                    F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    got = packing.pack(docs, lane_rows=100)
+    assert got.rdd.getNumPartitions() == 3  # of 10 lanes
+    assert got.select(F.shiftright("bin_id", 32)).distinct().count() == 10 and got.count() == 1000
