@@ -293,6 +293,22 @@ def anomaly_vs_rest(f: DataFrame) -> DataFrame:
 # One pass for many facts: GROUPING SETS over the view
 # --------------------------------------------------------------------------
 SET_KEYS = ("entity", "modality", "supplier", "sign_year", "value_band")
+SETS = {k: [k] for k in SET_KEYS} | {"value_band": ["value_band", "value_band_label"], "all": []}
+GROUP_COLUMNS = (*SET_KEYS, "value_band_label")
+
+
+def _set_figures(f: DataFrame) -> list:
+    return [F.sum(F.col("value").cast("decimal(18,2)")).alias("total_dec"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count("value").alias("n_values"),
+            F.count_if(F.col("is_sme")).alias("n_sme"),
+            F.count("is_sme").alias("n_sme_known"),
+            F.sum("is_direct").alias("n_direct"),
+            F.count("is_direct").alias("n_direct_known"),
+            F.count_if(F.col("rule_priority")).alias("n_priority"),
+            F.count_if(F.col("signals") == 3).alias("n_critical"),
+            F.sum("duration_days").alias("dur_sum"),
+            F.count("duration_days").alias("dur_n"), *_flag_count(f)]
 
 
 def fact_sets(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -302,31 +318,38 @@ def fact_sets(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     grouping; null keys of a grouping are dropped afterwards (pandas drops
     them).  The result has one row per distinct key value.
     """
-    sets = [[*by, *keys] for keys in (["entity"], ["modality"], ["supplier"], ["sign_year"],
-                                      ["value_band", "value_band_label"], [])]
-    g = f.groupingSets(sets, *by, "entity", "modality", "supplier", "sign_year", "value_band",
-                       "value_band_label").agg(
-        F.grouping_id().alias("_gid"),
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_dec"),
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count("value").alias("n_values"),
-        F.count_if(F.col("is_sme")).alias("n_sme"),
-        F.count("is_sme").alias("n_sme_known"),
-        F.sum("is_direct").alias("n_direct"),
-        F.count("is_direct").alias("n_direct_known"),
-        F.count_if(F.col("rule_priority")).alias("n_priority"),
-        F.count_if(F.col("signals") == 3).alias("n_critical"),
-        F.sum("duration_days").alias("dur_sum"),
-        F.count("duration_days").alias("dur_n"), *_flag_count(f))
+    sets = [[*by, *keys] for keys in SETS.values()]
+    g = f.groupingSets(sets, *by, *GROUP_COLUMNS).agg(F.grouping_id().alias("_gid"), *_set_figures(f))
     # grouping_id bits follow the column order: entity, modality, supplier,
     # sign_year, value_band, value_band_label (1 = not grouped); those of
     # ``by`` come before and are 0.
     name = (F.when(F.col("_gid") == 0b011111, "entity").when(F.col("_gid") == 0b101111, "modality")
             .when(F.col("_gid") == 0b110111, "supplier").when(F.col("_gid") == 0b111011, "sign_year")
             .when(F.col("_gid") == 0b111100, "value_band").otherwise("all"))
-    return (g.withColumn("set", name)
-            .withColumn("total_value", F.coalesce(F.col("total_dec").cast("double"), F.lit(0.0)))
-            .drop("_gid"))
+    return _with_total(g.withColumn("set", name).drop("_gid"))
+
+
+def _with_total(g: DataFrame) -> DataFrame:
+    return g.withColumn("total_value", F.coalesce(F.col("total_dec").cast("double"), F.lit(0.0)))
+
+
+def dealt_sets(f: DataFrame, by: Sequence[str], tasks: int) -> DataFrame:
+    """``fact_sets`` of many small slices: a slice's rows go to one of ``tasks`` tasks.
+
+    Before a shuffle the sets of small slices are hardly smaller than six
+    times the rows.  Here the rows are shuffled as they are, and the sets and
+    what is made of them per slice follow in the same stage (an explode keeps
+    the partitions, which grouping sets do not).
+    """
+    kinds = dict(f.select(*GROUP_COLUMNS).dtypes)
+
+    def group(name: str, keys: list[str]):
+        return F.struct(F.lit(name).alias("set"), *[
+            (F.col(c) if c in keys else F.lit(None).cast(kinds[c])).alias(c) for c in GROUP_COLUMNS])
+
+    groups = F.array(*[group(name, keys) for name, keys in SETS.items()])
+    one = f.repartition(tasks, *by).withColumn("_g", F.explode(groups)).drop(*GROUP_COLUMNS).select("*", "_g.*")
+    return _with_total(one.groupBy(*by, "set", *GROUP_COLUMNS).agg(*_set_figures(f)))
 
 
 def set_rows(sets: DataFrame, name: str) -> DataFrame:

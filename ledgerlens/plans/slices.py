@@ -15,6 +15,7 @@ whose key is null are in no slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,13 @@ from ..operators.report import OTHER, cumulative, first_rows, money_sum, unique_
 from ..operators.stats import Thresholds
 from ..session import cut, stored
 from . import facts
-from .readings import flag_sentences, name_parts, sentences, set_numbers, with_shares
+from .readings import (dealt_numbers, flag_sentences, name_parts, sentences, set_numbers,
+                       with_shares)
 from .views import view_members
 
+DEALT_ROWS = 4096  # of a slice whose rows are brought together
+ROWS_A_TASK = 200_000
+
 
 def in_slices(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The rows that lie in a slice, and the names of their key columns.
@@ -52,18 +57,41 @@ def _all_wanted(x: DataFrame, by: Sequence[str], keys: list[str], wanted: DataFr
 
 
 def _numbers(rows: DataFrame, by: Sequence[str], wanted: DataFrame | None) -> DataFrame:
-    """One row of numbers for each slice: all that its sentences need."""
+    """One row of numbers for each slice: all that its sentences need.
+
+    Slices of up to ``DEALT_ROWS`` rows are brought together and counted in
+    one task each; larger ones, of which there are at most a
+    ``DEALT_ROWS``th of the rows, are first added up where their rows lie.
+    """
     rows, keys = in_slices(rows, by)
-    sets = cut(facts.fact_sets(rows, keys))
-    median = percentile_exact(rows, "value", 0.5, by=keys, out="median_value")
-    x = _all_wanted(set_numbers(sets, keys), by, keys, wanted)
-    for part in (*name_parts(rows, sets, keys), median):
-        x = x.join(part, keys, "left")
+    size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    few = F.col("_n") <= DEALT_ROWS
+    n, n_large = size.agg(F.sum(F.when(few, F.col("_n"))), F.count_if(~few)).first()
+    found = []
+    if n_large or not n:
+        some = rows
+        if n:
+            large = cut(size.where(~few).select(*keys))
+            some = rows.join(F.broadcast(large), keys, "left_semi")
+        sets = cut(facts.fact_sets(some, keys))
+        found.append(_joined(set_numbers(sets, keys), name_parts(some, sets, keys), keys))
+    if n:
+        some = rows.join(F.broadcast(large), keys, "left_anti") if n_large else rows
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // ROWS_A_TASK)
+        found.append(_joined(*dealt_numbers(some, keys, tasks), keys))
+    x = _all_wanted(reduce(DataFrame.unionByName, found), by, keys, wanted)
+    x = x.join(percentile_exact(rows, "value", 0.5, by=keys, out="median_value"), keys, "left")
     counts = [c for c in x.columns if c in ("n_rows", "n_values", "n_priority", "n_critical",
                                             "n_anomalies", "n_contracts", "n_suppliers", "md_n")]
     return with_shares(x.fillna(0, counts))
 
 
+def _joined(x: DataFrame, parts: Sequence[DataFrame], keys: list[str]) -> DataFrame:
+    for part in parts:
+        x = x.join(part, keys, "left")
+    return x
+
+
 def readings_by(rows: DataFrame, by: Sequence[str], th: Thresholds,
                 wanted: DataFrame | None = None) -> DataFrame:
     """N1-N10 and N13 of every slice: ``(*by, reading, status, text)``.

@@ -47,6 +47,20 @@ def test_readings_of_each_entity_equal_those_of_its_view(snap, rows):
             readings.rule_readings(view, snap.thresholds))
 
 
+def test_small_slices_are_dealt_and_large_ones_added_up_first(snap, rows, monkeypatch):
+    """Office 0 has a third of the rows; where the border lies makes no difference."""
+    got = []
+    for most in (slices.DEALT_ROWS, 200, 0):
+        monkeypatch.setattr(slices, "DEALT_ROWS", most)
+        every = slices.readings_by(rows, ["entity"], snap.thresholds)
+        got.append(sorted((r.entity, r.reading, r.status, r.text) for r in every.collect()))
+    assert len(got[0]) == 10 * 7 and got[0] == got[1] == got[2]
+    keyed, keys = slices.in_slices(rows, ["entity"])
+    per = readings.set_numbers(facts.dealt_sets(keyed, keys, 5), keys)
+    plan = per._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan  # rows move once, sets not at all
+
+
 def test_flag_readings_of_each_year_and_of_two_keys(snap, rows):
     every = slices.model_readings_by(rows, ["sign_year"]).unionByName(
         slices.readings_by(rows, ["sign_year"], snap.thresholds)).cache()
