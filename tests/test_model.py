@@ -115,3 +115,79 @@ def test_scores_do_not_depend_on_batches():
     whole = forest.raw_score(x)
     parts = np.concatenate([forest.raw_score(x[k:k + 7]) for k in range(0, 700, 7)])
     assert (whole[:700] == parts).all() and len(forest.raw_score(x[:0])) == 0
+
+
+def _grown(n_trees, size, depth):
+    import pandas as pd
+    from ledgerlens.operators import iforest as I
+    rng = np.random.default_rng(5)
+    nodes = []
+    for t in range(n_trees):
+        sample = pd.DataFrame({f: rng.normal(size=size).round(1) for f in I.FEATURES})
+        sample["f_direct"] = rng.integers(0, 2, size)
+        nodes.append(I._grow_one(sample.assign(_tree=t, _u=0, _key=range(size)), 1, depth))
+    return I.forest_from_nodes(pd.concat(nodes), n_trees, size, depth)
+
+
+def _walked(forest, x):
+    """Mean path length of each row, down every tree node by node."""
+    total = np.zeros(len(x))
+    for t in range(len(forest.feature)):
+        for i, row in enumerate(x):
+            o = 0
+            while forest.feature[t, o] >= 0:
+                o = (forest.right if row[forest.feature[t, o]] > forest.threshold[t, o] else forest.left)[t, o]
+            total[i] += forest.leaf_path[t, o]
+    return total / len(forest.feature)
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 40])
+def test_tables_of_trees_give_the_walked_lengths(monkeypatch, cells):
+    """Also on thresholds themselves, beyond them and without a number, and where a
+    tree is cut into several tables; a row takes a look-up for each feature, not for
+    each level."""
+    from ledgerlens.operators import iforest as I
+    monkeypatch.setattr(I, "_CELLS", cells)
+    forest = _grown(12, 64, 6)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    x[:40, 0] = forest.threshold[forest.feature == 0][:40]
+    x[40:50], x[50:60], x[60:70, 1] = np.inf, -np.inf, np.nan
+    assert (forest.path_lengths(x) == _walked(forest, x)).all()
+    tables = forest._tables()
+    assert (len(tables) == 12) == (cells > 40) and all(grid.size <= max(cells, 7 ** 4) for _, grid, _ in tables)
+
+
+def test_a_forest_of_leaves_is_scored():
+    forest = _grown(3, 1, 1)
+    assert (forest.path_lengths(np.zeros((5, 4))) == 0).all()
+
+
+def test_rows_are_scored_and_labelled_after_their_last_shuffle(spark, monkeypatch):
+    """The shuffle by year carries no column that is made of others, one Python stage follows."""
+    from ledgerlens.sources import snapshot as store
+    plans, write = [], store.write_parquet
+
+    def seen(df, path, *args, **kwargs):
+        plans.append((path.rsplit("/", 1)[-1], df._jdf.queryExecution().executedPlan().toString(),
+                      df.columns, kwargs))
+        return write(df, path, *args, **kwargs)
+    monkeypatch.setattr(store, "write_parquet", seen)
+    rows = [{"entity": "E", "modality": "L", "value": 1e6 * (i + 1), "end": 100 + i} for i in range(100)]
+    snap = enrich.build_from_frame(contracts(spark, rows))
+    by = {name: rest for name, *rest in plans}
+    plan, columns, options = by["rows"]
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("REBALANCE")
+    assert not set(enrich.MADE_LATE) & set(by["derived"][1]) and set(enrich.MADE_LATE) <= set(columns)
+    assert set(options["unlike"]) == {"contract_id", "reference", "url", "search_text"}
+    assert snap.rows.where("value_band_label IS NULL OR search_text IS NULL").count() == 0
+
+
+def test_many_entities_are_looked_up_by_hash(spark, monkeypatch):
+    from ledgerlens.operators import stats as S
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "entity string, k int")
+    stats = spark.createDataFrame([("a", 0.5, 4)], "entity string, entity_direct_rate double, entity_contracts long")
+    few = S.with_entity_stats(rows, stats, S.MANY_ENTITIES)
+    many = S.with_entity_stats(rows, stats, S.MANY_ENTITIES + 1)
+    assert "ShuffledHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(many.collect(), key=lambda r: r.k) == sorted(few.collect(), key=lambda r: r.k)
